@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallywatch import constants as C
 from tallywatch.functions import text as X
 from tallywatch.operators.ranking import SINGLE_TASK_ROWS, ordered_index
-from tallywatch.operators.rollups import HIGH, fatf_receiver
+from tallywatch.operators.rollups import fatf_receiver, is_high
 from tallywatch.schema import optional, reference_text
 
 
@@ -81,7 +81,7 @@ def fatf_listing(scored: DataFrame, rows: int = C.FATF_ROWS) -> DataFrame:
 
 def sar_candidates(scored: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Every HIGH row with its report number (position among the HIGH rows)."""
-    listed = scored.filter(HIGH).select(
+    listed = scored.filter(is_high()).select(
         "txn_id",
         reference_text(scored).alias("reference"),
         "score",

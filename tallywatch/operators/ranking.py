@@ -40,37 +40,66 @@ def ordered_index(
     return placed.select(*df.columns, (F.col("_offset") + within).alias(out))
 
 
-def order_statistics(df: DataFrame, key: str, ranks: Sequence[int], total: int, error: float = 1e-3) -> list[int]:
-    """The exact values of a unique integer column at the given 0-based ranks.
+def order_statistics(
+    df: DataFrame, key: str, ranks: Sequence[int], total: int, tie: str | None = None, error: float = 1e-3
+) -> list:
+    """The exact values of a numeric column at the given 0-based ranks.
 
     Approximate quantiles bracket every rank; one aggregate counts the rows below each bracket,
-    and only the rows inside the brackets (a share of about ``4 * error`` each) are ordered.
+    and only the rows inside the brackets (a share of about ``4 * error`` each) are ordered, by
+    ``key`` and then ``tie``, which together must be unique.
     """
     ranks = sorted(set(ranks))
     if not ranks:
         return []
-    low_high = df.agg(F.min(key), F.max(key)).first()
+    order = [key, tie] if tie else [key]
+    least, most = df.agg(F.min(key), F.max(key)).first()
     probes = [min(1.0, max(0.0, rank / total + side * 2 * error)) for rank in ranks for side in (-1, 1)]
     bounds = df.approxQuantile(key, probes, error)
-    brackets = []
-    for i, rank in enumerate(ranks):
-        # Doubles cannot hold every bigint: widen by more than their spacing.
-        low, high = (int(b) for b in bounds[2 * i : 2 * i + 2])
-        low = max(low_high[0], low - 1 - abs(low) // 2**50)
-        high = min(low_high[1], high + 1 + abs(high) // 2**50)
-        brackets.append((rank, low, high))
-    below = df.agg(*(F.count_if(F.col(key) < low).alias(f"b{i}") for i, (_, low, _) in enumerate(brackets))).first()
-    found = []
-    for i, (rank, low, high) in enumerate(brackets):
-        inside = df.filter(F.col(key).between(low, high)).select(key)
-        wanted = rank - below[i]
-        placed = ordered_index(inside, [key], "_position").filter(F.col("_position") == wanted).first()
-        if placed is None:
-            raise ArithmeticError(f"rank {rank} is outside its bracket")
-        found.append(placed[key])
+    brackets = [_bracket(bounds[2 * i], bounds[2 * i + 1], least, most) for i in range(len(ranks))]
+    below = df.agg(*(F.count_if(F.col(key) < low).alias(f"b{i}") for i, (low, _) in enumerate(brackets))).first()
+    wanted = [(rank - before, low, high) for rank, (low, high), before in zip(ranks, brackets, below)]
+    if 4 * error * total <= SINGLE_TASK_ROWS / len(ranks):
+        found = _at_positions(df.select(*order), order, wanted)
+    else:
+        found = [_at_position(df.select(*order), order, *w) for w in wanted]
+    if None in found:
+        raise ArithmeticError(f"ranks {ranks} of {key} are not all inside their brackets")
     return found
 
 
+def _at_positions(df: DataFrame, order: list[str], wanted: list[tuple]) -> list:
+    """Small brackets: all of them in one job, one window group each."""
+    key = F.col(order[0])
+    inside = F.array_compact(
+        F.array(*(F.when(key.between(low, high), F.lit(i)) for i, (_, low, high) in enumerate(wanted)))
+    )
+    place = F.row_number().over(Window.partitionBy("_bracket").orderBy(*order)) - 1
+    target = F.get(F.array(*(F.lit(position) for position, _, _ in wanted)), F.col("_bracket"))
+    hits = (
+        df.select(*order, F.explode(inside).alias("_bracket"))
+        .select(order[0], "_bracket", place.alias("_place"))
+        .filter(F.col("_place") == target)
+        .collect()
+    )
+    values = {hit["_bracket"]: hit[order[0]] for hit in hits}
+    return [values.get(i) for i in range(len(wanted))]
+
+
+def _at_position(df: DataFrame, order: list[str], position: int, low, high):
+    inside = df.filter(F.col(order[0]).between(low, high))
+    hit = ordered_index(inside, order, "_position").filter(F.col("_position") == position).first()
+    return hit[order[0]] if hit else None
+
+
+def _bracket(low: float, high: float, least, most):
+    """Quantiles come as doubles, which cannot hold every bigint: widen by more than their spacing."""
+    if not isinstance(least, int):
+        return low, high
+    low, high = int(low), int(high)
+    return max(least, low - 1 - abs(low) // 2**50), min(most, high + 1 + abs(high) // 2**50)
+
+
 def block_of(value: Column, starts: Sequence[int]) -> Column:
     """Index of the last block whose first value is not above ``value``."""
     index = F.lit(None).cast("int")

@@ -14,7 +14,8 @@ from tallywatch.functions import text as X
 from tallywatch.operators.ranking import block_of, order_statistics
 from tallywatch.schema import has, optional
 
-HIGH = F.col("risk_level") == "HIGH"
+def is_high() -> Column:
+    return _level_is("HIGH")
 
 
 def _level_is(level: str) -> Column:
@@ -89,7 +90,7 @@ def _day_parts(scored: DataFrame) -> DataFrame:
             F.sum("score").alias("score_sum"),
             F.count_if(elevated).alias("elevated_n"),
             F.sum(F.when(elevated, F.col("score"))).alias("elevated_sum"),
-            F.count_if(HIGH).alias("high_n"),
+            F.count_if(is_high()).alias("high_n"),
             F.sum(amount).alias("amount_sum"),
             F.count(amount).alias("amount_n"),
         )
@@ -159,7 +160,7 @@ def trend_sequence(scored: DataFrame) -> DataFrame:
         rows.groupBy(block.alias("block"))
         .agg(
             F.round(elevated_mean(F.col("score")), 1).alias("score"),
-            F.count_if(HIGH).alias("high_count"),
+            F.count_if(is_high()).alias("high_count"),
             F.round(F.avg(optional(scored, "amount")), 2).alias("avg_amount"),
         )
         .orderBy("block")
@@ -231,7 +232,7 @@ def alert_feed(scored: DataFrame) -> DataFrame:
     outlier = F.abs("feature_zscore") > C.ZSCORE_LIMIT
     counts = scored.agg(
         F.least(F.count_if(fatf_receiver(scored)), F.lit(C.FATF_ROWS)).alias("fatf"),
-        F.count_if(HIGH).alias("high"),
+        F.count_if(is_high()).alias("high"),
         F.least(F.count_if(outlier), F.lit(C.ANOMALY_ROWS)).alias("outliers"),
     )
 
