@@ -143,7 +143,7 @@ SELECT {period} AS period, {avg1(ELEVATED)} AS score, count(*) FILTER (risk_leve
 
 _CARD = """txn_id, concat('Row-', txn_id) AS reference, format('${:,.2f}', amount) AS amount, score, risk_level,
   flags_text, breakdown_text, feature_zscore,
-  CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS flag_count"""
+  CAST(CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS int) AS flag_count"""
 
 _SHORT = "CASE WHEN length(flags_text) > 60 THEN concat(substr(flags_text, 1, 60), '...') ELSE flags_text END"
 
@@ -213,7 +213,7 @@ LEFT JOIN risky r ON r.code = mcc"""
     "display_fields": scored(
         f"""SELECT txn_id, concat(receiver_first_name, ' ', receiver_last_name, ' (', merchant_name, ')') AS receiver,
   concat(substr(card_number, 1, 4), 'XXXXXXXX', right(card_number, 4)) AS card,
-  CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS flag_count,
+  CAST(CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS int) AS flag_count,
   {_SHORT} AS flags_short, format('${{:,.2f}}', amount) AS amount_text FROM scored"""
     ),
     "rule_amount": ruled("SELECT txn_id, p1 AS points, f1 AS flag FROM ruled"),
@@ -366,7 +366,7 @@ FROM scored WHERE receiver_fatf IS NOT NULL ORDER BY txn_id LIMIT 30"""
     ),
     "sar_candidates": scored(
         f"""SELECT txn_id, concat('Row-', txn_id) AS reference, score, feature_zscore,
-  CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS flag_count,
+  CAST(CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS int) AS flag_count,
   {_SHORT} AS flags_short, breakdown_text, row_number() OVER (ORDER BY txn_id) - 1 AS report_index
 FROM scored WHERE risk_level = 'HIGH'"""
     ),
@@ -416,7 +416,7 @@ UNION ALL SELECT 'training_data', count(*), CAST(sum(score) AS bigint) FROM scor
   concat(receiver_first_name, ' ', receiver_last_name) AS receiver_name, score, risk_level, feature_zscore AS zscore,
   abs(feature_zscore) > 2 AS is_outlier, receiver_fatf IS NOT NULL AS receiver_is_fatf,
   mcc_name IS NOT NULL AS mcc_is_high_risk, coalesce(mcc_name, '') AS mcc_name,
-  len(string_split(flags_text, '|')) AS flag_count, flags_text, breakdown_text, c.total AS batch_total,
+  CAST(len(string_split(flags_text, '|')) AS int) AS flag_count, flags_text, breakdown_text, c.total AS batch_total,
   {avg1('c.avg_score')} AS batch_avg_score
 FROM scored CROSS JOIN (SELECT count(*) AS total, avg(score) AS avg_score FROM scored) c WHERE risk_level = 'HIGH'"""
     ),

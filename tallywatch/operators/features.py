@@ -123,7 +123,7 @@ def build_features(
     if coded:
         rows = with_payment_code(rows, codes, stats.rows, hot_floor)
     rows = with_velocity(rows, sender, receiver, stats.rows, hot_floor)
-    labels = ["label"] if has(df, "label") else []
+    labels = ["label"] if has(df, "label") and "label" not in keep else []
     return rows.select("txn_id", *keep, *C.FEATURE_COLUMNS, *labels)
 
 
