@@ -484,3 +484,16 @@ SELECT txn_id, amount AS amount_usd, round(least(greatest((amount - s.mean) / s.
     RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_24hr,
   label
 FROM txn CROSS JOIN s"""
+
+ORACLE["stream_scoring"] = ORACLE["rules_v3"]
+ORACLE["stream_velocity"] = txn(
+    """SELECT txn_id,
+  count(*) OVER (PARTITION BY sender_account ORDER BY ts
+    RANGE BETWEEN INTERVAL '3599999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_1hr,
+  count(*) OVER (PARTITION BY sender_account ORDER BY ts
+    RANGE BETWEEN INTERVAL '21599999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_6hr,
+  count(*) OVER (PARTITION BY sender_account ORDER BY ts
+    RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_24hr,
+  CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY txn_id) = 1 AS int) AS is_new_payee
+FROM txn"""
+)

@@ -99,11 +99,13 @@ def build_features(
     codes: PaymentCodes | None = None,
     hot_floor: int = HOT_FLOOR,
     keep: tuple[str, ...] = (),
+    stateless: bool = False,
 ) -> DataFrame:
     """``txn_id``, the kept columns, the features in model order and ``label`` when present.
 
     Row-local features are one projection before the only full shuffle (by sender), so what is
-    shuffled is already narrow.
+    shuffled is already narrow. A ``stateless`` row knows no other rows: its velocities are 1 and
+    its payee is new.
     """
     stats = stats or amount_stats(df)
     coded = has(df, "payment_format")
@@ -122,7 +124,11 @@ def build_features(
     rows = df.select("txn_id", *extra, *carried, *(column.alias(name) for name, column in local.items()))
     if coded:
         rows = with_payment_code(rows, codes, stats.rows, hot_floor)
-    rows = with_velocity(rows, sender, receiver, stats.rows, hot_floor)
+    if stateless:
+        ones = {c: F.lit(1).cast("bigint") for c in C.VELOCITY_HOURS}
+        rows = rows.withColumns({**ones, "is_new_payee": F.lit(int(bool(sender and receiver)))})
+    else:
+        rows = with_velocity(rows, sender, receiver, stats.rows, hot_floor)
     labels = ["label"] if has(df, "label") and "label" not in keep else []
     return rows.select("txn_id", *keep, *C.FEATURE_COLUMNS, *labels)
 

@@ -46,6 +46,7 @@ class Snapshots:
     cards: DataFrame | None = None
 
 
+SINGLE_RECORD = Snapshots(AmountStats(rows=1))
 RECEIVER_KEYS = ["receiver_first", "receiver_last"]
 CARD_KEYS = ["card_key"]
 
@@ -86,19 +87,20 @@ def snapshots_of(df: DataFrame) -> Snapshots:
 
 
 def with_receiver_frequency(df: DataFrame, snapshots: Snapshots, hot_floor: int = HOT_FLOOR) -> DataFrame:
-    """Adds ``receiver_n``; a blank or unknown receiver has none."""
-    if snapshots.receivers is None:
-        return df.withColumn("receiver_n", F.lit(None).cast("bigint"))
+    """Adds ``receiver_n``; a blank or unknown receiver has none. Without a table, rows stand alone."""
     keyed = df.select("*", *receiver_key(df))
+    if snapshots.receivers is None:
+        alone = F.when(F.col("receiver_first").isNotNull(), F.lit(1).cast("bigint"))
+        return keyed.withColumn("receiver_n", alone).drop(*RECEIVER_KEYS)
     rows = snapshots.stats.rows
     counted = attach_by_key(keyed, snapshots.receivers, RECEIVER_KEYS, {"n": "receiver_n"}, rows, floor=hot_floor)
     return counted.drop(*RECEIVER_KEYS)
 
 
 def with_card_frequency(df: DataFrame, snapshots: Snapshots, hot_floor: int = HOT_FLOOR) -> DataFrame:
-    """Adds ``card_n``; a missing or unknown card has none."""
+    """Adds ``card_n``; a missing or unknown card has none. Without a table, rows stand alone."""
     if snapshots.cards is None:
-        return df.withColumn("card_n", F.lit(None).cast("bigint"))
+        return df.withColumn("card_n", F.when(F.col("card_number").isNotNull(), F.lit(1).cast("bigint")))
     keyed = df.select("*", F.col("card_number").alias("card_key"))
     rows = snapshots.stats.rows
     return attach_by_key(keyed, snapshots.cards, CARD_KEYS, {"n": "card_n"}, rows, floor=hot_floor).drop(*CARD_KEYS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,14 @@ from tallywatch import constants as C
 from tallywatch.functions import text as X
 from tallywatch.operators import alerts as A
 from tallywatch.operators import features as FT
-from tallywatch.operators import graph, hybrid, listings, quality, reports, rollups
+from tallywatch.operators import attribution, boosting, forest, graph, hybrid, listings, quality, reports, rollups
 from tallywatch.operators import rules as R
+from tallywatch.plans.models import Models, load_models, score_batch, train_models
+from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import tables
-from tallywatch.sources.star import transactions
+from tallywatch.sources.star import read_table, stream_events, transactions
+from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
+from tallywatch.streaming.velocity import RunningVelocity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,3 +458,96 @@ def classifier_metrics(spark: SparkSession, folder: str) -> DataFrame:
     metrics = quality.classifier_metrics(given)
     rounded = [F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "positive_weight")]
     return metrics.select(*rounded, "positives", "negatives")
+
+
+# --- streams: the events table arriving as files ------------------------------------------------
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """A fresh folder beside the checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+@query
+def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """All events scored as a stream against the snapshots of the table."""
+    run = _run_folder(spark)
+    save_snapshots(R.snapshots_of(transactions(spark, folder)), f"{run}/snapshots")
+    incoming = transactions(spark, folder, stream_events(spark, folder))
+    scored = score_stream(incoming, load_snapshots(spark, f"{run}/snapshots"))
+    write_stream(_flat(scored), f"{run}/scored", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/scored")
+
+
+@query
+def stream_velocity(spark: SparkSession, folder: str) -> DataFrame:
+    """All events in three deliveries, velocities and payees carried from one to the next."""
+    run = _run_folder(spark)
+    events = read_table(spark, folder, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    delivery = F.floor((micros - low) / ((high - low) // 3 + 1))
+    running = RunningVelocity(f"{run}/state")
+    for part in range(3):
+        arrived = events.filter(delivery == part)
+        arrived.write.parquet(f"{run}/incoming/events-{part}.parquet")
+        incoming = transactions(spark, folder, stream_events(spark, f"{run}/incoming/*"))
+        running.start(incoming, f"{run}/checkpoint").awaitTermination()
+    return running.results(spark).select("txn_id", *C.VELOCITY_HOURS, "is_new_payee")
+
+
+# --- models -------------------------------------------------------------------------------------
+
+_TRAINED: dict[str, Models] = {}
+
+
+def trained_models(spark: SparkSession, folder: str) -> Models:
+    """Models trained on the whole table, once per session and folder."""
+    key = f"{spark.sparkContext.applicationId}:{folder}"
+    if key not in _TRAINED:
+        store = f"{_run_folder(spark)}/models"
+        train_models(transactions(spark, folder), store)
+        _TRAINED[key] = load_models(spark, store)
+    return _TRAINED[key]
+
+
+@query
+def split_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the hold-out per label."""
+    rows = quality.stratified_split(transactions(spark, folder).select("txn_id", "label"))
+    held = F.avg(F.col("is_test").cast("double"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(held, 4).alias("test_share"))
+
+
+@query
+def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest grown from the table, and the raw score of every row by it."""
+    txn = transactions(spark, folder)
+    stats = R.amount_stats(txn)
+    path = f"{_run_folder(spark)}/features"
+    FT.build_features(txn, stats).write.parquet(path)
+    features = spark.read.parquet(path)
+    grown = forest.Forest.from_nodes(*forest.fit_forest(features, stats.rows))
+    return forest.with_anomaly_raw(features, grown).select("txn_id", "anomaly_raw")
+
+
+@query
+def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
+    features = FT.build_features(transactions(spark, folder))
+    rated = boosting.with_probability(features, trained_models(spark, folder).classifier)
+    return rated.select("txn_id", "probability", "prediction")
+
+
+@query
+def gbt_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    features = FT.build_features(transactions(spark, folder))
+    explained = attribution.with_attributions(features, trained_models(spark, folder).leaf_tables)
+    listed = explained.select("txn_id", F.posexplode("attributions").alias("place", "a"))
+    return listed.select("txn_id", "place", "a.feature", "a.label", "a.impact")
+
+
+@query
+def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules, both models and the attribution penalty, from raw rows to final score."""
+    scored = score_batch(transactions(spark, folder), C.V2, trained_models(spark, folder), penalise=True)
+    return scored.select("txn_id", "score", "risk_level", "model_score", "flags_text", "breakdown_text")

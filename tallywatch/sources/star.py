@@ -16,12 +16,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """One transaction per event: the event's user pays one of the suppliers.
+def stream_events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Event files as a stream: ``events*.parquet`` of a folder, or all files under a glob."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    if "*" not in folder:
+        options.setdefault("pathGlobFilter", "events*.parquet")
+    return spark.readStream.schema(schema).options(**options).parquet(folder)
+
+
+def transactions(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """One transaction per event (of the table, or of a stream): its user pays one of the suppliers.
 
     Join strategies are left to the optimiser, which broadcasts a side only below its size limit.
     """
-    events = read_table(spark, folder, "events")
+    events = read_table(spark, folder, "events") if events is None else events
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
     supplier = read_table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     suppliers = supplier.count()
