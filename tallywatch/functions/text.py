@@ -9,17 +9,14 @@ from tallywatch.constants import FATF_COUNTRIES, FEATURE_LABELS, HIGH_RISK_MCC,
 from tallywatch.functions.numbers import NUMBER_PATTERN
 
 
-def literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
-
-
 def lookup(entries: dict[str, str], key: Column) -> Column:
     """The name behind a code, null when the code is unknown.
 
     The dictionaries are fixed and tiny, so they travel as a literal in the plan and the
     lookup costs no join.
     """
-    return F.try_element_at(literal_map(entries), key)
+    quoted = ", ".join(f"'{code}', '{name}'" for code, name in entries.items())
+    return F.try_element_at(F.expr(f"map({quoted})"), key)
 
 
 def normalise_mcc(value: Column) -> Column:

@@ -36,8 +36,8 @@ def tree_samples(
 ) -> tuple[DataFrame, int]:
     """Rows tagged with the tree they serve, and the sample size of a tree.
 
-    Membership is a hash of row and tree: a row is expanded only to the trees that take it. A
-    slightly larger share than needed is taken, of which a tree keeps its lowest hashes.
+    Membership is a hash of row and tree: a row is expanded only to the trees that take it. Six
+    deviations more than needed are drawn on average, of which a tree keeps its lowest hashes.
     """
     fit = features.select("txn_id", *C.FEATURE_COLUMNS)
     if total_rows > fit_rows:
@@ -46,7 +46,7 @@ def tree_samples(
     every = F.sequence(F.lit(0), F.lit(trees - 1))
     if total_rows <= rows_per_tree:
         return fit.withColumn("tree_id", F.explode(every)), total_rows
-    share = min(1.0, rows_per_tree / total_rows * 1.05 + 1e-4)
+    share = min(1.0, (rows_per_tree + 6 * math.sqrt(rows_per_tree)) / total_rows)
 
     def draw(tree: Column) -> Column:
         return uniform(F.col("txn_id"), tree, F.lit(seed + 1))

@@ -140,15 +140,17 @@ def structuring_rule(amount: Column) -> Outcome:
     )
 
 
-def mcc_rule(mcc: Column) -> Outcome:
+def mcc_rule(mcc: Column) -> tuple[Outcome, Column]:
+    """The outcome and whether the code is high-risk."""
     code = X.normalise_mcc(mcc)
     hit = X.is_high_risk_mcc(code)
     flag = F.concat(F.lit("High-Risk MCC "), code, F.lit(" ("), X.mcc_name(code), F.lit(")"))
-    return Outcome(
+    outcome = Outcome(
         F.when(hit, C.MCC_POINTS).otherwise(0),
         F.when(hit, flag),
         F.when(hit, f"High-Risk MCC +{C.MCC_POINTS}"),
     )
+    return outcome, hit
 
 
 def geography(sender: Column, receiver: Column) -> tuple[Column, Column]:
@@ -157,7 +159,8 @@ def geography(sender: Column, receiver: Column) -> tuple[Column, Column]:
     return here != there, X.is_fatf(here) | X.is_fatf(there)
 
 
-def geography_rule(sender: Column, receiver: Column) -> Outcome:
+def geography_rule(sender: Column, receiver: Column) -> tuple[Outcome, Column, Column]:
+    """The outcome, whether a border is crossed, and whether a FATF country takes part."""
     cross, fatf = geography(sender, receiver)
     total = (
         F.when(cross, C.CROSS_BORDER_POINTS).otherwise(0)
@@ -170,7 +173,7 @@ def geography_rule(sender: Column, receiver: Column) -> Outcome:
         cross, "Cross-Border Transaction"
     )
     part = F.when(fatf, text_with_points("FATF", points)).when(cross, text_with_points("Cross-Border", points))
-    return Outcome(points, flag, part)
+    return Outcome(points, flag, part), cross, fatf
 
 
 def is_multiple(amount: Column, of: int, at_least: int) -> Column:
@@ -255,14 +258,13 @@ def score_rules(
             features["feature_structuring"] = is_structuring(amount).cast("int")
             outcomes.append(structuring_rule(amount))
     if has(df, "mcc"):
-        mcc = F.col("mcc")
-        features["feature_high_risk_mcc"] = X.is_high_risk_mcc(X.normalise_mcc(mcc)).cast("int")
-        outcomes.append(mcc_rule(mcc))
+        outcome, risky = mcc_rule(F.col("mcc"))
+        features["feature_high_risk_mcc"] = risky.cast("int")
+        outcomes.append(outcome)
     if has(df, "sender_country", "receiver_country"):
-        sides = F.col("sender_country"), F.col("receiver_country")
-        cross, fatf = geography(*sides)
+        outcome, cross, fatf = geography_rule(F.col("sender_country"), F.col("receiver_country"))
         features["feature_cross_border"], features["feature_fatf"] = cross.cast("int"), fatf.cast("int")
-        outcomes.append(geography_rule(*sides))
+        outcomes.append(outcome)
     if with_amount:
         outcome, features["feature_round_amount"] = round_rule(amount)
         outcomes.append(outcome)

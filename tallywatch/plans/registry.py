@@ -114,12 +114,12 @@ def rule_structuring(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rule_mcc(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.mcc_rule(F.col("mcc")))
+    return _outcome(transactions(spark, folder), R.mcc_rule(F.col("mcc"))[0])
 
 
 @query
 def rule_geo(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.geography_rule(F.col("sender_country"), F.col("receiver_country")))
+    return _outcome(transactions(spark, folder), R.geography_rule(F.col("sender_country"), F.col("receiver_country"))[0])
 
 
 @query

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywatch.operators.ranking import is_small
 from tallywatch.schema import canonicalise
+from tallywatch.session import ensure_checkpoint_dir
 
 # The labelled payments CSV, by position; the second "Account" is the receiver's.
 LABELLED_SCHEMA = T.StructType(
@@ -58,24 +62,31 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """Adds ``txn_id``: the 0-based position in file order, dense over all files.
+    """Stores rows of text files as Parquet and adds ``txn_id``: the dense, 0-based file position.
 
-    A split of a file is read by one task from start to end, so positions within a split follow
-    from the running id; one small table with the rows of each split gives the offsets.
+    A split of a file is read by one task from start to end, so the position within a split follows
+    from the running id. The text is parsed once; storing fixes the splits and ids, and every later
+    pass reads pruned columns. Offsets come from one row per split, broadcast only if that is few.
     """
-    split = ["_file", "_start"]
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"),
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    tagged = df.select(*(F.col(f"`{c}`") for c in df.columns), place.alias("_place"))
+    tagged.select(
+        "*", F.xxhash64("_place").alias("_split"), F.monotonically_increasing_id().alias("_mid")
+    ).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+
+    splits = stored.groupBy("_split").agg(
+        F.min("_place").alias("_place"), F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    splits = tagged.groupBy(*split).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    placed = tagged.join(F.broadcast(offsets), split)
-    row_id = F.col("_offset") + F.col("_mid") - F.col("_first")
-    return placed.select(row_id.alias("txn_id"), *(F.col(f"`{c}`") for c in df.columns))
+    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = splits.select("_split", (rows_before - F.col("_first")).alias("_shift"))
+    if is_small(splits):
+        offsets = F.broadcast(offsets)
+    placed = stored.join(offsets, "_split")
+    return placed.select((F.col("_mid") + F.col("_shift")).alias("txn_id"), *(F.col(f"`{c}`") for c in df.columns))
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_round_amounts(spark):
 )
 def test_geography(spark, sender, receiver, worth, flag):
     df = spark.createDataFrame([(sender, receiver)], "s string, r string")
-    outcome = R.geography_rule(F.col("s"), F.col("r"))
+    outcome, _, _ = R.geography_rule(F.col("s"), F.col("r"))
     assert tuple(df.select(outcome.points, outcome.flag).first()) == (worth, flag)
 
 
