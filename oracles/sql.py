@@ -95,7 +95,7 @@ FROM ruled),
 SELECT s.*, CASE WHEN score >= {high} THEN 'HIGH' WHEN score >= {medium} THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
   CASE WHEN flags = '' THEN 'No flags' ELSE flags END AS flags_text,
   CASE WHEN parts = '' THEN 'No risk points scored' ELSE parts END AS breakdown_text,
-  round(z, 2) AS feature_zscore
+  CASE WHEN round(z, 2) = 0 THEN 0.0 ELSE round(z, 2) END AS feature_zscore
 FROM {name}_sum s)"""
 
 
@@ -497,3 +497,42 @@ ORACLE["stream_velocity"] = txn(
   CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY txn_id) = 1 AS int) AS is_new_payee
 FROM txn"""
 )
+
+_FACTS = ORACLE["sar_facts"].removeprefix(f"WITH {V3}")
+
+
+def _line(title: str, value: str) -> str:
+    return f"concat('{title:<22}: ', {value})"
+
+
+ORACLE["sar_texts"] = f"""WITH {V3},
+facts AS ({_FACTS}),
+now AS (SELECT max(ts) AS at FROM txn)
+SELECT txn_id, reference, concat_ws(chr(10),
+  'SUSPICIOUS ACTIVITY REPORT (SAR) - DRAFT, NOT FOR FILING WITHOUT MLRO APPROVAL', '', 'REPORT METADATA',
+  {_line('Report generated', "strftime(now.at, '%Y-%m-%d %H:%M:%S')")},
+  {_line('SAR reference', "concat('SAR-', strftime(now.at, '%Y%m%d'), '-', substr(reference, 1, 10))")},
+  {_line('Status', "'DRAFT - PENDING MLRO REVIEW'")}, {_line('Institution', "'[to be filled in]'")},
+  {_line('MLRO', "'[to be filled in]'")}, {_line('Jurisdiction', "'[to be filled in]'")}, '',
+  'SUBJECT TRANSACTION', {_line('Reference', 'reference')}, {_line('Date', 'date')}, {_line('Amount', 'amount')},
+  {_line('Merchant', 'merchant')}, {_line('Merchant category', 'mcc')}, {_line('Card (masked)', 'card')},
+  {_line('Sender country', 'sender_country')}, {_line('Receiver country', 'receiver_country')},
+  {_line('Receiver name', 'receiver_name')}, '',
+  'RISK ASSESSMENT', {_line('Risk score', "concat(score, '/100')")}, {_line('Risk level', 'risk_level')},
+  {_line('Z-score', "concat(printf('%.2f ', zscore), CASE WHEN is_outlier THEN '[ANOMALOUS - |Z|>2]' ELSE '[Within normal range]' END)")},
+  {_line('Portfolio context', "concat('batch average ', printf('%.1f', batch_avg_score), '/100 across ', format('{:,}', batch_total), ' transactions')")},
+  'Flags triggered:', concat('  -> ', replace(flags_text, ' | ', concat(chr(10), '  -> '))),
+  'Score breakdown:', concat('  * ', replace(breakdown_text, ', ', concat(chr(10), '  * '))), '',
+  'NARRATIVE', concat('On ', date, ' a transaction of ', amount, ' (reference ', reference, ') was scored HIGH RISK at ', score, '/100.'),
+  concat('It originated from ', sender_country, ' and was directed to ', receiver_country, '.'),
+  CASE WHEN receiver_is_fatf THEN 'The receiving side lies in a FATF high-risk jurisdiction, which raises the laundering risk.'
+    ELSE 'As a cross-border payment it falls under enhanced due diligence.' END,
+  CASE WHEN is_outlier THEN concat('The amount is a statistical anomaly (Z-Score: ', printf('%.2f', zscore), ') against the rest of the portfolio.') END,
+  CASE WHEN mcc_is_high_risk THEN concat('Merchant category ', mcc, ' (', mcc_name, ') counts as high-risk.')
+    ELSE concat('Merchant category ', mcc, ' was reviewed in the overall assessment.') END,
+  'Enhanced due diligence and a decision on formal filing are recommended.', '', 'REQUIRED ACTIONS',
+  '  [ ] MLRO validates all indicators above', '  [ ] Customer identity and source of funds verified',
+  '  [ ] Sanctions and PEP screening checked', '  [ ] Filing decision taken, and filed within the deadline if required',
+  '  [ ] Decision and rationale documented in the case system', '',
+  'This draft was generated automatically and must be reviewed by an authorised MLRO before filing.') AS report
+FROM facts CROSS JOIN now"""

@@ -14,9 +14,9 @@ from tallywatch import constants as C
 from tallywatch.operators import attribution, boosting, forest, hybrid, quality
 from tallywatch.operators.features import BROADCAST_CODES, PaymentCodes, build_features, fit_payment_codes
 from tallywatch.operators.ranking import is_small
-from tallywatch.operators.rules import amount_stats, score_rules, with_texts
+from tallywatch.operators.rules import AmountStats, amount_stats, score_rules, with_texts
 from tallywatch.operators.skew import HOT_FLOOR
-from tallywatch.schema import has
+from tallywatch.schema import CANONICAL, canonicalise, has
 from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import tables
 
@@ -164,3 +164,16 @@ def blend(rated: DataFrame, low: float | None, high: float | None, penalise: boo
         "score", hybrid.merged_score(F.col("score"), F.col("model_score"))
     )
     return hybrid.apply_penalty(merged, C.V3) if penalise else with_texts(merged, C.V3)
+
+
+def alert_attributions(alerts: DataFrame, models: Models, n: int = 5) -> DataFrame:
+    """(alert_id, attributions) computed anew from the stored fields of alerts.
+
+    An alert is explained as a lone record: no spread, velocities of 1, a new payee.
+    """
+    names = [f for f in CANONICAL.fieldNames() if f != "txn_id"]
+    fields = F.from_json("all_fields", ", ".join(f"{name} string" for name in names))
+    parsed = alerts.select("alert_id", "txn_id", fields.alias("f")).select("alert_id", "txn_id", "f.*")
+    rows = canonicalise(parsed, keep=("alert_id",))
+    features = build_features(rows, AmountStats(rows=1), models.codes, keep=("alert_id",), stateless=True)
+    return attribution.with_attributions(features, models.leaf_tables, n).select("alert_id", "attributions")

@@ -14,7 +14,7 @@ from tallywatch.operators import alerts as A
 from tallywatch.operators import features as FT
 from tallywatch.operators import attribution, boosting, forest, graph, hybrid, listings, quality, reports, rollups
 from tallywatch.operators import rules as R
-from tallywatch.plans.models import Models, load_models, score_batch, train_models
+from tallywatch.plans.models import Models, alert_attributions, load_models, score_batch, train_models
 from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import tables
 from tallywatch.sources.star import read_table, stream_events, transactions
@@ -551,3 +551,20 @@ def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Rules, both models and the attribution penalty, from raw rows to final score."""
     scored = score_batch(transactions(spark, folder), C.V2, trained_models(spark, folder), penalise=True)
     return scored.select("txn_id", "score", "risk_level", "model_score", "flags_text", "breakdown_text")
+
+
+@query
+def alerts_explained(spark: SparkSession, folder: str) -> DataFrame:
+    """All alerts with attributions recomputed from their stored fields."""
+    models = trained_models(spark, folder)
+    explained = A.explain_alerts(_alerts(spark, folder), lambda missing: alert_attributions(missing, models))
+    listed = explained.select("alert_id", "score", F.posexplode("attributions").alias("place", "a"))
+    return listed.select("alert_id", "score", "place", "a.feature", "a.label", "a.impact")
+
+
+@query
+def sar_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The report drafts, generated as of the last transaction."""
+    scored = scored_v3(spark, folder)
+    latest = scored.agg(F.max("ts")).first()[0]
+    return reports.report_texts(reports.report_facts(scored), latest)

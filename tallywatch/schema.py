@@ -94,16 +94,18 @@ def resolve_aliases(columns: list[str], profile: str = "v3") -> dict[str, str]:
     return chosen
 
 
-def canonicalise(df: DataFrame, profile: str = "v3") -> DataFrame:
+def canonicalise(df: DataFrame, profile: str = "v3", keep: tuple[str, ...] = ()) -> DataFrame:
     """Bring any compatible table to canonical names and types in one projection.
 
     Columns the source does not have stay absent, so that rules and features depending on
-    them are left out of the plan. The row id must be given by the source as ``txn_id``.
+    them are left out of the plan. The row id must be given by the source as ``txn_id``. Columns in
+    ``keep`` pass through as they are.
     """
     chosen = resolve_aliases(df.columns, profile)
     if "txn_id" not in chosen:
         raise ValueError("the source needs a unique txn_id column, see sources.files.with_row_ids")
-    return df.select(*(_typed(df, chosen[f.name], f).alias(f.name) for f in CANONICAL.fields if f.name in chosen))
+    typed = (_typed(df, chosen[f.name], f).alias(f.name) for f in CANONICAL.fields if f.name in chosen)
+    return df.select(*keep, *typed)
 
 
 def _typed(df: DataFrame, source: str, field: T.StructField) -> Column:

@@ -26,7 +26,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else value + 0.0
+        return "nan" if math.isnan(value) else repr(value)  # tells 0.0 from -0.0
     return value
 
 

@@ -9,9 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
-from tallywatch.operators import attribution, boosting, forest, quality
+from tallywatch.operators import alerts, attribution, boosting, forest, quality
 from tallywatch.operators.features import assemble, build_features
-from tallywatch.plans.models import load_models, score_batch, train_models
+from tallywatch.operators.rules import score_rules
+from tallywatch.plans.models import alert_attributions, load_models, score_batch, train_models
 from tallywatch.sources import tables
 
 
@@ -138,3 +139,11 @@ def test_without_models(txn):
 def test_weak_supervision(spark, txn, tmp_path):
     entry = train_models(txn.drop("label"), str(tmp_path), rounds=2, trees=5)
     assert entry["precision"] is None and load_models(spark, str(tmp_path)) is not None
+
+
+def test_alert_attributions(spark, txn, store):
+    models = load_models(spark, store[0])
+    made = alerts.generate_alerts(score_rules(txn), "b", F.col("ts"))
+    explained = alerts.explain_alerts(made, lambda missing: alert_attributions(missing, models))
+    assert explained.count() == made.count()
+    assert explained.filter("size(attributions) = 0 OR size(attributions) > 5").count() == 0

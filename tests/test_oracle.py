@@ -21,7 +21,9 @@ def test_matches_sql(spark, folder, con, name):
 def test_registry_is_complete():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without_sql = set(entry.queries()) - set(entry.oracle_sql())
-    assert without_sql == {"split_ratio", "forest_scores", "gbt_scores", "gbt_attributions", "hybrid_scores"}
+    assert without_sql == {
+        "split_ratio", "forest_scores", "gbt_scores", "gbt_attributions", "hybrid_scores", "alerts_explained",
+    }
 
 
 def test_entry_has_one_row(spark):
