@@ -14,7 +14,7 @@ sys.path.insert(0, ROOT)
 from tallywatch.plans.models import train_models  # noqa: E402
 from tallywatch.plans.registry import QUERIES  # noqa: E402
 from tallywatch.session import build_session  # noqa: E402
-from tallywatch.sources.star import transactions  # noqa: E402
+from tallywatch.sources.star import transactions_table  # noqa: E402
 
 HEADLINE = [
     "rules_v3",
@@ -71,7 +71,7 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - start, 3)
     if not sys.argv[1:]:
         start = time.perf_counter()
-        train_models(transactions(spark, folder), tempfile.mkdtemp(prefix="bench-models-"))
+        train_models(transactions_table(spark, folder), tempfile.mkdtemp(prefix="bench-models-"))
         timings["train_models"] = round(time.perf_counter() - start, 3)
     line = {
         "metric": "total_query_time",
@@ -79,7 +79,7 @@ def main() -> None:
         "unit": "sec",
         "queries": timings,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
-        "rows": transactions(spark, folder).count(),
+        "rows": transactions_table(spark, folder).count(),
     }
     print(json.dumps(line))
     spark.stop()

@@ -536,3 +536,18 @@ SELECT txn_id, reference, concat_ws(chr(10),
   '  [ ] Decision and rationale documented in the case system', '',
   'This draft was generated automatically and must be reviewed by an authorised MLRO before filing.') AS report
 FROM facts CROSS JOIN now"""
+
+ORACLE["scored_table"] = ORACLE["rules_v3"]
+ORACLE["source_labelled_csv"] = txn(
+    """SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, amount, sender_account, receiver_account, sender_country,
+  receiver_country, payment_format, label FROM txn"""
+)
+ORACLE["source_sheet_csv"] = txn(
+    """SELECT CAST(txn_id AS varchar) AS reference, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text,
+  CASE WHEN payment_format <> 'signup' THEN amount END AS amount, concat(mcc, '.0') AS mcc,
+  CASE WHEN payment_format IN ('error', 'click', 'view') THEN '' ELSE merchant_name END AS merchant_name FROM txn"""
+)
+ORACLE["source_json"] = txn(
+    """SELECT CAST(txn_id AS varchar) AS reference, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, amount, mcc,
+  sender_account, sender_country, receiver_country, '' AS receiver_account FROM txn"""
+)

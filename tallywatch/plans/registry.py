@@ -15,9 +15,10 @@ from tallywatch.operators import features as FT
 from tallywatch.operators import attribution, boosting, forest, graph, hybrid, listings, quality, reports, rollups
 from tallywatch.operators import rules as R
 from tallywatch.plans.models import Models, alert_attributions, load_models, score_batch, train_models
+from tallywatch.schema import canonicalise
 from tallywatch.session import ensure_checkpoint_dir
-from tallywatch.sources import tables
-from tallywatch.sources.star import read_table, stream_events, transactions
+from tallywatch.sources import files, tables
+from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
 from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
 from tallywatch.streaming.velocity import RunningVelocity
 
@@ -32,7 +33,7 @@ def query(function: Query) -> Query:
 
 
 def scored_v3(spark: SparkSession, folder: str) -> DataFrame:
-    return R.score_rules(transactions(spark, folder), C.V3)
+    return R.score_rules(transactions_table(spark, folder), C.V3)
 
 
 def over_scored(name: str, operator: Callable[[DataFrame], DataFrame]) -> None:
@@ -49,7 +50,7 @@ def seconds_text(column: str) -> Column:
 
 @query
 def txn_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text")
     return txn.select("txn_id", stamp, *(c for c in txn.columns if c not in ("txn_id", "ts")))
 
@@ -57,7 +58,7 @@ def txn_canonical(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def mcc_normalise(spark: SparkSession, folder: str) -> DataFrame:
     mcc = F.col("mcc")
-    return transactions(spark, folder).select(
+    return transactions_table(spark, folder).select(
         "txn_id",
         X.normalise_mcc(F.concat(F.lit(" "), mcc)).alias("plain"),
         X.normalise_mcc(F.concat(mcc, F.lit(".9"))).alias("with_fraction"),
@@ -70,7 +71,7 @@ def mcc_normalise(spark: SparkSession, folder: str) -> DataFrame:
 def country_flags(spark: SparkSession, folder: str) -> DataFrame:
     sender = X.normalise_country(F.concat(F.lit(" "), F.lower("sender_country")))
     receiver = X.normalise_country(F.concat("receiver_country", F.lit("  ")))
-    return transactions(spark, folder).select(
+    return transactions_table(spark, folder).select(
         "txn_id",
         sender.alias("sender"),
         receiver.alias("receiver"),
@@ -104,33 +105,33 @@ def _outcome(df: DataFrame, outcome: R.Outcome, *more: Column | str) -> DataFram
 
 @query
 def rule_amount(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.amount_rule(F.col("amount")))
+    return _outcome(transactions_table(spark, folder), R.amount_rule(F.col("amount")))
 
 
 @query
 def rule_structuring(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.structuring_rule(F.col("amount")))
+    return _outcome(transactions_table(spark, folder), R.structuring_rule(F.col("amount")))
 
 
 @query
 def rule_mcc(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.mcc_rule(F.col("mcc"))[0])
+    return _outcome(transactions_table(spark, folder), R.mcc_rule(F.col("mcc"))[0])
 
 
 @query
 def rule_geo(spark: SparkSession, folder: str) -> DataFrame:
-    return _outcome(transactions(spark, folder), R.geography_rule(F.col("sender_country"), F.col("receiver_country"))[0])
+    return _outcome(transactions_table(spark, folder), R.geography_rule(F.col("sender_country"), F.col("receiver_country"))[0])
 
 
 @query
 def rule_round(spark: SparkSession, folder: str) -> DataFrame:
     outcome, value = R.round_rule(F.col("amount"))
-    return _outcome(transactions(spark, folder), outcome, value.alias("value"))
+    return _outcome(transactions_table(spark, folder), outcome, value.alias("value"))
 
 
 @query
 def rule_receiver_freq(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     narrow = txn.select("txn_id", "receiver_first_name", "receiver_last_name")
     counted = R.with_receiver_frequency(narrow, R.snapshots_of(narrow))
     return _outcome(counted, R.receiver_rule(F.col("receiver_n")), F.col("receiver_n").alias("n"))
@@ -138,14 +139,14 @@ def rule_receiver_freq(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rule_card_freq(spark: SparkSession, folder: str) -> DataFrame:
-    narrow = transactions(spark, folder).select("txn_id", "card_number")
+    narrow = transactions_table(spark, folder).select("txn_id", "card_number")
     counted = R.with_card_frequency(narrow, R.snapshots_of(narrow))
     return _outcome(counted, R.card_rule(F.col("card_n")), F.col("card_n").alias("n"))
 
 
 @query
 def rule_zscore(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     z = R.zscore(F.col("amount"), R.amount_stats(txn))
     return _outcome(txn, R.zscore_rule(z), F.round(z, 6).alias("z"))
 
@@ -167,13 +168,13 @@ def rules_v3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rules_v2(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(R.score_rules(transactions(spark, folder), C.V2))
+    return _flat(R.score_rules(transactions_table(spark, folder), C.V2))
 
 
 @query
 def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
     amount = F.coalesce("amount", F.lit(0.0))
-    return transactions(spark, folder).agg(
+    return transactions_table(spark, folder).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(amount), 6).alias("mean"),
         F.round(F.stddev_samp(amount), 4).alias("std"),
@@ -189,7 +190,7 @@ def _columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 @query
 def feat_amount(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     features = FT.amount_features(txn, R.amount_stats(txn))
     features["amount_zscore"] = F.round(features["amount_zscore"], 6)
     return _columns(txn, features)
@@ -197,18 +198,18 @@ def feat_amount(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def feat_time(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     return _columns(txn, FT.time_features(txn))
 
 
 @query
 def feat_geo(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     return _columns(txn, FT.geo_features(txn))
 
 
 def _with_velocity(spark: SparkSession, folder: str) -> DataFrame:
-    narrow = transactions(spark, folder).select("txn_id", "ts", "sender_account", "receiver_account")
+    narrow = transactions_table(spark, folder).select("txn_id", "ts", "sender_account", "receiver_account")
     return FT.with_velocity(narrow, "sender_account", "receiver_account", narrow.count())
 
 
@@ -224,14 +225,14 @@ def feat_velocity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def feat_payment_code(spark: SparkSession, folder: str) -> DataFrame:
-    narrow = transactions(spark, folder).select("txn_id", "payment_format")
+    narrow = transactions_table(spark, folder).select("txn_id", "payment_format")
     coded = FT.with_payment_code(narrow, FT.fit_payment_codes(narrow), narrow.count())
     return coded.select("txn_id", "payment_format_encoded")
 
 
 @query
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return FT.build_features(transactions(spark, folder)).withColumn("amount_zscore", F.round("amount_zscore", 6))
+    return FT.build_features(transactions_table(spark, folder)).withColumn("amount_zscore", F.round("amount_zscore", 6))
 
 
 # --- roll-ups, listings, graph ------------------------------------------------------------------
@@ -360,20 +361,33 @@ def alerts_count(spark: SparkSession, folder: str) -> DataFrame:
     return A.count_alerts(_state(spark, folder), status="escalated")
 
 
+def _stored(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """A run folder, and the scored table as stored in it."""
+    run = _run_folder(spark)
+    tables.save_scored(scored_v3(spark, folder), f"{run}/scored", BATCH)
+    return run, tables.load_scored(spark, f"{run}/scored", BATCH)
+
+
+@query
+def scored_table(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(_stored(spark, folder)[1])
+
+
 @query
 def export_views(spark: SparkSession, folder: str) -> DataFrame:
+    run, scored = _stored(spark, folder)
     counted = [
-        view.agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum")).select(
-            F.lit(name).alias("name"), "n", "score_sum"
-        )
-        for name, view in tables.export_views(scored_v3(spark, folder)).items()
+        spark.read.parquet(path)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
+        .select(F.lit(name).alias("name"), "n", "score_sum")
+        for name, path in tables.write_export(scored, f"{run}/export").items()
     ]
     return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
 
 
 @query
 def lookup_txn(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     wanted = txn.agg(F.max("txn_id")).first()[0]
     found = tables.lookup_transaction(R.score_rules(txn, C.V3), wanted)
     return found.select("txn_id", "score", "risk_level", "flags_text")
@@ -432,7 +446,7 @@ def rule_model_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def attribution_topn(spark: SparkSession, folder: str) -> DataFrame:
     top = hybrid.top_attributions(_impacts())
-    listed = transactions(spark, folder).select("txn_id", F.posexplode(top).alias("place", "a"))
+    listed = transactions_table(spark, folder).select("txn_id", F.posexplode(top).alias("place", "a"))
     return listed.select("txn_id", "place", "a.feature", "a.label", "a.impact")
 
 
@@ -472,7 +486,7 @@ def _run_folder(spark: SparkSession) -> str:
 def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """All events scored as a stream against the snapshots of the table."""
     run = _run_folder(spark)
-    save_snapshots(R.snapshots_of(transactions(spark, folder)), f"{run}/snapshots")
+    save_snapshots(R.snapshots_of(transactions_table(spark, folder)), f"{run}/snapshots")
     incoming = transactions(spark, folder, stream_events(spark, folder))
     scored = score_stream(incoming, load_snapshots(spark, f"{run}/snapshots"))
     write_stream(_flat(scored), f"{run}/scored", f"{run}/checkpoint").awaitTermination()
@@ -506,7 +520,7 @@ def trained_models(spark: SparkSession, folder: str) -> Models:
     key = f"{spark.sparkContext.applicationId}:{folder}"
     if key not in _TRAINED:
         store = f"{_run_folder(spark)}/models"
-        train_models(transactions(spark, folder), store)
+        train_models(transactions_table(spark, folder), store)
         _TRAINED[key] = load_models(spark, store)
     return _TRAINED[key]
 
@@ -514,7 +528,7 @@ def trained_models(spark: SparkSession, folder: str) -> Models:
 @query
 def split_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the hold-out per label."""
-    rows = quality.stratified_split(transactions(spark, folder).select("txn_id", "label"))
+    rows = quality.stratified_split(transactions_table(spark, folder).select("txn_id", "label"))
     held = F.avg(F.col("is_test").cast("double"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(held, 4).alias("test_share"))
 
@@ -522,7 +536,7 @@ def split_ratio(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A forest grown from the table, and the raw score of every row by it."""
-    txn = transactions(spark, folder)
+    txn = transactions_table(spark, folder)
     stats = R.amount_stats(txn)
     path = f"{_run_folder(spark)}/features"
     FT.build_features(txn, stats).write.parquet(path)
@@ -533,14 +547,14 @@ def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
-    features = FT.build_features(transactions(spark, folder))
+    features = FT.build_features(transactions_table(spark, folder))
     rated = boosting.with_probability(features, trained_models(spark, folder).classifier)
     return rated.select("txn_id", "probability", "prediction")
 
 
 @query
 def gbt_attributions(spark: SparkSession, folder: str) -> DataFrame:
-    features = FT.build_features(transactions(spark, folder))
+    features = FT.build_features(transactions_table(spark, folder))
     explained = attribution.with_attributions(features, trained_models(spark, folder).leaf_tables)
     listed = explained.select("txn_id", F.posexplode("attributions").alias("place", "a"))
     return listed.select("txn_id", "place", "a.feature", "a.label", "a.impact")
@@ -549,7 +563,7 @@ def gbt_attributions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Rules, both models and the attribution penalty, from raw rows to final score."""
-    scored = score_batch(transactions(spark, folder), C.V2, trained_models(spark, folder), penalise=True)
+    scored = score_batch(transactions_table(spark, folder), C.V2, trained_models(spark, folder), penalise=True)
     return scored.select("txn_id", "score", "risk_level", "model_score", "flags_text", "breakdown_text")
 
 
@@ -568,3 +582,72 @@ def sar_texts(spark: SparkSession, folder: str) -> DataFrame:
     scored = scored_v3(spark, folder)
     latest = scored.agg(F.max("ts")).first()[0]
     return reports.report_texts(reports.report_facts(scored), latest)
+
+
+# --- sources: the table written in each accepted layout and read back ---------------------------
+
+
+@query
+def source_labelled_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{_run_folder(spark)}/labelled"
+    columns = {
+        "Timestamp": F.date_format("ts", "yyyy/MM/dd HH:mm"),
+        "From Bank": F.col("sender_country"),
+        "Account": F.col("sender_account"),
+        "To Bank": F.col("receiver_country"),
+        "Account.1": F.col("receiver_account"),
+        "Amount Received": F.lit(0.0),
+        "Receiving Currency": F.lit("US Dollar"),
+        "Amount Paid": F.col("amount"),
+        "Payment Currency": F.lit("US Dollar"),
+        "Payment Format": F.col("payment_format"),
+        "Is Laundering": F.col("label"),
+    }
+    written = transactions_table(spark, folder).select(*(column.alias(name) for name, column in columns.items()))
+    written.write.option("header", True).csv(path)
+    rows = canonicalise(files.read_labelled_csv(spark, path), "features")
+    return rows.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"),
+        *("amount", "sender_account", "receiver_account", "sender_country", "receiver_country"),
+        *("payment_format", "label"),
+    )
+
+
+@query
+def source_sheet_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet with padded headers and text, and with blanks spelled in three ways."""
+    path = f"{_run_folder(spark)}/sheet"
+    form = F.col("payment_format")
+    merchant = F.when(form == "error", "nan").when(form == "click", "None").when(form != "view", F.col("merchant_name"))
+    columns = {
+        " transaction_reference_number ": F.col("txn_id").cast("string"),
+        "Transaction Date": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "Transaction Amount ": F.when(form == "signup", "n/a").otherwise(F.col("amount").cast("string")),
+        "MCC": F.concat("mcc", F.lit(".0")),
+        "Merchant Name": merchant,
+    }
+    written = transactions_table(spark, folder).select(*(column.alias(name) for name, column in columns.items()))
+    written.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    rows = canonicalise(files.read_sheet_csv(spark, path), "v2")
+    return rows.select(
+        "reference", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"), "amount", "mcc", "merchant_name"
+    )
+
+
+@query
+def source_json(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{_run_folder(spark)}/json"
+    transactions_table(spark, folder).select(
+        "amount",
+        "mcc",
+        "sender_account",
+        F.lower("sender_country").alias("sender_country"),
+        "receiver_country",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("transaction_date"),
+        F.col("txn_id").cast("string").alias("transaction_reference"),
+    ).write.json(path)
+    return files.read_json(spark, path).select(
+        "reference",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+        *("amount", "mcc", "sender_account", "sender_country", "receiver_country", "receiver_account"),
+    )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywatch.operators.skew import HOT_FLOOR
+from tallywatch.session import ensure_checkpoint_dir
+
 # Country per nation key and merchant code per last digit (FIXTURES.md, section 2).
 NATION_ISO = (
     "USA GBR DEU FRA IRN JPN CAN NGA BRA IND CHE RUS SGP AUS ESP ITA PAK NLD SWE MEX ZAF CUB ARE POL KOR".split()
@@ -73,3 +78,22 @@ def transactions(spark: SparkSession, folder: str, events: DataFrame | None = No
         F.col("event_type").alias("payment_format"),
         F.when(large | (F.col("event_id") % 97 == 0), 1).otherwise(0).alias("label"),
     )
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def transactions_table(spark: SparkSession, folder: str, floor: int = HOT_FLOOR) -> DataFrame:
+    """``transactions``, stored once per session in the shared folder when there are many.
+
+    Scoring reads its input several times (statistics, key counts, rows). Small inputs are cheaper
+    to join again each time; large ones are joined once, and later passes scan pruned columns.
+    """
+    if read_table(spark, folder, "events").count() <= floor:
+        return transactions(spark, folder)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = f"{ensure_checkpoint_dir(spark)}/transactions-{uuid.uuid4().hex}"
+        transactions(spark, folder).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

@@ -1,11 +1,14 @@
 """Rules on boundary values, in both profiles."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.operators import rules as R
 from tallywatch.schema import canonicalise
+from tallywatch.sources.star import transactions_table
 
 AMOUNTS = [0.0, 2000.0, 2500.0, 5000.0, 5000.01, 8999.0, 9000.0, 9999.0, 9999.5, 10000.0, 10000.01, 50000.0, 50000.01]
 
@@ -144,3 +147,17 @@ def test_aliases(spark):
     assert canonicalise(df, "features").first()["amount"] is None
     with pytest.raises(ValueError):
         canonicalise(df.drop("txn_id"))
+
+
+def test_salt_stays_in_the_join_key(spark, txn):
+    """Rows of hot keys must be spread by the shuffle, so the salt has to be part of its key."""
+    plan = R.score_rules(txn, hot_floor=3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(receiver_first" in plan.replace("_k_", "")
+    for key in ("receiver_last", "card_key"):
+        assert re.search(rf"hashpartitioning\([^)]*{key}#\d+, _salt#\d+L", plan), key
+
+
+def test_stored_source_gives_the_same(spark, folder, txn):
+    stored = transactions_table(spark, folder, floor=10)
+    assert stored.inputFiles()[0] != txn.inputFiles()[0]
+    assert stored.exceptAll(txn).count() == 0 and stored.count() == txn.count()
