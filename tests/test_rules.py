@@ -164,5 +164,5 @@ def test_salt_stays_in_the_join_key(spark, txn):
 
 def test_stored_source_gives_the_same(spark, folder, txn):
     stored = transactions_table(spark, folder, floor=10)
-    assert stored.inputFiles()[0] != txn.inputFiles()[0]
+    assert "/transactions-" in stored.inputFiles()[0]
     assert stored.exceptAll(txn).count() == 0 and stored.count() == txn.count()
