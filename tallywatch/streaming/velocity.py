@@ -90,10 +90,12 @@ class RunningVelocity:
 
     def _read(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
         """State of earlier micro-batches only, also when a micro-batch runs again."""
+        if batch_id == 0:
+            return spark.createDataFrame([], schema)
         try:
             stored = spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            stored = spark.createDataFrame([], schema)
+        except AnalysisException:  # all earlier micro-batches were empty
+            return spark.createDataFrame([], schema)
         return stored.filter(F.col("batch_id") < batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
