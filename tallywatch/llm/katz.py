@@ -20,7 +20,6 @@ rows; without training tokens every word has probability one; extra columns are
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import bounded, crc_remainder, documents, small_batches, stored
+from tallywatch.llm.exchange import SENT, bucketed, by_part, joined, mixed, packed, sent, split, unpacked
 from tallywatch.llm.pieces import flat, portions, word_codes, words_of
-from tallywatch.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 6_000_000
 PART_ENTRIES = 3_000_000
@@ -52,26 +51,6 @@ LEVELS = [f"n{r}" for r in range(GT_MOST + 2)]
 ANSWER = "chunk bigint, part int, kind int, answer binary, " + ", ".join(f"{n} bigint" for n in LEVELS) + ", seen double"
 
 
-# Packed arrays: byte planes compress well, whatever the width of the numbers.
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def unpacked(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(width, len(data) // width)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def _joined(*arrays: bytes) -> bytes:
-    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(arrays)
-
-
-def _split(data: bytes, n: int) -> list[bytes]:
-    cuts = 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data[: 4 * n], "<u4").astype(np.int64))])
-    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
 def good_turing(levels: list[int]) -> np.ndarray:
     """Discounts of the counts 0..GT_MOST (0: unused) from how many n-grams have the counts 1...
 
@@ -150,17 +129,6 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         yield emit()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by part (stable), and where each part starts in it."""
-    order = np.argsort(part, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-
-
 class Chunk:
     """The numbers of one chunk; every step derives the same order of entries from them."""
 
@@ -174,7 +142,7 @@ class Chunk:
         self.trained = ~self.held[self.owner]
 
     def word_order(self) -> tuple[np.ndarray, np.ndarray]:
-        return _by_part((_mixed(self.words) % np.uint64(self.parts)).astype(np.int64), self.parts)
+        return by_part(self.words, self.parts)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.trained], minlength=len(self.words))
@@ -188,21 +156,13 @@ class Chunk:
         first, second = keys // len(self.words), keys % len(self.words)
         spread = np.isin(self.words, heavy)
         spread[BEGIN] = True
-        salt = np.where(spread[first], _mixed(self.words[second]), np.uint64(0))
-        part = (_mixed(self.words[first] + salt) % np.uint64(self.parts)).astype(np.int64)
-        order, cuts = _by_part(part, self.parts)
+        salt = np.where(spread[first], mixed(self.words[second]), np.uint64(0))
+        order, cuts = by_part(self.words[first] + salt, self.parts)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return first[order], second[order], cuts, place[of_token], spread
 
 
-def _sent(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["part", "chunk", "payload"])
-
-
-SENT = "part int, chunk bigint, payload binary"
-
-
 def _send_words(chunk_id: int, chunk: Chunk) -> pd.DataFrame:
     order, cuts = chunk.word_order()
     counts = chunk.word_counts()
@@ -210,8 +170,8 @@ def _send_words(chunk_id: int, chunk: Chunk) -> pd.DataFrame:
     for p in range(chunk.parts):
         own = order[cuts[p] : cuts[p + 1]]
         if len(own):
-            rows.append((p, chunk_id, _joined(packed(chunk.words[own]), packed(counts[own].astype(np.int64)))))
-    return _sent(rows)
+            rows.append((p, chunk_id, joined(packed(chunk.words[own]), packed(counts[own].astype(np.int64)))))
+    return sent(rows)
 
 
 def _levels(counts: np.ndarray) -> list[int]:
@@ -230,13 +190,13 @@ def _signed(hash_value: np.uint64) -> int:
     return int(hash_value.astype(np.int64))
 
 
-def _serve_words(part: int, sent: pd.DataFrame, heavy_from: float) -> pd.DataFrame:
-    halves = [_split(p, 2) for p in sent["payload"]]
+def _serve_words(part: int, received: pd.DataFrame, heavy_from: float) -> pd.DataFrame:
+    halves = [split(p, 2) for p in received["payload"]]
     words = [unpacked(w, np.uint64) for w, _ in halves]
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     counts = np.bincount(at, weights=np.concatenate([unpacked(c, np.int64) for _, c in halves])).astype(np.int64)
     rows, low = [], 0
-    for chunk, own in zip(sent["chunk"].tolist(), words):
+    for chunk, own in zip(received["chunk"].tolist(), words):
         rows.append((chunk, part, 1, packed(counts[at[low : low + len(own)]]), *NOTHING, 0.0))
         low += len(own)
     for i in np.flatnonzero(counts > heavy_from):
@@ -267,21 +227,21 @@ def _send_bigrams(chunk_id: int, chunk: Chunk, answers: pd.DataFrame, heavy: np.
             continue
         histories, runs = np.unique(a, return_counts=True)
         met, at = np.unique(b, return_inverse=True)
-        payload = _joined(
+        payload = joined(
             packed(chunk.words[histories]), packed(runs.astype(np.uint32)), packed(spread[histories]),
             packed(chunk.words[met]), packed(corpus[met]), packed(at.astype(np.uint32)),
             packed(counts[cuts[p] : cuts[p + 1]].astype(np.uint32)),
         )
         rows.append((p, chunk_id, payload))
-    return _sent(rows)
+    return sent(rows)
 
 
-def _serve_bigrams(part: int, sent: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
+def _serve_bigrams(part: int, received: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
     """Adds up every bigram; answers with its count, and per history with how many continuations
     have each small count and the probability of all its continuations."""
     chunks = []
-    for payload in sent["payload"]:
-        h, runs, spread, met, corpus, at, own = _split(payload, 7)
+    for payload in received["payload"]:
+        h, runs, spread, met, corpus, at, own = split(payload, 7)
         h, runs, spread = unpacked(h, np.uint64), unpacked(runs, np.uint32), unpacked(spread, bool)
         met, corpus, at = unpacked(met, np.uint64), unpacked(corpus, np.int64), unpacked(at, np.uint32)
         chunks.append((h, runs, spread, met[at], corpus[at], unpacked(own, np.uint32)))
@@ -308,14 +268,14 @@ def _serve_bigrams(part: int, sent: pd.DataFrame, unigrams: Unigrams) -> pd.Data
 
     rows, low = [], 0
     spread_here: set[int] = set()
-    for chunk, (h, runs, spread, _, _, _) in zip(sent["chunk"].tolist(), chunks):
+    for chunk, (h, runs, spread, _, _, _) in zip(received["chunk"].tolist(), chunks):
         high = low + int(runs.sum())
         back = count_of[low:high]
         asked = np.zeros(len(h), bool)  # histories with a bigram never seen in training
         asked[np.repeat(np.arange(len(h)), runs)[back == 0]] = True
         asked &= ~spread
         at, every = np.searchsorted(histories, h[asked]), np.searchsorted(histories, h)
-        answer = _joined(
+        answer = joined(
             packed(back.astype(np.uint32)), np.packbits(no_small[every]).tobytes(), np.packbits(asked).tobytes(),
             packed(seen[at]), *(packed(small[r, at].astype(np.uint32)) for r in range(GT_MOST)),
         )
@@ -357,7 +317,7 @@ def _score(chunk: Chunk, answers: pd.DataFrame, model: Model) -> pd.DataFrame:
     n = len(chunk.words)
     counts, small, seen, no_small = [], np.zeros((GT_MOST, n), np.int64), np.zeros(n), np.zeros(n, bool)
     for part, answer in zip(got["part"].tolist(), got["answer"]):
-        own, flags, asked, chances, *numbers = _split(answer, 4 + GT_MOST)
+        own, flags, asked, chances, *numbers = split(answer, 4 + GT_MOST)
         counts.append(unpacked(own, np.uint32))
         histories = np.unique(first[cuts[part] : cuts[part + 1]])
         no_small[histories] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(histories)).astype(bool)
@@ -411,11 +371,7 @@ def token_chunks(docs: DataFrame, held: Column, most: int = CHUNK_BYTES) -> Data
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), "text")
     made = rows.mapInArrow(lambda batches: _chunk_rows(batches, most), CHUNK)
-    name = f"token_chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    made.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(made, "token_chunks")
 
 
 def score_documents(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTES, entries: int = PART_ENTRIES) -> DataFrame:
@@ -429,8 +385,8 @@ def score_documents(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTE
     def send_words(frame: pd.DataFrame) -> pd.DataFrame:
         return _send_words(*_chunk_of(frame, parts))
 
-    def serve_words(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
-        return _serve_words(int(key[0]), sent, heavy_from)
+    def serve_words(key: tuple, received: pd.DataFrame) -> pd.DataFrame:
+        return _serve_words(int(key[0]), received, heavy_from)
 
     asked = chunks.groupBy("chunk").applyInPandas(send_words, SENT)
     words = stored(asked.groupBy("part").applyInPandas(serve_words, ANSWER), "katz-words")
@@ -444,8 +400,8 @@ def score_documents(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTE
     def send_bigrams(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return _send_bigrams(*_chunk_of(frame, parts), answers, model.heavy)
 
-    def serve_bigrams(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
-        return _serve_bigrams(int(key[0]), sent, unigrams)
+    def serve_bigrams(key: tuple, received: pd.DataFrame) -> pd.DataFrame:
+        return _serve_bigrams(int(key[0]), received, unigrams)
 
     asked = chunks.groupBy("chunk").cogroup(lookup.groupBy("chunk")).applyInPandas(send_bigrams, SENT)
     bigrams = stored(asked.groupBy("part").applyInPandas(serve_bigrams, ANSWER), "katz-bigrams")
