@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.llm import fertility, hashtree, katz, linededup, mixing, packing, repeats, simhash, topk
+from tallywatch.llm import fertility, hashtree, katz, langid, linededup, mixing, packing, repeats, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_packing": packing.op7_packing,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
+    "op9_kneser_ney": langid.op9_kneser_ney,
     "op10_katz": katz.op10_katz,
 }
 
