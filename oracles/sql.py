@@ -251,7 +251,7 @@ FROM txn CROSS JOIN (SELECT avg(amount) AS mean, stddev_samp(amount) AS std FROM
   AS is_fatf_country FROM txn"""
     ),
     "feat_new_payee": txn(
-        """SELECT txn_id, CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY txn_id) = 1
+        """SELECT txn_id, CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY ts, txn_id) = 1
   AS int) AS is_new_payee FROM txn"""
     ),
     "feat_payment_code": txn(
@@ -298,11 +298,11 @@ FROM txn"""
     "alert_feed": scored(
         """SELECT position, id, title, severity FROM (
 SELECT 0 AS position, 'fatf' AS id,
-  concat(least(30, count(*) FILTER (receiver_fatf IS NOT NULL)), ' FATF high-risk jurisdiction transactions detected')
+  concat(count(*) FILTER (receiver_fatf IS NOT NULL), ' FATF high-risk jurisdiction transactions detected')
   AS title, 'danger' AS severity, count(*) FILTER (receiver_fatf IS NOT NULL) > 0 AS shown FROM scored
 UNION ALL SELECT 1, 'sar', concat(count(*) FILTER (risk_level = 'HIGH'), ' SAR candidate(s) pending MLRO review'),
   'warning', count(*) FILTER (risk_level = 'HIGH') > 0 FROM scored
-UNION ALL SELECT 2, 'anomaly', concat(least(20, count(*) FILTER (abs(feature_zscore) > 2)),
+UNION ALL SELECT 2, 'anomaly', concat(count(*) FILTER (abs(feature_zscore) > 2),
   ' statistical anomalies detected (|Z|>2)'), 'warning', count(*) FILTER (abs(feature_zscore) > 2) > 0 FROM scored
 UNION ALL SELECT 3, 'kyc', 'KYC Verification required for HIGH risk account holders', 'danger', true)
 WHERE shown"""
@@ -321,8 +321,8 @@ FROM scored GROUP BY CAST(ts AS date)"""
     "trend_sequence": scored(
         f"""SELECT concat('Batch ', block + 1) AS label, {avg1(ELEVATED)} AS score,
   count(*) FILTER (risk_level = 'HIGH') AS high_count, {avg2('avg(amount)')} AS avg_amount FROM (
-SELECT *, (row_number() OVER (ORDER BY txn_id) - 1) // greatest(1, count(*) OVER () // 8) AS block FROM scored)
-WHERE block < 8 GROUP BY block"""
+SELECT *, least(7, (row_number() OVER (ORDER BY txn_id) - 1) // greatest(1, count(*) OVER () // 8)) AS block FROM scored)
+GROUP BY block"""
     ),
     "merchant_rollup": scored(
         f"""SELECT mcc, coalesce(any_value(mcc_name), 'Standard Merchant') AS description, count(*) AS count,
@@ -347,28 +347,28 @@ FROM scored GROUP BY receiver_country ORDER BY count DESC, country LIMIT 15"""
     "top_transactions": scored(
         """SELECT txn_id, concat('Row-', txn_id) AS reference, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date_text,
   concat(receiver_first_name, ' ', receiver_last_name, ' (', merchant_name, ')') AS receiver, amount, score, risk_level,
-  flags_text, breakdown_text, feature_zscore FROM scored ORDER BY txn_id LIMIT 200"""
+  flags_text, breakdown_text, feature_zscore FROM scored"""
     ),
     "alert_cards_high": scored(
-        f"SELECT {_CARD} FROM scored WHERE risk_level = 'HIGH' ORDER BY txn_id LIMIT 40"
+        f"SELECT {_CARD} FROM scored WHERE risk_level = 'HIGH'"
     ),
     "alert_cards_medium": scored(
-        f"SELECT {_CARD} FROM scored WHERE risk_level = 'MEDIUM' ORDER BY txn_id LIMIT 40"
+        f"SELECT {_CARD} FROM scored WHERE risk_level = 'MEDIUM'"
     ),
     "anomalies": scored(
         """SELECT txn_id, concat('Row-', txn_id) AS reference, feature_zscore, score, substr(flags_text, 1, 80)
-  AS flags_short FROM scored WHERE abs(feature_zscore) > 2 ORDER BY abs(feature_zscore) DESC, txn_id LIMIT 20"""
+  AS flags_short, flags_text FROM scored WHERE abs(feature_zscore) > 2 ORDER BY abs(feature_zscore) DESC, txn_id LIMIT 20"""
     ),
     "fatf_listing": scored(
         """SELECT txn_id, receiver_country AS country, receiver_fatf AS country_name, format('${:,.2f}', amount) AS amount,
   score, risk_level, concat('Row-', txn_id) AS reference
-FROM scored WHERE receiver_fatf IS NOT NULL ORDER BY txn_id LIMIT 30"""
+FROM scored WHERE receiver_fatf IS NOT NULL"""
     ),
     "sar_candidates": scored(
         f"""SELECT txn_id, concat('Row-', txn_id) AS reference, score, feature_zscore,
   CAST(CASE WHEN flags_text = 'No flags' THEN 0 ELSE len(string_split(flags_text, '|')) END AS int) AS flag_count,
-  {_SHORT} AS flags_short, breakdown_text, row_number() OVER (ORDER BY txn_id) - 1 AS report_index
-FROM scored WHERE risk_level = 'HIGH'"""
+  {_SHORT} AS flags_short, flags_text, breakdown_text, amount, ts_text, row_number() OVER (ORDER BY txn_id) - 1 AS report_index
+FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM scored) WHERE risk_level = 'HIGH'"""
     ),
     "network_edges": scored(
         """SELECT sender_account AS src, receiver_account AS dst, max(score) AS score FROM scored GROUP BY 1, 2
@@ -389,8 +389,7 @@ FROM alerts""",
         _ALERTS,
     ),
     "alerts_listing": scored(
-        """SELECT alert_id, txn_id, score, status FROM state
-ORDER BY status <> 'open', score DESC, alert_id LIMIT 50""",
+        """SELECT alert_id, txn_id, score, status FROM state""",
         _ALERTS,
     ),
     "alerts_count": scored("SELECT count(*) AS total FROM state WHERE status = 'escalated'", _ALERTS),
@@ -400,10 +399,36 @@ ORDER BY status <> 'open', score DESC, alert_id LIMIT 50""",
         _ALERTS,
     ),
     "export_views": scored(
-        """SELECT 'all_transactions' AS name, count(*) AS n, CAST(sum(score) AS bigint) AS score_sum FROM scored
-UNION ALL SELECT 'high_risk', count(*), CAST(sum(score) AS bigint) FROM scored WHERE risk_level = 'HIGH'
-UNION ALL SELECT 'medium_risk', count(*), CAST(sum(score) AS bigint) FROM scored WHERE risk_level = 'MEDIUM'
-UNION ALL SELECT 'training_data', count(*), CAST(sum(score) AS bigint) FROM scored"""
+        """SELECT v.name, CASE WHEN v.name <> 'training_data' THEN txn_id END AS txn_id, score, risk_level,
+  amount AS feature_amount, CAST(is_fatf AS int) AS feature_fatf, receiver_n AS feature_recv_velocity, feature_zscore
+FROM scored JOIN (VALUES ('all_transactions', NULL), ('high_risk', 'HIGH'), ('medium_risk', 'MEDIUM'),
+  ('training_data', NULL)) v(name, level) ON v.level IS NULL OR v.level = risk_level"""
+    ),
+    "row_fields": scored(
+        """SELECT txn_id, CASE WHEN txn_id % 10 <> 0 THEN amount END AS amount, CAST(score AS int) AS score,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text, sender_account,
+  CASE WHEN flags_text <> 'No flags' THEN string_split(flags_text, ' | ')[1] END AS first_flag FROM scored"""
+    ),
+    "alerts_fields": scored(
+        """SELECT a.alert_id, s.amount, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS ts_text, s.receiver_country, s.risk_level,
+  0::int AS attributions FROM alerts a JOIN scored s USING (txn_id)""",
+        _ALERTS,
+    ),
+    "without_models": scored(
+        """SELECT txn_id, CAST(score AS int) AS score, risk_level, 0::int AS attributions
+FROM scored"""
+    ),
+    "model_store": scored(
+        """SELECT 'late' AS model_version, positives + negatives AS dataset_rows, round(tp / predicted, 9) AS precision,
+  round(tp / positives, 9) AS recall, round(2 * tp / (predicted + positives), 9) AS f1, false AS ready
+FROM (SELECT (count(*) FILTER (probability >= 0.5 AND label = 1))::double AS tp,
+  count(*) FILTER (probability >= 0.5) AS predicted, count(*) FILTER (label = 1) AS positives,
+  count(*) FILTER (label = 0) AS negatives FROM given)""",
+        _STAND_INS,
+    ),
+    "split_ratio": txn(
+        """SELECT label, count(*) AS n, round(avg(CAST(('0x' || substr(md5(concat(txn_id, ':42')), 1, 8))::bigint
+  / 4294967296.0::double < 0.2 AS double)), 4) AS test_share FROM txn GROUP BY label"""
     ),
     "lookup_txn": scored(
         "SELECT txn_id, score, risk_level, flags_text FROM scored WHERE txn_id = (SELECT max(txn_id) FROM txn)"
@@ -474,7 +499,7 @@ SELECT txn_id, amount AS amount_usd, round(least(greatest((amount - s.mean) / s.
   CAST(hour(ts) >= 23 OR hour(ts) < 5 AS int) AS is_odd_hours,
   CAST(sender_country <> receiver_country AS int) AS is_cross_border,
   CAST(sender_country IN (SELECT code FROM fatf) OR receiver_country IN (SELECT code FROM fatf) AS int) AS is_fatf_country,
-  CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY txn_id) = 1 AS int) AS is_new_payee,
+  CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY ts, txn_id) = 1 AS int) AS is_new_payee,
   CAST(dense_rank() OVER (ORDER BY payment_format) - 1 AS int) AS payment_format_encoded,
   count(*) OVER (PARTITION BY sender_account ORDER BY ts
     RANGE BETWEEN INTERVAL '3599999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_1hr,
@@ -494,48 +519,32 @@ ORACLE["stream_velocity"] = txn(
     RANGE BETWEEN INTERVAL '21599999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_6hr,
   count(*) OVER (PARTITION BY sender_account ORDER BY ts
     RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW) AS velocity_24hr,
-  CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY txn_id) = 1 AS int) AS is_new_payee
+  CAST(row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY ts, txn_id) = 1 AS int) AS is_new_payee
 FROM txn"""
 )
 
 _FACTS = ORACLE["sar_facts"].removeprefix(f"WITH {V3}")
 
 
-def _line(title: str, value: str) -> str:
-    return f"concat('{title:<22}: ', {value})"
-
-
 ORACLE["sar_texts"] = f"""WITH {V3},
 facts AS ({_FACTS}),
-now AS (SELECT max(ts) AS at FROM txn)
-SELECT txn_id, reference, concat_ws(chr(10),
-  'SUSPICIOUS ACTIVITY REPORT (SAR) - DRAFT, NOT FOR FILING WITHOUT MLRO APPROVAL', '', 'REPORT METADATA',
-  {_line('Report generated', "strftime(now.at, '%Y-%m-%d %H:%M:%S')")},
-  {_line('SAR reference', "concat('SAR-', strftime(now.at, '%Y%m%d'), '-', substr(reference, 1, 10))")},
-  {_line('Status', "'DRAFT - PENDING MLRO REVIEW'")}, {_line('Institution', "'[to be filled in]'")},
-  {_line('MLRO', "'[to be filled in]'")}, {_line('Jurisdiction', "'[to be filled in]'")}, '',
-  'SUBJECT TRANSACTION', {_line('Reference', 'reference')}, {_line('Date', 'date')}, {_line('Amount', 'amount')},
-  {_line('Merchant', 'merchant')}, {_line('Merchant category', 'mcc')}, {_line('Card (masked)', 'card')},
-  {_line('Sender country', 'sender_country')}, {_line('Receiver country', 'receiver_country')},
-  {_line('Receiver name', 'receiver_name')}, '',
-  'RISK ASSESSMENT', {_line('Risk score', "concat(score, '/100')")}, {_line('Risk level', 'risk_level')},
-  {_line('Z-score', "concat(printf('%.2f ', zscore), CASE WHEN is_outlier THEN '[ANOMALOUS - |Z|>2]' ELSE '[Within normal range]' END)")},
-  {_line('Portfolio context', "concat('batch average ', printf('%.1f', batch_avg_score), '/100 across ', format('{:,}', batch_total), ' transactions')")},
-  'Flags triggered:', concat('  -> ', replace(flags_text, ' | ', concat(chr(10), '  -> '))),
-  'Score breakdown:', concat('  * ', replace(breakdown_text, ', ', concat(chr(10), '  * '))), '',
-  'NARRATIVE', concat('On ', date, ' a transaction of ', amount, ' (reference ', reference, ') was scored HIGH RISK at ', score, '/100.'),
-  concat('It originated from ', sender_country, ' and was directed to ', receiver_country, '.'),
-  CASE WHEN receiver_is_fatf THEN 'The receiving side lies in a FATF high-risk jurisdiction, which raises the laundering risk.'
-    ELSE 'As a cross-border payment it falls under enhanced due diligence.' END,
-  CASE WHEN is_outlier THEN concat('The amount is a statistical anomaly (Z-Score: ', printf('%.2f', zscore), ') against the rest of the portfolio.') END,
-  CASE WHEN mcc_is_high_risk THEN concat('Merchant category ', mcc, ' (', mcc_name, ') counts as high-risk.')
-    ELSE concat('Merchant category ', mcc, ' was reviewed in the overall assessment.') END,
-  'Enhanced due diligence and a decision on formal filing are recommended.', '', 'REQUIRED ACTIONS',
-  '  [ ] MLRO validates all indicators above', '  [ ] Customer identity and source of funds verified',
-  '  [ ] Sanctions and PEP screening checked', '  [ ] Filing decision taken, and filed within the deadline if required',
-  '  [ ] Decision and rationale documented in the case system', '',
-  'This draft was generated automatically and must be reviewed by an authorised MLRO before filing.') AS report
-FROM facts CROSS JOIN now"""
+now AS (SELECT max(ts) AS at FROM txn),
+findings AS (SELECT txn_id, string_agg(concat(i, '. ', item), chr(10) ORDER BY i) AS listed FROM (
+  SELECT txn_id, unnest(string_split(flags_text, ' | ')) AS item, unnest(range(1, len(string_split(flags_text, ' | ')) + 1)) AS i
+  FROM facts) GROUP BY txn_id),
+parts AS (SELECT txn_id, string_agg(concat(i, '. ', item), chr(10) ORDER BY i) AS listed FROM (
+  SELECT txn_id, unnest(string_split(breakdown_text, ', ')) AS item, unnest(range(1, len(string_split(breakdown_text, ', ')) + 1)) AS i
+  FROM facts) GROUP BY txn_id)
+SELECT f.txn_id, reference, concat_ws(chr(10),
+  concat('Draft SAR-', strftime(now.at, '%Y%m%d'), '-', substr(reference, 1, 10), ' of ', strftime(now.at, '%Y-%m-%d %H:%M:%S')),
+  concat('Transaction ', reference, ', ', date, ', ', amount), concat('Route: ', sender_country, ' to ', receiver_country),
+  concat('Payee: ', receiver_name, '; card ', card), concat('Merchant: ', merchant, '; code ', mcc),
+  concat('Score: ', score, ' (', risk_level, '); mean ', printf('%.1f', batch_avg_score), ' of ', batch_total, ' rows'),
+  concat('Found', chr(10), findings.listed), concat('Points', chr(10), parts.listed),
+  CASE WHEN is_outlier THEN concat('Amount: ', printf('%.2f', zscore), ' standard deviations from the mean of the rows') END,
+  CASE WHEN receiver_is_fatf THEN 'Payee country: on the list of high-risk countries' END,
+  CASE WHEN mcc_is_high_risk THEN concat('Merchant code: on the high-risk list, ', mcc_name) END) AS report
+FROM facts f CROSS JOIN now JOIN findings USING (txn_id) JOIN parts USING (txn_id)"""
 
 ORACLE["scored_table"] = ORACLE["rules_v3"]
 ORACLE["source_labelled_csv"] = txn(

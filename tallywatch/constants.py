@@ -110,7 +110,7 @@ CASE_SCORE = 80
 NODE_HIGH, NODE_MEDIUM = 61, 31
 MONTHLY_SPAN_DAYS, WEEKLY_SPAN_DAYS = 60, 14
 SEQUENCE_BLOCKS = 8
-LISTING_ROWS, CARD_ROWS, ANOMALY_ROWS, FATF_ROWS = 200, 40, 20, 30
+ANOMALY_ROWS = 20
 MERCHANT_ROWS, COUNTRY_ROWS, EDGE_ROWS = 12, 15, 25
 
 # Model blend and attribution penalty.
@@ -121,7 +121,7 @@ MIN_IMPACT, TOP_ATTRIBUTIONS = 0.001, 3
 
 # Training parameters.
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_DEPTH_WEAK, BOOST_RATE = 200, 6, 5, 0.05
-FOREST_TREES, FOREST_ROWS_PER_TREE, FOREST_FIT_ROWS = 100, 25_600, 1_000_000
+FOREST_TREES, FOREST_ROWS_PER_TREE = 100, 25_600
 HOLDOUT_SHARE, SPLIT_SEED, WEAK_LABEL_SHARE = 0.2, 42, 0.02
 # ---------------------------------------------------------------------------
 

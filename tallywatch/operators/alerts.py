@@ -22,7 +22,6 @@ ACTION_SCHEMA = T.StructType(
         T.StructField("note", T.StringType()),
     ]
 )
-MAX_LIMIT, DEFAULT_LIMIT = 500, 50
 
 
 def alert_id(batch_id: Column, txn_id: Column) -> Column:
@@ -92,13 +91,13 @@ def filter_alerts(alerts: DataFrame, tier: str | None = None, status: str | None
 
 
 def list_alerts(
-    alerts: DataFrame, tier: str | None = None, status: str | None = None, limit: int = DEFAULT_LIMIT
+    alerts: DataFrame, tier: str | None = None, status: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Open alerts first, then the highest scores; ties by id."""
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    chosen = filter_alerts(alerts, tier, status)
-    return chosen.orderBy(F.col("status") != "open", F.col("score").desc(), "alert_id").limit(limit)
+    """Open alerts first, then the highest scores; ties by id. ``limit`` asks for a first page."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    ordered = filter_alerts(alerts, tier, status).orderBy(F.col("status") != "open", F.col("score").desc(), "alert_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def count_alerts(alerts: DataFrame, tier: str | None = None, status: str | None = None) -> DataFrame:

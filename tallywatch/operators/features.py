@@ -5,27 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.functions.numbers import clipped, zero_filled
-from tallywatch.operators.ranking import is_small, ordered_index
+from tallywatch.operators.ranking import ordered_index
 from tallywatch.operators.rules import AmountStats, amount_stats, geography, is_multiple, is_structuring, zscore
-from tallywatch.operators.skew import HOT_FLOOR, attach_by_key
+from tallywatch.operators.skew import attach_by_key
 from tallywatch.operators.velocity import with_velocity
 from tallywatch.schema import has, optional
 
-BROADCAST_CODES = 10_000
 UNSEEN_CODE = -1
 
 
 @dataclass(frozen=True)
 class PaymentCodes:
-    """A fitted code per payment format; ``small`` tells that the table was checked to be tiny."""
+    """A fitted code per payment format."""
 
     table: DataFrame
-    small: bool
 
 
 def format_text(df: DataFrame) -> Column:
@@ -35,22 +33,15 @@ def format_text(df: DataFrame) -> Column:
 def fit_payment_codes(df: DataFrame) -> PaymentCodes:
     """Codes 0.. in the text order of the distinct formats, with the rows of each format."""
     formats = df.groupBy(format_text(df).alias("format")).agg(F.count(F.lit(1)).alias("n"))
-    small = is_small(formats, BROADCAST_CODES)
-    if small:
-        coded = formats.withColumn("code", F.row_number().over(Window.orderBy("format")) - 1)
-    else:
-        coded = ordered_index(formats, ["format"], "code")
-    return PaymentCodes(coded.select("format", "n", F.col("code").cast("int").alias("code")), small)
+    coded = ordered_index(formats, ["format"], "code")
+    return PaymentCodes(coded.select("format", "n", F.col("code").cast("int").alias("code")))
 
 
-def with_payment_code(df: DataFrame, codes: PaymentCodes, total_rows: int, floor: int = HOT_FLOOR) -> DataFrame:
+def with_payment_code(df: DataFrame, codes: PaymentCodes) -> DataFrame:
     """Adds ``payment_format_encoded``; formats not seen at fit time get -1."""
     keyed = df.withColumn("_format", format_text(df))
     table = codes.table.withColumnRenamed("format", "_format")
-    if codes.small:
-        joined = keyed.join(F.broadcast(table.select("_format", F.col("code").alias("_code"))), "_format", "left")
-    else:
-        joined = attach_by_key(keyed, table, ["_format"], {"code": "_code"}, total_rows, floor=floor)
+    joined = attach_by_key(keyed, table, ["_format"], {"code": "_code"})
     code = F.coalesce("_code", F.lit(UNSEEN_CODE))
     return joined.withColumn("payment_format_encoded", code).drop("_format", "_code")
 
@@ -97,14 +88,12 @@ def build_features(
     df: DataFrame,
     stats: AmountStats | None = None,
     codes: PaymentCodes | None = None,
-    hot_floor: int = HOT_FLOOR,
     keep: tuple[str, ...] = (),
     stateless: bool = False,
 ) -> DataFrame:
     """``txn_id``, the kept columns, the features in model order and ``label`` when present.
 
-    Row-local features are one projection before the only full shuffle (by sender), so what is
-    shuffled is already narrow. A ``stateless`` row knows no other rows: its velocities are 1 and
+    Row-local features are one projection; what is shuffled is already narrow. A ``stateless`` row knows no other rows: its velocities are 1 and
     its payee is new.
     """
     stats = stats or amount_stats(df)
@@ -123,12 +112,12 @@ def build_features(
     extra = [c for c in keep if c not in local and c not in carried]
     rows = df.select("txn_id", *extra, *carried, *(column.alias(name) for name, column in local.items()))
     if coded:
-        rows = with_payment_code(rows, codes, stats.rows, hot_floor)
+        rows = with_payment_code(rows, codes)
     if stateless:
         ones = {c: F.lit(1).cast("bigint") for c in C.VELOCITY_HOURS}
         rows = rows.withColumns({**ones, "is_new_payee": F.lit(int(bool(sender and receiver)))})
     else:
-        rows = with_velocity(rows, sender, receiver, stats.rows, hot_floor)
+        rows = with_velocity(rows, sender, receiver)
     labels = ["label"] if has(df, "label") and "label" not in keep else []
     return rows.select("txn_id", *keep, *C.FEATURE_COLUMNS, *labels)
 

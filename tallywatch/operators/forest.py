@@ -19,7 +19,7 @@ from tallywatch import constants as C
 from tallywatch.operators.quality import uniform
 
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, lower int, upper int, path double"
-SCORE_CHUNK = 2_000
+SCORE_CHUNK = 20_000
 
 
 def expected_path(n: float) -> float:
@@ -32,21 +32,16 @@ def expected_path(n: float) -> float:
 
 
 def tree_samples(
-    features: DataFrame, total_rows: int, trees: int, rows_per_tree: int, fit_rows: int, seed: int
+    features: DataFrame, total_rows: int, trees: int, rows_per_tree: int, seed: int
 ) -> tuple[DataFrame, int]:
     """Rows tagged with the tree they serve, and the sample size of a tree.
 
-    Membership is a hash of row and tree: a row is expanded only to the trees that take it. Six
+    Every tree draws from all rows. Membership is a hash of row and tree: a row is expanded only to the trees that take it. Six
     deviations more than needed are drawn on average, of which a tree keeps its lowest hashes.
     """
     fit = features.select("txn_id", *C.FEATURE_COLUMNS)
-    if total_rows > fit_rows:
-        fit = fit.filter(uniform(F.col("txn_id"), F.lit(seed)) < fit_rows / total_rows)
-        total_rows = fit_rows
     every = F.sequence(F.lit(0), F.lit(trees - 1))
-    if total_rows <= rows_per_tree:
-        return fit.withColumn("tree_id", F.explode(every)), total_rows
-    share = min(1.0, (rows_per_tree + 6 * math.sqrt(rows_per_tree)) / total_rows)
+    share = min(1.0, (rows_per_tree + 6 * math.sqrt(rows_per_tree)) / max(total_rows, 1))
 
     def draw(tree: Column) -> Column:
         return uniform(F.col("txn_id"), tree, F.lit(seed + 1))
@@ -54,7 +49,7 @@ def tree_samples(
     tagged = fit.withColumn("tree_id", F.explode(F.filter(every, lambda tree: draw(tree) < share)))
     order = Window.partitionBy("tree_id").orderBy(draw(F.col("tree_id")), "txn_id")
     kept = tagged.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= rows_per_tree)
-    return kept.drop("_place"), rows_per_tree
+    return kept.drop("_place"), min(rows_per_tree, total_rows)
 
 
 def fit_forest(
@@ -62,11 +57,10 @@ def fit_forest(
     total_rows: int,
     trees: int = C.FOREST_TREES,
     rows_per_tree: int = C.FOREST_ROWS_PER_TREE,
-    fit_rows: int = C.FOREST_FIT_ROWS,
     seed: int = C.SPLIT_SEED,
 ) -> tuple[DataFrame, int]:
     """The node table of the forest and the sample size of its trees."""
-    samples, size = tree_samples(features, total_rows, trees, rows_per_tree, fit_rows, seed)
+    samples, size = tree_samples(features, total_rows, trees, rows_per_tree, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     columns = list(C.FEATURE_COLUMNS)
 
@@ -150,12 +144,15 @@ class Forest:
         )
 
     def _chunk(self, x: np.ndarray, scale: float) -> np.ndarray:
-        rows = np.arange(len(x))[:, None]
-        at = np.repeat(self.roots[None, :], len(x), axis=0)
-        for _ in range(self.depth):
-            low = x[rows, self.feature[at]] <= self.threshold[at]
-            at = np.where(low, self.lower[at], self.upper[at])
-        return -np.exp2(-self.path[at].mean(axis=1) / scale)
+        rows = np.arange(len(x))
+        total = np.zeros(len(x))
+        for root in self.roots:  # one tree at a time stays in the cache
+            at = np.full(len(x), root)
+            for _ in range(self.depth):
+                low = x[rows, self.feature[at]] <= self.threshold[at]
+                at = np.where(low, self.lower[at], self.upper[at])
+            total += self.path[at]
+        return -np.exp2(-total / len(self.roots) / scale)
 
 
 def feature_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[np.ndarray]:

@@ -1,7 +1,7 @@
-"""Row listings of fixed length, and the full list of report candidates.
+"""Row listings, and the full list of report candidates.
 
-Lists are ordered by the row id; ``orderBy(...).limit(n)`` keeps the best n rows per task and
-merges those, so no table is sorted.
+Lists are ordered by the row id and complete; ``rows`` asks for a first page. The strongest outliers
+are a top list, whose ``orderBy(...).limit(n)`` keeps the best n rows per task and merges those.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.functions import text as X
-from tallywatch.operators.ranking import SINGLE_TASK_ROWS, ordered_index
+from tallywatch.functions.numbers import row_json
+from tallywatch.operators.ranking import ordered_index
 from tallywatch.operators.rollups import fatf_receiver, is_high
 from tallywatch.schema import optional, reference_text
 
@@ -21,8 +22,13 @@ def receiver_display(df: DataFrame) -> Column:
     return X.counterparty(*(optional(df, n) for n in names))
 
 
-def transaction_listing(scored: DataFrame, rows: int = C.LISTING_ROWS) -> DataFrame:
-    listed = scored.orderBy("txn_id").limit(rows)
+def _page(listed: DataFrame, rows: int | None) -> DataFrame:
+    ordered = listed.orderBy("txn_id")
+    return ordered if rows is None else ordered.limit(rows)
+
+
+def transaction_listing(scored: DataFrame, rows: int | None = None) -> DataFrame:
+    listed = _page(scored, rows)
     return listed.select(
         "txn_id",
         reference_text(scored).alias("reference"),
@@ -37,8 +43,8 @@ def transaction_listing(scored: DataFrame, rows: int = C.LISTING_ROWS) -> DataFr
     )
 
 
-def alert_cards(scored: DataFrame, level: str, rows: int = C.CARD_ROWS) -> DataFrame:
-    listed = scored.filter(F.col("risk_level") == level).orderBy("txn_id").limit(rows)
+def alert_cards(scored: DataFrame, level: str, rows: int | None = None) -> DataFrame:
+    listed = _page(scored.filter(F.col("risk_level") == level), rows)
     return listed.select(
         "txn_id",
         reference_text(scored).alias("reference"),
@@ -62,12 +68,13 @@ def anomalies(scored: DataFrame, rows: int = C.ANOMALY_ROWS) -> DataFrame:
         "feature_zscore",
         "score",
         F.substring("flags_text", 1, 80).alias("flags_short"),
+        "flags_text",
     )
 
 
-def fatf_listing(scored: DataFrame, rows: int = C.FATF_ROWS) -> DataFrame:
+def fatf_listing(scored: DataFrame, rows: int | None = None) -> DataFrame:
     country = X.normalise_country(optional(scored, "receiver_country"))
-    listed = scored.filter(fatf_receiver(scored)).orderBy("txn_id").limit(rows)
+    listed = _page(scored.filter(fatf_receiver(scored)), rows)
     return listed.select(
         "txn_id",
         country.alias("country"),
@@ -79,8 +86,8 @@ def fatf_listing(scored: DataFrame, rows: int = C.FATF_ROWS) -> DataFrame:
     )
 
 
-def sar_candidates(scored: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Every HIGH row with its report number (position among the HIGH rows)."""
+def sar_candidates(scored: DataFrame) -> DataFrame:
+    """Every HIGH row with its report number (position among the HIGH rows) and all its fields."""
     listed = scored.filter(is_high()).select(
         "txn_id",
         reference_text(scored).alias("reference"),
@@ -88,6 +95,8 @@ def sar_candidates(scored: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS)
         "feature_zscore",
         X.flag_count(F.col("flags_text")).alias("flag_count"),
         X.shortened(F.col("flags_text")).alias("flags_short"),
+        "flags_text",
         "breakdown_text",
+        row_json(scored).alias("all_fields"),
     )
-    return ordered_index(listed, ["txn_id"], "report_index", single_task_rows)
+    return ordered_index(listed, ["txn_id"], "report_index")

@@ -20,7 +20,9 @@ def uniform(*keys: Column) -> Column:
 
 def stratified_split(df: DataFrame, share: float = C.HOLDOUT_SHARE, seed: int = C.SPLIT_SEED) -> DataFrame:
     """Adds ``is_test``. A hash of the row id takes the same share of every label, without a shuffle."""
-    return df.withColumn("is_test", uniform(F.col("txn_id"), F.lit(seed)) < share)
+    digest = F.md5(F.concat_ws(":", F.col("txn_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
+    return df.withColumn("is_test", place < share)
 
 
 def weak_label_threshold(df: DataFrame, raw: str = "anomaly_raw", share: float = C.WEAK_LABEL_SHARE) -> float:

@@ -9,25 +9,14 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import ensure_checkpoint_dir
 
-SINGLE_TASK_ROWS = 1_000_000
 
-
-def is_small(df: DataFrame, rows: int = SINGLE_TASK_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def ordered_index(
-    df: DataFrame, order: Sequence[str], out: str, single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def ordered_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Adds the 0-based position of each row in the order of ``order`` (unique per row).
 
-    A table checked to be small is numbered by one window. Any other table is range-partitioned by
-    a global sort and checkpointed, so that every partition's rows and numbers are fixed; the
-    position is then the rows in earlier partitions plus the position within the partition.
+    The table is range-partitioned by a global sort and checkpointed, so that every partition's rows
+    and numbers are fixed; the position is then the rows in earlier partitions plus the position
+    within the partition.
     """
-    if is_small(df, single_task_rows):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
     ensure_checkpoint_dir(df.sparkSession)
     numbered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     numbered = numbered.withColumn("_part", F.shiftright("_mid", 33))
@@ -46,8 +35,8 @@ def order_statistics(
     """The exact values of a numeric column at the given 0-based ranks.
 
     Approximate quantiles bracket every rank; one aggregate counts the rows below each bracket,
-    and only the rows inside the brackets (a share of about ``4 * error`` each) are ordered, by
-    ``key`` and then ``tie``, which together must be unique.
+    and only the rows inside the brackets (a share of about ``4 * error`` each) are ordered, all
+    brackets in one sort, by ``key`` and then ``tie``, which together must be unique.
     """
     ranks = sorted(set(ranks))
     if not ranks:
@@ -57,39 +46,21 @@ def order_statistics(
     probes = [min(1.0, max(0.0, rank / total + side * 2 * error)) for rank in ranks for side in (-1, 1)]
     bounds = df.approxQuantile(key, probes, error)
     brackets = [_bracket(bounds[2 * i], bounds[2 * i + 1], least, most) for i in range(len(ranks))]
-    below = df.agg(*(F.count_if(F.col(key) < low).alias(f"b{i}") for i, (low, _) in enumerate(brackets))).first()
-    wanted = [(rank - before, low, high) for rank, (low, high), before in zip(ranks, brackets, below)]
-    if 4 * error * total <= SINGLE_TASK_ROWS / len(ranks):
-        found = _at_positions(df.select(*order), order, wanted)
-    else:
-        found = [_at_position(df.select(*order), order, *w) for w in wanted]
-    if None in found:
+    inside = [F.col(key).between(low, high) for low, high in brackets]
+    counts = [F.count_if(F.col(key) < low).alias(f"b{i}") for i, (low, _) in enumerate(brackets)]
+    counts += [F.count_if(within).alias(f"n{i}") for i, within in enumerate(inside)]
+    row = df.agg(*counts).first()
+    wanted, start = [], 0
+    for i, rank in enumerate(ranks):
+        wanted.append(start + rank - row[f"b{i}"])
+        start += row[f"n{i}"]
+    numbers = F.array_compact(F.array(*(F.when(within, F.lit(i)) for i, within in enumerate(inside))))
+    members = df.select(*order, F.explode(numbers).alias("_bracket"))
+    placed = ordered_index(members, ["_bracket", *order], "_place").filter(F.col("_place").isin(wanted))
+    found = {r["_bracket"]: r[key] for r in placed.collect() if r["_place"] == wanted[r["_bracket"]]}
+    if len(found) < len(ranks):
         raise ArithmeticError(f"ranks {ranks} of {key} are not all inside their brackets")
-    return found
-
-
-def _at_positions(df: DataFrame, order: list[str], wanted: list[tuple]) -> list:
-    """Small brackets: all of them in one job, one window group each."""
-    key = F.col(order[0])
-    inside = F.array_compact(
-        F.array(*(F.when(key.between(low, high), F.lit(i)) for i, (_, low, high) in enumerate(wanted)))
-    )
-    place = F.row_number().over(Window.partitionBy("_bracket").orderBy(*order)) - 1
-    target = F.get(F.array(*(F.lit(position) for position, _, _ in wanted)), F.col("_bracket"))
-    hits = (
-        df.select(*order, F.explode(inside).alias("_bracket"))
-        .select(order[0], "_bracket", place.alias("_place"))
-        .filter(F.col("_place") == target)
-        .collect()
-    )
-    values = {hit["_bracket"]: hit[order[0]] for hit in hits}
-    return [values.get(i) for i in range(len(wanted))]
-
-
-def _at_position(df: DataFrame, order: list[str], position: int, low, high):
-    inside = df.filter(F.col(order[0]).between(low, high))
-    hit = ordered_index(inside, order, "_position").filter(F.col("_position") == position).first()
-    return hit[order[0]] if hit else None
+    return [found[i] for i in range(len(ranks))]
 
 
 def _bracket(low: float, high: float, least, most):

@@ -56,94 +56,41 @@ def report_facts(scored: DataFrame) -> DataFrame:
     )
 
 
-def _lines(text: Column, separator: str, mark: str, none: str, empty: str) -> Column:
+def _listed(title: str, text: Column, separator: str, none: str) -> Column:
+    """The items of a joined text, numbered, one to a line; nothing where there are none."""
     items = F.split(text, separator)
-    marked = F.transform(items, lambda item: F.concat(F.lit(f"  {mark} "), item))
-    return F.when(text == none, empty).otherwise(F.array_join(marked, "\n"))
+    numbered = F.transform(items, lambda item, i: F.concat((i + 1).cast("string"), F.lit(". "), item))
+    return F.when(text != none, F.concat(F.lit(f"{title}\n"), F.array_join(numbered, "\n")))
 
 
-def report_texts(facts: DataFrame, generated_at: datetime | Column) -> DataFrame:
-    """The draft text of each report; the clock is an argument, so a draft can be made again."""
-    now = generated_at if isinstance(generated_at, Column) else F.lit(generated_at)
-    geo = F.when(
-        F.col("receiver_is_fatf"),
-        "The receiving side lies in a FATF high-risk jurisdiction, which raises the laundering risk.",
-    ).otherwise("As a cross-border payment it falls under enhanced due diligence.")
-    outlier = F.when(
-        F.col("is_outlier"),
-        F.format_string(
-            "The amount is a statistical anomaly (Z-Score: %.2f) against the rest of the portfolio.", "zscore"
-        ),
-    )
-    merchant = F.when(
-        F.col("mcc_is_high_risk"),
-        F.format_string("Merchant category %s (%s) counts as high-risk.", "mcc", "mcc_name"),
-    ).otherwise(F.format_string("Merchant category %s was reviewed in the overall assessment.", "mcc"))
+def report_texts(facts: DataFrame, generated_at: datetime | Column, closing: str | None = None) -> DataFrame:
+    """A draft per report: the facts that bear on it, what was found, and the caller's ``closing``.
 
-    def line(title: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{title:<22}: "), value)
-
-    reading = F.when(F.col("is_outlier"), "[ANOMALOUS - |Z|>2]").otherwise("[Within normal range]")
+    The clock is an argument, so a draft can be made again.
+    """
+    now = generated_at if isinstance(generated_at, Column) else F.lit(generated_at)
+    number = F.concat(F.lit("SAR-"), F.date_format(now, "yyyyMMdd"), F.lit("-"), F.substring("reference", 1, 10))
     text = F.concat_ws(
         "\n",
-        F.lit("SUSPICIOUS ACTIVITY REPORT (SAR) - DRAFT, NOT FOR FILING WITHOUT MLRO APPROVAL"),
-        F.lit(""),
-        F.lit("REPORT METADATA"),
-        line("Report generated", F.date_format(now, "yyyy-MM-dd HH:mm:ss")),
-        line(
-            "SAR reference",
-            F.concat(F.lit("SAR-"), F.date_format(now, "yyyyMMdd"), F.lit("-"), F.substring("reference", 1, 10)),
-        ),
-        line("Status", F.lit("DRAFT - PENDING MLRO REVIEW")),
-        line("Institution", F.lit("[to be filled in]")),
-        line("MLRO", F.lit("[to be filled in]")),
-        line("Jurisdiction", F.lit("[to be filled in]")),
-        F.lit(""),
-        F.lit("SUBJECT TRANSACTION"),
-        line("Reference", F.col("reference")),
-        line("Date", F.col("date")),
-        line("Amount", F.col("amount")),
-        line("Merchant", F.col("merchant")),
-        line("Merchant category", F.col("mcc")),
-        line("Card (masked)", F.col("card")),
-        line("Sender country", F.col("sender_country")),
-        line("Receiver country", F.col("receiver_country")),
-        line("Receiver name", F.col("receiver_name")),
-        F.lit(""),
-        F.lit("RISK ASSESSMENT"),
-        line("Risk score", F.concat(F.col("score").cast("string"), F.lit("/100"))),
-        line("Risk level", F.col("risk_level")),
-        line("Z-score", F.concat(F.format_string("%.2f ", "zscore"), reading)),
-        line(
-            "Portfolio context",
-            F.concat(
-                F.format_string("batch average %.1f/100 across ", "batch_avg_score"),
-                F.format_number("batch_total", 0),
-                F.lit(" transactions"),
-            ),
+        F.concat(F.lit("Draft "), number, F.lit(" of "), F.date_format(now, "yyyy-MM-dd HH:mm:ss")),
+        F.concat(F.lit("Transaction "), F.col("reference"), F.lit(", "), F.col("date"), F.lit(", "), F.col("amount")),
+        F.concat(F.lit("Route: "), F.col("sender_country"), F.lit(" to "), F.col("receiver_country")),
+        F.concat(F.lit("Payee: "), F.col("receiver_name"), F.lit("; card "), F.col("card")),
+        F.concat(F.lit("Merchant: "), F.col("merchant"), F.lit("; code "), F.col("mcc")),
+        F.concat(
+            F.format_string("Score: %d (", "score"),
+            F.col("risk_level"),
+            F.format_string("); mean %.1f of ", "batch_avg_score"),
+            F.col("batch_total").cast("string"),
+            F.lit(" rows"),
         ),
-        F.lit("Flags triggered:"),
-        _lines(F.col("flags_text"), r" \| ", "->", C.NO_FLAGS, "  (None)"),
-        F.lit("Score breakdown:"),
-        _lines(F.col("breakdown_text"), ", ", "*", C.NO_PARTS, "  (No points scored)"),
-        F.lit(""),
-        F.lit("NARRATIVE"),
-        F.format_string(
-            "On %s a transaction of %s (reference %s) was scored HIGH RISK at %d/100.", "date", "amount", "reference", "score"
+        _listed("Found", F.col("flags_text"), r" \| ", C.NO_FLAGS),
+        _listed("Points", F.col("breakdown_text"), ", ", C.NO_PARTS),
+        F.when(
+            F.col("is_outlier"), F.format_string("Amount: %.2f standard deviations from the mean of the rows", "zscore")
         ),
-        F.format_string("It originated from %s and was directed to %s.", "sender_country", "receiver_country"),
-        geo,
-        outlier,
-        merchant,
-        F.lit("Enhanced due diligence and a decision on formal filing are recommended."),
-        F.lit(""),
-        F.lit("REQUIRED ACTIONS"),
-        F.lit("  [ ] MLRO validates all indicators above"),
-        F.lit("  [ ] Customer identity and source of funds verified"),
-        F.lit("  [ ] Sanctions and PEP screening checked"),
-        F.lit("  [ ] Filing decision taken, and filed within the deadline if required"),
-        F.lit("  [ ] Decision and rationale documented in the case system"),
-        F.lit(""),
-        F.lit("This draft was generated automatically and must be reviewed by an authorised MLRO before filing."),
+        F.when(F.col("receiver_is_fatf"), "Payee country: on the list of high-risk countries"),
+        F.when(F.col("mcc_is_high_risk"), F.concat(F.lit("Merchant code: on the high-risk list, "), F.col("mcc_name"))),
+        F.lit(closing),
     )
     return facts.select("txn_id", "reference", text.alias("report"))

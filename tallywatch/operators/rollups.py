@@ -144,20 +144,17 @@ def trend_view(scored: DataFrame) -> DataFrame:
 
 
 def trend_sequence(scored: DataFrame) -> DataFrame:
-    """For tables without usable dates: eight equal blocks in row order, the remainder left out.
+    """For tables without usable dates: eight equal blocks in row order, the remainder in the last.
 
     Only the block borders are searched by rank; the rows themselves are never sorted.
     """
     total = scored.count()
     size = max(1, total // C.SEQUENCE_BLOCKS)
     blocks = min(C.SEQUENCE_BLOCKS, total)
-    ranks = [i * size for i in range(blocks)]
-    stop = blocks * size
-    borders = order_statistics(scored.select("txn_id"), "txn_id", [*ranks, *([stop] if stop < total else [])], total)
-    rows = scored if stop >= total else scored.filter(F.col("txn_id") < borders[-1])
-    block = block_of(F.col("txn_id"), borders[: len(ranks)])
+    borders = order_statistics(scored.select("txn_id"), "txn_id", [i * size for i in range(blocks)], total)
+    block = block_of(F.col("txn_id"), borders)
     return (
-        rows.groupBy(block.alias("block"))
+        scored.groupBy(block.alias("block"))
         .agg(
             F.round(elevated_mean(F.col("score")), 1).alias("score"),
             F.count_if(is_high()).alias("high_count"),
@@ -231,9 +228,9 @@ def alert_feed(scored: DataFrame) -> DataFrame:
     """The notices of the dashboard, from one aggregate."""
     outlier = F.abs("feature_zscore") > C.ZSCORE_LIMIT
     counts = scored.agg(
-        F.least(F.count_if(fatf_receiver(scored)), F.lit(C.FATF_ROWS)).alias("fatf"),
+        F.count_if(fatf_receiver(scored)).alias("fatf"),
         F.count_if(is_high()).alias("high"),
-        F.least(F.count_if(outlier), F.lit(C.ANOMALY_ROWS)).alias("outliers"),
+        F.count_if(outlier).alias("outliers"),
     )
 
     def notice(order: int, key: str, title: Column, severity: str, shown: Column) -> Column:

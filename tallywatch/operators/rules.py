@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywatch import constants as C
 from tallywatch.functions import text as X
 from tallywatch.functions.numbers import zero_filled
-from tallywatch.operators.skew import HOT_FLOOR, attach_by_key, key_totals
+from tallywatch.operators.skew import attach_by_key, key_totals
 from tallywatch.schema import has
 
 
@@ -73,8 +73,13 @@ def receiver_totals(df: DataFrame) -> DataFrame:
     return key_totals(named, RECEIVER_KEYS)
 
 
+def card_key(df: DataFrame) -> Column:
+    """The card number; a blank one is no card."""
+    return F.nullif(F.trim("card_number"), F.lit(""))
+
+
 def card_totals(df: DataFrame) -> DataFrame:
-    return key_totals(df.select(F.col("card_number").alias("card_key")).filter("card_key IS NOT NULL"), CARD_KEYS)
+    return key_totals(df.select(card_key(df).alias("card_key")).filter("card_key IS NOT NULL"), CARD_KEYS)
 
 
 def snapshots_of(df: DataFrame) -> Snapshots:
@@ -86,24 +91,21 @@ def snapshots_of(df: DataFrame) -> Snapshots:
     )
 
 
-def with_receiver_frequency(df: DataFrame, snapshots: Snapshots, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def with_receiver_frequency(df: DataFrame, snapshots: Snapshots) -> DataFrame:
     """Adds ``receiver_n``; a blank or unknown receiver has none. Without a table, rows stand alone."""
     keyed = df.select("*", *receiver_key(df))
     if snapshots.receivers is None:
         alone = F.when(F.col("receiver_first").isNotNull(), F.lit(1).cast("bigint"))
         return keyed.withColumn("receiver_n", alone).drop(*RECEIVER_KEYS)
-    rows = snapshots.stats.rows
-    counted = attach_by_key(keyed, snapshots.receivers, RECEIVER_KEYS, {"n": "receiver_n"}, rows, floor=hot_floor)
-    return counted.drop(*RECEIVER_KEYS)
+    return attach_by_key(keyed, snapshots.receivers, RECEIVER_KEYS, {"n": "receiver_n"}).drop(*RECEIVER_KEYS)
 
 
-def with_card_frequency(df: DataFrame, snapshots: Snapshots, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def with_card_frequency(df: DataFrame, snapshots: Snapshots) -> DataFrame:
     """Adds ``card_n``; a missing or unknown card has none. Without a table, rows stand alone."""
     if snapshots.cards is None:
-        return df.withColumn("card_n", F.when(F.col("card_number").isNotNull(), F.lit(1).cast("bigint")))
-    keyed = df.select("*", F.col("card_number").alias("card_key"))
-    rows = snapshots.stats.rows
-    return attach_by_key(keyed, snapshots.cards, CARD_KEYS, {"n": "card_n"}, rows, floor=hot_floor).drop(*CARD_KEYS)
+        return df.withColumn("card_n", F.when(card_key(df).isNotNull(), F.lit(1).cast("bigint")))
+    keyed = df.select("*", card_key(df).alias("card_key"))
+    return attach_by_key(keyed, snapshots.cards, CARD_KEYS, {"n": "card_n"}).drop(*CARD_KEYS)
 
 
 def zscore(amount: Column, stats: AmountStats) -> Column:
@@ -225,7 +227,6 @@ def score_rules(
     df: DataFrame,
     profile: C.RuleProfile = C.V3,
     snapshots: Snapshots | None = None,
-    hot_floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Canonical rows plus score, level, flags, breakdown and rule features.
 
@@ -269,11 +270,11 @@ def score_rules(
         outcome, features["feature_round_amount"] = round_rule(amount)
         outcomes.append(outcome)
     if has(df, "receiver_first_name", "receiver_last_name"):
-        rows = with_receiver_frequency(rows, snapshots, hot_floor)
+        rows = with_receiver_frequency(rows, snapshots)
         features["feature_recv_velocity"] = F.coalesce("receiver_n", F.lit(0).cast("bigint"))
         outcomes.append(receiver_rule(F.col("receiver_n")))
     if has(df, "card_number"):
-        rows = with_card_frequency(rows, snapshots, hot_floor)
+        rows = with_card_frequency(rows, snapshots)
         features["feature_card_velocity"] = F.coalesce("card_n", F.lit(0).cast("bigint"))
         outcomes.append(card_rule(F.col("card_n")))
     if with_amount:

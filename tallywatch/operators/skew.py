@@ -1,9 +1,8 @@
-"""Lookups that stay balanced when one key holds a large share of all rows.
+"""Lookups of per-key values for every row.
 
-A key is *hot* when it holds more than ``HOT_SHARE`` of all rows, and more than a floor below
-which no task is ever too big. By arithmetic there are fewer than ``1 / HOT_SHARE`` hot keys, so
-their table has a fixed size bound and may be broadcast, whatever the size of the data. Everything
-else goes through an ordinary shuffled join, in which no key is large.
+One plain left join serves every size. The per-key table has one row per key, and adaptive execution
+broadcasts it below its size limit or splits the partitions of hot keys on the row side (skew
+joins), so no key's rows have to pass through one task.
 """
 
 from __future__ import annotations
@@ -14,19 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-5
-HOT_FLOOR = 1_000_000
-SALTS = 8_192
-
-
-def hot_limit(total_rows: int, floor: int = HOT_FLOOR) -> int:
-    """Rows above which a key is hot."""
-    return max(int(total_rows * HOT_SHARE), floor)
-
-
-def may_have_hot_keys(total_rows: int, floor: int = HOT_FLOOR) -> bool:
-    return total_rows > floor
-
 
 def key_totals(df: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
     """Rows per key (map-side combined), plus any further aggregates."""
@@ -37,48 +23,13 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def attach_by_key(
-    df: DataFrame,
-    totals: DataFrame,
-    keys: Sequence[str],
-    values: dict[str, str],
-    total_rows: int,
-    row_id: Sequence[str] = ("txn_id",),
-    floor: int = HOT_FLOOR,
-) -> DataFrame:
-    """Left-join columns of a per-key table (one row per key, rows counted in ``n``) to every row.
+def attach_by_key(df: DataFrame, totals: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Left-joins columns of a per-key table to every row; rows without a key get nulls.
 
-    ``values`` maps a column of ``totals`` to its name in the result. Without possible hot keys
-    this is a plain left join. Otherwise rows of hot keys find their values in a broadcast table;
-    in the shuffled join those rows and the rows without a key carry a row-dependent salt that
-    matches nothing, which spreads them over all partitions, while the remaining rows carry salt 0
-    and meet the per-key table. Hot keys carry salt -1 there: a salt that depends on the row keeps
-    Catalyst from folding it out of the join key.
+    ``values`` maps a column of ``totals`` to its name in the result.
     """
-    keys = list(keys)
     renamed = totals.select(
-        *(F.col(k).alias(f"_k_{k}") for k in keys),
-        *(F.col(v).alias(out) for v, out in values.items()),
-        F.col("n").alias("_n"),
+        *(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(v).alias(out) for v, out in values.items())
     )
     on_key = all_of(F.col(k) == F.col(f"_k_{k}") for k in keys)
-    extra = [f"_k_{k}" for k in keys]
-    if not may_have_hot_keys(total_rows, floor):
-        return df.join(renamed.drop("_n"), on_key, "left").drop(*extra)
-
-    limit = hot_limit(total_rows, floor)
-    outputs = list(values.values())
-    hot = renamed.filter(F.col("_n") > limit).select(*extra, F.struct(*outputs).alias("_hot"))
-    tagged = df.join(F.broadcast(hot), on_key, "left").drop(*extra)
-    loose = F.col("_hot").isNotNull() | ~all_of(F.col(k).isNotNull() for k in keys)
-    spread = F.pmod(F.xxhash64(*row_id), F.lit(SALTS)) + 1
-    tagged = tagged.withColumn("_salt", F.when(loose, spread).otherwise(0))
-
-    side = renamed.select(
-        *extra,
-        F.when(F.col("_n") > limit, -1).otherwise(0).cast("bigint").alias("_key_salt"),
-        F.struct(*outputs).alias("_cold"),
-    )
-    joined = tagged.join(side, on_key & (F.col("_salt") == F.col("_key_salt")), "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*df.columns, *(found.getField(out).alias(out) for out in outputs))
+    return df.join(renamed, on_key, "left").drop(*(f"_k_{k}" for k in keys))

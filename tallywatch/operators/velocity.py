@@ -1,9 +1,9 @@
-"""Trailing counts per sender and first sight of a payee, exact under any skew.
+"""Trailing counts per sender and first sight of a payee, in linear time and exact under any skew.
 
-A sender below the hot limit is one group of a RANGE window; the pair window for new payees needs
-no second shuffle, because rows of one sender already share a partition. The rows of hot senders
-are counted in two levels instead: per minute cell, and within the cell. No task ever holds more of
-a hot sender than one cell or one row per cell.
+A sender's rows in (t - w, t] are the rows up to t less those up to t - w. So every distinct time of a
+sender asks for running counts at t and at each t - w, and a running count has two parts: whole
+minutes before, summed over one row per sender and minute, and the running sum within the minute.
+No window frame moves, no task holds more of a sender than one of its minutes or one row per minute.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.constants import VELOCITY_HOURS
-from tallywatch.operators.skew import HOT_FLOOR, attach_by_key, hot_limit, key_totals, may_have_hot_keys
+from tallywatch.operators.skew import attach_by_key, key_totals
 
 HOUR = 3_600_000_000
 CELL = 60_000_000
@@ -24,109 +24,55 @@ def account_key(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def with_velocity(
-    df: DataFrame,
-    sender: str | None,
-    receiver: str | None,
-    total_rows: int,
-    floor: int = HOT_FLOOR,
-) -> DataFrame:
+def with_velocity(df: DataFrame, sender: str | None, receiver: str | None) -> DataFrame:
     """Adds ``velocity_*`` (rows of the sender in (t-w, t], equal times included; 1 without a
-    time) and ``is_new_payee`` (first row of the pair by ``txn_id``)."""
+    time) and ``is_new_payee`` (first row of the pair by time and then ``txn_id``; rows without a
+    time come last)."""
     timed = "ts" in df.columns
     if sender is None:
         return df.withColumns({**{c: F.lit(1).cast("bigint") for c in VELOCITY_HOURS}, "is_new_payee": F.lit(0)})
     micros = F.unix_micros("ts") if timed else F.lit(None).cast("bigint")
     payee = account_key(F.col(receiver)) if receiver else F.lit(None).cast("string")
     rows = df.select("*", account_key(F.col(sender)).alias(SENDER), payee.alias(PAYEE), micros.alias(MICROS))
-    if not may_have_hot_keys(total_rows, floor):
-        return _windowed(rows, receiver is not None).select(*_outputs(df))
-
-    limit = hot_limit(total_rows, floor)
-    hot = key_totals(rows, [SENDER]).filter(F.col("n") > limit).select(F.col(SENDER).alias("_hot_sender"))
-    tagged = rows.join(F.broadcast(hot), F.col(SENDER) == F.col("_hot_sender"), "left")
-    cold_rows = tagged.filter(F.col("_hot_sender").isNull()).drop("_hot_sender")
-    hot_rows = tagged.filter(F.col("_hot_sender").isNotNull()).drop("_hot_sender")
-    counted = _windowed(cold_rows, receiver is not None).select(*_outputs(df))
-    split = _split(hot_rows, receiver is not None, total_rows, floor).select(*_outputs(df))
-    return counted.unionByName(split)
-
-
-def _outputs(df: DataFrame) -> list[str]:
-    return [*df.columns, *VELOCITY_HOURS, "is_new_payee"]
-
-
-def _windowed(rows: DataFrame, with_payee: bool) -> DataFrame:
-    by_time = Window.partitionBy(SENDER).orderBy(MICROS)
-    by_pair = Window.partitionBy(SENDER, PAYEE)
-    counts = {
-        name: F.when(F.col(MICROS).isNull(), 1)
-        .otherwise(F.count(F.lit(1)).over(by_time.rangeBetween(-(hours * HOUR - 1), 0)))
-        .cast("bigint")
-        for name, hours in VELOCITY_HOURS.items()
-    }
-    counts["is_new_payee"] = _first_flag(F.min("txn_id").over(by_pair) == F.col("txn_id"), with_payee)
-    return rows.withColumns(counts)
-
-
-def _first_flag(condition: Column, with_payee: bool) -> Column:
-    return condition.cast("int") if with_payee else F.lit(0)
-
-
-def _split(rows: DataFrame, with_payee: bool, total_rows: int, floor: int) -> DataFrame:
-    cell = F.floor(F.col(MICROS) / CELL).cast("bigint")
-    slots = (
-        key_totals(rows.filter(F.col(MICROS).isNotNull()), [SENDER, MICROS])
-        .withColumn("cell", cell)
-        .withColumn("off", F.col(MICROS) - F.col("cell") * CELL)
-    )
-    per_cell = {hours: hours * HOUR // CELL for hours in VELOCITY_HOURS.values()}
-
-    # Whole cells inside the trailing range; one row per sender and minute.
-    cells = slots.groupBy(SENDER, "cell").agg(F.sum("n").alias("cell_n"))
-    by_cell = Window.partitionBy(SENDER).orderBy("cell")
-    full = cells.select(
-        F.col(SENDER).alias("_cell_sender"),
-        F.col("cell").alias("_cell"),
+    counted = attach_by_key(rows, trailing_counts(rows), [SENDER, MICROS], {c: c for c in VELOCITY_HOURS})
+    counted = counted.withColumns({c: F.coalesce(F.col(c), F.lit(1)).cast("bigint") for c in VELOCITY_HOURS})
+    if receiver is None:
+        flagged = counted.withColumn("is_new_payee", F.lit(0))
+    else:
+        firsts = first_rows(rows, [SENDER, PAYEE]).select(F.col("txn_id").alias("_first"))
+        met = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
+        flagged = met.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int"))
+    return flagged.select(*df.columns, *VELOCITY_HOURS, "is_new_payee")
+
+
+def trailing_counts(rows: DataFrame) -> DataFrame:
+    """One row per sender and distinct time, with the sender's rows in each trailing range."""
+    slots = key_totals(rows.filter(F.col(MICROS).isNotNull()), [SENDER, MICROS])
+    asked = F.array(
+        F.struct(F.lit(0).alias("hours"), F.col(MICROS).alias("at"), F.col("n")),
         *(
-            F.coalesce(F.sum("cell_n").over(by_cell.rangeBetween(-steps, -1)), F.lit(0)).alias(f"full_{hours}")
-            for hours, steps in per_cell.items()
+            F.struct(F.lit(h).alias("hours"), (F.col(MICROS) - h * HOUR).alias("at"), F.lit(0).cast("bigint").alias("n"))
+            for h in VELOCITY_HOURS.values()
         ),
     )
-
-    # Within a cell: a slot enters at its own offset, and leaves w later at the same offset.
-    moves = F.array(
-        F.struct(F.lit(0).alias("kind"), F.lit(0).alias("steps")),
-        *(F.struct(F.lit(h).alias("kind"), F.lit(s).alias("steps")) for h, s in per_cell.items()),
-    )
-    moved = slots.select(SENDER, MICROS, "off", "n", "cell", F.inline(moves)).withColumn(
-        "cell", F.col("cell") + F.col("steps")
-    )
-    so_far = (
-        Window.partitionBy(SENDER, "cell").orderBy("off").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = {
-        f"run_{kind}": F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).over(so_far)
-        for kind in (0, *per_cell)
-    }
-    entered = moved.withColumns(running).filter(F.col("kind") == 0)
-    at_slot = entered.join(
-        full, (F.col(SENDER) == F.col("_cell_sender")) & (F.col("cell") == F.col("_cell"))
-    ).select(
-        SENDER,
-        MICROS,
-        "n",
-        *(
-            (F.col("run_0") + F.col(f"full_{hours}") - F.col(f"run_{hours}")).alias(name)
-            for name, hours in VELOCITY_HOURS.items()
-        ),
+    events = slots.select(SENDER, MICROS, F.inline(asked)).withColumn("cell", F.floor(F.col("at") / CELL))
+    so_far = Window.partitionBy(SENDER, "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = events.withColumn("within", F.sum("n").over(so_far))
+    cells = events.groupBy(SENDER, "cell").agg(F.sum("n").alias("cell_n"))
+    earlier = Window.partitionBy(SENDER).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select(
+        F.col(SENDER).alias("_of"), F.col("cell").alias("_cell"), F.coalesce(F.sum("cell_n").over(earlier), F.lit(0)).alias("before")
     )
-    counted = attach_by_key(
-        rows, at_slot, [SENDER, MICROS], {c: c for c in VELOCITY_HOURS}, total_rows, floor=floor
-    ).withColumns({c: F.coalesce(F.col(c), F.lit(1)).cast("bigint") for c in VELOCITY_HOURS})
+    met = within.join(before, (F.col(SENDER) == F.col("_of")) & (F.col("cell") == F.col("_cell")))
+    up_to = F.col("before") + F.col("within")
+
+    def count_at(hours: int) -> Column:
+        return F.sum(F.when(F.col("hours") == hours, up_to))
+
+    return met.groupBy(SENDER, MICROS).agg(*((count_at(0) - count_at(h)).alias(name) for name, h in VELOCITY_HOURS.items()))
+
 
-    if not with_payee:
-        return counted.withColumn("is_new_payee", F.lit(0))
-    firsts = rows.groupBy(SENDER, PAYEE).agg(F.min("txn_id").alias("_first")).select("_first")
-    met = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
-    return met.withColumn("is_new_payee", _first_flag(F.col("_first").isNotNull(), True)).drop("_first")
+def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the ``txn_id`` of each group's first row by time and then id; no time is last."""
+    place = F.struct(F.col(MICROS).isNull().alias("untimed"), F.col(MICROS).alias("us"), "txn_id")
+    return rows.groupBy(*keys).agg(F.min(place).alias("first")).select(*keys, "first.txn_id", "first.us")

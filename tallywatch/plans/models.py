@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.operators import attribution, boosting, forest, hybrid, quality
-from tallywatch.operators.features import BROADCAST_CODES, PaymentCodes, build_features, fit_payment_codes
-from tallywatch.operators.ranking import is_small
+from tallywatch.operators.features import PaymentCodes, build_features, fit_payment_codes
 from tallywatch.operators.rules import AmountStats, amount_stats, score_rules, with_texts
-from tallywatch.operators.skew import HOT_FLOOR
 from tallywatch.schema import CANONICAL, canonicalise, has
 from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import tables
@@ -39,7 +37,6 @@ def train_models(
     store: str,
     rounds: int = C.BOOST_ROUNDS,
     trees: int = C.FOREST_TREES,
-    hot_floor: int = HOT_FLOOR,
 ) -> dict:
     """Trains both models on canonical rows, stores them, and appends metrics to the registry.
 
@@ -48,7 +45,6 @@ def train_models(
     once and read back, so no later pass computes it again.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     trained_at = datetime.now(timezone.utc).replace(tzinfo=None)
     version = f"v{trained_at:%Y%m%d%H%M}-{uuid.uuid4().hex[:6]}"
     root = f"{store}/{version}"
@@ -58,14 +54,14 @@ def train_models(
     if codes is not None:
         codes.table.write.parquet(f"{root}/codes")
         codes = load_codes(spark, f"{root}/codes")
-    build_features(df, stats, codes, hot_floor).write.parquet(f"{root}/features")
+    build_features(df, stats, codes).write.parquet(f"{root}/features")
     features = spark.read.parquet(f"{root}/features")
 
     nodes, size = forest.fit_forest(features, stats.rows, trees=trees)
     nodes.withColumn("sample_size", F.lit(size)).write.parquet(f"{root}/forest")
     grown = load_forest(spark, f"{root}/forest")
     raw = forest.with_anomaly_raw(features, grown)
-    raw.select("txn_id", "anomaly_raw").write.parquet(f"{root}/raw")
+    raw.write.parquet(f"{root}/raw")
     low, high = hybrid.raw_range(spark.read.parquet(f"{root}/raw"))
 
     metrics: dict = {"precision": None, "recall": None, "f1": None}
@@ -78,8 +74,7 @@ def train_models(
         measured = quality.classifier_metrics(boosting.with_probability(test, classifier)).first()
         metrics = {name: measured[name] for name in metrics}
     else:
-        labels = quality.weak_labels(spark.read.parquet(f"{root}/raw")).select("txn_id", "label")
-        synthetic = features.drop("label").join(labels, "txn_id")
+        synthetic = quality.weak_labels(spark.read.parquet(f"{root}/raw"))
         classifier = boosting.fit_classifier(synthetic, 1.0, rounds, depth=C.BOOST_DEPTH_WEAK)
     classifier.write().save(f"{root}/classifier")
 
@@ -99,8 +94,7 @@ def train_models(
 
 
 def load_codes(spark: SparkSession, path: str) -> PaymentCodes:
-    table = spark.read.parquet(path)
-    return PaymentCodes(table, is_small(table, BROADCAST_CODES))
+    return PaymentCodes(spark.read.parquet(path))
 
 
 def load_forest(spark: SparkSession, path: str) -> forest.Forest:
@@ -136,23 +130,24 @@ def score_batch(
     profile: C.RuleProfile = C.V3,
     models: Models | None = None,
     penalise: bool = False,
-    hot_floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Rules, and models when there are any: blended score, attributions, optional penalty.
 
     With models the levels are those of v3 in either profile. The rows carry their rule scores
     through the feature shuffle, so no join brings the two together. Because the anomaly is rescaled
-    by the range of the whole batch, the modelled rows are checkpointed before the range is taken:
+    by the range of the whole batch, the modelled rows are stored before the range is taken:
     the Python scoring runs once.
     """
-    scored = score_rules(df, profile, hot_floor=hot_floor)
+    scored = score_rules(df, profile)
     if models is None:
         return hybrid.without_models(scored)
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
     carried = tuple(c for c in scored.columns if c != "txn_id")
-    featured = build_features(scored, codes=models.codes, hot_floor=hot_floor, keep=carried)
+    featured = build_features(scored, codes=models.codes, keep=carried)
     rated = with_model_columns(featured, models).drop(*(c for c in C.FEATURE_COLUMNS if c not in scored.columns))
-    rated = rated.checkpoint()
+    path = f"{ensure_checkpoint_dir(spark)}/rated-{uuid.uuid4().hex}"
+    rated.write.parquet(path)
+    rated = spark.read.schema(rated.schema).parquet(path)
     return blend(rated, *hybrid.raw_range(rated), penalise)
 
 

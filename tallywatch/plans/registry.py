@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.functions import text as X
+from tallywatch.functions.numbers import row_json
 from tallywatch.operators import alerts as A
 from tallywatch.operators import features as FT
 from tallywatch.operators import attribution, boosting, forest, graph, hybrid, listings, quality, reports, rollups
@@ -210,7 +212,7 @@ def feat_geo(spark: SparkSession, folder: str) -> DataFrame:
 
 def _with_velocity(spark: SparkSession, folder: str) -> DataFrame:
     narrow = transactions_table(spark, folder).select("txn_id", "ts", "sender_account", "receiver_account")
-    return FT.with_velocity(narrow, "sender_account", "receiver_account", narrow.count())
+    return FT.with_velocity(narrow, "sender_account", "receiver_account")
 
 
 @query
@@ -226,7 +228,7 @@ def feat_velocity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def feat_payment_code(spark: SparkSession, folder: str) -> DataFrame:
     narrow = transactions_table(spark, folder).select("txn_id", "payment_format")
-    coded = FT.with_payment_code(narrow, FT.fit_payment_codes(narrow), narrow.count())
+    coded = FT.with_payment_code(narrow, FT.fit_payment_codes(narrow))
     return coded.select("txn_id", "payment_format_encoded")
 
 
@@ -254,12 +256,41 @@ over_scored("alert_cards_high", lambda scored: listings.alert_cards(scored, "HIG
 over_scored("alert_cards_medium", lambda scored: listings.alert_cards(scored, "MEDIUM"))
 over_scored("anomalies", listings.anomalies)
 over_scored("fatf_listing", listings.fatf_listing)
-over_scored("sar_candidates", listings.sar_candidates)
 over_scored("network_edges", graph.network_edges)
 over_scored("network_nodes", graph.network_nodes)
 over_scored("sar_facts", reports.report_facts)
 
 
+def _json_number(name: str) -> Column:
+    return F.get_json_object("all_fields", f"$.{name}").cast("double")
+
+
+def _json_time() -> Column:
+    return F.substring(F.get_json_object("all_fields", "$.ts"), 1, 19)
+
+
+@query
+def sar_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    listed = listings.sar_candidates(scored_v3(spark, folder))
+    return listed.withColumns({"amount": _json_number("amount"), "ts_text": _json_time()}).drop("all_fields")
+
+
+@query
+def row_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields of a row as JSON, read back; a number that JSON cannot hold is null there."""
+    endless = F.when(F.col("txn_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("amount"))
+    scored = scored_v3(spark, folder).withColumn("amount", endless)
+    fields = scored.select("txn_id", row_json(scored).alias("all_fields"))
+    return fields.select(
+        "txn_id",
+        _json_number("amount").alias("amount"),
+        _json_number("score").cast("int").alias("score"),
+        _json_time().alias("ts_text"),
+        F.get_json_object("all_fields", "$.sender_account").alias("sender_account"),
+        F.get_json_object("all_fields", "$.flags[0]").alias("first_flag"),
+    )
+
+
 @query
 def elevated_mean(spark: SparkSession, folder: str) -> DataFrame:
     scored = scored_v3(spark, folder)
@@ -338,6 +369,19 @@ def alerts_generated(spark: SparkSession, folder: str) -> DataFrame:
     return _alerts(spark, folder).select(*columns)
 
 
+@query
+def alerts_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What an alert keeps of its row."""
+    return _alerts(spark, folder).select(
+        "alert_id",
+        _json_number("amount").alias("amount"),
+        _json_time().alias("ts_text"),
+        F.get_json_object("all_fields", "$.receiver_country").alias("receiver_country"),
+        F.get_json_object("all_fields", "$.risk_level").alias("risk_level"),
+        F.size("attributions").alias("attributions"),
+    )
+
+
 @query
 def alerts_after_actions(spark: SparkSession, folder: str) -> DataFrame:
     return _state(spark, folder).select(
@@ -376,20 +420,24 @@ def scored_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def export_views(spark: SparkSession, folder: str) -> DataFrame:
     run, scored = _stored(spark, folder)
-    counted = [
-        spark.read.parquet(path)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
-        .select(F.lit(name).alias("name"), "n", "score_sum")
-        for name, path in tables.write_export(scored, f"{run}/export").items()
+    views = {name: spark.read.parquet(path) for name, path in tables.write_export(scored, f"{run}/export").items()}
+    shown = [
+        view.select(
+            F.lit(name).alias("name"),
+            *(F.col(c) if c in view.columns else F.lit(None).cast("bigint").alias(c) for c in ("txn_id",)),
+            *("score", "risk_level", "feature_amount", "feature_fatf", "feature_recv_velocity", "feature_zscore"),
+        )
+        for name, view in views.items()
     ]
-    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+    return shown[0].union(shown[1]).union(shown[2]).union(shown[3])
 
 
 @query
 def lookup_txn(spark: SparkSession, folder: str) -> DataFrame:
-    txn = transactions_table(spark, folder)
-    wanted = txn.agg(F.max("txn_id")).first()[0]
-    found = tables.lookup_transaction(R.score_rules(txn, C.V3), wanted)
+    """One row of the stored table; the condition on the id reaches its scan."""
+    _, scored = _stored(spark, folder)
+    wanted = scored.agg(F.max("txn_id")).first()[0]
+    found = tables.lookup_transaction(scored, wanted)
     return found.select("txn_id", "score", "risk_level", "flags_text")
 
 
@@ -474,6 +522,36 @@ def classifier_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.select(*rounded, "positives", "negatives")
 
 
+@query
+def without_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of a batch for which there are no models: the rules alone."""
+    scored = score_batch(transactions_table(spark, folder))
+    return scored.select("txn_id", "score", "risk_level", F.size("attributions").alias("attributions"))
+
+
+@query
+def model_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sets of metrics of the table registered one after the other, and the newest as read back."""
+    registry = f"{_run_folder(spark)}/registry"
+    given = _stand_ins(spark, folder)
+    for version, limit, day in (("early", 0.2, 1), ("late", 0.5, 2)):
+        said = given.withColumn("prediction", (F.col("probability") >= limit).cast("int"))
+        found = quality.classifier_metrics(said).first()
+        metrics = {name: found[name] for name in ("precision", "recall", "f1")}
+        rows = found["positives"] + found["negatives"]
+        at = datetime(2024, 1, day)
+        tables.register_model(
+            spark, registry, model_version=version, trained_at=at, dataset_rows=rows, classifier_path="c", **metrics
+        )
+    entry = tables.latest_model(spark, registry)
+    newest = spark.createDataFrame(
+        [(entry["model_version"], entry["dataset_rows"], entry["precision"], entry["recall"], entry["f1"])],
+        "model_version string, dataset_rows bigint, precision double, recall double, f1 double",
+    )
+    rounded = {c: F.round(c, 9) for c in ("precision", "recall", "f1")}
+    return newest.withColumns(rounded).withColumn("ready", F.lit(tables.models_ready(spark, registry)))
+
+
 # --- streams: the events table arriving as files ------------------------------------------------
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.operators.ranking import is_small
 from tallywatch.schema import canonicalise
 from tallywatch.session import ensure_checkpoint_dir
 
@@ -66,7 +65,7 @@ def with_row_ids(df: DataFrame) -> DataFrame:
 
     A split of a file is read by one task from start to end, so the position within a split follows
     from the running id. The text is parsed once; storing fixes the splits and ids, and every later
-    pass reads pruned columns. Offsets come from one row per split, broadcast only if that is few.
+    pass reads pruned columns. Offsets come from one row per split.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
@@ -83,8 +82,6 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     rows_before = F.coalesce(F.sum("_n").over(before), F.lit(0))
     offsets = splits.select("_split", (rows_before - F.col("_first")).alias("_shift"))
-    if is_small(splits):
-        offsets = F.broadcast(offsets)
     placed = stored.join(offsets, "_split")
     return placed.select((F.col("_mid") + F.col("_shift")).alias("txn_id"), *(F.col(f"`{c}`") for c in df.columns))
 
@@ -124,12 +121,14 @@ def blank_normalised(df: DataFrame) -> DataFrame:
 def from_json_rows(rows: DataFrame) -> DataFrame:
     """JSON transactions (batch or stream) in canonical form.
 
-    A missing date is the current time, countries are upper-cased, other missing text is blank.
-    ``txn_id`` is a hash of the record, unless the record carries one.
+    A missing date is the current time, countries are upper-cased, other missing text is blank. Rows
+    without a ``txn_id`` (those of a stream) get one from their place: the file, the split and the
+    number within it, so that equal records stay apart.
     """
     text = [f.name for f in JSON_SCHEMA.fields if isinstance(f.dataType, T.StringType)]
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in text}
-    row_id = F.col("txn_id") if "txn_id" in rows.columns else F.xxhash64(*JSON_SCHEMA.fieldNames())
+    place = ("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    row_id = F.col("txn_id") if "txn_id" in rows.columns else F.xxhash64(*place)
     named = rows.select(
         row_id.alias("txn_id"),
         F.coalesce("transaction_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"),
@@ -149,5 +148,17 @@ def from_json_rows(rows: DataFrame) -> DataFrame:
     return canonicalise(named)
 
 
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """All JSON records with their position as ``txn_id``; a line that does not parse is kept as text."""
+    schema = T.StructType([*JSON_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    return with_row_ids(spark.read.schema(schema).json(path))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return from_json_rows(spark.read.schema(JSON_SCHEMA).json(path).filter(F.col("amount").isNotNull()))
+    """The records with an amount; ``json_rejects`` has the others."""
+    return from_json_rows(json_records(spark, path).filter(F.col("amount").isNotNull()))
+
+
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The records that cannot be scored, as they are: without an amount, or not JSON."""
+    return json_records(spark, path).filter(F.col("amount").isNull())

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.operators.skew import HOT_FLOOR
 from tallywatch.session import ensure_checkpoint_dir
 
 # Country per nation key and merchant code per last digit (FIXTURES.md, section 2).
@@ -80,20 +79,20 @@ def transactions(spark: SparkSession, folder: str, events: DataFrame | None = No
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], tuple] = {}
 
 
-def transactions_table(spark: SparkSession, folder: str, floor: int = HOT_FLOOR) -> DataFrame:
-    """``transactions``, stored once per session in the shared folder when there are many.
+def transactions_table(spark: SparkSession, folder: str) -> DataFrame:
+    """``transactions``, stored once per session in the shared folder.
 
-    Scoring reads its input several times (statistics, key counts, rows). Small inputs are cheaper
-    to join again each time; large ones are joined once, and later passes scan pruned columns.
+    Scoring reads its input several times (statistics, key counts, rows): the tables are joined once,
+    and later passes scan pruned columns.
     """
-    if read_table(spark, folder, "events").count() <= floor:
-        return transactions(spark, folder)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         path = f"{ensure_checkpoint_dir(spark)}/transactions-{uuid.uuid4().hex}"
-        transactions(spark, folder).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        rows = transactions(spark, folder)
+        rows.write.parquet(path)
+        _STORED[key] = (path, rows.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)

@@ -1,18 +1,20 @@
 """Velocities and new payees carried across micro-batches.
 
-The state is a table, not memory: rows of past micro-batches lie in Parquet by day, and a
-micro-batch reads the last 24 hours of it. The counting itself is the batch operator, which splits
-hot senders, so no sender's history has to fit into one task. Payees met before are a table as well,
-read back as far as ``horizon_days``; a payee not met within the horizon counts as new again.
-
-Results equal the batch features for input that arrives in time order. A late row is counted
-against the rows stored so far; rows written before it are not revised. Writing a micro-batch again
-after a failure replaces its own partitions.
+The state is tables, not memory: the rows of past micro-batches lie in Parquet by day, and a
+micro-batch reads the last 24 hours before its earliest row. The counting itself is the batch
+operator, so no sender's history has to fit into one task. A late row also changes the counts of
+stored rows up to 24 hours after it: those are counted again and written under the micro-batch's
+number, and ``results`` takes the newest count of a row. The first row of every pair of a micro-batch
+is kept for ever; ``results`` flags the earliest of each pair, so a late first row is one.
+
+Results equal the batch features whatever the order of arrival. Writing a micro-batch again after a
+failure replaces its own partitions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,23 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallywatch.constants import VELOCITY_HOURS
-from tallywatch.operators.skew import HOT_FLOOR
-from tallywatch.operators.velocity import account_key, with_velocity
+from tallywatch.operators.velocity import MICROS, account_key, first_rows, with_velocity
 
 KEY_COLUMNS = ["txn_id", "ts", "sender_account", "receiver_account"]
 HISTORY_SCHEMA = (
     "txn_id bigint, ts timestamp, sender_account string, receiver_account string, day date, batch_id bigint"
 )
-PAYEE_SCHEMA = "sender string, payee string, day date, batch_id bigint"
+PAYEE_SCHEMA = "sender string, payee string, txn_id bigint, us bigint, batch_id bigint"
 
 
 @dataclass(frozen=True)
 class RunningVelocity:
-    """Where the state lies, and how far back payees are remembered."""
+    """Where the state lies."""
 
     folder: str
-    horizon_days: int = 365
-    hot_floor: int = HOT_FLOOR
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
         """Processes what is available; results go to ``results``, state beside it."""
@@ -49,44 +48,47 @@ class RunningVelocity:
         )
 
     def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/results").drop("batch_id")
+        """One row per transaction so far, as of the last micro-batch."""
+        written = spark.read.parquet(f"{self.folder}/results")
+        newest = F.max_by(F.struct(*VELOCITY_HOURS), "batch_id").alias("newest")
+        counted = written.groupBy("txn_id").agg(newest).select("txn_id", "newest.*")
+        payees = spark.read.schema(PAYEE_SCHEMA).parquet(f"{self.folder}/payees")
+        firsts = first_rows(payees.withColumnRenamed("us", MICROS), ["sender", "payee"]).select(F.col("txn_id").alias("_first"))
+        flagged = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
+        return flagged.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int")).drop("_first")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.withColumn("day", F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))).persist()
         try:
-            rows, first, last = batch.agg(F.count(F.lit(1)), F.min("ts"), F.max("day")).first()
+            rows, first, last = batch.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
             if rows == 0:
                 return
-            self._write(self._velocity(spark, batch, batch_id, first), "results", batch_id)
+            self._write(self._velocity(spark, batch, batch_id, first, last), "results", batch_id)
             self._write(batch, "history", batch_id, "day")
-            met = batch.select(account_key(F.col("sender_account")).alias("sender"), _payee().alias("payee"), "day")
-            self._write(met.distinct(), "payees", batch_id, "day")
+            keyed = batch.select(
+                account_key(F.col("sender_account")).alias("sender"),
+                account_key(F.col("receiver_account")).alias("payee"),
+                F.unix_micros("ts").alias(MICROS),
+                "txn_id",
+            )
+            self._write(first_rows(keyed, ["sender", "payee"]), "payees", batch_id)
         finally:
             batch.unpersist()
 
-    def _velocity(self, spark: SparkSession, batch: DataFrame, batch_id: int, first) -> DataFrame:
-        reach = F.lit(first).cast("timestamp") - F.make_dt_interval(hours=F.lit(max(VELOCITY_HOURS.values())))
-        past = self._read(spark, "history", HISTORY_SCHEMA, batch_id)
-        recent = past.filter((F.col("day") >= F.to_date(reach)) & (F.col("ts") > reach)).select(*KEY_COLUMNS)
-        both = batch.select(*KEY_COLUMNS, F.lit(True).alias("_current")).unionByName(
-            recent.withColumn("_current", F.lit(False))
-        )
-        counted = with_velocity(both, "sender_account", None, both.count(), self.hot_floor)
-        counted = counted.filter("_current").drop("_current", "is_new_payee")
-
-        # First rows of pairs not met before; unique per pair and per row, so neither join is skewed.
-        pairs = batch.groupBy(account_key(F.col("sender_account")).alias("sender"), _payee().alias("payee"))
-        firsts = pairs.agg(F.min("txn_id").alias("_first"), F.min("day").alias("_day"))
-        known = self._read(spark, "payees", PAYEE_SCHEMA, batch_id)
-        floor = F.date_sub(firsts["_day"], self.horizon_days)
-        unseen = firsts.join(
-            known,
-            (firsts["sender"] == known["sender"]) & (firsts["payee"] == known["payee"]) & (known["day"] >= floor),
-            "left_anti",
-        ).select("_first")
-        flagged = counted.join(unseen, F.col("txn_id") == F.col("_first"), "left")
-        return flagged.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int")).drop("_first")
+    def _velocity(self, spark: SparkSession, batch: DataFrame, batch_id: int, first, last) -> DataFrame:
+        """Counts of the micro-batch's rows, and of stored rows that its rows fall into."""
+        new = batch.select(*KEY_COLUMNS, F.lit(True).alias("_wanted"))
+        if first is not None:
+            reach = timedelta(hours=max(VELOCITY_HOURS.values()))
+            # Literal bounds: only the folders of these days are listed and read.
+            days = F.col("day").between(F.lit((first - reach).date()), F.lit((last + reach).date()))
+            near = (F.col("ts") > F.lit(first - reach)) & (F.col("ts") < F.lit(last + reach))
+            past = self._read(spark, "history", HISTORY_SCHEMA, batch_id).filter(days & near)
+            senders = batch.select(account_key(F.col("sender_account")).alias("_sender_now")).distinct()
+            same = past.join(senders, account_key(F.col("sender_account")) == F.col("_sender_now"), "left_semi")
+            new = new.unionByName(same.select(*KEY_COLUMNS, (F.col("ts") >= F.lit(first)).alias("_wanted")))
+        return with_velocity(new, "sender_account", None).filter("_wanted").select("txn_id", *VELOCITY_HOURS)
 
     def _read(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
         """State of earlier micro-batches only, also when a micro-batch runs again."""
@@ -107,6 +109,3 @@ class RunningVelocity:
             .parquet(f"{self.folder}/{name}")
         )
 
-
-def _payee():
-    return account_key(F.col("receiver_account"))

@@ -49,9 +49,9 @@ def test_actions(spark, alerts):
     assert A.list_alerts(current, limit=1).first()["status"] == "open"
     assert A.list_alerts(current, limit=500).count() == 72
     assert [r["status"] for r in A.list_alerts(current, limit=500).collect()][-2:] != ["open", "open"]
-    for bad in (0, 501):
-        with pytest.raises(ValueError):
-            A.list_alerts(current, limit=bad)
+    assert A.list_alerts(current).count() == 72
+    with pytest.raises(ValueError):
+        A.list_alerts(current, limit=0)
 
 
 def test_explain(spark):

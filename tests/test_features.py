@@ -1,5 +1,6 @@
 """Features on time edges and under skew, against plain counting."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -24,7 +25,12 @@ def frame(spark, rows):
 
 def brute(rows):
     """Counting pair by pair."""
-    out, seen = [], set()
+    out = []
+    first = {}
+    for i, (ts, sender, receiver) in enumerate(rows):
+        place = (ts is None, ts or T0, i)
+        pair = (sender or "", receiver or "")
+        first[pair] = min(first.get(pair, place), place)
     for ts, sender, receiver in rows:
         key = sender or ""
         counts = [
@@ -33,9 +39,7 @@ def brute(rows):
             else sum(1 for t, s, _ in rows if (s or "") == key and t is not None and ts - timedelta(hours=h) < t <= ts)
             for h in (1, 6, 24)
         ]
-        pair = (key, receiver or "")
-        out.append((*counts, int(pair not in seen)))
-        seen.add(pair)
+        out.append((*counts, int(first[key, receiver or ""][2] == len(out))))
     return out
 
 
@@ -50,11 +54,9 @@ def edge_rows():
     return rows
 
 
-@pytest.mark.parametrize("floor", [10**6, 1, 30])
-def test_velocity_and_payees(spark, floor):
-    """Plain windows, everything hot, and a mix of hot and cold senders all equal counting."""
+def test_velocity_and_payees(spark):
     rows = edge_rows()
-    df = with_velocity(frame(spark, rows), "sender_account", "receiver_account", len(rows), floor)
+    df = with_velocity(frame(spark, rows), "sender_account", "receiver_account")
     got = df.orderBy("txn_id").select(*C.VELOCITY_HOURS, "is_new_payee").collect()
     assert [tuple(r) for r in got] == brute(rows)
 
@@ -79,28 +81,33 @@ def test_time_features(spark):
     assert got == [(22, 0, 0), (23, 0, 1), (0, 1, 1), (4, 1, 1), (5, 0, 0), (12, 0, 0)]
 
 
-@pytest.mark.parametrize("small, floor", [(True, 10**6), (False, 10**6), (False, 1)])
-def test_payment_codes(spark, small, floor):
+def test_no_frame_moves(spark):
+    df = with_velocity(frame(spark, edge_rows()), "sender_account", "receiver_account")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((.*?)\)", plan)
+    assert frames and all(", unboundedpreceding$()" in f and ("currentrow" in f or f.endswith("-1")) for f in frames)
+
+
+def test_payment_codes(spark):
     df = spark.createDataFrame(
         [(i, f) for i, f in enumerate(["Wire", "ACH", None, "ACH", "Cash", "Wire"])],
         "txn_id bigint, payment_format string",
     )
-    codes = FT.PaymentCodes(FT.fit_payment_codes(df).table, small)
+    codes = FT.fit_payment_codes(df)
     new = df.unionByName(spark.createDataFrame([(9, "Crypto")], df.schema))
-    got = FT.with_payment_code(new, codes, 7, floor).orderBy("txn_id").select("payment_format_encoded").collect()
+    got = FT.with_payment_code(new, codes).orderBy("txn_id").select("payment_format_encoded").collect()
     assert [r[0] for r in got] == [3, 0, 2, 0, 1, 3, -1]
 
 
 def test_feature_layout_does_not_matter(spark, txn):
     stats = amount_stats(txn)  # its last bits depend on the order of summation
     usual = sorted(map(tuple, FT.build_features(txn, stats).collect()))
-    assert usual == sorted(map(tuple, FT.build_features(txn.repartition(5), stats, hot_floor=2).collect()))
+    assert usual == sorted(map(tuple, FT.build_features(txn.repartition(5), stats).collect()))
 
 
-@pytest.mark.parametrize("single", [10**6, 3])
-def test_ordered_index(spark, single):
+def test_ordered_index(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "k bigint").repartition(6)
-    got = ordered_index(df, ["k"], "place", single).collect()
+    got = ordered_index(df, ["k"], "place").collect()
     assert sorted((r["k"], r["place"]) for r in got) == [(i, i) for i in range(101)]
 
 

@@ -50,11 +50,11 @@ def test_hand_made_tree():
 
 def test_tree_samples_are_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("txn_id"), *(F.lit(0.0).alias(c) for c in C.FEATURE_COLUMNS))
-    samples, size = forest.tree_samples(rows, 5000, trees=7, rows_per_tree=256, fit_rows=4000, seed=1)
+    samples, size = forest.tree_samples(rows, 5000, trees=7, rows_per_tree=256, seed=1)
     counts = [r["count"] for r in samples.groupBy("tree_id").count().collect()]
     assert size == 256 and len(counts) == 7 and set(counts) == {256}
     assert samples.groupBy("tree_id", "txn_id").count().filter("count > 1").count() == 0
-    every, size = forest.tree_samples(rows.limit(100), 100, trees=3, rows_per_tree=256, fit_rows=4000, seed=1)
+    every, size = forest.tree_samples(rows.limit(100), 100, trees=3, rows_per_tree=256, seed=1)
     assert size == 100 and every.count() == 300
 
 

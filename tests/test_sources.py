@@ -73,6 +73,18 @@ def test_json(spark, tmp_path):
     assert len(rows) == 2
     assert (rows[0]["mcc"], rows[0]["sender_country"], rows[0]["ts"]) == ("6012", "USA", datetime(2024, 1, 5, 10))
     assert rows[1]["mcc"] == "1" and rows[1]["ts"] is not None and rows[1]["card_number"] == ""
+    assert [r["mcc"] for r in files.json_rejects(spark, str(path)).collect()] == ["1"]
+
+
+def test_equal_and_card_less_json_records_stay_apart(spark, tmp_path):
+    path = tmp_path / "in.json"
+    record = {"amount": 5.0, "transaction_date": "2024-01-05T10:00:00", "sender_account": "a", "receiver_account": "b"}
+    swapped = [{"amount": 5.0, "sender_account": "A"}, {"amount": 5.0, "receiver_account": "A"}]
+    path.write_text("\n".join([*[json.dumps(record)] * 12, *map(json.dumps, swapped), "not json"]))
+    rows = files.read_json(spark, str(path))
+    assert sorted(r["txn_id"] for r in rows.collect()) == list(range(14))
+    assert score_rules(rows).agg(F.max("feature_card_velocity")).first()[0] == 0
+    assert [r["_corrupt_record"] for r in files.json_rejects(spark, str(path)).collect()] == ["not json"]
 
 
 def test_scored_table_and_lookup(spark, txn, tmp_path):

@@ -73,7 +73,7 @@ def test_running_velocity_replays_and_skew(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(i, t0 + timedelta(minutes=20 * i), "a" if i % 3 else "b", f"p{i % 7}") for i in range(240)]
     df = spark.createDataFrame(rows, "txn_id bigint, ts timestamp, sender_account string, receiver_account string")
-    running = RunningVelocity(str(tmp_path / "state"), hot_floor=10)
+    running = RunningVelocity(str(tmp_path / "state"))
     for batch_id in range(4):
         part = df.filter(F.floor(F.col("txn_id") / 60) == batch_id)
         running.process(part, batch_id)
@@ -81,20 +81,24 @@ def test_running_velocity_replays_and_skew(spark, tmp_path):
             running.process(part, batch_id)
     columns = ["txn_id", *C.VELOCITY_HOURS, "is_new_payee"]
     got = sorted(map(tuple, running.results(spark).select(*columns).collect()))
-    want = sorted(map(tuple, with_velocity(df, "sender_account", "receiver_account", 240).select(*columns).collect()))
+    want = sorted(map(tuple, with_velocity(df, "sender_account", "receiver_account").select(*columns).collect()))
     assert got == want
 
-    late = spark.createDataFrame([(999, t0 + timedelta(minutes=21), "a", "p1")], df.schema)
+    # A late row changes the counts of rows after it, and is the first of its pair.
+    late = spark.createDataFrame([(999, t0 + timedelta(minutes=1), "a", "p1"), (1000, None, "a", "p1")], df.schema)
     running.process(late, 4)
-    row = running.results(spark).filter("txn_id = 999").first()
-    assert (row["velocity_1hr"], row["is_new_payee"]) == (2, 0)
+    running.process(late, 4)
+    got = sorted(map(tuple, running.results(spark).select(*columns).collect()))
+    both = df.unionByName(late)
+    assert got == sorted(map(tuple, with_velocity(both, "sender_account", "receiver_account").select(*columns).collect()))
+    assert (999, 1, 1, 1, 1) in got
 
 
-def test_payee_horizon(spark, tmp_path):
+def test_payees_are_never_forgotten(spark, tmp_path):
     schema = "txn_id bigint, ts timestamp, sender_account string, receiver_account string"
-    running = RunningVelocity(str(tmp_path / "state"), horizon_days=30)
-    days = [datetime(2024, 1, 1), datetime(2024, 1, 20), datetime(2024, 6, 1)]
+    running = RunningVelocity(str(tmp_path / "state"))
+    days = [datetime(2024, 1, 1), datetime(2024, 1, 20), datetime(2029, 6, 1)]
     for i, day in enumerate(days):
         running.process(spark.createDataFrame([(i, day, "a", "p")], schema), i)
     got = {r["txn_id"]: r["is_new_payee"] for r in running.results(spark).collect()}
-    assert got == {0: 1, 1: 0, 2: 1}
+    assert got == {0: 1, 1: 0, 2: 0}
