@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from tallywatch.plans.models import train_models  # noqa: E402
 from tallywatch.plans.registry import QUERIES  # noqa: E402
-from tallywatch.session import build_session  # noqa: E402
+from tallywatch.session import build_session, ensure_checkpoint_dir  # noqa: E402
 from tallywatch.sources.star import transactions_table  # noqa: E402
 
 HEADLINE = [
@@ -38,6 +38,8 @@ HEADLINE = [
     "alerts_after_actions",
     "alerts_listing",
     "attribution_penalty",
+    "stream_scoring",
+    "stream_velocity",
     "forest_scores",
 ]
 
@@ -71,7 +73,7 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - start, 3)
     if not sys.argv[1:]:
         start = time.perf_counter()
-        train_models(transactions_table(spark, folder), tempfile.mkdtemp(prefix="bench-models-"))
+        train_models(transactions_table(spark, folder), f"{ensure_checkpoint_dir(spark)}/bench-models-{uuid.uuid4().hex}")
         timings["train_models"] = round(time.perf_counter() - start, 3)
     line = {
         "metric": "total_query_time",

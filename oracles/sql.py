@@ -426,6 +426,12 @@ FROM (SELECT (count(*) FILTER (probability >= 0.5 AND label = 1))::double AS tp,
   count(*) FILTER (label = 0) AS negatives FROM given)""",
         _STAND_INS,
     ),
+    "forest_fixed": txn(
+        """SELECT txn_id, round(-pow(2, -((CASE WHEN amount <= 10000 THEN 1.0::double WHEN amount <= 30000 THEN 2.5 ELSE 2.0 END
+  + CASE WHEN sender_country = receiver_country THEN 1.0::double WHEN hour(ts) <= 12 THEN 2.0 ELSE 3.0 END) / 2)
+  / (2 * (ln(7) + 0.5772156649015329::double) - 2 * 7 / 8.0::double)), 9) AS anomaly_raw FROM txn"""
+    ),
+    "gbt_residual": txn("SELECT count(*) AS n, 0::bigint AS off FROM txn"),
     "split_ratio": txn(
         """SELECT label, count(*) AS n, round(avg(CAST(('0x' || substr(md5(concat(txn_id, ':42')), 1, 8))::bigint
   / 4294967296.0::double < 0.2 AS double)), 4) AS test_share FROM txn GROUP BY label"""

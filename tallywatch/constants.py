@@ -122,6 +122,9 @@ MIN_IMPACT, TOP_ATTRIBUTIONS = 0.001, 3
 # Training parameters.
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_DEPTH_WEAK, BOOST_RATE = 200, 6, 5, 0.05
 FOREST_TREES, FOREST_ROWS_PER_TREE = 100, 25_600
+BOOST_BINS = 64
+# The bound of the labelled sample: rows of a class beyond half of it are drawn by hash and weigh more.
+BOOST_ROWS = 4_000_000
 HOLDOUT_SHARE, SPLIT_SEED, WEAK_LABEL_SHARE = 0.2, 42, 0.02
 # ---------------------------------------------------------------------------
 

@@ -9,29 +9,41 @@ from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.operators.features import assemble
+from tallywatch.operators.quality import uniform
 from tallywatch.session import ensure_checkpoint_dir
 
 
 def fit_classifier(
     features: DataFrame,
-    positive_weight: float,
+    counts: tuple[int, int],
+    weighted: bool = True,
     rounds: int = C.BOOST_ROUNDS,
     depth: int = C.BOOST_DEPTH,
     rate: float = C.BOOST_RATE,
+    most_rows: int = C.BOOST_ROWS,
 ) -> GBTClassificationModel:
-    """Boosted trees on rows with ``label``; positives weigh ``positive_weight``.
+    """Boosted trees on rows with ``label``, of which there are ``counts`` (positive, negative).
 
-    The residuals are checkpointed every ten rounds, so lineage stays short over all rounds.
+    Positives weigh as much as negatives together when ``weighted``. The classifier is fitted on
+    at most about ``most_rows`` labelled rows: of a class with more than half of that, rows are drawn by
+    hash, and each stands for as many as were left out. The residuals are checkpointed every ten
+    rounds, so lineage stays short over all rounds.
     """
     ensure_checkpoint_dir(features.sparkSession)
-    weight = F.when(F.col("label") == 1, positive_weight).otherwise(1.0)
-    rows = assemble(features).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    positives, negatives = counts
+    positive = F.col("label") == 1
+    shares = [min(1.0, most_rows / 2 / n) if n else 1.0 for n in counts]
+    share = F.when(positive, shares[0]).otherwise(shares[1])
+    worth = negatives / positives if weighted and positives else 1.0
+    weight = F.when(positive, worth).otherwise(1.0) / share
+    drawn = features.filter(uniform(F.col("txn_id"), F.lit(C.SPLIT_SEED + 2)) < share)
+    rows = assemble(drawn).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
     booster = GBTClassifier(
         maxIter=rounds,
         maxDepth=depth,
         stepSize=rate,
         weightCol="weight",
-        maxBins=256,
+        maxBins=C.BOOST_BINS,
         seed=C.SPLIT_SEED,
         checkpointInterval=10,
     )

@@ -65,17 +65,17 @@ def train_models(
     low, high = hybrid.raw_range(spark.read.parquet(f"{root}/raw"))
 
     metrics: dict = {"precision": None, "recall": None, "f1": None}
-    labelled = "label" in features.columns and quality.class_counts(features)[0] > 0
-    if labelled:
+    counts = quality.class_counts(features)[:2] if "label" in features.columns else (0, 0)
+    if counts[0] > 0:
         parts = quality.stratified_split(features)
-        weight = quality.class_counts(features)[2]
         train, test = parts.filter(~F.col("is_test")), parts.filter("is_test")
-        classifier = boosting.fit_classifier(train, weight, rounds)
+        classifier = boosting.fit_classifier(train, counts, rounds=rounds)
         measured = quality.classifier_metrics(boosting.with_probability(test, classifier)).first()
         metrics = {name: measured[name] for name in metrics}
     else:
         synthetic = quality.weak_labels(spark.read.parquet(f"{root}/raw"))
-        classifier = boosting.fit_classifier(synthetic, 1.0, rounds, depth=C.BOOST_DEPTH_WEAK)
+        counts = quality.class_counts(synthetic)[:2]
+        classifier = boosting.fit_classifier(synthetic, counts, False, rounds, C.BOOST_DEPTH_WEAK)
     classifier.write().save(f"{root}/classifier")
 
     entry = {

@@ -630,6 +630,42 @@ def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("txn_id", "probability", "prediction")
 
 
+# A forest of two fixed trees, so that both engines can walk it: nodes in order, -1 at a leaf.
+_FIXED_TREES = [  # (feature, threshold, lower, upper, path)
+    [("amount_usd", 10000.0, 1, 2, 0.0), (None, 0.0, 1, 1, 1.0), ("amount_usd", 30000.0, 3, 4, 0.0),
+     (None, 0.0, 3, 3, 2.5), (None, 0.0, 4, 4, 2.0)],
+    [("is_cross_border", 0.5, 1, 2, 0.0), (None, 0.0, 1, 1, 1.0), ("hour_of_day", 12.0, 3, 4, 0.0),
+     (None, 0.0, 3, 3, 2.0), (None, 0.0, 4, 4, 3.0)],
+]
+
+
+@query
+def forest_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw anomaly scores of all rows by a fixed forest."""
+    rows = [
+        (t, i, C.FEATURE_COLUMNS.index(feature) if feature else -1, threshold, lower, upper, path)
+        for t, tree in enumerate(_FIXED_TREES)
+        for i, (feature, threshold, lower, upper, path) in enumerate(tree)
+    ]
+    grown = forest.Forest.from_nodes(spark.createDataFrame(rows, forest.NODE_SCHEMA), 8)
+    features = FT.build_features(transactions_table(spark, folder))
+    scored = forest.with_anomaly_raw(features, grown)
+    return scored.select("txn_id", F.round("anomaly_raw", 9).alias("anomaly_raw"))
+
+
+@query
+def gbt_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose attributions and base do not add up to the log-odds, or whose probability is not
+    that of the log-odds."""
+    models = trained_models(spark, folder)
+    features = FT.build_features(transactions_table(spark, folder))
+    explained = attribution.with_impacts(features, models.leaf_tables)
+    total = F.aggregate("impacts", F.lit(models.leaf_tables.base), lambda a, b: a + b)
+    rated = boosting.with_probability(explained.withColumn("total", total), models.classifier)
+    off = F.abs(F.col("probability") - 1 / (1 + F.exp(-F.col("total")))) > 1e-9
+    return rated.agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+
+
 @query
 def gbt_attributions(spark: SparkSession, folder: str) -> DataFrame:
     features = FT.build_features(transactions_table(spark, folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,7 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that one is used. Only a
-    local master, where driver and executors are one process, falls back to a temporary folder.
+    local master, where driver and executors are one process, falls back to a temporary
+    folder, which goes when the process ends.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -42,5 +45,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tallywatch-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder

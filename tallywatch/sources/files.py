@@ -122,13 +122,12 @@ def from_json_rows(rows: DataFrame) -> DataFrame:
     """JSON transactions (batch or stream) in canonical form.
 
     A missing date is the current time, countries are upper-cased, other missing text is blank. Rows
-    without a ``txn_id`` (those of a stream) get one from their place: the file, the split and the
-    number within it, so that equal records stay apart.
+    without a ``txn_id`` (those of a stream, which knows no positions) get a random one, so that equal
+    records stay apart; a sink that commits a micro-batch once keeps it.
     """
     text = [f.name for f in JSON_SCHEMA.fields if isinstance(f.dataType, T.StringType)]
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in text}
-    place = ("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    row_id = F.col("txn_id") if "txn_id" in rows.columns else F.xxhash64(*place)
+    row_id = F.col("txn_id") if "txn_id" in rows.columns else F.xxhash64(F.uuid())
     named = rows.select(
         row_id.alias("txn_id"),
         F.coalesce("transaction_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"),
