@@ -338,7 +338,9 @@ FROM scored GROUP BY receiver_country ORDER BY count DESC, country LIMIT 15"""
   arg_min(sender_country, txn_id) AS country, arg_min(card_number, txn_id) AS card,
   arg_min(merchant_name, txn_id) AS employer, arg_min(mcc, txn_id) AS industry, max(score) AS risk_score,
   bool_or(is_fatf) AS has_fatf, count(*) FILTER (score >= 40) AS history_size, count(*) AS transactions,
-  CASE WHEN max(score) >= 80 THEN 'Open' END AS case_status FROM scored GROUP BY sender_last_name"""
+  CASE WHEN max(score) >= 80 THEN 'Open' END AS case_status,
+  strftime(min(ts) FILTER (score >= 80), '%Y-%m-%d') AS case_opened,
+  CASE WHEN max(score) >= 80 THEN concat('Highest score ', max(score)) END AS case_description FROM scored GROUP BY sender_last_name"""
     ),
     "customer_history": scored(
         """SELECT concat('Cust ', sender_last_name) AS customer, txn_id, strftime(ts, '%Y-%m-%d') AS date,

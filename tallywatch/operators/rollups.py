@@ -285,13 +285,14 @@ def customer_profile(scored: DataFrame) -> DataFrame:
     """One row of fixed size per customer: attributes of the first row, worst score, history size.
 
     The history itself is a child table (``customer_history``), so a customer with very many rows
-    is never gathered into one value; everything here combines map-side.
+    is never gathered into one value. The aggregates are numbers that combine map-side by hash; the
+    attributes of a customer's first row are then met by its unique id.
     """
 
     def shown(name: str, default: str = "") -> Column:
         return F.coalesce(optional(scored, name), F.lit(default))
 
-    first = F.struct(
+    attributes = (
         shown("reference").alias("reference"),
         F.coalesce(customer_name(scored), F.lit("Unknown Customer")).alias("name"),
         F.struct(
@@ -315,12 +316,13 @@ def customer_profile(scored: DataFrame) -> DataFrame:
             "txn_id",
             "score",
             _any_fatf(scored).alias("fatf"),
-            first.alias("first"),
+            optional(scored, "ts").alias("at"),
         )
         .filter(F.col("customer").isNotNull())
         .groupBy("customer")
         .agg(
-            F.min(F.struct("txn_id", "first")).alias("earliest"),
+            F.min("txn_id").alias("first_id"),
+            F.min(F.when(F.col("score") >= C.CASE_SCORE, F.col("at"))).alias("case_at"),
             F.max("score").alias("risk_score"),
             F.bool_or("fatf").alias("has_fatf"),
             F.count_if(alerts).alias("history_size"),
@@ -333,9 +335,15 @@ def customer_profile(scored: DataFrame) -> DataFrame:
             F.concat(F.lit("CASE-"), F.col("customer")).alias("id"),
             F.lit("AML Investigation").alias("type"),
             F.lit("Open").alias("status"),
+            F.to_date("case_at").alias("opened"),
+            F.concat(F.lit("Highest score "), F.col("risk_score").cast("string")).alias("description"),
         ),
     )
-    return grouped.select("customer", "earliest.first.*", "risk_score", "has_fatf", "history_size", "transactions", case.alias("case"))
+    firsts = scored.select(F.col("txn_id").alias("first_id"), *attributes)
+    return grouped.join(firsts, "first_id").select(
+        "customer", "reference", "name", "address", "account", "work", "risk_score", "has_fatf", "history_size", "transactions",
+        case.alias("case"),
+    )
 
 
 def customer_history(scored: DataFrame) -> DataFrame:

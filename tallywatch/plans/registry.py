@@ -317,6 +317,8 @@ def customer_profile(spark: SparkSession, folder: str) -> DataFrame:
         "history_size",
         "transactions",
         F.col("case.status").alias("case_status"),
+        F.date_format("case.opened", "yyyy-MM-dd").alias("case_opened"),
+        F.col("case.description").alias("case_description"),
     )
 
 
