@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,28 @@ def unique_names(names: list[str]) -> list[str]:
     return result
 
 
+def file_headers(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """The header of every CSV file under ``path``: one line per file, read through the file system's client."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first_line(name: str) -> str:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = place.getFileSystem(conf).open(place)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        lines = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        )
+        try:
+            return lines.readLine() or ""
+        finally:
+            lines.close()
+
+    names = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(16) as readers:
+        lines = list(readers.map(first_line, names))
+    return {name: tuple(next(csv.reader([line.lstrip("\ufeff")]), ())) for name, line in zip(names, lines)}
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Stores rows of text files as Parquet and adds ``txn_id``: the dense, 0-based file position.
 
@@ -67,10 +91,18 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     from the running id. The text is parsed once; storing fixes the splits and ids, and every later
     pass reads pruned columns. Offsets come from one row per split.
     """
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    return _numbered(_placed(df))
+
+
+def _placed(df: DataFrame) -> DataFrame:
     place = F.struct("_metadata.file_path", "_metadata.file_block_start")
-    tagged = df.select(*(F.col(f"`{c}`") for c in df.columns), place.alias("_place"))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns), place.alias("_place"))
+
+
+def _numbered(tagged: DataFrame) -> DataFrame:
+    spark = tagged.sparkSession
+    names = [c for c in tagged.columns if c != "_place"]
+    folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     tagged.select(
         "*", F.xxhash64("_place").alias("_split"), F.monotonically_increasing_id().alias("_mid")
     ).write.parquet(folder)
@@ -83,27 +115,44 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     rows_before = F.coalesce(F.sum("_n").over(before), F.lit(0))
     offsets = splits.select("_split", (rows_before - F.col("_first")).alias("_shift"))
     placed = stored.join(offsets, "_split")
-    return placed.select((F.col("_mid") + F.col("_shift")).alias("txn_id"), *(F.col(f"`{c}`") for c in df.columns))
+    return placed.select((F.col("_mid") + F.col("_shift")).alias("txn_id"), *(F.col(f"`{c}`") for c in names))
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The labelled payments file, columns by position under an explicit schema."""
+    """The labelled payments file, under an explicit schema; another header in any file is an error."""
+    wanted = LABELLED_SCHEMA.fieldNames()
+    for name, header in file_headers(spark, path).items():
+        if header and unique_names(list(header)) != wanted:
+            raise ValueError(f"{name} has other columns: {', '.join(header)}")
     rows = spark.read.schema(LABELLED_SCHEMA).option("header", True).option("enforceSchema", True).csv(path)
     return with_row_ids(rows)
 
 
-def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV with a header, as text; numbers and dates are parsed by ``canonicalise``."""
-    header = spark.read.option("header", False).option("quote", '"').csv(path).limit(1).first()
-    names = unique_names([str(value or f"Unnamed: {i}") for i, value in enumerate(header)])
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return with_row_ids(rows)
-
+def read_batch_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """CSV files with headers, as text; numbers and dates are parsed by ``canonicalise``.
 
-def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
+    Columns are found by each file's own header; one that a file lacks is null there. Quoted values
+    with ``line_breaks`` need whole files per task, so they are asked for.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name, header in file_headers(spark, path).items():
+        if header:
+            by_header.setdefault(header, []).append(name)
+    if not by_header:
+        raise ValueError(f"{path} has no header")
+    reader = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", line_breaks)
+    rows = None
+    for header, names in by_header.items():
+        fields = unique_names([value or f"Unnamed: {i}" for i, value in enumerate(header)])
+        schema = T.StructType([T.StructField(field, T.StringType()) for field in fields])
+        own = _placed(reader.schema(schema).csv(names))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return _numbered(rows)
+
+
+def read_sheet_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """A spreadsheet exported as CSV, blanks normalised."""
-    return blank_normalised(read_batch_csv(spark, path))
+    return blank_normalised(read_batch_csv(spark, path, line_breaks))
 
 
 def blank_normalised(df: DataFrame) -> DataFrame:

@@ -41,6 +41,21 @@ def test_batch_csv_matches_by_position(spark, tmp_path):
     assert canonicalise(df, "v3").orderBy("txn_id").first()["amount"] == 3697.34
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,\"4\n5\"\n")
+    (tmp_path / "b.csv").write_text("y,z\n6,7\n")
+    rows = files.read_batch_csv(spark, str(tmp_path), line_breaks=True).orderBy("txn_id").collect()
+    assert [(r["txn_id"], r["x"], r["y"], r["z"]) for r in rows] == [(0, "1", "2", None), (1, "3", "4\n5", None), (2, None, "6", "7")]
+
+
+def test_labelled_csv_with_other_columns_is_refused(spark, tmp_path):
+    lines = LABELLED.splitlines()
+    (tmp_path / "a.csv").write_text(LABELLED)
+    (tmp_path / "b.csv").write_text("\n".join([",".join(reversed(lines[0].split(","))), *lines[1:]]))
+    with pytest.raises(ValueError, match="b.csv"):
+        files.read_labelled_csv(spark, str(tmp_path))
+
+
 def test_row_ids_follow_file_order(spark, tmp_path):
     """Dense ids in file order, although the file is read in many splits."""
     path = tmp_path / "big.csv"
