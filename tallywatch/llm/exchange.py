@@ -30,6 +30,18 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def packed_ids(ids: list[int | None]) -> bytes:
+    """Ids and which of them are null; an array column with nulls would come back as doubles."""
+    null = np.array([i is None for i in ids], bool)
+    return joined(packed(np.array([i or 0 for i in ids], np.int64)), np.packbits(null).tobytes())
+
+
+def unpacked_ids(data: bytes) -> list[int | None]:
+    values, null = split(data, 2)
+    ids = unpacked(values, np.int64).tolist()
+    return [None if n else i for i, n in zip(ids, np.unpackbits(np.frombuffer(null, np.uint8)))]
+
+
 def joined(*arrays: bytes) -> bytes:
     return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(arrays)
 

@@ -31,7 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import bounded, crc_remainder, documents, small_batches, stored
-from tallywatch.llm.exchange import SENT, bucketed, by_part, joined, mixed, packed, sent, split, unpacked
+from tallywatch.llm.exchange import (
+    SENT,
+    bucketed,
+    by_part,
+    joined,
+    mixed,
+    packed,
+    packed_ids,
+    sent,
+    split,
+    unpacked,
+    unpacked_ids,
+)
 from tallywatch.llm.pieces import flat, portions, word_codes, words_of
 
 CHUNK_BYTES = 6_000_000
@@ -41,7 +53,7 @@ HEAVY = 1 / 4096
 END, BEGIN = 0, 1  # numbers of the end token and of the start of a text in every chunk
 END_HASH, BEGIN_HASH = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" begin"))
 CHUNK = (
-    "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, words binary, tokens binary, "
+    "chunk bigint, doc_ids binary, held array<boolean>, sizes binary, words binary, tokens binary, "
     "n_tokens bigint, n_train bigint, n_train_docs bigint"
 )
 LEVELS = [f"n{r}" for r in range(GT_MOST + 2)]
@@ -107,10 +119,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         tokens[inner] = codes + 2
         trained = ~np.array(held, bool)
         values = [
-            task + made, ids, held, packed(sizes.astype(np.uint32)), hashes.tobytes(), packed(tokens),
+            task + made, packed_ids(ids), held, packed(sizes.astype(np.uint32)), hashes.tobytes(), packed(tokens),
             len(tokens), int(sizes[trained].sum()), int(trained.sum()),
         ]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3, *[pa.int64()] * 3]
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.bool_()), *[pa.binary()] * 3, *[pa.int64()] * 3]
         names = [f.split()[0] for f in CHUNK.split(", ")]
         made, size = made + 1, 0
         held_back.clear()
@@ -134,7 +146,7 @@ class Chunk:
 
     def __init__(self, row, parts: int):
         self.parts = parts
-        self.doc_ids, self.held = list(row["doc_ids"]), np.array(list(row["held"]), bool)
+        self.doc_ids, self.held = unpacked_ids(row["doc_ids"]), np.array(list(row["held"]), bool)
         self.sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
         self.words = np.frombuffer(row["words"], np.uint64)
         self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
@@ -167,10 +179,9 @@ def _send_words(chunk_id: int, chunk: Chunk) -> pd.DataFrame:
     order, cuts = chunk.word_order()
     counts = chunk.word_counts()
     rows = []
-    for p in range(chunk.parts):
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[p] : cuts[p + 1]]
-        if len(own):
-            rows.append((p, chunk_id, joined(packed(chunk.words[own]), packed(counts[own].astype(np.int64)))))
+        rows.append((p, chunk_id, joined(packed(chunk.words[own]), packed(counts[own].astype(np.int64)))))
     return sent(rows)
 
 
@@ -221,10 +232,8 @@ def _send_bigrams(chunk_id: int, chunk: Chunk, answers: pd.DataFrame, heavy: np.
     first, second, cuts, of_token, spread = chunk.bigrams(heavy)
     counts = np.bincount(of_token[chunk.trained], minlength=len(first))
     rows = []
-    for p in range(chunk.parts):
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = first[cuts[p] : cuts[p + 1]], second[cuts[p] : cuts[p + 1]]
-        if not len(a):
-            continue
         histories, runs = np.unique(a, return_counts=True)
         met, at = np.unique(b, return_inverse=True)
         payload = joined(

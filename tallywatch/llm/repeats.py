@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import documents, small_batches, stored
-from tallywatch.llm.exchange import SENT, bucketed, by_part, joined, packed, sent, split, unpacked
+from tallywatch.llm.exchange import SENT, bucketed, by_part, joined, packed, packed_ids, sent, split, unpacked, unpacked_ids
 from tallywatch.llm.pieces import flat, portions
 from tallywatch.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -45,7 +45,7 @@ MOST_STARTS = 4096  # of one segment
 BLOCK = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)  # low bits of a hash that give way to its place in a block
 CHUNK = (
-    "chunk bigint, doc_ids array<bigint>, sizes binary, data binary, starts binary, lengths binary, inner binary, "
+    "chunk bigint, doc_ids binary, sizes binary, data binary, starts binary, lengths binary, inner binary, "
     "keys binary, digests binary, n_bytes bigint"
 )
 ANSWER = "chunk bigint, part int, kind int, answer binary"
@@ -130,10 +130,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int, length: int, gram:
         ends = starts + counts + length - 1
         digests = np.array([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
         values = [
-            task + made, ids, packed(np.diff(bounds)), data, packed(starts), packed(counts.astype(np.uint16)),
+            task + made, packed_ids(ids), packed(np.diff(bounds)), data, packed(starts), packed(counts.astype(np.uint16)),
             np.packbits(inner).tobytes(), keys.tobytes(), digests.tobytes(), len(data),
         ]
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7, pa.int64()]
+        kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64()]
         names = [f.split()[0] for f in CHUNK.split(", ")]
         made, size = made + 1, 0
         waiting.clear()
@@ -157,7 +157,7 @@ class Chunk:
 
     def __init__(self, row, parts: int, length: int):
         self.parts, self.length = parts, length
-        self.doc_ids, self.data = list(row["doc_ids"]), row["data"]
+        self.doc_ids, self.data = unpacked_ids(row["doc_ids"]), row["data"]
         self.bounds = np.concatenate([[0], np.cumsum(unpacked(row["sizes"], np.int64))])
         starts, counts = unpacked(row["starts"], np.int64), unpacked(row["lengths"], np.uint16).astype(np.int64)
         keys, digests = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["digests"], np.uint64)
@@ -260,7 +260,7 @@ def _send_bytes(chunk_id: int, chunk: Chunk, answers: pd.DataFrame) -> pd.DataFr
     verdict = _verdicts(answers)
     distinct, copies, cuts, _ = chunk.windows(np.flatnonzero(verdict == HOT))
     rows = []
-    for p in range(chunk.parts):
+    for p in np.flatnonzero(np.diff(chunk.cuts) + np.diff(cuts)).tolist():
         own = np.arange(chunk.cuts[p], chunk.cuts[p + 1])
         own = own[(verdict[own] == EQUAL_ELSEWHERE) | (verdict[own] == SENDER)]
         hot = slice(cuts[p], cuts[p + 1])
@@ -396,14 +396,19 @@ def _cut(chunk: Chunk, answers: pd.DataFrame) -> Iterator[tuple]:
         yield doc_id, data[own], gone[own]
 
 
+def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A frame whose first column holds ids, null or not, without going through doubles."""
+    columns = dict(zip(names, zip(*rows)))
+    return pd.DataFrame(columns | {names[0]: pd.array(list(columns[names[0]]), "Int64")})
+
+
 def _digest_rows(chunk: Chunk, answers: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for doc_id, data, gone in _cut(chunk, answers):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         kept = hashlib.sha256(data[~gone].tobytes()).hexdigest()
         rows.append((doc_id, len(data), int(gone.sum()), spans, kept))
-    frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return frame.astype({"doc_id": "Int64"})
+    return _rows(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _kept_rows(chunk: Chunk, answers: pd.DataFrame) -> pd.DataFrame:
@@ -411,7 +416,7 @@ def _kept_rows(chunk: Chunk, answers: pd.DataFrame) -> pd.DataFrame:
     for doc_id, data, gone in _cut(chunk, answers):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
         rows.append((doc_id, data[~gone].tobytes(), [{"start": int(a), "end": int(b)} for a, b in edges]))
-    return pd.DataFrame(rows, columns=["doc_id", "kept", "spans"]).astype({"doc_id": "Int64"})
+    return _rows(rows, ["doc_id", "kept", "spans"])
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -47,7 +47,7 @@ def hard_docs():
     docs = [(i, filler(230) + passage + filler(170)) for i in range(60)]  # shorter than a window
     docs += [(100 + i, filler(50 + i) + shared[i : 260 + 3 * i] + filler(90)) for i in range(40)]
     docs += [(200, "a" * 9000), (201, "ab" * 3000 + "c"), (202, "xyz" * 40), (203, "é" * 300), (204, filler(199)), (205, "b" * 200)]
-    docs += [(206, "b" * 200), (207, shared), (207, shared), (208, ("0123456789" * 25)[:207]), (None, shared + filler(10))]
+    docs += [(206, "b" * 200), (207, shared), (207, shared), (208, ("0123456789" * 25)[:207]), (2**60 + 1, filler(20)), (None, shared + filler(10))]
     return docs
 
 
