@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallywatch.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:

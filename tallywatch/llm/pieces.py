@@ -20,7 +20,7 @@ import pyarrow as pa
 UNUSUAL = re.compile("[\u0085   -     　]|<\\|endoftext\\|>".encode().decode())
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-TEXT_AT_ONCE = 8_000_000
+TEXT_AT_ONCE = 2_000_000
 
 
 @functools.cache
