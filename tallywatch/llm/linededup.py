@@ -25,7 +25,6 @@ from tallywatch.session import ensure_checkpoint_dir
 
 BATCHES = 4
 FAN_IN = 3
-BUCKETS = 64
 LEAST_LENGTH = 10
 BLANK = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -38,8 +37,11 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Levelled runs of line hashes; the state between batches, all of it in shared tables."""
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, fan_in: int = FAN_IN):
-        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
+        """By default a run has as many buckets as a shuffle has partitions: a task then writes one
+        file of a run, and the joins with a batch need no further shuffle of the run."""
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.fan_in = spark, fan_in
         self.levels: list[list[str]] = []
 
     def runs(self) -> list[str]:
