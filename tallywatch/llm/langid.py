@@ -35,6 +35,7 @@ ORDER = 5
 MOST_ROWS = 4000
 MOST_GRAMS = 2_000_000
 MOST_LANGUAGES = 1000
+MOST_WORDS = 200_000
 CALIBRATION = 4  # every so many-th document of the sample
 QUANTILE = 0.995
 BEGIN, END = 2, 3  # control characters, which are no letters
@@ -155,8 +156,12 @@ class Models:
 
     def log2(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log2 probability of the character at each place, by language."""
+        longest = gram_hashes(points, places, self.order)[-1]
+        # The longest n-gram decides: each distinct one is looked up once.
+        _, first, inverse = np.unique(longest, return_index=True, return_inverse=True)
+        places = places[first]
         contexts = gram_hashes(points, places - 1, self.order - 1)
-        return np.log2(self._up_to(gram_hashes(points, places, self.order), contexts))
+        return np.log2(self._up_to(gram_hashes(points, places, self.order), contexts))[inverse]
 
     def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the log2 probabilities by word and language; characters predicted per word."""
@@ -169,12 +174,13 @@ class Models:
                 total[:, k] = np.bincount(owner, weights=each[:, k], minlength=len(words))
         return total, np.where(lengths > 0, lengths + 1, 0)
 
-    def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of every text by language; characters predicted per text."""
+    def entropies(self, texts: list[bytes], known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of every text by language; characters predicted per text.
+        ``known`` keeps words from one call to the next."""
         data, bounds = flat(texts)
         starts, ends, owner, _ = words_of(data, bounds)
         codes, distinct = word_codes(data, starts, ends)
-        total, size = self.of_words(distinct.to_pylist())
+        total, size = (known or Words(self)).of_words(distinct.to_pylist())
         n = np.bincount(owner, weights=size[codes], minlength=len(texts))
         out = np.empty((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
@@ -182,6 +188,29 @@ class Models:
         return out, n
 
 
+class Words:
+    """The words a task has met lately, with their probabilities; at most about ``most`` of them."""
+
+    def __init__(self, models: Models, most: int = MOST_WORDS):
+        self.models, self.most = models, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.total, self.size = np.zeros((0, len(self.models.langs))), np.zeros(0, np.int64)
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > self.most:
+            self.forget()
+        new = [w for w in words if w not in self.place]
+        if new:
+            total, size = self.models.of_words(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.total, self.size = np.concatenate([self.total, total]), np.concatenate([self.size, size])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.total[at], self.size[at]
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
@@ -246,11 +275,11 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, order: int = ORDER) ->
     models = Models(langs, table, order)
 
     def own_entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = {x: i for i, x in enumerate(langs)}
+        column, known = {x: i for i, x in enumerate(langs)}, Words(models)
         for batch in batches:
             names, texts = batch.column("lang").to_pylist(), _texts(batch)
             for low, high in portions(texts):
-                found, n = models.entropies(texts[low:high])
+                found, n = models.entropies(texts[low:high], known)
                 some = [i for i in range(high - low) if n[i] and names[low + i] in column]
                 yield pa.record_batch(
                     {
@@ -289,18 +318,19 @@ def predict(docs: DataFrame, models: Models | None, calibration: dict, keep: lis
     langs = models.langs if models else []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(models) if models else None
         for batch in batches:
             texts = _texts(batch)
             for low, high in portions(texts):
-                names, scores, entropy, rejected = _decide(texts[low:high])
+                names, scores, entropy, rejected = _decide(texts[low:high], known)
                 columns = [batch.column(c).slice(low, high - low) for c in keep]
                 columns += [pa.array(names, pa.string()), pa.array(scores), pa.array(entropy), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "entropy", "rejected"])
 
-    def _decide(texts: list[bytes]):
+    def _decide(texts: list[bytes], known: Words | None):
         if not models:
             return [NOT_LEARNED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), [True] * len(texts)
-        found, n = models.entropies(texts)
+        found, n = models.entropies(texts, known)
         best = found.argmin(axis=1)
         lowest = found.min(axis=1)
         share = 1 / np.exp2(lowest[:, None] - found).sum(axis=1)
