@@ -4,7 +4,12 @@ Public vocabularies measure each text: characters per token and the entropy of i
 (relative to the largest possible) with the byte-level one, and the share of byte-fallback tokens
 with the one that falls back to bytes. A language, or the script where a language is rare or
 unknown, has a band for each measure, taken from the quartiles of all its documents that pass the
-base rules: far beyond them a text is rejected. Short texts vary more and get wider bands.
+base rules: far beyond them a text is rejected.
+
+Judged are the tokens with a letter or a digit, since signs say nothing about a language. Entropy
+falls with the length of a text, so what counts is its distance from the trend of the group: bits
+per token on one line over 1 / log2(tokens), through the medians of the length classes. Short texts
+vary more: all distances shrink by their length before quartiles and fences are applied.
 
 Defined results: a null text has no words and fails the base rules; equal rows get equal verdicts;
 a null language is judged by its script; an empty table gives no rows; extra columns are ignored
@@ -13,6 +18,7 @@ a null language is judged by its script; an empty table gives no rows; extra col
 
 from __future__ import annotations
 
+import base64
 import functools
 from collections.abc import Iterator
 
@@ -22,14 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, documents, small_batches, stored
+from tallywatch.llm.common import documents, small_batches, stored
 from tallywatch.llm.pieces import default_paths, flat, portions, token_ids, word_codes, words_of
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 WINDOW = 5
-FENCE = 4.0  # interquartile ranges beyond the quartiles
-SHORT = 256  # tokens; below, bands widen with the square root
+# Interquartile ranges beyond the lower and the upper quartile. Noise has few characters per token;
+# many of them only mark common words.
+FENCE = {"lettered_chars": (2.25, 6.0), "byte_share": (4.0, 4.0), "lettered_entropy": (3.5, 4.0)}
+SHORT = 1024  # tokens; below, distances shrink with the square root
 LEAST_GROUP = 50
 GROUP_SHARE = 0.001  # so there are at most 1000 language bands
 # First code points of ranges and their scripts.
@@ -41,11 +49,13 @@ SCRIPTS = (
     (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"),
 )
 NAMES = sorted({name for _, name in SCRIPTS})
-MEASURES = ("chars_per_token", "byte_share", "entropy")
-# The least spread of a measure that counts as one range, so a group of like texts is not overstrict.
-LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.01, "entropy": 0.02}
+MEASURES = ("lettered_chars", "byte_share", "lettered_entropy")
+# The least spread of a measure that counts as one range, so a group of like texts is not overstrict;
+# that of the characters per token is a share of the usual number.
+LEAST_SPREAD = {"lettered_chars": 0.01, "byte_share": 0.006, "lettered_entropy": 0.01}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint"
 METRICS = COUNTS + ", chars_per_token double, byte_share double, entropy double, script string"
+METRICS += ", n_lettered bigint, lettered_chars double, lettered_entropy double"
 
 
 @functools.cache
@@ -56,6 +66,18 @@ def _fallback(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+@functools.cache
+def _signs(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token: whether it is ASCII without a letter or digit, and then its characters but white space."""
+    with open(path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    signs, chars = np.zeros(65_536, bool), np.zeros(65_536, np.int64)
+    for token, text in ranks.items():
+        signs[token] = text.isascii() and not any(c.isalnum() for c in text.decode())
+        chars[token] = signs[token] * len(b"".join(text.split()))
+    return signs, chars
+
+
 def repeated_words(codes: np.ndarray, owner: np.ndarray, texts: int, window: int = WINDOW) -> np.ndarray:
     """Per text, the words in windows of ``window`` words that occur twice or more in it."""
     n = len(codes) - window + 1
@@ -126,11 +148,16 @@ def measure(texts: list[bytes], paths) -> dict[str, list]:
     of = np.repeat(np.arange(len(texts)), tokens)
     keys, counts = np.unique(of * 65_536 + ids, return_counts=True)
     key_owner = keys >> 16
-    share = counts / tokens[key_owner]
-    bits = np.bincount(key_owner, weights=-share * np.log2(share), minlength=len(texts))
     out["n_tokens"] = tokens
     out["chars_per_token"] = np.where(tokens > 0, chars / np.maximum(tokens, 1), 0.0)
-    out["entropy"] = np.where(tokens > 1, bits / np.log2(np.maximum(tokens, 2)), 0.0)
+    out["entropy"] = _entropies(counts, key_owner, tokens)
+    signs, sign_chars = _signs(paths[1])
+    lettered = tokens - np.bincount(of, weights=signs[ids], minlength=len(texts)).astype(np.int64)
+    rest = chars - np.bincount(of, weights=sign_chars[ids], minlength=len(texts))
+    some = ~signs[keys & 65_535]
+    out["n_lettered"] = lettered
+    out["lettered_chars"] = np.where(lettered > 0, rest / np.maximum(lettered, 1), 0.0)
+    out["lettered_entropy"] = _entropies(counts[some], key_owner[some], lettered)
 
     model, is_byte = _fallback(paths[3])
     pieces = model.encode([w.decode("utf-8", "replace") for w in distinct.to_pylist()], num_threads=1)
@@ -144,6 +171,13 @@ def measure(texts: list[bytes], paths) -> dict[str, list]:
     return out
 
 
+def _entropies(counts: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Entropy of each text relative to the largest possible, from the counts of its distinct tokens."""
+    share = counts / tokens[owner]
+    bits = np.bincount(owner, weights=-share * np.log2(share), minlength=len(tokens))
+    return np.where(tokens > 1, bits / np.log2(np.maximum(tokens, 2)), 0.0)
+
+
 def _chars(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Code points per word: bytes that do not continue a character."""
     lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
@@ -176,38 +210,73 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judged(metrics: DataFrame, lang: str = "lang", fence: float = FENCE) -> DataFrame:
-    """Adds base_failed and kept. Reads ``metrics`` twice, so it should be a stored table."""
-    good = metrics.filter(~base_failed())
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES]
-    count = F.count(F.lit(1)).alias("n")
-    # A language has a band when it has a thousandth of the documents: at most a thousand bands.
-    total = good.count()
-    least = max(LEAST_GROUP, int(total * GROUP_SHARE))
-    by_lang = good.filter(F.col(lang).isNotNull()).groupBy(lang).agg(count, *quartiles).filter(F.col("n") >= least)
-    by_script = good.groupBy("script").agg(count, *quartiles).filter(F.col("n") >= least)
-    overall = good.agg(count, *quartiles).first()
-    most = int(1 / GROUP_SHARE) + 1
-    spark = metrics.sparkSession
-    kind = "k string, " + ", ".join(f"b_{m} array<double>" for m in MEASURES)
-
-    def table(rows, key: str) -> DataFrame:
-        return spark.createDataFrame([(r[key], *(r[m] for m in MEASURES)) for r in rows], kind)
-
-    langs = table(bounded(by_lang, most, "language bands"), lang).select(F.struct("*").alias("lang_band"))
-    scripts = table(bounded(by_script, len(NAMES), "script bands"), "script").select(F.struct("*").alias("script_band"))
-    met = metrics.join(F.broadcast(langs), F.col(lang) == F.col("lang_band.k"), "left").join(
-        F.broadcast(scripts), F.col("script") == F.col("script_band.k"), "left"
+def _length() -> Column:
+    return F.log2(F.greatest(F.col("n_lettered"), F.lit(2)))
+
+
+def _usual(groups: DataFrame) -> DataFrame:
+    """kind, key, n, the usual value of each measure, and slope: the usual bits per token are
+    usual + slope / log2(tokens), by least squares. All are drawn through the medians of the length
+    classes, which a few odd texts do not move."""
+    classes = groups.groupBy("kind", "key", F.floor(_length()).alias("class")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(1 / _length()).alias("u"),
+        *(F.percentile_approx(m, 0.5, 1000).alias(m) for m in MEASURES),
     )
+    bits = F.col("lettered_entropy") / F.col("u")
+    sums = classes.groupBy("kind", "key").agg(
+        F.sum("n").alias("n"),
+        *((F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(f"usual_{m}") for m in MEASURES if m != "lettered_entropy"),
+        *(
+            (F.sum(F.col("n") * v) / F.sum("n")).alias(name)
+            for name, v in (("u", F.col("u")), ("b", bits), ("uu", F.col("u") * F.col("u")), ("ub", F.col("u") * bits))
+        ),
+    )
+    spread = F.col("uu") - F.col("u") * F.col("u")
+    slope = F.when(spread > 1e-9, (F.col("ub") - F.col("u") * F.col("b")) / spread).otherwise(0.0)
+    sums = sums.withColumn("slope", slope).withColumn("usual_lettered_entropy", F.col("b") - F.col("slope") * F.col("u"))
+    return sums.select("kind", "key", "n", "slope", *(f"usual_{m}" for m in MEASURES))
+
+
+def _off(measure: str, band: str = "") -> Column:
+    """Distance of a text from the usual value, shrunk for short texts."""
+    usual = F.col(f"{band}usual_{measure}")
+    if measure == "lettered_entropy":
+        usual = (usual + F.col(f"{band}slope") / _length()) / _length()
+    return (F.col(measure) - usual) / F.sqrt(1 + F.lit(float(SHORT)) / F.greatest(F.col("n_lettered"), F.lit(1)))
+
+
+def _bands(good: DataFrame, lang: str) -> DataFrame:
+    """kind (lang, script or all), key, what is usual, and the quartiles of the distances from it."""
+    names = {"lang": F.col(lang), "script": F.col("script"), "all": F.lit("all")}
+    keys = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in names.items())))
+    columns = ["n_lettered", *MEASURES]
+    groups = good.select(keys.alias("group"), *columns).select("group.*", *columns).filter("key is not null")
+    # A language has a band when it has a thousandth of the documents: at most a thousand bands.
+    least = max(LEAST_GROUP, int(good.count() * GROUP_SHARE))
+    usual = stored(_usual(groups).filter((F.col("n") >= least) | (F.col("kind") == "all")), "quality-usual")
+    quartiles = [F.percentile_approx(_off(m), [0.25, 0.75], 1000).alias(f"b_{m}") for m in MEASURES]
+    ranges = groups.join(usual, ["kind", "key"]).groupBy("kind", "key").agg(*quartiles)
+    return stored(ranges.join(usual, ["kind", "key"]), "quality-bands")
+
+
+def judged(metrics: DataFrame, lang: str = "lang", fence: dict[str, tuple[float, float]] = FENCE) -> DataFrame:
+    """Adds base_failed and kept. Reads ``metrics`` several times, so it should be a stored table."""
+    bands = _bands(metrics.filter(~base_failed()), lang)
+    met = metrics
+    for kind, key in (("lang", F.col(lang)), ("script", F.col("script")), ("all", F.lit("all"))):
+        own = bands.filter(F.col("kind") == kind).select(F.struct("*").alias(f"{kind}_band"))
+        met = met.join(own, key == F.col(f"{kind}_band.key"), "left")
+    met = met.withColumn("_band", F.coalesce("lang_band", "script_band", "all_band"))
     inside = F.lit(True)
-    wider = F.sqrt(1 + F.lit(float(SHORT)) / F.greatest(F.col("n_tokens"), F.lit(1)))
     for m in MEASURES:
-        whole = F.array(*(F.lit(v) for v in overall[m])) if overall[m] else F.lit(None).cast("array<double>")
-        band = F.coalesce(F.col(f"lang_band.b_{m}"), F.col(f"script_band.b_{m}"), whole)
-        low, high = F.get(band, F.lit(0)), F.get(band, F.lit(1))
-        reach = F.greatest(high - low, F.lit(LEAST_SPREAD[m])) * fence * wider
-        inside = inside & F.coalesce(F.col(m).between(low - reach, high + reach), F.lit(True))
-    return met.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop("lang_band", "script_band")
+        low, high = F.get(F.col(f"_band.b_{m}"), F.lit(0)), F.get(F.col(f"_band.b_{m}"), F.lit(1))
+        least = F.lit(LEAST_SPREAD[m]) * (F.col(f"_band.usual_{m}") if m == "lettered_chars" else 1)
+        spread = F.greatest(high - low, least)
+        below, above = fence[m]
+        inside = inside & F.coalesce(_off(m, "_band.").between(low - below * spread, high + above * spread), F.lit(True))
+    judgement = {"base_failed": base_failed(), "kept": ~base_failed() & inside}
+    return met.withColumns(judgement).drop("lang_band", "script_band", "all_band", "_band")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

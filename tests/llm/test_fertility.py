@@ -69,3 +69,28 @@ def test_awkward_rows(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert op2_fertility(spark, written(spark, empty(spark), tmp_path)).collect() == []
+
+
+def test_noise_goes_in_every_language_and_clean_texts_stay(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    docs = small(spark, "/root/testdata/sf0.01").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], "s", 0) for r in docs]
+    clean = {r["doc_id"] for r in docs if not base(r["text"])[-1]}
+    noise = {}
+    for lang in ("en", "es", "fr", "de"):
+        known = sorted({w for r in docs if r["lang"] == lang for w in words(r["text"])[:300]})
+        few = rng.sample(known, 12)
+        for n in (100, 300, 1000):
+            letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11)))
+            makers = {"few words": lambda: rng.choice(few), "hex": lambda: f"{rng.getrandbits(32):08x}", "letters": letters}
+            for kind, make in makers.items():
+                text = " ".join(make() for _ in range(n))
+                assert not base(text)[-1]
+                noise[10**9 + len(noise)] = (kind, lang, n)
+                rows.append((10**9 + len(noise) - 1, text, lang, "s", 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"]: r["kept"] for r in op2_fertility(spark, written(spark, df, tmp_path)).collect()}
+    assert [v for k, v in noise.items() if kept[k]] == []
+    assert sum(not kept[i] for i in clean) <= len(clean) // 200
