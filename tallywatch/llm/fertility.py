@@ -4,7 +4,8 @@ Public vocabularies measure each text: characters per token and the entropy of i
 (relative to the largest possible) with the byte-level one, and the share of byte-fallback tokens
 with the one that falls back to bytes. A language, or the script where a language is rare or
 unknown, has a band for each measure, taken from the quartiles of all its documents that pass the
-base rules: far beyond them a text is rejected.
+base rules: far beyond them a text is rejected. Where neither has enough documents for quartiles
+there is no band, and the base rules alone decide.
 
 Judged are the tokens with a letter or a digit, since signs say nothing about a language. Entropy
 falls with the length of a text, so what counts is its distance from the trend of the group: bits
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +40,15 @@ WINDOW = 5
 # many of them only mark common words.
 FENCE = {"lettered_chars": (2.25, 6.0), "byte_share": (4.0, 4.0), "lettered_entropy": (3.5, 4.0)}
 SHORT = 1024  # tokens; below, distances shrink with the square root
-LEAST_GROUP = 50
-GROUP_SHARE = 0.001  # so there are at most 1000 language bands
-# First code points of ranges and their scripts.
-SCRIPTS = (
-    (0x0000, "other"), (0x0041, "latin"), (0x005B, "other"), (0x0061, "latin"), (0x007B, "other"),
-    (0x00C0, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"),
-    (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "other"),
-    (0x0E00, "thai"), (0x0E80, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
-    (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"),
-)
-NAMES = sorted({name for _, name in SCRIPTS})
+LEAST_GROUP = 20  # documents, for quartiles
+# First words in the names of letters that do not name a script, or only with the next word.
+HALF_NAMES = {"OLD", "NEW", "TAI", "LINEAR", "INSCRIPTIONAL"}
+NO_SCRIPT = {
+    "MODIFIER", "MATHEMATICAL", "FEMININE", "MASCULINE", "MICRO", "OHM", "KELVIN", "ANGSTROM", "SCRIPT", "DOUBLE-STRUCK",
+    "BLACK-LETTER", "COMBINING", "VARIATION", "IDEOGRAPHIC", "VERTICAL", "CARON", "SUPERSCRIPT", "ROMAN", "MASU", "VEDIC",
+    "MUSICAL", "ALEF", "BET", "GIMEL", "DALET", "INFORMATION", "TURNED",
+}
+SAME_SCRIPT = {"hiragana": "kana", "katakana": "kana", "katakana-hiragana": "kana", "cjk": "han"}
 MEASURES = ("lettered_chars", "byte_share", "lettered_entropy")
 # The least spread of a measure that counts as one range, so a group of like texts is not overstrict;
 # that of the characters per token is a share of the usual number.
@@ -118,15 +118,37 @@ def _duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+@functools.cache
+def _script_table() -> tuple[list[str], np.ndarray]:
+    """All scripts, ``other`` first, and the script of every code point: letters and the marks on them
+    have its name in theirs."""
+    of_names = {"other": 0}
+    table = np.zeros(0x110000, np.int16)
+    for point in range(0x110000):
+        char = chr(point)
+        if unicodedata.category(char)[0] in "LM" and (name := unicodedata.name(char, "")):
+            first, *rest = name.split(" ")
+            if first in NO_SCRIPT:
+                continue
+            if first in ("FULLWIDTH", "HALFWIDTH"):
+                first = rest[0]
+            elif first in HALF_NAMES and rest:
+                first = f"{first} {rest[0]}"
+            script = first.lower()
+            table[point] = of_names.setdefault(SAME_SCRIPT.get(script, script), len(of_names))
+    return list(of_names), table
+
+
 def _scripts(texts: list[bytes]) -> list[str]:
-    points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in points])
-    ranges = np.searchsorted([low for low, _ in SCRIPTS], np.concatenate(points), side="right") - 1
-    names = np.array([NAMES.index(name) for _, name in SCRIPTS])[ranges]
-    counts = np.bincount(owner * len(NAMES) + names, minlength=len(texts) * len(NAMES)).reshape(-1, len(NAMES))
-    counts[:, NAMES.index("other")] = 0
-    best = counts.argmax(axis=1)
-    return [NAMES[b] if counts[i, b] else "other" for i, b in enumerate(best)]
+    names, table = _script_table()
+    out = []
+    for text in texts:
+        points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        counts = np.bincount(table[points], minlength=len(names))
+        counts[0] = 0
+        best = counts.argmax()
+        out.append(names[best] if counts[best] else "other")
+    return out
 
 
 def measure(texts: list[bytes], paths) -> dict[str, list]:
@@ -247,14 +269,12 @@ def _off(measure: str, band: str = "") -> Column:
 
 
 def _bands(good: DataFrame, lang: str) -> DataFrame:
-    """kind (lang, script or all), key, what is usual, and the quartiles of the distances from it."""
-    names = {"lang": F.col(lang), "script": F.col("script"), "all": F.lit("all")}
+    """kind (lang or script), key, what is usual, and the quartiles of the distances from it."""
+    names = {"lang": F.col(lang), "script": F.col("script")}
     keys = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in names.items())))
     columns = ["n_lettered", *MEASURES]
     groups = good.select(keys.alias("group"), *columns).select("group.*", *columns).filter("key is not null")
-    # A language has a band when it has a thousandth of the documents: at most a thousand bands.
-    least = max(LEAST_GROUP, int(good.count() * GROUP_SHARE))
-    usual = stored(_usual(groups).filter((F.col("n") >= least) | (F.col("kind") == "all")), "quality-usual")
+    usual = stored(_usual(groups).filter(F.col("n") >= LEAST_GROUP), "quality-usual")
     quartiles = [F.percentile_approx(_off(m), [0.25, 0.75], 1000).alias(f"b_{m}") for m in MEASURES]
     ranges = groups.join(usual, ["kind", "key"]).groupBy("kind", "key").agg(*quartiles)
     return stored(ranges.join(usual, ["kind", "key"]), "quality-bands")
@@ -264,10 +284,10 @@ def judged(metrics: DataFrame, lang: str = "lang", fence: dict[str, tuple[float,
     """Adds base_failed and kept. Reads ``metrics`` several times, so it should be a stored table."""
     bands = _bands(metrics.filter(~base_failed()), lang)
     met = metrics
-    for kind, key in (("lang", F.col(lang)), ("script", F.col("script")), ("all", F.lit("all"))):
+    for kind, key in (("lang", F.col(lang)), ("script", F.col("script"))):
         own = bands.filter(F.col("kind") == kind).select(F.struct("*").alias(f"{kind}_band"))
         met = met.join(own, key == F.col(f"{kind}_band.key"), "left")
-    met = met.withColumn("_band", F.coalesce("lang_band", "script_band", "all_band"))
+    met = met.withColumn("_band", F.coalesce("lang_band", "script_band"))
     inside = F.lit(True)
     for m in MEASURES:
         low, high = F.get(F.col(f"_band.b_{m}"), F.lit(0)), F.get(F.col(f"_band.b_{m}"), F.lit(1))
@@ -276,7 +296,7 @@ def judged(metrics: DataFrame, lang: str = "lang", fence: dict[str, tuple[float,
         below, above = fence[m]
         inside = inside & F.coalesce(_off(m, "_band.").between(low - below * spread, high + above * spread), F.lit(True))
     judgement = {"base_failed": base_failed(), "kept": ~base_failed() & inside}
-    return met.withColumns(judgement).drop("lang_band", "script_band", "all_band", "_band")
+    return met.withColumns(judgement).drop("lang_band", "script_band", "_band")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

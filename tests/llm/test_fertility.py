@@ -4,9 +4,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as public
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallywatch.llm.fertility import kept_documents, op2_fertility, repeated_words
+from tallywatch.llm.fertility import _scripts, judged, kept_documents, op2_fertility, repeated_words
 from tests.llm.cases import awkward, awkward_rows, empty, small, texts, words, written
 
 
@@ -94,3 +95,41 @@ def test_noise_goes_in_every_language_and_clean_texts_stay(spark, tmp_path):
     kept = {r["doc_id"]: r["kept"] for r in op2_fertility(spark, written(spark, df, tmp_path)).collect()}
     assert [v for k, v in noise.items() if kept[k]] == []
     assert sum(not kept[i] for i in clean) <= len(clean) // 200
+
+
+def test_clean_texts_of_rare_scripts_stay(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"], "en", "s", 0) for r in small(spark).filter("lang = 'en'").collect()]
+    starts = {"ka": 0x10D0, "ta": 0x0B95, "th": 0x0E01, "hi": 0x0915, "zh": 0x4E00, "am": 0x1200}
+    rare = {}
+    for lang, first in starts.items():
+        own = ["".join(chr(first + rng.randrange(24)) for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+        own = [w for w in own if w.isalpha()]
+        for n in (30, 2000):
+            rare[10**9 + len(rare)] = (lang, n)
+            rows.append((10**9 + len(rare) - 1, " ".join(rng.choice(own) for _ in range(n)), lang, "s", 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"]: r["kept"] for r in op2_fertility(spark, written(spark, df, tmp_path)).collect()}
+    assert [v for k, v in rare.items() if not kept[k]] == []
+
+
+def test_every_language_with_quartiles_has_a_band_of_its_own(spark):
+    each, odd = 25, F.col("id") % 25 == 0
+    language = F.floor(F.col("id") / each)
+    metrics = spark.range(1200 * each).select(
+        "id", F.concat(F.lit("l"), language).alias("lang"), F.lit("latin").alias("script"),
+        F.lit(100).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_repeat_words"),
+        F.lit(400).cast("bigint").alias("n_tokens"), F.lit(400).cast("bigint").alias("n_lettered"),
+        (F.when(odd, 0.5).otherwise(1.0) * (1 + language / 600) + 0.001 * (F.col("id") % 7)).alias("lettered_chars"),
+        F.lit(0.0).alias("byte_share"), F.lit(0.7).alias("lettered_entropy"),
+    )
+    kept = judged(metrics).groupBy((F.col("id") % each == 0).alias("odd"), "kept").count().collect()
+    assert {(r["odd"], r["kept"]): r["count"] for r in kept} == {(True, False): 1200, (False, True): 1200 * (each - 1)}
+
+
+def test_scripts_are_complete():
+    samples = {"საქართველო": "georgian", "தமிழ்": "tamil", "ไทย": "thai", "हिन्दी": "devanagari", "አማርኛ": "ethiopic", "中文": "han"}
+    samples |= {"ひらがなカタカナ": "kana", "한국어": "hangul", "বাংলা": "bengali", "Ωμέγα": "greek", "12 -- !": "other", "": "other"}
+    assert _scripts([t.encode() for t in samples]) == list(samples.values())
