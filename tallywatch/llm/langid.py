@@ -8,8 +8,10 @@ language with the lowest cross-entropy per character; it is also rejected when t
 beyond what calibration documents of the language, held out of the counts, show at its length.
 
 The models are fitted on a bounded sample of labelled rows: at most about ``MOST_ROWS`` documents
-per language, drawn by a hash of the id, whole texts; ``MOST_GRAMS`` bounds the n-grams kept,
-the rarest counts going first. Every document is predicted from its whole text alone.
+per language, drawn by a hash of the row, whole texts. Where these have more than ``MOST_GRAMS``
+distinct n-grams, every language is bounded by the same lower number of documents, one at least;
+all n-grams of the sample count. A language with too few documents for calibration is fitted on all
+of them and not rejected. Every document is predicted from its whole text alone.
 
 Defined results: a null text, or one without a letter, gets ``und`` and score 0, and so do all texts
 where there is nothing to learn from; ties go to the language first by code points; equal texts get
@@ -37,6 +39,7 @@ MOST_GRAMS = 2_000_000
 MOST_LANGUAGES = 1000
 MOST_WORDS = 200_000
 CALIBRATION = 4  # every so many-th document of the sample
+LEAST_ASIDE = 10  # documents for the calibration of a language, with others to learn from
 QUANTILE = 0.995
 BEGIN, END = 2, 3  # control characters, which are no letters
 NOT_LEARNED = "und"
@@ -247,27 +250,8 @@ def language_words(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, order: int = ORDER) -> tuple[Models, dict]:
     """The models, and per language the usual entropy and the reach of its deviations; from rows with
     doc_id, text and lang."""
-    spark = labelled.sparkSession
-    known = labelled.filter(F.col("lang").isNotNull())
-    sizes = bounded(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), MOST_LANGUAGES, "languages")
-    rates = spark.createDataFrame([(r["lang"], most_rows / r["n"]) for r in sizes], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATION)) == 0
-    drawn = known.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("doc_id", "lang", "text", part.alias("aside"))
-    drawn = stored(drawn, "langid-sample")
-    padded = F.concat(F.lit(chr(BEGIN) * (order - 1)), F.col("word"), F.lit(chr(END)))
-    places = F.sequence(F.lit(1), F.char_length("word") + 1)
-    grams = (
-        language_words(drawn.filter(~F.col("aside")))
-        .select("lang", "n", F.explode(F.transform(places, lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-    )
-    grams = stored(grams, "langid-grams")
-    least = _least_count(grams)
-    table = pd.DataFrame(
-        [tuple(r) for r in bounded(grams.filter(F.col("n") >= least), MOST_GRAMS, "n-grams")], columns=["lang", "gram", "n"]
-    )
+    drawn, grams = _sample(labelled.filter(F.col("lang").isNotNull()), most_rows, order)
+    table = pd.DataFrame([tuple(r) for r in grams.collect()], columns=["lang", "gram", "n"])
     langs = sorted(set(table["lang"]))
     table["lang"] = table["lang"].map({x: i for i, x in enumerate(langs)})
     if not langs:
@@ -296,17 +280,42 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, order: int = ORDER) ->
     return models, {r["lang"]: (r["mid"], r["reach"]) for r in bounded(reach, MOST_LANGUAGES, "languages")}
 
 
-def _least_count(grams: DataFrame) -> int:
-    """The smallest count that leaves at most MOST_GRAMS n-grams."""
-    if grams.count() <= MOST_GRAMS:
-        return 1
-    by_count = grams.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()
-    kept = 0
-    for n, c in sorted(((r["n"], r["c"]) for r in by_count), reverse=True):
-        if kept + c > MOST_GRAMS:
-            return n + 1
-        kept += c
-    return 1
+def _sample(known: DataFrame, most_rows: int, order: int) -> tuple[DataFrame, DataFrame]:
+    """The drawn documents (lang, text, and whether aside for calibration), and lang, gram and n of the others."""
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text"), F.lit(CALIBRATION)) == 0
+    rows = known.select("lang", "text", draw.alias("draw"), part.alias("part"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"))
+    sizes = bounded(sizes, MOST_LANGUAGES, "languages")
+    most = min(most_rows, max((r["n"] for r in sizes), default=0))
+    while True:
+        # Every language keeps the document that is drawn first.
+        rates = [(r["lang"], max(most / r["n"], r["first"])) for r in sizes]
+        rates = known.sparkSession.createDataFrame(rates, "lang string, rate double")
+        drawn = rows.join(F.broadcast(rates), "lang").filter(F.col("draw") <= F.col("rate"))
+        drawn = stored(drawn.select("lang", "text", "draw", "part"), "langid-sample")
+        enough = drawn.groupBy("lang").agg(
+            ((F.count_if("part") >= LEAST_ASIDE) & (F.count_if(~F.col("part")) >= LEAST_ASIDE)).alias("enough")
+        )
+        rows = drawn  # what a lower number of documents is drawn from
+        drawn = drawn.join(F.broadcast(enough), "lang").withColumn("aside", F.col("part") & F.col("enough"))
+        grams = stored(_grams(drawn.filter(~F.col("aside")), order), "langid-grams")
+        found = grams.count()
+        if found <= MOST_GRAMS or most <= 1:
+            return drawn, grams
+        most = max(1, int(most * min(0.7, MOST_GRAMS / found)))
+
+
+def _grams(rows: DataFrame, order: int) -> DataFrame:
+    """lang, gram and n of every n-gram of ``order`` characters."""
+    padded = F.concat(F.lit(chr(BEGIN) * (order - 1)), F.col("word"), F.lit(chr(END)))
+    places = F.sequence(F.lit(1), F.char_length("word") + 1)
+    return (
+        language_words(rows)
+        .select("lang", "n", F.explode(F.transform(places, lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
+        .groupBy("lang", "gram")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def predict(docs: DataFrame, models: Models | None, calibration: dict, keep: list[str]) -> DataFrame:

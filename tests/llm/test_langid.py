@@ -113,3 +113,36 @@ def test_words_are_their_letters():
     points, lengths = langid.letter_words(["Été,".encode(), b"12", b"a1B"])
     assert "".join(map(chr, points)) == "étéab" and lengths.tolist() == [3, 0, 2]
     assert isinstance(points, np.ndarray)
+
+
+def test_every_language_is_learned_however_small(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_GRAMS", 3000)
+    few = {f"l{i}": " ".join(chr(0x3B1 + i) + chr(0x3B1 + (i + k) % 24) for k in range(3)) for i in range(12)}
+    docs = small(spark).select("doc_id", "lang", "text").union(
+        spark.createDataFrame([(10**6 + i, x, t) for i, (x, t) in enumerate(few.items())], "doc_id bigint, lang string, text string")
+    )
+    models, calibration = langid.fit(docs)
+    known = {r["lang"] for r in docs.filter("text is not null").select("lang").distinct().collect() if r["lang"]}
+    assert set(models.langs) == known and not set(few) & set(calibration)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(few.values())], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in langid.predict(asked, models, calibration, ["doc_id"]).collect()}
+    assert [found[i]["lang_pred"] for i in range(len(few))] == list(few)
+    assert not any(r["rejected"] for r in found.values())
+
+
+def test_a_bound_on_ngrams_keeps_all_of_the_sample(spark, monkeypatch):
+    docs = small(spark).select("doc_id", "lang", "text")
+    monkeypatch.setattr(langid, "MOST_GRAMS", 12_000)
+    spread = Counter()
+
+    class Seen(Exception):
+        pass
+
+    def look(self, langs, counted, order=langid.ORDER):
+        spread.update(counted["n"].tolist())
+        raise Seen
+
+    monkeypatch.setattr(langid.Models, "__init__", look)
+    with pytest.raises(Seen):
+        langid.fit(docs)
+    assert spread[1] > 0 and spread[2] > 0 and sum(spread.values()) <= 12_000
