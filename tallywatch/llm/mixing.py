@@ -123,11 +123,13 @@ def mix(
     costs: Sequence[float] = PASS_COSTS,
     seed: str = SEED,
     keep: Sequence[str] = ("doc_id",),
+    fill: bool = True,
 ) -> DataFrame:
     """One row per document: ``keep``, size, memberships, passes, and the targets of its sources.
 
     ``memberships`` is an array of source names per document. Sources in order of code points,
-    null last, weigh ``weights`` in turn; ``len(costs)`` is the largest number of passes.
+    null last, weigh ``weights`` in turn; ``len(costs)`` is the largest number of passes. Without
+    ``fill`` the last pass ends at the first document that does not fit.
     Returns the columns of ``keep`` followed by size, sources (array), source_sizes (array),
     targets (array) and copies (how often the document is taken as a whole).
     """
@@ -174,7 +176,7 @@ def mix(
     planned = spark.createDataFrame(
         plan, "pattern string, source_sizes array<bigint>, targets array<double>, passes bigint, rest bigint"
     )
-    chosen = _last_pass(sized, planned.select("pattern", "rest"))
+    chosen = _last_pass(sized, planned.select("pattern", "rest"), fill)
     # One row per pattern, and their number is checked above.
     return chosen.join(F.broadcast(planned.drop("rest")), "pattern").select(
         "kept.*",
@@ -186,9 +188,61 @@ def mix(
     )
 
 
-def _last_pass(sized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds ``chosen``: documents in seeded order while their words fit into the pattern's rest,
-    and then the one other document whose size comes nearest to what is still missing.
+def _last_pass(sized: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
+    """Adds ``chosen``: documents in seeded order while their words fit into the pattern's rest, with
+    ``fill`` also every later one that fits, and then the one other document whose size comes nearest
+    to what is still missing."""
+    tried = stored(_in_turn(sized, wanted), "mix-tried")
+    missing = (
+        tried.filter((F.col("bucket") == F.col("end_bucket")))
+        .groupBy("pattern")
+        .agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("missing"))
+    )
+    others = tried.filter(~F.col("chosen")).select("pattern", "bucket", "turn", "row", "size")
+    more = others.select("row").limit(0)
+    if fill:
+        more, missing = _fitting(others, stored(missing, "mix-missing"))
+    nearest = (
+        others.join(more, "row", "left_anti")
+        .join(F.broadcast(missing), "pattern")
+        .withColumn("off", F.abs(F.col("size") - F.col("missing")))
+        .filter(F.col("off") < F.col("missing"))
+        .groupBy("pattern")
+        .agg(F.min(F.struct("off", "turn", "row")).alias("best"))
+        .select(F.col("best.row").alias("row"))
+    )
+    # The words missing at the first misfit bound how many there are of both.
+    added = stored(more.unionByName(nearest).withColumn("added", F.lit(True)), "mix-added")
+    found = tried.join(added, "row", "left")
+    return found.withColumn("chosen", F.col("chosen") | F.coalesce("added", F.lit(False))).drop("added")
+
+
+def _fitting(others: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all other documents that still fit, in seeded order, and what is missing then.
+
+    Documents longer than what is missing are taken out, the rest is taken in turn up to the next
+    misfit, and so on until nothing fits; what is missing falls below the misfit each time.
+    """
+    rows = others.select("row").limit(0)
+    others = others.filter("size > 0")
+    while True:
+        others = stored(others.join(F.broadcast(missing), "pattern").filter("size <= missing").drop("missing"), "mix-fitting")
+        if others.isEmpty():
+            return rows, missing
+        tried = _in_turn(others, missing.withColumnRenamed("missing", "rest"))
+        tried = stored(tried.select(*others.columns, "chosen"), "mix-turn")
+        chosen = tried.filter("chosen")
+        rows = rows.unionByName(chosen.select("row"))
+        words = chosen.groupBy("pattern").agg(F.sum("size").alias("words"))
+        missing = missing.join(words, "pattern", "left")
+        missing = missing.select("pattern", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing"))
+        missing = stored(missing, "mix-missing")
+        others = tried.filter("not chosen").drop("chosen")
+
+
+def _in_turn(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``chosen``: documents in seeded order while their words fit into the pattern's rest; and
+    the slice where it ends, with the words it has left there.
 
     Only sums per 1/4096 of a pattern are ordered; the one slice in which the rest ends is the
     only one whose documents are.
@@ -215,23 +269,7 @@ def _last_pass(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     within = placed.filter(F.col("bucket") == F.col("end_bucket")).withColumn(
         "chosen", F.sum("size").over(in_turn) <= F.col("left")
     )
-    tried = stored(clear.unionByName(within), "mix-tried")
-    missing = (
-        tried.filter((F.col("bucket") == F.col("end_bucket")))
-        .groupBy("pattern")
-        .agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("missing"))
-    )
-    nearest = (
-        tried.filter(~F.col("chosen"))
-        .join(F.broadcast(missing), "pattern")
-        .withColumn("off", F.abs(F.col("size") - F.col("missing")))
-        .filter(F.col("off") < F.col("missing"))
-        .groupBy("pattern")
-        .agg(F.min(F.struct("off", "turn", "row")).alias("best"))
-        .select("pattern", F.col("best.row").alias("best_row"))
-    )
-    found = tried.join(F.broadcast(nearest), "pattern", "left")
-    return found.withColumn("chosen", F.col("chosen") | F.coalesce(F.col("row") == F.col("best_row"), F.lit(False)))
+    return clear.unionByName(within)
 
 
 def mixed_documents(docs: DataFrame, source: str = "source", **options) -> DataFrame:
@@ -253,7 +291,8 @@ def op1_mixing(spark, folder: str) -> DataFrame:
     from tallywatch.llm.common import documents
 
     docs = documents(spark, folder)
-    mixed = mix(docs, F.array("source"))
+    # OP1_SQL ends the last pass at the first misfit, and this query answers as it does.
+    mixed = mix(docs, F.array("source"), fill=False)
     return mixed.select(
         "doc_id",
         "size",

@@ -96,3 +96,15 @@ def test_mixed_documents_keep_their_columns(spark):
     counts = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
     plain = Counter((r[0], r[1]) for r in awkward_rows())
     assert all(n <= 3 * plain[k] for k, n in counts.items())
+
+
+def test_the_last_pass_goes_on_after_a_document_that_does_not_fit(spark):
+    # 4000 of the 6000 words of a are wanted, one document has 2000 of them; b is taken whole and more.
+    sizes = [(i, 10, "a") for i in range(400)] + [(400, 2000, "a"), (401, 6000, "b")]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in sizes], "doc_id bigint, text string, s string")
+    for seed in ("1", "2", "3"):
+        rows = mix(docs, F.array("s"), weights=(1, 2), seed=seed, keep=("doc_id", "s")).collect()
+        assert len(rows) == len(sizes)
+        a = [r for r in rows if r["s"] == "a"]
+        assert a[0]["targets"] == [4000.0] and {r["copies"] for r in a} == {0, 1}
+        assert sum(r["size"] * r["copies"] for r in a) == 4000
