@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.llm import fertility, hashtree, katz, langid, linededup, mixing, packing, repeats, simhash, topk
+from tallywatch.llm import fertility, fim, hashtree, katz, langid, linededup, mixing, packing, repeats, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_kneser_ney": langid.op9_kneser_ney,
     "op10_katz": katz.op10_katz,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_topk": topk.OP3_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
