@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.llm import fertility, fim, hashtree, katz, langid, linededup, mixing, packing, repeats, simhash, topk
+from tallywatch.llm import fertility, fim, hashtree, katz, langid, linededup, merkle, mixing, packing, repeats, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_kneser_ney": langid.op9_kneser_ney,
     "op10_katz": katz.op10_katz,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op3_topk": topk.OP3_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }
