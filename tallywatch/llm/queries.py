@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.llm import fertility, fim, hashtree, katz, langid, linededup, merkle, mixing, packing, repeats, simhash, topk
+from tallywatch.llm import fertility, fim, hashtree, katz, kernelquality, langid, linededup, merkle, mixing, packing, repeats, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_katz": katz.op10_katz,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_merkle": merkle.op12_merkle,
+    "op13_kernel_quality": kernelquality.op13_kernel_quality,
 }
 
 ORACLE = {
