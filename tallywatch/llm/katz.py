@@ -48,6 +48,7 @@ from tallywatch.llm.pieces import flat, portions, word_codes, words_of
 
 CHUNK_BYTES = 6_000_000
 PART_ENTRIES = 3_000_000
+SERVED_AT_ONCE = 400_000
 GT_MOST = 5
 HEAVY = 1 / 4096
 END, BEGIN = 0, 1  # numbers of the end token and of the start of a text in every chunk
@@ -245,57 +246,87 @@ def _send_bigrams(chunk_id: int, chunk: Chunk, answers: pd.DataFrame, heavy: np.
     return sent(rows)
 
 
-def _serve_bigrams(part: int, received: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
-    """Adds up every bigram; answers with its count, and per history with how many continuations
-    have each small count and the probability of all its continuations."""
-    chunks = []
-    for payload in received["payload"]:
+class Received:
+    """The bigrams that one chunk sent to a part, unexpanded, and what the part found out about them."""
+
+    def __init__(self, payload: bytes):
         h, runs, spread, met, corpus, at, own = split(payload, 7)
-        h, runs, spread = unpacked(h, np.uint64), unpacked(runs, np.uint32), unpacked(spread, bool)
-        met, corpus, at = unpacked(met, np.uint64), unpacked(corpus, np.int64), unpacked(at, np.uint32)
-        chunks.append((h, runs, spread, met[at], corpus[at], unpacked(own, np.uint32)))
-    first = np.concatenate([np.repeat(c[0], c[1]) for c in chunks])
-    second = np.concatenate([c[3] for c in chunks])
-    corpus = np.concatenate([c[4] for c in chunks])
-    own = np.concatenate([c[5] for c in chunks]).astype(np.float64)
+        self.histories, self.runs, self.spread = unpacked(h, np.uint64), unpacked(runs, np.uint32), unpacked(spread, bool)
+        self.met, self.corpus = unpacked(met, np.uint64), unpacked(corpus, np.int64)
+        self.at, self.own = unpacked(at, np.uint32), unpacked(own, np.uint32)
+        self.back = np.empty(len(self.at), np.uint32)
+        self.no_small = np.empty(len(self.histories), bool)
+        self.seen = np.empty(len(self.histories))
+        self.small = np.empty((GT_MOST, len(self.histories)), np.uint32)
+
+    def of_range(self, i: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which histories, and which bigrams, belong to a range of the histories' hashes."""
+        own = (mixed(mixed(self.histories)) >> np.uint64(32)) % np.uint64(ranges) == i
+        return own, np.repeat(own, self.runs)
+
+    def answer(self) -> bytes:
+        asked = np.zeros(len(self.histories), bool)  # histories with a bigram never seen in training
+        asked[np.repeat(np.arange(len(asked)), self.runs)[self.back == 0]] = True
+        asked &= ~self.spread
+        return joined(
+            packed(self.back), np.packbits(self.no_small).tobytes(), np.packbits(asked).tobytes(),
+            packed(self.seen[asked]), *(packed(few[asked]) for few in self.small),
+        )
+
+
+def _serve_bigrams(part: int, received: pd.DataFrame, unigrams: Unigrams, at_once: int) -> pd.DataFrame:
+    """Adds up every bigram; answers with its count, and per history with how many continuations
+    have each small count and the probability of all its continuations.
+
+    A history's bigrams lie in one range of hashes; ranges are added up one after the other, so what
+    is expanded and sorted at a time is about ``at_once`` bigrams and at least one history's.
+    """
+    chunks = [Received(payload) for payload in received["payload"]]
+    ranges = max(1, -(-sum(len(c.at) for c in chunks) // at_once))
+    levels, spread_sums = np.zeros(len(LEVELS), np.int64), {}
+    for i in range(ranges):
+        levels += _serve_range(chunks, i, ranges, unigrams, spread_sums)
+    numbers = received["chunk"].tolist()
+    rows = [(n, part, 2, c.answer(), *NOTHING, 0.0) for n, c in zip(numbers, chunks)]
+    rows += [(h, part, 3, None, *sums) for h, sums in sorted(spread_sums.items())]
+    rows.append((-1, part, 0, None, *levels.tolist(), 0.0))
+    return _answers(rows)
+
+
+def _serve_range(chunks: list[Received], i: int, ranges: int, unigrams: Unigrams, spread_sums: dict) -> np.ndarray:
+    """Notes the sums of one range of histories in ``chunks`` and ``spread_sums``; its counts of counts."""
+    chosen = [c.of_range(i, ranges) for c in chunks]
+    first = np.concatenate([np.repeat(c.histories[h], c.runs[h]) for c, (h, _) in zip(chunks, chosen)])
+    if not len(first):
+        return np.zeros(len(LEVELS), np.int64)
+    second = np.concatenate([c.met[c.at[e]] for c, (_, e) in zip(chunks, chosen)])
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
     new_first = np.concatenate([[True], first[1:] != first[:-1]])
-    new = new_first | np.concatenate([[True], second[1:] != second[:-1]])
-    starts = np.flatnonzero(new)
-    counts = np.add.reduceat(own[order], starts).astype(np.int64)
-    count_of = np.empty(len(order), np.int64)
-    count_of[order] = np.repeat(counts, np.diff(np.append(starts, len(order))))
-
+    starts = np.flatnonzero(new_first | np.concatenate([[True], second[1:] != second[:-1]]))
     groups = np.flatnonzero(new_first[starts])
     histories = first[starts][groups]
-    chances = np.where(counts > 0, unigrams.probability(corpus[order][starts]), 0.0)
+    del first, second, new_first
+    own = np.concatenate([c.own[e] for c, (_, e) in zip(chunks, chosen)])
+    counts = np.add.reduceat(own[order], starts, dtype=np.int64)
+    corpus = np.concatenate([c.corpus[c.at[e]] for c, (_, e) in zip(chunks, chosen)])[order[starts]]
+    count_of = np.empty(len(order), np.uint32)
+    count_of[order] = np.repeat(counts, np.diff(np.append(starts, len(order))))
+
+    chances = np.where(counts > 0, unigrams.probability(corpus), 0.0)
     seen = np.add.reduceat(chances, groups)
     small = np.stack([np.add.reduceat((counts == r).astype(np.int64), groups) for r in range(1, GT_MOST + 1)])
-
     no_small = small.sum(axis=0) == 0
-
-    rows, low = [], 0
-    spread_here: set[int] = set()
-    for chunk, (h, runs, spread, _, _, _) in zip(received["chunk"].tolist(), chunks):
-        high = low + int(runs.sum())
-        back = count_of[low:high]
-        asked = np.zeros(len(h), bool)  # histories with a bigram never seen in training
-        asked[np.repeat(np.arange(len(h)), runs)[back == 0]] = True
-        asked &= ~spread
-        at, every = np.searchsorted(histories, h[asked]), np.searchsorted(histories, h)
-        answer = joined(
-            packed(back.astype(np.uint32)), np.packbits(no_small[every]).tobytes(), np.packbits(asked).tobytes(),
-            packed(seen[at]), *(packed(small[r, at].astype(np.uint32)) for r in range(GT_MOST)),
-        )
-        rows.append((chunk, part, 2, answer, *NOTHING, 0.0))
-        spread_here.update(h[spread].tolist())
+    low = 0
+    for c, (h, e) in zip(chunks, chosen):
+        high = low + int(e.sum())
+        c.back[e] = count_of[low:high]
+        at = np.searchsorted(histories, c.histories[h])
+        c.no_small[h], c.seen[h], c.small[:, h] = no_small[at], seen[at], small[:, at]
         low = high
-    for i in np.searchsorted(histories, np.array(sorted(spread_here), np.uint64)):
-        sums = (0, *(int(small[r, i]) for r in range(GT_MOST)), 0, float(seen[i]))
-        rows.append((_signed(histories[i]), part, 3, None, *sums))
-    rows.append((-1, part, 0, None, *_levels(counts), 0.0))
-    return _answers(rows)
+        for k in at[c.spread[h]].tolist():
+            spread_sums[_signed(histories[k])] = (0, *small[:, k].tolist(), 0, float(seen[k]))
+    return np.array(_levels(counts), np.int64)
 
 
 class Model:
@@ -383,7 +414,9 @@ def token_chunks(docs: DataFrame, held: Column, most: int = CHUNK_BYTES) -> Data
     return bucketed(made, "token_chunks")
 
 
-def score_documents(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTES, entries: int = PART_ENTRIES) -> DataFrame:
+def score_documents(
+    docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTES, entries: int = PART_ENTRIES, served: int = SERVED_AT_ONCE
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document;
     the model learns from those that are not ``held``."""
     chunks = token_chunks(docs, held, chunk_bytes)
@@ -410,7 +443,7 @@ def score_documents(docs: DataFrame, held: Column, chunk_bytes: int = CHUNK_BYTE
         return _send_bigrams(*_chunk_of(frame, parts), answers, model.heavy)
 
     def serve_bigrams(key: tuple, received: pd.DataFrame) -> pd.DataFrame:
-        return _serve_bigrams(int(key[0]), received, unigrams)
+        return _serve_bigrams(int(key[0]), received, unigrams, served)
 
     asked = chunks.groupBy("chunk").cogroup(lookup.groupBy("chunk")).applyInPandas(send_bigrams, SENT)
     bigrams = stored(asked.groupBy("part").applyInPandas(serve_bigrams, ANSWER), "katz-bigrams")

@@ -89,6 +89,13 @@ def test_awkward_rows_and_many_chunks_and_parts(spark, tmp_path):
     compare(katz.score_documents(more.repartition(2), split, chunk_bytes=3000, entries=400), docs)
 
 
+def test_bigrams_in_many_ranges_of_histories(spark):
+    docs = texts_of_cases()
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    split = katz.crc_remainder(F.col("doc_id"), 5) == 1
+    compare(katz.score_documents(rows, split, chunk_bytes=2000, entries=900, served=50), docs)
+
+
 def test_every_history_sums_to_one():
     model = Brute(texts_of_cases())
     vocabulary = [*model.words, "never seen"]
