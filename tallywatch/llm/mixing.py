@@ -123,13 +123,11 @@ def mix(
     costs: Sequence[float] = PASS_COSTS,
     seed: str = SEED,
     keep: Sequence[str] = ("doc_id",),
-    fill: bool = True,
 ) -> DataFrame:
     """One row per document: ``keep``, size, memberships, passes, and the targets of its sources.
 
     ``memberships`` is an array of source names per document. Sources in order of code points,
-    null last, weigh ``weights`` in turn; ``len(costs)`` is the largest number of passes. Without
-    ``fill`` the last pass ends at the first document that does not fit.
+    null last, weigh ``weights`` in turn; ``len(costs)`` is the largest number of passes.
     Returns the columns of ``keep`` followed by size, sources (array), source_sizes (array),
     targets (array) and copies (how often the document is taken as a whole).
     """
@@ -176,7 +174,7 @@ def mix(
     planned = spark.createDataFrame(
         plan, "pattern string, source_sizes array<bigint>, targets array<double>, passes bigint, rest bigint"
     )
-    chosen = _last_pass(sized, planned.select("pattern", "rest"), fill)
+    chosen = _last_pass(sized, planned.select("pattern", "rest"))
     # One row per pattern, and their number is checked above.
     return chosen.join(F.broadcast(planned.drop("rest")), "pattern").select(
         "kept.*",
@@ -188,10 +186,9 @@ def mix(
     )
 
 
-def _last_pass(sized: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
-    """Adds ``chosen``: documents in seeded order while their words fit into the pattern's rest, with
-    ``fill`` also every later one that fits, and then the one other document whose size comes nearest
-    to what is still missing."""
+def _last_pass(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``chosen``: documents in seeded order, each one that still fits into the pattern's rest,
+    and then the one other document whose size comes nearest to what is still missing."""
     tried = stored(_in_turn(sized, wanted), "mix-tried")
     missing = (
         tried.filter((F.col("bucket") == F.col("end_bucket")))
@@ -199,9 +196,7 @@ def _last_pass(sized: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
         .agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("missing"))
     )
     others = tried.filter(~F.col("chosen")).select("pattern", "bucket", "turn", "row", "size")
-    more = others.select("row").limit(0)
-    if fill:
-        more, missing = _fitting(others, stored(missing, "mix-missing"))
+    more, missing = _fitting(others, stored(missing, "mix-missing"))
     nearest = (
         others.join(more, "row", "left_anti")
         .join(F.broadcast(missing), "pattern")
@@ -291,8 +286,7 @@ def op1_mixing(spark, folder: str) -> DataFrame:
     from tallywatch.llm.common import documents
 
     docs = documents(spark, folder)
-    # OP1_SQL ends the last pass at the first misfit, and this query answers as it does.
-    mixed = mix(docs, F.array("source"), fill=False)
+    mixed = mix(docs, F.array("source"))
     return mixed.select(
         "doc_id",
         "size",
@@ -303,8 +297,10 @@ def op1_mixing(spark, folder: str) -> DataFrame:
     )
 
 
+# The last pass goes from misfit to misfit: a state of ``fill`` is what a source still misses behind
+# the document that did not fit; the documents up to the next misfit are taken.
 OP1_SQL = """
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS turn
   FROM documents),
@@ -323,22 +319,39 @@ targets AS (
          CASE WHEN c.ratio < s.level THEN (3 * c.source_size)::DOUBLE ELSE s.level * c.weight END AS target
   FROM caps c, settled s),
 quotas AS (
-  SELECT *, least(floor(target)::BIGINT, 3 * source_size) AS quota,
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS number, least(floor(target)::BIGINT, 3 * source_size) AS quota,
          CASE WHEN source_size > 0 THEN least(floor(target)::BIGINT, 3 * source_size) // source_size ELSE 0 END AS passes,
          CASE WHEN source_size > 0 THEN least(floor(target)::BIGINT, 3 * source_size) % source_size ELSE 0 END AS rest
   FROM targets),
-tried AS (
-  SELECT d.*, q.source_size, q.target, q.passes, q.rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) <= q.rest AS chosen
+placed AS (
+  SELECT d.doc_id, d.size, d.turn, q.number, q.source_size, q.target, q.passes, q.rest,
+         row_number() OVER (PARTITION BY q.number ORDER BY turn, doc_id) AS pos
   FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+fill(number, missing, pos) AS (
+  SELECT number, rest::HUGEINT, 0::BIGINT FROM quotas
+  UNION ALL
+  SELECT number, any_value(missing) - coalesce(max(total) FILTER (WHERE total <= missing), 0),
+         min(pos) FILTER (WHERE total > missing)
+  FROM (SELECT f.number, f.missing, p.pos, sum(p.size) OVER (PARTITION BY f.number ORDER BY p.pos) AS total
+        FROM fill f JOIN placed p ON p.number = f.number AND p.pos > f.pos AND p.size <= f.missing AND p.size > 0) t
+  GROUP BY number HAVING min(pos) FILTER (WHERE total > missing) IS NOT NULL),
+taken AS (
+  SELECT number, pos, size FROM (
+    SELECT f.number, f.missing, p.pos, p.size, sum(p.size) OVER (PARTITION BY f.number, f.pos ORDER BY p.pos) AS total
+    FROM fill f JOIN placed p ON p.number = f.number AND p.pos > f.pos AND p.size <= f.missing AND p.size > 0) t
+  WHERE total <= missing),
+chosen AS (SELECT DISTINCT number, pos, size FROM taken),
 missing AS (
-  SELECT source, any_value(rest) - sum(CASE WHEN chosen THEN size ELSE 0 END) AS missing FROM tried GROUP BY source),
+  SELECT q.number, any_value(q.rest) - coalesce(sum(c.size), 0) AS missing
+  FROM quotas q LEFT JOIN chosen c ON c.number = q.number GROUP BY q.number),
 nearest AS (
-  SELECT t.source, min_by(t.doc_id, (abs(t.size - m.missing), t.turn)) AS best
-  FROM tried t JOIN missing m ON t.source IS NOT DISTINCT FROM m.source
-  WHERE NOT t.chosen AND abs(t.size - m.missing) < m.missing GROUP BY t.source)
-SELECT t.doc_id, t.size, t.source_size, t.target,
-       (t.size * CASE WHEN t.size = 0 THEN 0 ELSE t.passes + (t.chosen OR coalesce(n.best = t.doc_id, false))::INT END)::BIGINT AS taken,
-       (CASE WHEN t.size = 0 THEN 0 ELSE t.passes + (t.chosen OR coalesce(n.best = t.doc_id, false))::INT END)::BIGINT AS copies
-FROM tried t LEFT JOIN nearest n ON t.source IS NOT DISTINCT FROM n.source
+  SELECT p.number, min_by(p.pos, (abs(p.size - m.missing), p.pos)) AS pos
+  FROM placed p JOIN missing m ON m.number = p.number
+  WHERE abs(p.size - m.missing) < m.missing AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.number = p.number AND c.pos = p.pos)
+  GROUP BY p.number),
+last_pass AS (SELECT number, pos FROM chosen UNION SELECT number, pos FROM nearest),
+counted AS (
+  SELECT p.*, CASE WHEN p.size = 0 THEN 0 ELSE p.passes + (l.pos IS NOT NULL)::INT END AS copies
+  FROM placed p LEFT JOIN last_pass l ON l.number = p.number AND l.pos = p.pos)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM counted
 """

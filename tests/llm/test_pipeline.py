@@ -8,6 +8,7 @@ import corpus_pipeline
 from tallywatch.llm.mixing import water_level
 from tests.llm import test_fertility, test_linededup, test_simhash
 from tests.llm.cases import awkward, empty, lower, small, texts, words, written
+from tests.llm.test_mixing import near
 
 
 @pytest.fixture(scope="module")
@@ -61,16 +62,16 @@ def test_near_dedup_leaves_the_smallest_of_every_group(steps):
 
 
 def test_mixing_comes_near_its_targets(steps):
-    sizes, largest, taken = Counter(), Counter(), Counter()
+    sizes, rows_of = Counter(), defaultdict(list)
+    times = Counter(rows(steps[4]))
     for r in steps[3].collect():
         n = len(words(r["text"]))
         sizes[r["source"]] += n
-        largest[r["source"]] = max(largest[r["source"]], n)
-    for r in steps[4].collect():
-        taken[r["source"]] += len(words(r["text"]))
+        rows_of[r["source"]].append((n, times[tuple(r)]))
     names = sorted(sizes)
     targets = water_level([sizes[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))])
-    assert all(abs(taken[s] - t) <= largest[s] for s, t in zip(names, targets))
+    for s, target in zip(names, targets):
+        near(target, rows_of[s])
     assert set(rows(steps[4])) <= set(rows(steps[3]))
     assert max(Counter(i for i, _ in texts(steps[4])).values()) <= 3
 
