@@ -23,6 +23,7 @@ QUERIES = {
 ORACLE = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_topk": topk.OP3_SQL,
+    "op4_hash_tree": hashtree.OP4_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
     "op12_merkle": merkle.OP12_SQL,
