@@ -6,14 +6,12 @@ import json
 import os
 import sys
 import time
-import uuid
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from tallywatch.plans.models import train_models  # noqa: E402
-from tallywatch.plans.registry import QUERIES  # noqa: E402
-from tallywatch.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from tallywatch.plans.registry import QUERIES, trained_models  # noqa: E402
+from tallywatch.session import build_session  # noqa: E402
 from tallywatch.sources.star import transactions_table  # noqa: E402
 
 HEADLINE = [
@@ -73,8 +71,11 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - start, 3)
     if not sys.argv[1:]:
         start = time.perf_counter()
-        train_models(transactions_table(spark, folder), f"{ensure_checkpoint_dir(spark)}/bench-models-{uuid.uuid4().hex}")
+        trained_models(spark, folder)
         timings["train_models"] = round(time.perf_counter() - start, 3)
+        start = time.perf_counter()
+        materialise(QUERIES["hybrid_scores"](spark, folder))
+        timings["hybrid_scores"] = round(time.perf_counter() - start, 3)
     line = {
         "metric": "total_query_time",
         "value": round(sum(timings.values()), 3),

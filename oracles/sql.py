@@ -518,6 +518,56 @@ SELECT txn_id, amount AS amount_usd, round(least(greatest((amount - s.mean) / s.
   label
 FROM txn CROSS JOIN s"""
 
+FIXED_EDGES = {
+    "amount_usd": [100, 500, 1000, 2000, 3000, 5000, 8000, 9000, 10000, 20000, 50000, 100000],
+    "amount_zscore": [-0.9, -0.7, -0.5, -0.25, 0.05, 0.35, 0.75, 1.25, 2.15],
+    "is_round_1k": [0], "is_round_500": [0], "is_just_below_threshold": [0], "hour_of_day": list(range(23)), "is_weekend": [0],
+    "is_odd_hours": [0], "is_cross_border": [0], "is_fatf_country": [0], "is_new_payee": [0],
+    "payment_format_encoded": list(range(10)), "velocity_1hr": [1, 2, 3, 5], "velocity_6hr": [1, 2, 3, 5, 8],
+    "velocity_24hr": [1, 2, 3, 5, 8, 12],
+}
+
+
+def first_tree(depth: int = 3) -> str:
+    """The first boosted tree, level by level: sums per (node, feature, bin), the best split of a node, its children."""
+    cells = " UNION ALL ".join(
+        f"SELECT txn_id, {i} AS feature, '{name}' AS name, len(list_filter({[float(e) for e in edges]}, lambda e: e < {name})) AS bin FROM f"
+        for i, (name, edges) in enumerate(FIXED_EDGES.items())
+    )
+    thresholds = ", ".join(f"({i}, {b}, {float(e)!r}::DOUBLE)" for i, edges in enumerate(FIXED_EDGES.values()) for b, e in enumerate(edges))
+    levels = []
+    for k in range(depth):
+        levels.append(
+            f"""sums{k} AS (
+  SELECT a.node, c.feature, c.name, c.bin, sum(r.g) AS g, sum(r.h) AS h
+  FROM at{k} a JOIN r USING (txn_id) JOIN cells c USING (txn_id) GROUP BY ALL
+), below{k} AS (
+  SELECT *, sum(g) OVER up AS gl, sum(h) OVER up AS hl, sum(g) OVER every AS gt, sum(h) OVER every AS ht FROM sums{k}
+  WINDOW up AS (PARTITION BY node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), every AS (PARTITION BY node, feature)
+), gains{k} AS (
+  SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain
+  FROM below{k} WHERE hl >= 1 AND ht - hl >= 1
+), best{k} AS (
+  SELECT * FROM gains{k} WHERE gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1
+), at{k + 1} AS (
+  SELECT a.txn_id, 2 * a.node + 1 + CAST(c.bin > b.bin AS int) AS node
+  FROM at{k} a JOIN best{k} b ON b.node = a.node JOIN cells c ON c.txn_id = a.txn_id AND c.feature = b.feature
+)"""
+        )
+    nodes = " UNION ALL ".join(f"SELECT node, sum(g) AS g, sum(h) AS h FROM at{k} JOIN r USING (txn_id) GROUP BY node" for k in range(depth + 1))
+    best = " UNION ALL ".join(f"SELECT node, feature, name, bin, gain FROM best{k}" for k in range(depth))
+    return f"""WITH f AS MATERIALIZED ({ORACLE["feature_matrix"]}),
+r AS (SELECT txn_id, CASE label WHEN 1 THEN -4.0::DOUBLE ELSE 0.5::DOUBLE END AS g, CASE label WHEN 1 THEN 2.0::DOUBLE ELSE 0.25::DOUBLE END AS h FROM f),
+cells AS MATERIALIZED ({cells}), thresholds(feature, bin, edge) AS (VALUES {thresholds}),
+at0 AS (SELECT txn_id, 0 AS node FROM f), {", ".join(levels)}, nodes AS ({nodes}), best AS ({best})
+SELECT n.node AS node_id, b.name AS feature, t.edge AS threshold, coalesce(b.gain, 0) AS gain, n.g AS gradient, n.h AS cover,
+  CASE WHEN b.node IS NULL THEN -0.05::DOUBLE * n.g / (n.h + 1) ELSE 0 END AS value
+FROM nodes n LEFT JOIN best b USING (node) LEFT JOIN thresholds t ON t.feature = b.feature AND t.bin = b.bin"""
+
+
+ORACLE["gbt_first_tree"] = first_tree()
+
 ORACLE["stream_scoring"] = ORACLE["rules_v3"]
 ORACLE["stream_velocity"] = txn(
     """SELECT txn_id,

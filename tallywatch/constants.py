@@ -122,7 +122,10 @@ MIN_IMPACT, TOP_ATTRIBUTIONS = 0.001, 3
 # Training parameters.
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_DEPTH_WEAK, BOOST_RATE = 200, 6, 5, 0.05
 FOREST_TREES, FOREST_ROWS_PER_TREE = 100, 25_600
-BOOST_BINS = 64
+BOOST_BINS = 256  # a code is one byte
+# Rows of a node that one task finishes; trees between two refreshes of the margins, and between checkpoints of them.
+BOOST_LOCAL_ROWS, BOOST_REFRESH, BOOST_CHECKPOINT = 131_072, 5, 50
+BOOST_TASKS = 64
 # The bound of the labelled sample: rows of a class beyond half of it are drawn by hash and weigh more.
 BOOST_ROWS = 4_000_000
 HOLDOUT_SHARE, SPLIT_SEED, WEAK_LABEL_SHARE = 0.2, 42, 0.02

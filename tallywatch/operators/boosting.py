@@ -1,80 +1,476 @@
-"""The boosted-tree classifier: weights, training, probabilities and its tree table."""
+"""The boosted-tree classifier: second-order gradient boosting on histograms of bin codes.
+
+Features become one-byte bin codes once, by a mergeable quantile sketch, and are stored as packed
+blocks. A tree grows from the sums of gradients and Hessians per (node, feature, bin): every task adds
+up its rows, the driver adds the tasks' histograms (their size depends on bins and nodes alone) and
+picks the splits of a level. A node with at most ``BOOST_LOCAL_ROWS`` rows needs no more passes over
+all rows: its rows meet in one task, which finishes the subtree by the same two functions, so
+where a node is finished changes nothing in the tree. Sums are of whole numbers (gradients in units of a
+power of two), so they are exact, and the model does not depend on how rows are laid out.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import vector_to_array
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
-from tallywatch.operators.features import assemble
+from tallywatch.operators.forest import feature_batches
 from tallywatch.operators.quality import uniform
 from tallywatch.session import ensure_checkpoint_dir
 
+NODE_SCHEMA = (
+    "tree_id int, node_id int, feature int, threshold double, lower int, upper int, "
+    "value double, gain double, gradient double, cover double"
+)
+PENALTY = 1.0  # on squared leaf values
+LEAST_HESSIAN = 1.0  # in a child
+LEAST_GAIN = 1e-6
+SCORE_CHUNK = 20_000
+EXACT = 52  # bits of a whole number that a double holds, less one
+
+
+@dataclass(frozen=True)
+class Bins:
+    """Upper edges of every feature's bins; a value above the last edge has a bin of its own."""
+
+    edges: tuple[np.ndarray, ...]
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each feature's bins start in a histogram, with the total at last."""
+        return np.concatenate([[0], np.cumsum([len(e) + 1 for e in self.edges])])
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """One row of byte codes per feature."""
+        return np.stack([np.searchsorted(e, x[:, f], side="left").astype(np.uint8) for f, e in enumerate(self.edges)])
+
+
+@dataclass
+class Tree:
+    """Nodes by their place in a full binary tree: the children of i are 2 i + 1 and 2 i + 2."""
+
+    depth: int
+    feature: np.ndarray = field(init=False)
+    bin: np.ndarray = field(init=False)
+    value: np.ndarray = field(init=False)
+    gain: np.ndarray = field(init=False)
+    gradient: np.ndarray = field(init=False)
+    hessian: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        size = 2 ** (self.depth + 1) - 1
+        self.feature = np.full(size, -1, np.int16)
+        self.bin = np.zeros(size, np.int16)
+        self.value, self.gain, self.gradient, self.hessian = (np.zeros(size) for _ in range(4))
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        """The node in which every row ends."""
+        rows = np.arange(codes.shape[1])
+        at = np.zeros(len(rows), np.int32)
+        for _ in range(self.depth):
+            feature = self.feature[at]
+            above = codes[np.maximum(feature, 0), rows] > self.bin[at]
+            at = np.where(feature < 0, at, 2 * at + 1 + above)
+        return at
+
+    def split(self, node: int, found: tuple) -> None:
+        feature, at, gain, gradient, hessian = found
+        self.feature[node], self.bin[node], self.gain[node] = feature, at, gain
+        self.gradient[2 * node + 1], self.hessian[2 * node + 1] = gradient, hessian
+        self.gradient[2 * node + 2] = self.gradient[node] - gradient
+        self.hessian[2 * node + 2] = self.hessian[node] - hessian
+
+
+def histogram(codes: np.ndarray, slot: np.ndarray, slots: int, sums: Sequence[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Shape (slots, bins of all features, sums): the sums of the rows of every slot and bin; a
+    row with a negative slot counts nowhere."""
+    inside = slot >= 0
+    if not inside.all():
+        codes, slot, sums = codes[:, inside], slot[inside], [s[inside] for s in sums]
+    out = np.zeros((slots, starts[-1], len(sums)))
+    for f, (low, high) in enumerate(zip(starts, starts[1:])):
+        key = slot * (high - low) + codes[f]
+        for k, values in enumerate(sums):
+            out[:, low:high, k] = np.bincount(key, values, slots * (high - low)).reshape(slots, -1)
+    return out
+
+
+def best_splits(found: np.ndarray, starts: np.ndarray) -> list[tuple | None]:
+    """Per slot of a histogram in true units the (feature, bin, gain, gradient and Hessian below) of the
+    split with the highest gain, the first of equal ones; None where no split gains."""
+    out: list[tuple | None] = []
+    gains = np.full(found.shape[:2], -np.inf)
+    below = np.empty(found.shape[:2] + (2,))
+    total = found[:, starts[0] : starts[1], :2].sum(axis=1)
+    for low, high in zip(starts, starts[1:]):
+        left = np.cumsum(found[:, low:high, :2], axis=1)
+        below[:, low:high] = left
+        g, h = left[..., 0], left[..., 1]
+        rest_g, rest_h = total[:, :1] - g, total[:, 1:] - h
+        gain = g * g / (h + PENALTY) + rest_g * rest_g / (rest_h + PENALTY) - (total[:, 0] * total[:, 0] / (total[:, 1] + PENALTY))[:, None]
+        gains[:, low:high] = np.where((h >= LEAST_HESSIAN) & (rest_h >= LEAST_HESSIAN), gain, -np.inf)
+    for slot, at in enumerate(gains.argmax(axis=1)):
+        if gains[slot, at] <= LEAST_GAIN:
+            out.append(None)
+            continue
+        feature = int(np.searchsorted(starts, at, side="right") - 1)
+        out.append((feature, int(at - starts[feature]), float(gains[slot, at]), *below[slot, at].tolist()))
+    return out
+
+
+@dataclass(frozen=True)
+class Loss:
+    """Log loss with a weight per class, its derivatives as whole numbers of ``unit``."""
+
+    weights: tuple[float, float]  # of label 0 and label 1
+    unit: float
+
+    @staticmethod
+    def of(weights: tuple[float, float], rows: tuple[int, int]) -> Loss:
+        total = max(2.0, weights[0] * rows[0] + weights[1] * rows[1])
+        return Loss(weights, 2.0 ** (math.ceil(math.log2(total)) - EXACT))
+
+    def sums(self, margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(-margin))
+        weight = np.where(label == 1, self.weights[1], self.weights[0])
+        return np.rint(weight * (p - label) / self.unit), np.rint(weight * p * (1 - p) / self.unit)
+
+
+@dataclass(frozen=True)
+class Part:
+    """The rows of one partition, and their margins by the trees so far."""
+
+    codes: np.ndarray
+    label: np.ndarray
+    margin: np.ndarray
+
+    def after(self, trees: Sequence[Tree]) -> Part:
+        margin = self.margin
+        for tree in trees:
+            margin = margin + tree.value[tree.place(self.codes)]
+        return Part(self.codes, self.label, margin)
+
+
+def finish(codes: np.ndarray, g: np.ndarray, h: np.ndarray, root: int, depth: int, loss: Loss, starts: np.ndarray) -> list[tuple]:
+    """(node, split) of the subtree of ``root``, grown from all of its rows down to ``depth``."""
+    out, at = [], np.full(codes.shape[1], root)
+    found = histogram(codes, np.zeros(codes.shape[1], np.int64), 1, (g, h), starts)
+    open_nodes = [root]
+    while open_nodes and open_nodes[0] < 2**depth - 1:
+        parents = {}
+        for node, split, sums in zip(open_nodes, best_splits(found * loss.unit, starts), found):
+            if split:
+                out.append((node, split))
+                here = np.flatnonzero(at == node)
+                at[here] = 2 * node + 1 + (codes[split[0], here] > split[1])
+                parents[node] = sums
+        open_nodes = [child for node in parents for child in (2 * node + 1, 2 * node + 2)]
+        if not open_nodes or open_nodes[0] >= 2**depth - 1:
+            break
+        # The smaller child of every pair is added up, the other is what is left of the parent.
+        rows = np.bincount(at, minlength=2 * max(parents) + 3)
+        smaller = [2 * node + 1 + int(rows[2 * node + 2] < rows[2 * node + 1]) for node in parents]
+        slot_of = np.full(len(rows), -1)
+        slot_of[smaller] = np.arange(len(smaller))
+        added = histogram(codes, slot_of[at], len(smaller), (g, h), starts)
+        found = np.stack([s for child, sums, own in zip(smaller, parents.values(), added) for s in ((own, sums - own) if child % 2 else (sums - own, own))])
+    return out
+
+
+class Grower:
+    """Grows trees over parts that stay cached; margins are brought up to date every few trees."""
+
+    def __init__(self, parts: RDD, rows: int, bins: Bins, loss: Loss, depth: int, rate: float, local_rows: int):
+        self.bins, self.loss, self.depth, self.rate = bins, loss, depth, rate
+        self.rows, self.local_rows = rows, local_rows
+        self.parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+        self.recent: list[Tree] = []
+        self.grown = 0
+
+    def tree(self) -> Tree:
+        tree, starts = Tree(self.depth), self.bins.starts
+        found = self._histograms(tree, [0]) if self.rows > self.local_rows else None
+        small = [] if found is not None else [0]
+        open_nodes = [] if small else [0]
+        if open_nodes:
+            tree.gradient[0], tree.hessian[0] = found[0, : starts[1], :2].sum(axis=0)
+        while open_nodes:
+            pairs = []
+            for node, split, sums in zip(open_nodes, best_splits(found, starts), found):
+                if not split:
+                    continue
+                tree.split(node, split)
+                if 2 * node + 1 < 2**self.depth - 1:
+                    under = sums[starts[split[0]] : starts[split[0]] + split[1] + 1, 2].sum()
+                    pairs.append((sums, [2 * node + 1, 2 * node + 2], [under, sums[: starts[1], 2].sum() - under]))
+            wanted = [pair[1][int(pair[2][1] < pair[2][0])] for pair in pairs if max(pair[2]) > self.local_rows]
+            own = dict(zip(wanted, self._histograms(tree, wanted))) if wanted else {}
+            open_nodes, kept = [], []
+            for sums, children, rows in pairs:
+                for child, other, n in zip(children, children[::-1], rows):
+                    if n <= self.local_rows:
+                        small.append(child)
+                        continue
+                    open_nodes.append(child)
+                    kept.append(own[child] if child in own else sums - own[other])
+            found = np.stack(kept) if kept else None
+        for node, found_there in sorted(self._finished(tree, small), key=lambda s: (s[0], s[1][0] is not None)):
+            if found_there[0] is None:  # the sums of the root
+                tree.gradient[node], tree.hessian[node] = found_there[1:]
+            else:
+                tree.split(node, found_there)
+        leaf = tree.feature < 0
+        tree.value = np.where(leaf, -self.rate * tree.gradient / (tree.hessian + PENALTY), 0.0)
+        self._note(tree)
+        return tree
+
+    def _histograms(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        """Gradient, Hessian and number of rows per node and bin, over all rows."""
+        recent, loss, starts = self.recent, self.loss, self.bins.starts
+        slot_of = np.full(len(tree.feature), -1)
+        slot_of[nodes] = np.arange(len(nodes))
+
+        def add(parts: Iterator[Part]) -> Iterator[np.ndarray]:
+            for part in parts:
+                part = part.after(recent)
+                sums = (*loss.sums(part.margin, part.label), np.ones(len(part.label)))
+                yield histogram(part.codes, slot_of[tree.place(part.codes)], len(nodes), sums, starts)
+
+        return sum(self.parts.mapPartitions(add).collect()) * np.array([loss.unit, loss.unit, 1.0])
+
+    def _finished(self, tree: Tree, nodes: list[int]) -> list[tuple]:
+        """The splits below nodes whose rows fit one task each, and the sums of the root if it is one."""
+        if not nodes:
+            return []
+        recent, loss, starts, depth = self.recent, self.loss, self.bins.starts, self.depth
+
+        def dealt(parts: Iterator[Part]) -> Iterator[tuple]:
+            for part in parts:
+                part = part.after(recent)
+                at, sums = tree.place(part.codes), loss.sums(part.margin, part.label)
+                for i, node in enumerate(nodes):
+                    rows = np.flatnonzero(at == node)
+                    if len(rows):
+                        yield i, (part.codes[:, rows], *(s[rows] for s in sums))
+
+        def grow(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+            pieces: dict[int, list] = {}
+            for i, piece in rows:
+                pieces.setdefault(i, []).append(piece)
+            for i in list(pieces):
+                codes, g, h = (np.concatenate(p, axis=-1) for p in zip(*pieces.pop(i)))
+                if not nodes[i]:
+                    yield [(0, (None, float(g.sum() * loss.unit), float(h.sum() * loss.unit)))]
+                yield finish(codes, g, h, nodes[i], depth, loss, starts)
+
+        pieces, tasks = self.parts.mapPartitions(dealt), self.parts.getNumPartitions()
+        if tasks > 1:
+            pieces = pieces.partitionBy(min(len(nodes), tasks), lambda i: i)
+        return [split for found in pieces.mapPartitions(grow).collect() for split in found]
+
+    def _note(self, tree: Tree) -> None:
+        self.recent.append(tree)
+        self.grown += 1
+        if len(self.recent) == C.BOOST_REFRESH:
+            recent, before = self.recent, self.parts
+            self.parts = before.map(lambda part: part.after(recent)).persist(StorageLevel.MEMORY_AND_DISK)
+            if self.grown % C.BOOST_CHECKPOINT == 0:
+                self.parts.checkpoint()
+            self.parts.count()
+            before.unpersist()
+            self.recent = []
+
+    def close(self) -> None:
+        self.parts.unpersist()
+
+
+def bin_edges(rows: DataFrame, bins: int = C.BOOST_BINS) -> Bins:
+    """Distinct approximate quantiles of every feature, from one pass."""
+    shares = [(i + 1) / bins for i in range(bins - 1)]
+    found = rows.agg(*(F.percentile_approx(F.col(c), shares, 20 * bins).alias(c) for c in C.FEATURE_COLUMNS)).first()
+    return Bins(tuple(np.unique(np.array(found[c] or [], float)) for c in C.FEATURE_COLUMNS))
+
+
+def _filled(features: DataFrame) -> list:
+    """The features as doubles, absent values as 0."""
+    return [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in C.FEATURE_COLUMNS]
+
+
+def packed_blocks(rows: DataFrame, bins: Bins) -> DataFrame:
+    """Blocks of rows as byte codes and labels, from the features and label."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in C.FEATURE_COLUMNS])
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bins.codes(x).tobytes()], pa.binary()), pa.array([label.tobytes()], pa.binary())], names=["codes", "label"]
+            )
+
+    return rows.select(*_filled(rows), "label").mapInArrow(pack, "codes binary, label binary")
+
+
+def parts_of(blocks: DataFrame, tasks: int, base: float) -> RDD:
+    """All blocks of a partition as one ``Part``."""
+
+    def merge(rows: Iterator) -> Iterator[Part]:
+        codes, labels = [], []
+        for row in rows:
+            labels.append(np.frombuffer(row["label"], np.uint8))
+            codes.append(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(labels[-1])))
+        if labels:
+            label = np.concatenate(labels)
+            yield Part(np.concatenate(codes, axis=1), label, np.full(len(label), base))
+
+    return blocks.repartition(tasks).rdd.mapPartitions(merge)
+
+
+def node_rows(trees: Sequence[Tree], bins: Bins, base: float) -> list[tuple]:
+    """The rows of the node table. Tree 0 is the base: one leaf with the prior log-odds."""
+    rows = [(0, 0, -1, None, -1, -1, base, 0.0, 0.0, 1.0)]
+    for number, tree in enumerate(trees, 1):
+        live = [0]
+        for node in live:
+            f = int(tree.feature[node])
+            sums = [float(a[node]) for a in (tree.value, tree.gain, tree.gradient, tree.hessian)]
+            if f < 0:
+                rows.append((number, node, -1, None, -1, -1, *sums))
+                continue
+            live += [2 * node + 1, 2 * node + 2]
+            rows.append((number, node, f, float(bins.edges[f][tree.bin[node]]), 2 * node + 1, 2 * node + 2, *sums))
+    return rows
+
+
+def boost(
+    rows: DataFrame,
+    folder: str,
+    weights: tuple[float, float],
+    counts: tuple[int, int],
+    rounds: int,
+    depth: int,
+    rate: float,
+    base: float = 0.0,
+    bins: Bins | None = None,
+    local_rows: int = C.BOOST_LOCAL_ROWS,
+) -> DataFrame:
+    """The node table of trees on rows with the features and label; ``counts`` and ``weights`` are of
+    labels 0 and 1. Blocks are stored in ``folder``."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    bins = bins or bin_edges(rows)
+    packed_blocks(rows, bins).write.parquet(folder)
+    blocks = spark.read.schema("codes binary, label binary").parquet(folder)
+    n = blocks.agg(F.coalesce(F.sum(F.octet_length("label")), F.lit(0))).first()[0]
+    loss = Loss.of(weights, counts)
+    parts = parts_of(blocks, min(C.BOOST_TASKS, -(-n // max(local_rows, 1)) or 1), base)
+    grower = Grower(parts, n, bins, loss, depth, rate, local_rows)
+    trees = [grower.tree() for _ in range(rounds)] if n else []
+    grower.close()
+    return spark.createDataFrame(node_rows(trees, bins, base), NODE_SCHEMA)
+
 
 def fit_classifier(
     features: DataFrame,
     counts: tuple[int, int],
+    folder: str,
     weighted: bool = True,
     rounds: int = C.BOOST_ROUNDS,
     depth: int = C.BOOST_DEPTH,
     rate: float = C.BOOST_RATE,
     most_rows: int = C.BOOST_ROWS,
-) -> GBTClassificationModel:
-    """Boosted trees on rows with ``label``, of which there are ``counts`` (positive, negative).
+) -> DataFrame:
+    """The node table of a classifier of rows with ``label``, of which there are ``counts`` (positive,
+    negative).
 
     Positives weigh as much as negatives together when ``weighted``. The classifier is fitted on
     at most about ``most_rows`` labelled rows: of a class with more than half of that, rows are drawn by
-    hash, and each stands for as many as were left out. The residuals are checkpointed every ten
-    rounds, so lineage stays short over all rounds.
+    hash, and each stands for as many as were left out.
     """
-    ensure_checkpoint_dir(features.sparkSession)
     positives, negatives = counts
     positive = F.col("label") == 1
     shares = [min(1.0, most_rows / 2 / n) if n else 1.0 for n in counts]
     share = F.when(positive, shares[0]).otherwise(shares[1])
     worth = negatives / positives if weighted and positives else 1.0
-    weight = F.when(positive, worth).otherwise(1.0) / share
+    weights = (1.0 / shares[1], worth / shares[0])
     drawn = features.filter(uniform(F.col("txn_id"), F.lit(C.SPLIT_SEED + 2)) < share)
-    rows = assemble(drawn).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-    booster = GBTClassifier(
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=rate,
-        weightCol="weight",
-        maxBins=C.BOOST_BINS,
-        seed=C.SPLIT_SEED,
-        checkpointInterval=10,
-    )
-    return booster.fit(rows)
-
-
-def with_probability(df: DataFrame, model: GBTClassificationModel, out: str = "probability") -> DataFrame:
-    """Adds the probability of class 1 and the class predicted from it."""
-    predicted = model.transform(assemble(df))
-    probability = vector_to_array("probability")[1].alias(out)
-    kept = [c for c in df.columns if c not in (out, "prediction")]
-    return predicted.select(*kept, probability, F.col("prediction").cast("int").alias("prediction"))
+    mean = worth * positives / max(worth * positives + negatives, 1)
+    base = math.log(mean / (1 - mean)) if 0 < mean < 1 else 0.0
+    kept = (round(negatives * shares[1]) + 1, round(positives * shares[0]) + 1)
+    return boost(drawn, folder, weights, kept, rounds, depth, rate, base)
 
 
-def tree_table(spark: SparkSession, model_path: str) -> DataFrame:
-    """The nodes of a saved classifier, one row per node, leaf values in log-odds.
+@dataclass(frozen=True)
+class Booster:
+    """All trees as flat arrays; a leaf points to itself, so walking needs no branches."""
 
-    The margin of the classifier is half the log-odds, hence the factor 2. The first tree counts
-    fully, each later one by the learning rate.
-    """
-    model = GBTClassificationModel.load(model_path)
-    weights = F.array(*(F.lit(float(w)) for w in model.treeWeights))
-    nodes = spark.read.parquet(f"{model_path}/data")
-    node = F.col("nodeData")
-    return nodes.select(
-        F.col("treeID").alias("tree_id"),
-        node["id"].alias("node_id"),
-        F.when(node["leftChild"] >= 0, node["split"]["featureIndex"]).otherwise(-1).alias("feature"),
-        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        node["leftChild"].alias("lower"),
-        node["rightChild"].alias("upper"),
-        (node["prediction"] * F.get(weights, F.col("treeID")) * 2).alias("value"),
-        node["impurityStats"][0].alias("cover"),
-    )
+    feature: np.ndarray
+    threshold: np.ndarray
+    lower: np.ndarray
+    upper: np.ndarray
+    value: np.ndarray
+    roots: np.ndarray
+    depth: int
+
+    @staticmethod
+    def from_nodes(nodes: DataFrame) -> Booster:
+        """Gathers a node table, which has at most rounds x 2^(depth + 1) rows."""
+        pdf = nodes.toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
+        place = {key: i for i, key in enumerate(zip(pdf["tree_id"], pdf["node_id"]))}
+        leaf = pdf["feature"].to_numpy() < 0
+
+        def child(side: str) -> np.ndarray:
+            keys = zip(pdf["tree_id"], pdf[side], leaf)
+            return np.array([i if is_leaf else place[t, n] for i, (t, n, is_leaf) in enumerate(keys)], np.int32)
+
+        return Booster(
+            feature=np.where(leaf, 0, pdf["feature"].to_numpy()).astype(np.int32),
+            threshold=np.where(leaf, np.inf, pdf["threshold"].to_numpy(float)),
+            lower=child("lower"),
+            upper=child("upper"),
+            value=pdf["value"].to_numpy(float),
+            roots=np.flatnonzero(pdf["node_id"].to_numpy() == 0).astype(np.int32),
+            depth=int(np.log2(pdf["node_id"].max() + 1)),
+        )
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of label 1."""
+        chunks = [self._chunk(x[i : i + SCORE_CHUNK]) for i in range(0, len(x), SCORE_CHUNK)]
+        return np.concatenate(chunks or [np.empty(0)])
+
+    def _chunk(self, x: np.ndarray) -> np.ndarray:
+        rows, total = np.arange(len(x)), np.zeros(len(x))
+        for root in self.roots:  # one tree at a time stays in the cache
+            at = np.full(len(x), root)
+            for _ in range(self.depth):
+                at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.lower[at], self.upper[at])
+            total += self.value[at]
+        return total
+
+
+def with_probability(df: DataFrame, model: Booster, out: str = "probability") -> DataFrame:
+    """Adds the probability of class 1 and the class predicted from it. Only the features travel to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def margin(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        trees = shared.value
+        for x in feature_batches(batches):
+            yield pd.Series(trees.margins(x))
+
+    kept = [c for c in df.columns if c not in (out, "prediction")]
+    rated = df.select(*kept, margin(*(F.col(c).cast("double") for c in C.FEATURE_COLUMNS)).alias("_margin"))
+    probability = 1 / (1 + F.exp(-F.col("_margin")))
+    return rated.select(*kept, probability.alias(out), (F.col("_margin") > 0).cast("int").alias("prediction"))
+
+
+def load_classifier(spark: SparkSession, path: str) -> Booster:
+    return Booster.from_nodes(spark.read.parquet(path))

@@ -6,7 +6,6 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from tallywatch.sources import tables
 class Models:
     """What scoring needs: classifier, forest, format codes, raw range, attribution tables."""
 
-    classifier: GBTClassificationModel
+    classifier: boosting.Booster
     forest: forest.Forest
     codes: PaymentCodes | None
     raw_low: float
@@ -65,18 +64,20 @@ def train_models(
     low, high = hybrid.raw_range(spark.read.parquet(f"{root}/raw"))
 
     metrics: dict = {"precision": None, "recall": None, "f1": None}
-    counts = quality.class_counts(features)[:2] if "label" in features.columns else (0, 0)
+    counts, test = quality.class_counts(features)[:2] if "label" in features.columns else (0, 0), None
     if counts[0] > 0:
         parts = quality.stratified_split(features)
         train, test = parts.filter(~F.col("is_test")), parts.filter("is_test")
-        classifier = boosting.fit_classifier(train, counts, rounds=rounds)
-        measured = quality.classifier_metrics(boosting.with_probability(test, classifier)).first()
-        metrics = {name: measured[name] for name in metrics}
+        fitted = boosting.fit_classifier(train, quality.class_counts(train)[:2], f"{root}/bins", rounds=rounds)
     else:
         synthetic = quality.weak_labels(spark.read.parquet(f"{root}/raw"))
         counts = quality.class_counts(synthetic)[:2]
-        classifier = boosting.fit_classifier(synthetic, counts, False, rounds, C.BOOST_DEPTH_WEAK)
-    classifier.write().save(f"{root}/classifier")
+        fitted = boosting.fit_classifier(synthetic, counts, f"{root}/bins", False, rounds, C.BOOST_DEPTH_WEAK)
+    fitted.coalesce(1).write.parquet(f"{root}/classifier")
+    classifier = boosting.load_classifier(spark, f"{root}/classifier")
+    if test is not None:
+        measured = quality.classifier_metrics(boosting.with_probability(test, classifier)).first()
+        metrics = {name: measured[name] for name in metrics}
 
     entry = {
         "model_version": version,
@@ -108,12 +109,12 @@ def load_models(spark: SparkSession, store: str) -> Models | None:
     if not entry or not entry["classifier_path"] or not entry["forest_path"]:
         return None
     return Models(
-        classifier=GBTClassificationModel.load(entry["classifier_path"]),
+        classifier=boosting.load_classifier(spark, entry["classifier_path"]),
         forest=load_forest(spark, entry["forest_path"]),
         codes=load_codes(spark, entry["codes_path"]) if entry["codes_path"] else None,
         raw_low=entry["raw_low"],
         raw_high=entry["raw_high"],
-        leaf_tables=attribution.build_tables(boosting.tree_table(spark, entry["classifier_path"])),
+        leaf_tables=attribution.build_tables(spark.read.parquet(entry["classifier_path"])),
         version=entry["model_version"],
     )
 

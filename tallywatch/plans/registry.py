@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -655,6 +656,32 @@ def forest_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("txn_id", F.round("anomaly_raw", 9).alias("anomaly_raw"))
 
 
+# Bin edges of the features for trees that both engines can grow: a value lies below the first edge it does not exceed.
+_FIXED_EDGES = {
+    "amount_usd": [100, 500, 1000, 2000, 3000, 5000, 8000, 9000, 10000, 20000, 50000, 100000],
+    "amount_zscore": [-0.9, -0.7, -0.5, -0.25, 0.05, 0.35, 0.75, 1.25, 2.15],
+    "hour_of_day": list(range(23)),
+    "payment_format_encoded": list(range(10)),
+    "velocity_1hr": [1, 2, 3, 5],
+    "velocity_6hr": [1, 2, 3, 5, 8],
+    "velocity_24hr": [1, 2, 3, 5, 8, 12],
+}
+
+
+@query
+def gbt_first_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The first tree of a booster on fixed bins: splits, gains and sums of every node."""
+    edges = tuple(np.array(_FIXED_EDGES.get(c, [0]), float) for c in C.FEATURE_COLUMNS)
+    rows = feature_matrix(spark, folder)
+    counts = quality.class_counts(rows)[1::-1]
+    path = f"{_run_folder(spark)}/first-tree"
+    nodes = boosting.boost(rows, path, (1.0, 8.0), counts, 1, 3, C.BOOST_RATE, bins=boosting.Bins(edges))
+    name = F.get(F.array(*(F.lit(c) for c in C.FEATURE_COLUMNS)), F.col("feature"))
+    return nodes.filter("tree_id = 1").select(
+        "node_id", F.when(F.col("feature") >= 0, name).alias("feature"), "threshold", "gain", "gradient", "cover", "value"
+    )
+
+
 @query
 def gbt_residual(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose attributions and base do not add up to the log-odds, or whose probability is not

@@ -5,12 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallywatch import constants as C
 from tallywatch.operators import alerts, attribution, boosting, forest, quality
-from tallywatch.operators.features import assemble, build_features
+from tallywatch.operators.features import build_features
 from tallywatch.operators.rules import score_rules
 from tallywatch.plans.models import alert_attributions, load_models, score_batch, train_models
 from tallywatch.sources import tables
@@ -102,16 +101,13 @@ def test_training_and_attribution_sum(spark, features, store):
     assert models.version == entry["model_version"] and tables.models_ready(spark, f"{folder}/registry")
     assert 0 <= entry["precision"] <= 1 and entry["dataset_rows"] == 1000
     explained = attribution.with_impacts(features, models.leaf_tables)
-    both = models.classifier.transform(assemble(explained)).select(
-        F.aggregate("impacts", F.lit(models.leaf_tables.base), lambda a, b: a + b).alias("total"),
-        (vector_to_array("rawPrediction")[1] * 2).alias("log_odds"),
-        vector_to_array("probability")[1].alias("p"),
-    )
+    total = F.aggregate("impacts", F.lit(models.leaf_tables.base), lambda a, b: a + b)
+    both = boosting.with_probability(explained.withColumn("total", total), models.classifier)
     worst = both.agg(
-        F.max(F.abs(F.col("total") - F.col("log_odds"))),
-        F.max(F.abs(F.col("p") - 1 / (1 + F.exp(-F.col("log_odds"))))),
+        F.max(F.abs(F.col("probability") - 1 / (1 + F.exp(-F.col("total"))))),
+        F.count_if((F.col("prediction") == 1) != (F.col("probability") > 0.5)),
     ).first()
-    assert worst[0] < 1e-9 and worst[1] < 1e-9
+    assert worst[0] < 1e-9 and worst[1] == 0
 
 
 def test_classifier_beats_base_rate(spark, features, store):
@@ -147,3 +143,100 @@ def test_alert_attributions(spark, txn, store):
     explained = alerts.explain_alerts(made, lambda missing: alert_attributions(missing, models))
     assert explained.count() == made.count()
     assert explained.filter("size(attributions) = 0 OR size(attributions) > 5").count() == 0
+
+
+# --- boosting ----------------------------------------------------------------------------------------
+
+
+def labelled(spark, n=1200):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(n, len(C.FEATURE_COLUMNS))), 1)
+    x[:, 2] = rng.integers(0, 2, n)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=n) * 0.3) > 1).astype(int)
+    pdf = pd.DataFrame(x, columns=C.FEATURE_COLUMNS).assign(label=y, txn_id=range(n))
+    return spark.createDataFrame(pdf), x, y
+
+
+def plain_tree(x, g, h, depth, edges):
+    """Every split of every node tried one by one: (node, feature, threshold, G, H) from the root on."""
+    out = {}
+
+    def grow(node, rows, level):
+        gt, ht = g[rows].sum(), h[rows].sum()
+        best = (1e-6, None)
+        for f in range(x.shape[1]) if level < depth else ():
+            for e in edges[f]:
+                low = rows[x[rows, f] <= e]
+                gl, hl = g[low].sum(), h[low].sum()
+                if hl >= 1 and ht - hl >= 1:
+                    gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, e))
+        out[node] = (best[1], gt, ht)
+        if best[1]:
+            low = x[rows, best[1][0]] <= best[1][1]
+            grow(2 * node + 1, rows[low], level + 1)
+            grow(2 * node + 2, rows[~low], level + 1)
+
+    grow(0, np.arange(len(x)), 0)
+    return out
+
+
+def test_trees_match_a_plain_booster(spark, tmp_path):
+    rows, x, y = labelled(spark)
+    counts = (int((y == 0).sum()), int(y.sum()))
+    edges = boosting.bin_edges(rows, 16).edges
+    nodes = boosting.boost(rows, str(tmp_path / "b"), (1.0, 4.0), counts, 3, 3, 0.5, bins=boosting.Bins(edges)).collect()
+    margin, weight = np.zeros(len(x)), np.where(y == 1, 4.0, 1.0)
+    for tree in (1, 2, 3):
+        p = 1 / (1 + np.exp(-margin))
+        expected = plain_tree(x, weight * (p - y), weight * p * (1 - p), 3, edges)
+        found = {r["node_id"]: r for r in nodes if r["tree_id"] == tree}
+        assert set(found) == set(expected)
+        for node, (split, gt, ht) in expected.items():
+            r = found[node]
+            assert (r["feature"], r["threshold"]) == (split or (-1, None))
+            assert r["gradient"] == pytest.approx(gt, abs=1e-6) and r["cover"] == pytest.approx(ht, abs=1e-6)
+            if not split:
+                assert r["value"] == pytest.approx(-0.5 * gt / (ht + 1), abs=1e-6)
+        at = np.zeros(len(x), int)
+        for _ in range(3):
+            split = [expected[n][0] for n in at]
+            at = np.array([n if s is None else 2 * n + 1 + (x[i, s[0]] > s[1]) for i, (n, s) in enumerate(zip(at, split))])
+        margin += np.array([-0.5 * expected[n][1] / (expected[n][2] + 1) for n in at])
+    model = boosting.Booster.from_nodes(spark.createDataFrame(nodes, boosting.NODE_SCHEMA))
+    assert np.allclose(model.margins(x), margin, atol=1e-6)
+
+
+def test_trees_do_not_depend_on_where_nodes_are_finished(spark, tmp_path):
+    rows, _, y = labelled(spark)
+    counts = (int((y == 0).sum()), int(y.sum()))
+
+    def grown(name, df, local_rows):
+        table = boosting.boost(df, str(tmp_path / name), (1.0, 3.7), counts, 7, 4, 0.3, local_rows=local_rows)
+        return sorted(map(tuple, table.collect()), key=repr)
+
+    whole = grown("whole", rows, 10_000)
+    assert len(whole) > 50
+    assert grown("spread", rows.repartition(5), 60) == whole
+    assert grown("levels", rows.repartition(3), 1) == whole
+
+
+def test_one_class_and_no_rows(spark, tmp_path):
+    rows, _, _ = labelled(spark, 50)
+    same = boosting.boost(rows.withColumn("label", F.lit(0)), str(tmp_path / "a"), (1.0, 1.0), (50, 0), 2, 3, 0.1)
+    assert same.filter("feature >= 0").count() == 0 and same.count() == 3
+    none = boosting.boost(rows.limit(0), str(tmp_path / "b"), (1.0, 1.0), (0, 0), 2, 3, 0.1)
+    model = boosting.Booster.from_nodes(none)
+    assert none.count() == 1 and (model.margins(np.zeros((2, len(C.FEATURE_COLUMNS)))) == 0).all()
+    absent = rows.withColumn("amount_usd", F.when(F.col("txn_id") > 5, F.col("amount_usd")))
+    assert boosting.with_probability(absent, model).filter("probability = 0.5 AND prediction = 0").count() == 50
+
+
+def test_a_bounded_sample_weighs_as_much_as_all_rows(spark, tmp_path):
+    rows, _, y = labelled(spark, 3000)
+    counts = (int(y.sum()), int((y == 0).sum()))
+    nodes = boosting.fit_classifier(rows, counts, str(tmp_path / "s"), rounds=1, depth=2, most_rows=1000)
+    root = nodes.filter("tree_id = 1 AND node_id = 0").first()
+    # A quarter of the weight of all rows, which is twice the negatives, is the Hessian at even odds.
+    assert root["cover"] == pytest.approx(counts[1] / 2, rel=0.1)
