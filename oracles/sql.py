@@ -618,3 +618,16 @@ ORACLE["source_json"] = txn(
     """SELECT CAST(txn_id AS varchar) AS reference, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, amount, mcc,
   sender_account, sender_country, receiver_country, '' AS receiver_account FROM txn"""
 )
+
+
+VELOCITIES = ", ".join(
+    f"""count(*) OVER (PARTITION BY sender_account ORDER BY ts
+    RANGE BETWEEN INTERVAL '{hours * 3600 * 1000000 - 1} microseconds' PRECEDING AND CURRENT ROW) AS velocity_{hours}hr"""
+    for hours in (1, 6, 24)
+)
+ORACLE["stream_state_velocity"] = txn(f"SELECT txn_id, {VELOCITIES} FROM txn")
+ORACLE["stream_state_late"] = f"""WITH {TXN},
+passed AS (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 AS us FROM txn WHERE txn_id % 50 <> 0),
+known AS (SELECT txn.*, txn_id % 50 = 0 AND epoch_us(ts) <= passed.us AS late FROM txn, passed)
+SELECT txn_id, late, {VELOCITIES} FROM known WHERE NOT late
+UNION ALL SELECT txn_id, late, NULL, NULL, NULL FROM known WHERE late"""

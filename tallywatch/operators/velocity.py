@@ -47,7 +47,11 @@ def with_velocity(df: DataFrame, sender: str | None, receiver: str | None) -> Da
 
 def trailing_counts(rows: DataFrame) -> DataFrame:
     """One row per sender and distinct time, with the sender's rows in each trailing range."""
-    slots = key_totals(rows.filter(F.col(MICROS).isNotNull()), [SENDER, MICROS])
+    return trailing_counts_of(key_totals(rows.filter(F.col(MICROS).isNotNull()), [SENDER, MICROS]))
+
+
+def trailing_counts_of(slots: DataFrame) -> DataFrame:
+    """The same from the number ``n`` of rows per sender and distinct time."""
     asked = F.array(
         F.struct(F.lit(0).alias("hours"), F.col(MICROS).alias("at"), F.col("n")),
         *(

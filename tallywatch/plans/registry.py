@@ -23,6 +23,7 @@ from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import files, tables
 from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
 from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
+from tallywatch.streaming.keyed import KeyedVelocity
 from tallywatch.streaming.velocity import RunningVelocity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,6 +592,37 @@ def stream_velocity(spark: SparkSession, folder: str) -> DataFrame:
     return running.results(spark).select("txn_id", *C.VELOCITY_HOURS, "is_new_payee")
 
 
+def _delivered(spark: SparkSession, folder: str, deliveries: Column, count: int) -> KeyedVelocity:
+    """All transactions through the keyed state, ``deliveries`` naming the number of each row's delivery; a heartbeat
+    at the end moves the watermark past all of them."""
+    run = _run_folder(spark)
+    rows = transactions_table(spark, folder).select("txn_id", "ts", "sender_account")
+    running = KeyedVelocity(f"{run}/state")
+    beat = spark.createDataFrame([(None, datetime(2100, 1, 1), None)], rows.schema)
+    for part in range(count + 1):
+        arrived = rows.filter(deliveries == part) if part < count else beat
+        arrived.write.parquet(f"{run}/incoming/{part}")
+        incoming = spark.readStream.schema(rows.schema).parquet(f"{run}/incoming/*")
+        running.start(incoming, f"{run}/checkpoint").awaitTermination()
+    return running
+
+
+@query
+def stream_state_velocity(spark: SparkSession, folder: str) -> DataFrame:
+    """Velocities of all transactions by keyed state, delivered in three parts in the order of their times."""
+    low, high = transactions_table(spark, folder).agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - low) / ((high - low) // 3 + 1))
+    return _delivered(spark, folder, part, 3).results(spark)
+
+
+@query
+def stream_state_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth transaction comes after all others: what the watermark has passed is late and not counted."""
+    running = _delivered(spark, folder, (F.col("txn_id") % 50 == 0).cast("int"), 2)
+    late = running.late(spark).select("txn_id", F.lit(True).alias("late"), *(F.lit(None).cast("bigint").alias(c) for c in C.VELOCITY_HOURS))
+    return running.results(spark).select("txn_id", F.lit(False).alias("late"), *C.VELOCITY_HOURS).unionByName(late)
+
+
 # --- models -------------------------------------------------------------------------------------
 
 _TRAINED: dict[str, Models] = {}

@@ -1,34 +1,48 @@
-"""Velocities and new payees carried across micro-batches.
+"""Velocities and new payees carried across micro-batches, with tables as state.
 
-The state is tables, not memory: the rows of past micro-batches lie in Parquet by day, and a
-micro-batch reads the last 24 hours before its earliest row. The counting itself is the batch
-operator, so no sender's history has to fit into one task. A late row also changes the counts of
-stored rows up to 24 hours after it: those are counted again and written under the micro-batch's
-number, and ``results`` takes the newest count of a row. The first row of every pair of a micro-batch
-is kept for ever; ``results`` flags the earliest of each pair, so a late first row is one.
+A velocity depends on sender and time alone, so the state is the number of rows per sender and time
+(``times``), their counts as last counted (``counts``), the first row of every pair (``payees``) and the ids of
+all rows (``rows``). Each is a set of levelled runs (``runs.py``): a micro-batch reads the times of its own
+senders within 24 hours, never stored rows, and the number of files stays bounded. The counting itself is the
+batch operator, so no sender's history has to fit into one task. A late row also changes the counts of up
+to 24 hours after it: those are counted again, and the newest count of a sender and time holds.
 
-Results equal the batch features whatever the order of arrival. Writing a micro-batch again after a
-failure replaces its own partitions.
+Results equal the batch features whatever the order of arrival. Running a micro-batch again after a
+failure replaces what it wrote.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallywatch.constants import VELOCITY_HOURS
-from tallywatch.operators.velocity import MICROS, account_key, first_rows, with_velocity
+from tallywatch.operators.skew import key_totals
+from tallywatch.operators.velocity import MICROS, SENDER, account_key, first_rows, trailing_counts_of
+from tallywatch.streaming.runs import RunStore, Table, as_they_are, summed
 
 KEY_COLUMNS = ["txn_id", "ts", "sender_account", "receiver_account"]
-HISTORY_SCHEMA = (
-    "txn_id bigint, ts timestamp, sender_account string, receiver_account string, day date, batch_id bigint"
-)
-PAYEE_SCHEMA = "sender string, payee string, txn_id bigint, us bigint, batch_id bigint"
+COUNTS = ", ".join(f"{c} bigint" for c in VELOCITY_HOURS)
+
+
+def newest_counts(rows: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct(*VELOCITY_HOURS, "batch_id", "day"), "batch_id").alias("newest")
+    return rows.groupBy("sender", "us").agg(newest).select("sender", "us", "newest.*")
+
+
+def first_payees(rows: DataFrame) -> DataFrame:
+    return first_rows(rows.withColumnRenamed("us", MICROS), ["sender", "payee"])
+
+
+TABLES = {
+    "rows": Table("txn_id bigint, sender string, us bigint, day date", as_they_are, ("day", "txn_id"), ("day",)),
+    "times": Table("sender string, us bigint, n bigint, day date", summed(["sender", "us", "day"], "n"), ("day", "sender", "us"), ("day",)),
+    "counts": Table(f"sender string, us bigint, batch_id bigint, {COUNTS}, day date", newest_counts, ("day", "sender", "us"), ("day",)),
+    "payees": Table("sender string, payee string, txn_id bigint, us bigint", first_payees, ("sender", "payee")),
+}
 
 
 @dataclass(frozen=True)
@@ -36,9 +50,14 @@ class RunningVelocity:
     """Where the state lies."""
 
     folder: str
+    fan: int = 4
+
+    @property
+    def store(self) -> RunStore:
+        return RunStore(self.folder, TABLES, self.fan)
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Processes what is available; results go to ``results``, state beside it."""
+        """Processes what is available; the state lies in ``folder``."""
         return (
             rows.select(*KEY_COLUMNS)
             .writeStream.foreachBatch(self.process)
@@ -48,64 +67,58 @@ class RunningVelocity:
         )
 
     def results(self, spark: SparkSession) -> DataFrame:
-        """One row per transaction so far, as of the last micro-batch."""
-        written = spark.read.parquet(f"{self.folder}/results")
-        newest = F.max_by(F.struct(*VELOCITY_HOURS), "batch_id").alias("newest")
-        counted = written.groupBy("txn_id").agg(newest).select("txn_id", "newest.*")
-        payees = spark.read.schema(PAYEE_SCHEMA).parquet(f"{self.folder}/payees")
-        firsts = first_rows(payees.withColumnRenamed("us", MICROS), ["sender", "payee"]).select(F.col("txn_id").alias("_first"))
+        """One row per transaction so far, as of the last micro-batch; rows without a time have velocity 1."""
+        counts = self.store.current(spark, "counts").drop("day", "batch_id")
+        rows = self.store.current(spark, "rows").drop("day")
+        firsts = self.store.current(spark, "payees").select(F.col("txn_id").alias("_first"))
+        counted = rows.join(counts, ["sender", "us"], "left")
         flagged = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
-        return flagged.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int")).drop("_first")
+        velocities = (F.coalesce(F.col(c), F.lit(1)).cast("bigint").alias(c) for c in VELOCITY_HOURS)
+        return flagged.select("txn_id", *velocities, F.col("_first").isNotNull().cast("int").alias("is_new_payee"))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("day", F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))).persist()
+        keyed = batch.select(
+            "txn_id",
+            account_key(F.col("sender_account")).alias("sender"),
+            account_key(F.col("receiver_account")).alias("payee"),
+            F.unix_micros("ts").alias("us"),
+            F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"),
+        ).persist()
         try:
-            rows, first, last = batch.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+            rows, first, last = keyed.agg(F.count(F.lit(1)), F.min("us"), F.max("us")).first()
             if rows == 0:
                 return
-            self._write(self._velocity(spark, batch, batch_id, first, last), "results", batch_id)
-            self._write(batch, "history", batch_id, "day")
-            keyed = batch.select(
-                account_key(F.col("sender_account")).alias("sender"),
-                account_key(F.col("receiver_account")).alias("payee"),
-                F.unix_micros("ts").alias(MICROS),
-                "txn_id",
-            )
-            self._write(first_rows(keyed, ["sender", "payee"]), "payees", batch_id)
+            timed = key_totals(keyed.filter("us IS NOT NULL"), ["sender", "us"])
+            times = timed.withColumn("day", F.to_date(F.timestamp_micros("us"))).persist()
+            added = {
+                "rows": keyed.select("txn_id", "sender", "us", "day"),
+                "times": times,
+                "payees": first_payees(keyed),
+            }
+            if first is not None:
+                added["counts"] = self._counts(spark, times, batch_id, first, last)
+            self.store.commit(spark, batch_id, added)
+            times.unpersist()
         finally:
-            batch.unpersist()
-
-    def _velocity(self, spark: SparkSession, batch: DataFrame, batch_id: int, first, last) -> DataFrame:
-        """Counts of the micro-batch's rows, and of stored rows that its rows fall into."""
-        new = batch.select(*KEY_COLUMNS, F.lit(True).alias("_wanted"))
-        if first is not None:
-            reach = timedelta(hours=max(VELOCITY_HOURS.values()))
-            # Literal bounds: only the folders of these days are listed and read.
-            days = F.col("day").between(F.lit((first - reach).date()), F.lit((last + reach).date()))
-            near = (F.col("ts") > F.lit(first - reach)) & (F.col("ts") < F.lit(last + reach))
-            past = self._read(spark, "history", HISTORY_SCHEMA, batch_id).filter(days & near)
-            senders = batch.select(account_key(F.col("sender_account")).alias("_sender_now")).distinct()
-            same = past.join(senders, account_key(F.col("sender_account")) == F.col("_sender_now"), "left_semi")
-            new = new.unionByName(same.select(*KEY_COLUMNS, (F.col("ts") >= F.lit(first)).alias("_wanted")))
-        return with_velocity(new, "sender_account", None).filter("_wanted").select("txn_id", *VELOCITY_HOURS)
-
-    def _read(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
-        """State of earlier micro-batches only, also when a micro-batch runs again."""
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        try:
-            stored = spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except AnalysisException:  # all earlier micro-batches were empty
-            return spark.createDataFrame([], schema)
-        return stored.filter(F.col("batch_id") < batch_id)
-
-    def _write(self, df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
-        (
-            df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions, "batch_id")
-            .parquet(f"{self.folder}/{name}")
+            keyed.unpersist()
+
+    def _counts(self, spark: SparkSession, new: DataFrame, batch_id: int, first: int, last: int) -> DataFrame:
+        """Counts at the times of the micro-batch, and at stored times that its rows fall into."""
+        reach = max(VELOCITY_HOURS.values()) * 3_600_000_000
+        low, high = F.timestamp_micros(F.lit(first - reach)), F.timestamp_micros(F.lit(last + reach))
+        stored = self.store.read(spark, "times", self.store.manifest(spark, batch_id))
+        # Literal bounds: only the folders of these days are listed and read.
+        days = F.col("day").between(F.to_date(low), F.to_date(high))
+        near = stored.filter(days & F.col("us").between(first - reach + 1, last + reach - 1))
+        near = near.join(new.select("sender").distinct(), "sender", "left_semi")
+        both = new.unionByName(near).groupBy("sender", "us").agg(F.sum("n").alias("n"))
+        wanted = trailing_counts_of(both.select(F.col("sender").alias(SENDER), F.col("us").alias(MICROS), "n"))
+        wanted = wanted.filter(F.col(MICROS) >= first)
+        return wanted.select(
+            F.col(SENDER).alias("sender"),
+            F.col(MICROS).alias("us"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            *VELOCITY_HOURS,
+            F.to_date(F.timestamp_micros(MICROS)).alias("day"),
         )
-

@@ -16,7 +16,9 @@ from tallywatch.streaming.scoring import (
     score_stream,
     write_stream,
 )
-from tallywatch.streaming.velocity import RunningVelocity
+from tallywatch.streaming.keyed import KeyedVelocity
+from tallywatch.streaming.runs import RunStore, Table, summed
+from tallywatch.streaming.velocity import TABLES, RunningVelocity
 from tests.compare import connect, differences
 
 
@@ -24,7 +26,7 @@ def test_registered_streams_match_sql(spark, folder):
     import __spark_entry__ as entry
 
     con = connect(folder)
-    for name in ("stream_scoring", "stream_velocity"):
+    for name in ("stream_scoring", "stream_velocity", "stream_state_velocity", "stream_state_late"):
         assert differences(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name])[:3] == []
 
 
@@ -94,6 +96,78 @@ def test_running_velocity_replays_and_skew(spark, tmp_path):
     assert (999, 1, 1, 1, 1) in got
 
 
+def test_runs_stay_few_over_many_micro_batches(spark, tmp_path):
+    """Files per day are bounded after 50 micro-batches, and running some of them again changes nothing."""
+    table = Table("key string, n bigint, day string", summed(["key", "day"], "n"), ("day", "key"), ("day",))
+    store = RunStore(str(tmp_path), {"t": table})
+    for batch_id in range(50):
+        rows = spark.createDataFrame([(f"k{batch_id % 7}", batch_id, "d")], table.schema).coalesce(1)
+        for _ in range(2 if batch_id in (3, 15, 16, 49) else 1):  # where levels merge, behind that, and the last
+            store.commit(spark, batch_id, {"t": rows})
+    live = store.manifest(spark)
+    levels = [level for _, level, _ in live]
+    assert len(levels) <= 3 * 3 and max(levels) == 2
+    assert len(list(tmp_path.glob("t/*/day=d/*.parquet"))) <= 2 * len(levels)
+    assert len(list((tmp_path / "manifest").iterdir())) <= 3
+    got = {r["key"]: r["n"] for r in store.current(spark, "t").collect()}
+    assert got == {f"k{k}": sum(range(k, 50, 7)) for k in range(7)}
+
+
+def test_velocities_over_merged_runs(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    schema = "txn_id bigint, ts timestamp, sender_account string, receiver_account string"
+    rows = [(i, t0 + timedelta(minutes=9 * i + (i * 7919) % 40), f"s{i % 4}", f"p{i % 3}") for i in range(200)]
+    running = RunningVelocity(str(tmp_path / "state"), fan=2)
+    for batch_id in range(8):
+        part = spark.createDataFrame(rows[25 * batch_id : 25 * batch_id + 25], schema).coalesce(1)
+        for _ in range(2 if batch_id in (1, 6, 7) else 1):
+            running.process(part, batch_id)
+    columns = ["txn_id", *C.VELOCITY_HOURS, "is_new_payee"]
+    got = sorted(map(tuple, running.results(spark).select(*columns).collect()))
+    batch = with_velocity(spark.createDataFrame(rows, schema), "sender_account", "receiver_account").select(*columns)
+    assert got == sorted(map(tuple, batch.collect()))
+    assert sorted(run[:2] for run in running.store.manifest(spark)) == [(name, 3) for name in sorted(TABLES)]
+
+
+def test_an_unfinished_manifest_is_not_read(spark, tmp_path):
+    schema = "txn_id bigint, ts timestamp, sender_account string, receiver_account string"
+    running = RunningVelocity(str(tmp_path / "state"))
+    running.process(spark.createDataFrame([(1, datetime(2024, 1, 1), "a", "p")], schema), 0)
+    before = running.results(spark).collect()
+    (tmp_path / "state" / "manifest" / f"{1:020d}").mkdir()
+    assert running.results(spark).collect() == before
+
+
+def test_keyed_state_counts_in_any_order_and_lists_what_is_late(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(minutes=7 * i), "a" if i % 3 else "b") for i in range(300)]
+    rows += [(1000 + i, t0 + timedelta(minutes=7 * 30), "a") for i in range(5)]  # equal times
+    df = spark.createDataFrame(rows, "txn_id bigint, ts timestamp, sender_account string")
+    running = KeyedVelocity(str(tmp_path / "out"), "2 hours", salts=2)
+
+    def deliver(name, part):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        incoming = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
+        running.start(incoming, str(tmp_path / "checkpoint")).awaitTermination()
+
+    # The first half out of order by up to an hour, then the rest with two rows that are too late.
+    half = F.col("ts") < F.lit(t0 + timedelta(hours=17))
+    swapped = F.pmod(F.xxhash64("txn_id"), F.lit(10)) == 0
+    near = F.col("ts") >= F.lit(t0 + timedelta(hours=16))
+    deliver("0", df.filter(half & ~(swapped & near)))
+    deliver("1", df.filter(half & swapped & near))
+    late = spark.createDataFrame([(5000, t0 + timedelta(hours=1), "a"), (5001, None, "a")], df.schema)
+    deliver("2", df.filter(~half).unionByName(late))
+    kept = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "checkpoint"))
+    assert 0 < kept.count() <= 2 * 2 * 28  # hours of a day and the delay, per sender and salt
+    deliver("3", spark.createDataFrame([(None, t0 + timedelta(days=9), None)], df.schema))
+    got = sorted(map(tuple, running.results(spark).collect()))
+    batch = with_velocity(df, "sender_account", None).select("txn_id", *C.VELOCITY_HOURS)
+    assert got == sorted(map(tuple, batch.collect()))
+    assert [r["txn_id"] for r in running.late(spark).collect()] == [5000]
+    assert kept.sparkSession.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "checkpoint")).count() == 0
+
+
 def test_payees_are_never_forgotten(spark, tmp_path):
     schema = "txn_id bigint, ts timestamp, sender_account string, receiver_account string"
     running = RunningVelocity(str(tmp_path / "state"))
