@@ -631,3 +631,33 @@ passed AS (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 AS us FROM txn WH
 known AS (SELECT txn.*, txn_id % 50 = 0 AND epoch_us(ts) <= passed.us AS late FROM txn, passed)
 SELECT txn_id, late, {VELOCITIES} FROM known WHERE NOT late
 UNION ALL SELECT txn_id, late, NULL, NULL, NULL FROM known WHERE late"""
+
+# The same rules, with statistics and frequencies of the deliveries before a row's own.
+_BEFORE = "t.txn_id % 4 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+ROLLING = (
+    RULED.replace(
+        "stats AS (SELECT avg(amount) AS mean, stddev_samp(amount) AS std FROM txn)",
+        "stats AS (SELECT d.d AS d, avg(amount) AS mean, stddev_samp(amount) AS std FROM range(4) d(d) LEFT JOIN txn ON txn_id % 4 < d.d GROUP BY d.d)",
+    )
+    .replace("PARTITION BY receiver_first_name, receiver_last_name)", f"PARTITION BY receiver_first_name, receiver_last_name ORDER BY {_BEFORE})")
+    .replace("PARTITION BY card_number)", f"PARTITION BY card_number ORDER BY {_BEFORE})")
+    .replace("FROM txn t CROSS JOIN stats", "FROM txn t JOIN stats ON stats.d = t.txn_id % 4")
+)
+ORACLE["stream_scoring_rolling"] = f"""WITH {TXN},{ROLLING}{_scored("scored", True, 70, 40)}
+SELECT {_SCORED_COLUMNS.replace("feature_zscore", "coalesce(feature_zscore, 0.0) AS feature_zscore")},
+  CAST(p2 > 0 AS int) AS feature_structuring FROM scored"""
+
+ORACLE["stream_hybrid"] = scored(
+    """SELECT txn_id, score, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  round(model, 6) AS model_score FROM final""",
+    """,
+walked AS (SELECT txn_id, score AS rules,
+  -pow(2, -((CASE WHEN amount <= 10000 THEN 1.0::double WHEN amount <= 30000 THEN 2.5 ELSE 2.0 END
+    + CASE WHEN sender_country = receiver_country THEN 1.0::double WHEN hour(ts) <= 12 THEN 2.0 ELSE 3.0 END) / 2)
+    / (2 * (ln(7) + 0.5772156649015329::double) - 2 * 7 / 8.0::double)) AS raw,
+  1 / (1 + exp(-(-1.0::double + CASE WHEN amount <= 10000 THEN -0.5 WHEN sender_country = receiver_country THEN 0.25 ELSE 1.5 END
+    + CASE WHEN hour(ts) <= 12 THEN 0.3 ELSE -0.2 END))) AS probability FROM scored),
+blended AS (SELECT *, least(greatest((0.30::double * least(greatest(1 - (raw + 0.8::double) / 0.4::double, 0), 1)
+  + 0.70::double * probability) * 100, 0), 100) AS model FROM walked),
+final AS (SELECT *, CAST(round_even(least(greatest(0.60::double * rules + 0.40::double * model, 0), 100), 0) AS int) AS score FROM blended)""",
+)

@@ -24,6 +24,7 @@ from tallywatch.sources import files, tables
 from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
 from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
 from tallywatch.streaming.keyed import KeyedVelocity
+from tallywatch.streaming.rolling import RollingScores
 from tallywatch.streaming.velocity import RunningVelocity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,6 +576,58 @@ def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{run}/scored")
 
 
+@query
+def stream_scoring_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """All events in four deliveries by id, each scored against everything delivered before it."""
+    run = _run_folder(spark)
+    events = read_table(spark, folder, "events")
+    rolling = RollingScores(f"{run}/rolling", fan=2)
+    for part in range(4):
+        events.filter(F.col("event_id") % 4 == part).write.parquet(f"{run}/incoming/events-{part}.parquet")
+        incoming = transactions(spark, folder, stream_events(spark, f"{run}/incoming/*"))
+        rolling.start(incoming, f"{run}/checkpoint").awaitTermination()
+    return _flat(rolling.results(spark))
+
+
+# A booster of a base and two fixed trees: (tree, node, feature, threshold, lower, upper, value, cover).
+_FIXED_BOOSTER = [
+    (0, 0, None, None, -1, -1, -1.0, 100.0),
+    (1, 0, "amount_usd", 10000.0, 1, 2, 0.0, 100.0), (1, 1, None, None, -1, -1, -0.5, 70.0),
+    (1, 2, "is_cross_border", 0.5, 5, 6, 0.0, 30.0), (1, 5, None, None, -1, -1, 0.25, 10.0), (1, 6, None, None, -1, -1, 1.5, 20.0),
+    (2, 0, "hour_of_day", 12.0, 1, 2, 0.0, 100.0), (2, 1, None, None, -1, -1, 0.3, 50.0), (2, 2, None, None, -1, -1, -0.2, 50.0),
+]
+
+
+def _fixed_models(spark: SparkSession, folder: str) -> Models:
+    """Models that both engines can walk, with the payment codes of the table."""
+    place = {name: i for i, name in enumerate(C.FEATURE_COLUMNS)}
+    nodes = spark.createDataFrame(
+        [(t, n, place.get(f, -1), at, low, up, value, 0.0, 0.0, cover) for t, n, f, at, low, up, value, cover in _FIXED_BOOSTER],
+        boosting.NODE_SCHEMA,
+    )
+    return Models(
+        classifier=boosting.Booster.from_nodes(nodes),
+        forest=_fixed_forest(spark),
+        codes=FT.fit_payment_codes(transactions_table(spark, folder)),
+        raw_low=-0.8,
+        raw_high=-0.4,
+        leaf_tables=attribution.build_tables(nodes),
+        version="fixed",
+    )
+
+
+@query
+def stream_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """All events scored as a stream by rules and fixed models, each row on its own."""
+    run = _run_folder(spark)
+    save_snapshots(R.snapshots_of(transactions_table(spark, folder)), f"{run}/snapshots")
+    incoming = transactions(spark, folder, stream_events(spark, folder))
+    scored = score_stream(incoming, load_snapshots(spark, f"{run}/snapshots"), _fixed_models(spark, folder))
+    shown = scored.select("txn_id", "score", "risk_level", F.round("model_score", 6).alias("model_score"))
+    write_stream(shown, f"{run}/scored", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/scored")
+
+
 @query
 def stream_velocity(spark: SparkSession, folder: str) -> DataFrame:
     """All events in three deliveries, velocities and payees carried from one to the next."""
@@ -674,17 +727,20 @@ _FIXED_TREES = [  # (feature, threshold, lower, upper, path)
 ]
 
 
-@query
-def forest_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw anomaly scores of all rows by a fixed forest."""
+def _fixed_forest(spark: SparkSession) -> forest.Forest:
     rows = [
         (t, i, C.FEATURE_COLUMNS.index(feature) if feature else -1, threshold, lower, upper, path)
         for t, tree in enumerate(_FIXED_TREES)
         for i, (feature, threshold, lower, upper, path) in enumerate(tree)
     ]
-    grown = forest.Forest.from_nodes(spark.createDataFrame(rows, forest.NODE_SCHEMA), 8)
+    return forest.Forest.from_nodes(spark.createDataFrame(rows, forest.NODE_SCHEMA), 8)
+
+
+@query
+def forest_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw anomaly scores of all rows by a fixed forest."""
     features = FT.build_features(transactions_table(spark, folder))
-    scored = forest.with_anomaly_raw(features, grown)
+    scored = forest.with_anomaly_raw(features, _fixed_forest(spark))
     return scored.select("txn_id", F.round("anomaly_raw", 9).alias("anomaly_raw"))
 
 

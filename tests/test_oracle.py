@@ -8,7 +8,10 @@ from tallywatch.plans.registry import QUERIES
 from tests.compare import connect, differences
 
 # The streams are checked in test_streaming, the residual in test_models; all of them at sf0.01 by compare.py.
-SLOW = {"stream_velocity", "stream_scoring", "stream_state_velocity", "stream_state_late", "gbt_residual"}
+SLOW = {
+    "stream_velocity", "stream_scoring", "stream_state_velocity", "stream_state_late", "stream_scoring_rolling", "stream_hybrid",
+    "gbt_residual",
+}
 
 
 @pytest.fixture(scope="module")

@@ -17,6 +17,7 @@ from tallywatch.streaming.scoring import (
     write_stream,
 )
 from tallywatch.streaming.keyed import KeyedVelocity
+from tallywatch.streaming.rolling import RollingScores
 from tallywatch.streaming.runs import RunStore, Table, summed
 from tallywatch.streaming.velocity import TABLES, RunningVelocity
 from tests.compare import connect, differences
@@ -26,7 +27,7 @@ def test_registered_streams_match_sql(spark, folder):
     import __spark_entry__ as entry
 
     con = connect(folder)
-    for name in ("stream_scoring", "stream_velocity", "stream_state_velocity", "stream_state_late"):
+    for name in ("stream_scoring", "stream_velocity", "stream_state_velocity", "stream_state_late", "stream_scoring_rolling", "stream_hybrid"):
         assert differences(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name])[:3] == []
 
 
@@ -168,6 +169,25 @@ def test_keyed_state_counts_in_any_order_and_lists_what_is_late(spark, tmp_path)
     assert kept.sparkSession.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "checkpoint")).count() == 0
 
 
+def test_rolling_scores_see_what_came_before_and_replay(spark, txn, tmp_path):
+    rolling = RollingScores(str(tmp_path), fan=2)
+    for batch_id in range(4):
+        part = txn.filter(F.col("txn_id") % 4 == batch_id)
+        for _ in range(2 if batch_id in (1, 3) else 1):
+            rolling.process(part, batch_id)
+        rolling.process(txn.limit(0), 100 + batch_id)
+    whole, so_far = snapshots_of(txn), rolling.snapshots(spark)
+    assert so_far.stats.rows == whole.stats.rows
+    assert abs(so_far.stats.mean - whole.stats.mean) < 1e-9 * whole.stats.mean
+    assert abs(so_far.stats.std - whole.stats.std) < 1e-9 * whole.stats.std
+    for a, b in ((so_far.cards, whole.cards), (so_far.receivers, whole.receivers)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    before = score_rules(txn.filter("txn_id % 4 = 3"), snapshots=snapshots_of(txn.filter("txn_id % 4 < 3")))
+    columns = ["txn_id", "score", "flags_text", "feature_zscore"]
+    got = rolling.results(spark).filter("txn_id % 4 = 3").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, before.select(*columns).collect()))
+
+
 def test_payees_are_never_forgotten(spark, tmp_path):
     schema = "txn_id bigint, ts timestamp, sender_account string, receiver_account string"
     running = RunningVelocity(str(tmp_path / "state"))
