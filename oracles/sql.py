@@ -661,3 +661,10 @@ blended AS (SELECT *, least(greatest((0.30::double * least(greatest(1 - (raw + 0
   + 0.70::double * probability) * 100, 0), 100) AS model FROM walked),
 final AS (SELECT *, CAST(round_even(least(greatest(0.60::double * rules + 0.40::double * model, 0), 100), 0) AS int) AS score FROM blended)""",
 )
+
+ORACLE["lookup_by_key"] = scored(
+    """SELECT how, txn_id, concat('Row-', txn_id) AS reference, sender_account, score, risk_level, flags_text
+FROM scored JOIN (SELECT min(txn_id) AS low, max(txn_id) AS high, max_by(sender_account, txn_id) AS account FROM txn) k ON TRUE
+JOIN (VALUES ('id'), ('reference'), ('account')) w(how) ON CASE how WHEN 'id' THEN txn_id = high
+  WHEN 'reference' THEN txn_id = low ELSE sender_account = account END"""
+)

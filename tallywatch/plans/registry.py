@@ -20,7 +20,7 @@ from tallywatch.operators import rules as R
 from tallywatch.plans.models import Models, alert_attributions, load_models, score_batch, train_models
 from tallywatch.schema import canonicalise
 from tallywatch.session import ensure_checkpoint_dir
-from tallywatch.sources import files, tables
+from tallywatch.sources import files, lookup, tables
 from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
 from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
 from tallywatch.streaming.keyed import KeyedVelocity
@@ -425,7 +425,8 @@ def scored_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def export_views(spark: SparkSession, folder: str) -> DataFrame:
     run, scored = _stored(spark, folder)
-    views = {name: spark.read.parquet(path) for name, path in tables.write_export(scored, f"{run}/export").items()}
+    tables.write_export(scored, f"{run}/export")
+    views = {name: tables.read_export(spark, f"{run}/export", name, scored.schema) for name in tables.export_columns(scored)}
     shown = [
         view.select(
             F.lit(name).alias("name"),
@@ -446,6 +447,20 @@ def lookup_txn(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("txn_id", "score", "risk_level", "flags_text")
 
 
+@query
+def lookup_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows found by id, by reference and by account, in a layout made for that."""
+    path = f"{_run_folder(spark)}/lookup"
+    scored = scored_v3(spark, folder).withColumn("reference", F.concat(F.lit("Row-"), F.col("txn_id").cast("string")))
+    lookup.save_lookup(scored, path)
+    low, high = scored.agg(F.min("txn_id"), F.max("txn_id")).first()
+    account = lookup.find(spark, path, "txn_id", high).first()["sender_account"]
+    keys = [("id", "txn_id", high), ("reference", "reference", f"Row-{low}"), ("account", "sender_account", account), ("none", "reference", "Row-x")]
+    found = [lookup.find(spark, path, key, value).withColumn("how", F.lit(how)) for how, key, value in keys]
+    shown = [f.select("how", "txn_id", "reference", "sender_account", "score", "risk_level", "flags_text") for f in found]
+    return shown[0].union(shown[1]).union(shown[2]).union(shown[3])
+
+
 @query
 def sar_context(spark: SparkSession, folder: str) -> DataFrame:
     context = reports.batch_context(scored_v3(spark, folder))

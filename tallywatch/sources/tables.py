@@ -48,27 +48,43 @@ def lookup_transaction(scored: DataFrame, txn_id: int) -> DataFrame:
     return scored.filter(F.col("txn_id") == F.lit(txn_id))
 
 
-def export_views(scored: DataFrame) -> dict[str, DataFrame]:
-    """The four tables of an export."""
-    features = [c for c in scored.columns if c.startswith("feature_")]
-    return {
-        "all_transactions": scored,
-        "high_risk": scored.filter(is_high()),
-        "medium_risk": scored.filter(F.col("risk_level") == "MEDIUM"),
-        "training_data": scored.select(*features, "score", "risk_level"),
+def export_columns(scored: DataFrame) -> dict[str, list[str]]:
+    """The columns of each view of an export."""
+    every = scored.columns
+    training = [c for c in every if c.startswith("feature_")] + ["score", "risk_level"]
+    return {"all_transactions": every, "high_risk": every, "medium_risk": every, "training_data": training}
+
+
+def export_views(scored: DataFrame) -> DataFrame:
+    """Every row as often as there are views that it belongs to, ``view`` naming them; columns that a view
+    does not have are null."""
+    views = {
+        "all_transactions": F.lit(True),
+        "high_risk": is_high(),
+        "medium_risk": F.col("risk_level") == "MEDIUM",
+        "training_data": F.lit(True),
     }
-
-
-def write_export(scored: DataFrame, folder: str, fmt: str = "parquet") -> dict[str, str]:
-    """Writes the four views; ``scored`` should be a stored or persisted table, it is read four times."""
-    paths = {}
-    for name, view in export_views(scored).items():
-        if fmt == "csv":
-            arrays = [f.name for f in view.schema.fields if isinstance(f.dataType, T.ArrayType)]
-            view = view.drop(*arrays)
-        paths[name] = f"{folder}/{name}"
-        view.write.mode("overwrite").option("header", True).format(fmt).save(paths[name])
-    return paths
+    named = F.array_compact(F.array(*(F.when(belongs, name) for name, belongs in views.items())))
+    tagged = scored.withColumn("view", F.explode(named))
+    training = export_columns(scored)["training_data"]
+    hidden = {c: F.when(F.col("view") != "training_data", F.col(c)) for c in scored.columns if c not in training}
+    return tagged.withColumns(hidden)
+
+
+def write_export(scored: DataFrame, folder: str, fmt: str = "parquet") -> None:
+    """Writes the four views in one pass, a folder each."""
+    views = export_views(scored)
+    if fmt == "csv":
+        views = views.drop(*(f.name for f in views.schema.fields if isinstance(f.dataType, T.ArrayType)))
+    views.write.mode("overwrite").option("header", True).partitionBy("view").format(fmt).save(folder)
+
+
+def read_export(spark: SparkSession, folder: str, view: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """One view of an export of rows with ``schema``; the other folders are not read."""
+    kept = [f for f in schema.fields if fmt != "csv" or not isinstance(f.dataType, T.ArrayType)]
+    rows = spark.read.schema(T.StructType(kept)).option("header", True).format(fmt).load(f"{folder}/view={view}")
+    training = [c for c in rows.columns if c.startswith("feature_") or c in ("score", "risk_level")]
+    return rows.select(*training) if view == "training_data" else rows
 
 
 def append_actions(actions: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from tallywatch import constants as C
 from tallywatch.operators.rules import score_rules
 from tallywatch.plans.analysis import analyse_batch, analyse_sheet
 from tallywatch.schema import canonicalise
-from tallywatch.sources import files, tables
+from tallywatch.sources import files, lookup, tables
 
 LABELLED = """Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering
 2022/09/01 00:20,010,8000EBD30,010,8000EBD31,3697.34,US Dollar,3697.34,US Dollar,Reinvestment,0
@@ -115,17 +115,89 @@ def test_scored_table_and_lookup(spark, txn, tmp_path):
     assert "EqualTo(txn_id,17)" in plan and "PartitionFilters: [isnotnull(batch_id" in plan
 
 
+def scans(df, metric):
+    """A metric of every file scan that ``df`` made when it ran, from its executed plan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName().startswith("AdaptiveSparkPlan") else plan
+    out, pending = [], [plan]
+    while pending:
+        node = pending.pop()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            out.append(node.metrics().apply(metric).value())
+        pending += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_export(spark, txn, tmp_path, fmt):
     scored = score_rules(txn).persist()
-    paths = tables.write_export(scored, str(tmp_path), fmt)
-    read = {n: spark.read.option("header", True).format(fmt).load(p) for n, p in paths.items()}
+    tables.write_export(scored, str(tmp_path / "export"), fmt)
+    read = {n: tables.read_export(spark, str(tmp_path / "export"), n, scored.schema, fmt) for n in tables.export_columns(scored)}
     levels = {r["risk_level"]: r["count"] for r in scored.groupBy("risk_level").count().collect()}
     counts = {n: df.count() for n, df in read.items()}
     assert counts == {
         "all_transactions": 1000, "high_risk": levels["HIGH"], "medium_risk": levels["MEDIUM"], "training_data": 1000,
     }
     assert set(read["training_data"].columns) == {c for c in scored.columns if c.startswith("feature_")} | {"score", "risk_level"}
+    one = lambda df: sorted(map(tuple, df.select("txn_id", "score", "card_number", "feature_amount").collect()))
+    assert one(read["high_risk"]) == one(scored.filter("risk_level = 'HIGH'"))
+    scored.unpersist()
+
+
+def test_an_export_scans_its_rows_once(spark, tmp_path):
+    rows = score_rules(canonicalise(spark.range(50).selectExpr("id AS txn_id", "id * 1000.0 AS amount"), "v3"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    views = tables.export_views(spark.read.parquet(str(tmp_path / "rows")))
+    assert views.count() > 100
+    assert scans(views, "numOutputRows") == [] or views._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+@pytest.fixture(scope="module")
+def found(spark, tmp_path_factory):
+    """Forty thousand rows in many files and row groups; one account has a third of them."""
+    folder = str(tmp_path_factory.mktemp("lookup"))
+    account = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), (F.col("id") % 997).cast("string")))
+    rows = spark.range(40_000).select(
+        (F.col("id") * 7 % 40_000).alias("txn_id"), account.alias("sender_account"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("r"), F.sha2(F.col("id").cast("string"), 256))).alias("reference"),
+        F.repeat(F.lit("x"), 50).alias("padding"),
+    )
+    lookup.save_lookup(rows.repartition(8), folder, files=6, **{"parquet.block.size": "65536", "parquet.page.size": "8192"})
+    return folder, rows.persist()
+
+
+def test_a_lookup_by_id_reads_one_file_and_few_row_groups(spark, found):
+    folder, rows = found
+    files_there = spark.read.parquet(f"{folder}/rows/data").inputFiles()
+    df = lookup.find(spark, folder, "txn_id", 12_345)
+    assert len(files_there) >= 4 and len(df.inputFiles()) == 1
+    assert [r["txn_id"] for r in df.collect()] == [12_345]
+    in_file = spark.read.parquet(*df.inputFiles()).count()
+    again = lookup.find(spark, folder, "txn_id", 12_345)
+    again.collect()
+    assert scans(again, "numFiles") == [1] and scans(again, "numOutputRows")[0] <= in_file / 3
+
+
+def test_lookups_by_other_keys_find_all_rows(spark, found):
+    folder, rows = found
+    whole = {r["txn_id"]: r for r in rows.collect()}
+    one = next(r for r in whole.values() if r["reference"] and r["txn_id"] > 20_000)
+    df = lookup.find(spark, folder, "reference", one["reference"])
+    assert [r["txn_id"] for r in df.collect()] == [one["txn_id"]] and len(df.inputFiles()) == 1
+    for account in ("hot", "a5"):
+        got = sorted(r["txn_id"] for r in lookup.find(spark, folder, "sender_account", account).collect())
+        assert got == sorted(i for i, r in whole.items() if r["sender_account"] == account)
+    sizes = [r["n"] for r in spark.read.parquet(f"{folder}/by_sender_account/data").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 0.6 * 40_000  # the hot account is spread over files
+
+
+def test_lookups_that_find_nothing(spark, found, tmp_path):
+    folder, _ = found
+    for key, value in (("txn_id", -1), ("txn_id", 10**9), ("reference", "none"), ("reference", None), ("sender_account", "zzz")):
+        assert lookup.find(spark, folder, key, value).collect() == []
+    lookup.save_lookup(spark.createDataFrame([], "txn_id bigint, reference string"), str(tmp_path))
+    assert lookup.find(spark, str(tmp_path), "txn_id", 1).collect() == []
+    assert lookup.find(spark, str(tmp_path), "reference", "r").collect() == []
 
 
 def test_registry(spark, tmp_path):
