@@ -668,3 +668,24 @@ FROM scored JOIN (SELECT min(txn_id) AS low, max(txn_id) AS high, max_by(sender_
 JOIN (VALUES ('id'), ('reference'), ('account')) w(how) ON CASE how WHEN 'id' THEN txn_id = high
   WHEN 'reference' THEN txn_id = low ELSE sender_account = account END"""
 )
+
+
+def _view(name: str, query: str, label: str, **values: str) -> str:
+    kinds = {"n": "BIGINT", "score": "DOUBLE", "high_count": "BIGINT", "avg_amount": "DOUBLE"}
+    cells = ", ".join(f"CAST({values.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in kinds.items())
+    return f"SELECT '{name}' AS view, {label} AS label, {cells} FROM ({ORACLE[query]})"
+
+
+ORACLE["rollup_states"] = " UNION ALL ".join(
+    [
+        *(_view(t, t, "label", score="score", high_count="high_count", avg_amount="avg_amount") for t in ("trend_daily", "trend_weekly", "trend_monthly")),
+        _view("kpis", "kpis", "'all'", n="total", score="avg_score", high_count="high"),
+        _view("border", "kpis", "'all'", n="cross_border_count", score="fatf_pct"),
+        _view("histogram", "histogram", '"range"', n='"count"'),
+        _view("level_summary", "level_summary", "risk_level", n='"count"', score="avg_score", high_count="max_score"),
+        _view("merchant_rollup", "merchant_rollup", "mcc", n='"count"', score="avg_score"),
+        _view("country_rollup", "country_rollup", "country", n='"count"'),
+    ]
+)
+
+ORACLE["alerts_incremental"] = ORACLE["alerts_after_actions"]

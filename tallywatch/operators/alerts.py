@@ -49,28 +49,49 @@ def generate_alerts(scored: DataFrame, batch_id: str, created_at: datetime | Col
     )
 
 
-def current_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Alerts with their history applied.
+LAST = "struct<at:timestamp,value:string>"
+HISTORY = ("status", "resolution", "escalation", "resolved_at", "escalated_at")
+HISTORY_SCHEMA = f"alert_id string, status {LAST}, resolution {LAST}, escalation {LAST}, resolved_at timestamp, escalated_at timestamp"
 
-    Status comes from the last action; the time and note of each kind of action come from the last
-    one of that kind (a later action without a note leaves the earlier note). Actions on unknown
-    alerts have no effect. The history is reduced per alert map-side, so long histories are cheap.
+
+def reduced_history(actions: DataFrame) -> DataFrame:
+    """What the actions on each alert amount to: the last status, the last time of each kind, its last note.
+
+    Each is a maximum, so histories merge in any order and an action that comes twice counts once.
     """
 
     def of_kind(kind: str) -> Column:
         return F.col("action") == kind
 
     def last(value: Column, condition: Column) -> Column:
-        return F.max(F.when(condition, F.struct(F.col("at").alias("at"), value.alias("value")))).getField("value")
+        return F.max(F.when(condition, F.struct(F.col("at").alias("at"), value.alias("value"))))
 
     noted = F.coalesce(F.col("note"), F.lit("")) != ""
     status = F.when(of_kind("resolve"), "resolved").when(of_kind("escalate"), "escalated")
-    latest = actions.groupBy(F.col("alert_id").alias("_alert")).agg(
-        last(status, status.isNotNull()).alias("_status"),
+    return actions.groupBy("alert_id").agg(
+        last(status, status.isNotNull()).alias("status"),
+        last(F.col("note"), of_kind("resolve") & noted).alias("resolution"),
+        last(F.col("note"), of_kind("escalate") & noted).alias("escalation"),
         F.max(F.when(of_kind("resolve"), F.col("at"))).alias("resolved_at"),
-        last(F.col("note"), of_kind("resolve") & noted).alias("resolution_note"),
         F.max(F.when(of_kind("escalate"), F.col("at"))).alias("escalated_at"),
-        last(F.col("note"), of_kind("escalate") & noted).alias("escalation_note"),
+    )
+
+
+def merged_history(histories: DataFrame) -> DataFrame:
+    """One row per alert from reduced histories of several deliveries."""
+    keys = [c for c in histories.columns if c not in HISTORY]
+    return histories.groupBy(*keys).agg(*(F.max(c).alias(c) for c in HISTORY))
+
+
+def with_history(alerts: DataFrame, history: DataFrame) -> DataFrame:
+    """Alerts with their reduced history applied."""
+    latest = history.select(
+        F.col("alert_id").alias("_alert"),
+        F.col("status.value").alias("_status"),
+        "resolved_at",
+        F.col("resolution.value").alias("resolution_note"),
+        "escalated_at",
+        F.col("escalation.value").alias("escalation_note"),
     )
     joined = alerts.join(latest, F.col("alert_id") == F.col("_alert"), "left").drop("_alert")
     escalated = F.col("escalated_at").isNotNull()
@@ -82,6 +103,16 @@ def current_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     ).drop("_status")
 
 
+def current_state(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Alerts with their history applied.
+
+    Status comes from the last action; the time and note of each kind of action come from the last
+    one of that kind (a later action without a note leaves the earlier note). Actions on unknown
+    alerts have no effect. The history is reduced per alert map-side, so long histories are cheap.
+    """
+    return with_history(alerts, reduced_history(actions))
+
+
 def filter_alerts(alerts: DataFrame, tier: str | None = None, status: str | None = None) -> DataFrame:
     if tier:
         alerts = alerts.filter(F.upper("risk_level") == tier.upper())

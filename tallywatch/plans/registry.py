@@ -23,8 +23,10 @@ from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import files, lookup, tables
 from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
 from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
+from tallywatch.streaming.alerts import AlertStates
 from tallywatch.streaming.keyed import KeyedVelocity
 from tallywatch.streaming.rolling import RollingScores
+from tallywatch.streaming.rollups import RollupStates
 from tallywatch.streaming.velocity import RunningVelocity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,9 +389,8 @@ def alerts_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def alerts_after_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return _state(spark, folder).select(
+def _shown_state(state: DataFrame) -> DataFrame:
+    return state.select(
         "alert_id",
         "txn_id",
         "status",
@@ -400,6 +401,22 @@ def alerts_after_actions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def alerts_after_actions(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_state(_state(spark, folder))
+
+
+@query
+def alerts_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of alerts after three deliveries of actions, the second of which comes twice."""
+    scored = scored_v3(spark, folder)
+    actions = _actions(scored).withColumn("part", F.pmod(F.crc32(F.concat("alert_id", "action").cast("binary")), F.lit(3)))
+    states = AlertStates(f"{_run_folder(spark)}/histories", fan=2)
+    for delivery, part in enumerate((0, 1, 1, 2)):
+        states.add(actions.filter(F.col("part") == part).drop("part"), delivery)
+    return _shown_state(states.state(A.generate_alerts(scored, BATCH, F.col("ts"))))
+
+
 @query
 def alerts_listing(spark: SparkSession, folder: str) -> DataFrame:
     return A.list_alerts(_state(spark, folder)).select("alert_id", "txn_id", "score", "status")
@@ -643,6 +660,36 @@ def stream_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{run}/scored")
 
 
+@query
+def rollup_states(spark: SparkSession, folder: str) -> DataFrame:
+    """All views of the dashboard from the stored sums of three batches."""
+    scored = scored_v3(spark, folder)
+    states = RollupStates(f"{_run_folder(spark)}/sums", fan=2)
+    for part in range(3):
+        states.add(scored.filter(F.col("txn_id") % 3 == part), part)
+
+    def shown(view: str, df: DataFrame, label: str | Column, **values: str) -> DataFrame:
+        kinds = {"n": "bigint", "score": "double", "high_count": "bigint", "avg_amount": "double"}
+        name = F.col(label) if isinstance(label, str) else label
+        cells = (F.col(values[c]).cast(k).alias(c) if c in values else F.lit(None).cast(k).alias(c) for c, k in kinds.items())
+        return df.select(F.lit(view).alias("view"), name.alias("label"), *cells)
+
+    trends = states.trends(spark).select(
+        F.concat(F.lit("trend_"), "view").alias("view"), "label", F.lit(None).cast("bigint").alias("n"), "score", "high_count", "avg_amount"
+    )
+    views = [
+        shown("kpis", states.kpis(spark), F.lit("all"), n="total", score="avg_score", high_count="high"),
+        shown("border", states.kpis(spark), F.lit("all"), n="cross_border_count", score="fatf_pct"),
+        shown("histogram", states.histogram(spark), "range", n="count"),
+        shown("level_summary", states.level_summary(spark), "risk_level", n="count", score="avg_score", high_count="max_score"),
+        shown("merchant_rollup", states.merchant_rollup(spark), "mcc", n="count", score="avg_score"),
+        shown("country_rollup", states.country_rollup(spark), "country", n="count"),
+    ]
+    for view in views:
+        trends = trends.unionByName(view)
+    return trends
+
+
 @query
 def stream_velocity(spark: SparkSession, folder: str) -> DataFrame:
     """All events in three deliveries, velocities and payees carried from one to the next."""

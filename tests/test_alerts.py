@@ -1,6 +1,6 @@
 """Alert life cycle, blending and penalties."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from tallywatch import constants as C
 from tallywatch.operators import alerts as A
 from tallywatch.operators import hybrid, quality
 from tallywatch.operators.rules import score_rules, with_texts
+from tallywatch.streaming.alerts import AlertStates
 
 NOW = datetime(2024, 1, 1)
 
@@ -120,3 +121,40 @@ def test_split_is_stratified_and_stable(spark):
     assert abs(shares[0] - 0.2) < 0.02 and abs(shares[1] - 0.2) < 0.08
     again = quality.stratified_split(df.repartition(9))
     assert split.filter("is_test").exceptAll(again.filter("is_test")).count() == 0
+
+
+def test_deliveries_of_actions_add_up(spark, txn, tmp_path):
+    made = A.generate_alerts(score_rules(txn), "b", F.col("ts")).persist()
+    ids = [r["alert_id"] for r in made.orderBy("alert_id").limit(12).collect()]
+    t0 = datetime(2024, 5, 1)
+    history = [
+        (a, ("resolve", "escalate")[(i + k) % 2], t0 + timedelta(minutes=7 * i + 31 * k), f"n{k}" if k % 2 else None)
+        for i, a in enumerate(ids)
+        for k in range(4)
+    ] + [("unknown", "resolve", t0, "x"), (None, "resolve", t0, "y")]
+    actions = spark.createDataFrame(history, A.ACTION_SCHEMA)
+    states = AlertStates(str(tmp_path / "state"), fan=2)
+    parts = [actions.filter(F.pmod(F.xxhash64("alert_id", "at"), F.lit(3)) == i) for i in range(3)]
+    for delivery, part in ((0, 2), (1, 0), (1, 0), (2, 1), (3, 0)):  # out of order, one again and one under another number
+        states.add(parts[part], delivery)
+    want = sorted(map(repr, A.current_state(made, actions).collect()))
+    assert sorted(map(repr, states.state(made).collect())) == want
+    one = states.one(made, ids[3])
+    assert [r["status"] for r in one.collect()] == [r["status"] for r in states.state(made).filter(F.col("alert_id") == ids[3]).collect()]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert len(states.store.manifest(spark)) <= 3
+    made.unpersist()
+
+
+def test_a_stream_of_actions(spark, txn, tmp_path):
+    made = A.generate_alerts(score_rules(txn), "b", F.col("ts"))
+    ids = [r["alert_id"] for r in made.orderBy("alert_id").limit(2).collect()]
+    states = AlertStates(str(tmp_path / "state"))
+    for i, action in enumerate(("escalate", "resolve")):
+        rows = [(ids[0], action, datetime(2024, 1, 1 + i), "note")]
+        spark.createDataFrame(rows, A.ACTION_SCHEMA).write.mode("append").parquet(str(tmp_path / "actions"))
+        incoming = spark.readStream.schema(A.ACTION_SCHEMA).parquet(str(tmp_path / "actions"))
+        states.start(incoming, str(tmp_path / "checkpoint")).awaitTermination()
+    found = {r["alert_id"]: (r["status"], r["severity"]) for r in states.state(made).filter(F.col("alert_id").isin(ids)).collect()}
+    assert found == {ids[0]: ("resolved", "danger"), ids[1]: ("open", "danger")}
