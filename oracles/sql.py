@@ -689,3 +689,9 @@ ORACLE["rollup_states"] = " UNION ALL ".join(
 )
 
 ORACLE["alerts_incremental"] = ORACLE["alerts_after_actions"]
+
+ORACLE["source_rejects"] = txn(
+    """SELECT source, reason, txn_id FROM txn JOIN (VALUES ('csv', 1, 'no amount'), ('csv', 2, 'amount does not parse'),
+  ('csv', 3, 'number of values'), ('csv', 4, 'number of values'), ('json', 5, 'no amount'), ('json', 6, 'not JSON or of other types'),
+  ('stream', 5, 'no amount'), ('stream', 6, 'not JSON or of other types')) v(source, kind, reason) ON txn_id % 20 = kind"""
+)

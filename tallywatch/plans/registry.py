@@ -22,7 +22,7 @@ from tallywatch.schema import canonicalise
 from tallywatch.session import ensure_checkpoint_dir
 from tallywatch.sources import files, lookup, tables
 from tallywatch.sources.star import read_table, stream_events, transactions, transactions_table
-from tallywatch.streaming.scoring import load_snapshots, save_snapshots, score_stream, write_stream
+from tallywatch.streaming.scoring import load_snapshots, read_reject_stream, save_snapshots, score_stream, write_stream
 from tallywatch.streaming.alerts import AlertStates
 from tallywatch.streaming.keyed import KeyedVelocity
 from tallywatch.streaming.rolling import RollingScores
@@ -944,3 +944,31 @@ def source_json(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
         *("amount", "mcc", "sender_account", "sender_country", "receiver_country", "receiver_account"),
     )
+
+
+@query
+def source_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What is refused of a sheet, of JSON lines and of a stream of them with faults planted by id: broken quotes,
+    short rows, amounts that are missing or no numbers, and lines that are not JSON."""
+    run = _run_folder(spark)
+    txn = transactions_table(spark, folder)
+    key, kind = F.col("txn_id").cast("string"), F.col("txn_id") % 20
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    amount = F.when(kind == 1, "").when(kind == 2, "12,5x").otherwise(F.col("amount").cast("string"))
+    quoted = F.when(kind == 2, F.concat(F.lit('"'), amount, F.lit('"'))).otherwise(amount)
+    name = F.when(kind == 3, F.concat(F.lit('"'), "merchant_name")).otherwise(F.col("merchant_name"))
+    line = F.when(kind == 4, F.concat_ws(",", key, stamp)).otherwise(F.concat_ws(",", key, stamp, quoted, name, "mcc"))
+    sheet = txn.select(line.alias("Transaction Reference Number,Transaction Date,Transaction Amount,Merchant Name,MCC"))
+    # One column under quotes and separators that do not occur, so that the lines go out as they are.
+    sheet.write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(f"{run}/sheet")
+
+    given = F.to_json(F.struct(key.alias("transaction_reference"), F.when(kind != 5, F.col("amount")).alias("amount"), "mcc"))
+    broken = F.when(kind == 6, F.concat(F.lit("{"), key, F.lit(" is no JSON"))).otherwise(given)
+    txn.select(broken.alias("value")).write.text(f"{run}/json")
+    write_stream(read_reject_stream(spark, f"{run}/json"), f"{run}/rejects", f"{run}/checkpoint").awaitTermination()
+
+    rejects = files.csv_rejects(spark, f"{run}/sheet", "v2")
+    rejects = rejects.unionByName(files.named_rejects(files.json_records(spark, f"{run}/json"), "json"))
+    rejects = rejects.unionByName(spark.read.parquet(f"{run}/rejects"))
+    found = F.coalesce(F.nullif(F.regexp_extract("record", '[Rr]eference[^:]*":"(\\d+)"', 1), F.lit("")), F.regexp_extract("record", "(\\d+)", 1))
+    return rejects.select("source", "reason", found.cast("bigint").alias("txn_id"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.schema import canonicalise
+from tallywatch.functions.numbers import parse_number, parse_timestamp
+from tallywatch.schema import canonicalise, resolve_aliases
 from tallywatch.session import ensure_checkpoint_dir
 
 # The labelled payments CSV, by position; the second "Account" is the receiver's.
@@ -51,6 +53,12 @@ JSON_SCHEMA = T.StructType(
 )
 
 
+MOST_HEADERS = 1000
+CORRUPT = "_corrupt_record"
+JSON_RECORD = T.StructType([*JSON_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+REJECT_COLUMNS = ("source", "position", "reason", "record")
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Trimmed headers; repeats of X become X.1, X.2, ..."""
     seen: dict[str, int] = {}
@@ -62,26 +70,47 @@ def unique_names(names: list[str]) -> list[str]:
     return result
 
 
-def file_headers(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
-    """The header of every CSV file under ``path``: one line per file, read through the file system's client."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header) of every CSV file under ``path`` that is not empty, read by tasks.
 
-    def first_line(name: str) -> str:
-        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        stream = place.getFileSystem(conf).open(place)
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-        lines = jvm.java.io.BufferedReader(
-            jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
-        )
-        try:
-            return lines.readLine() or ""
-        finally:
-            lines.close()
-
-    names = spark.read.text(path).inputFiles()
-    with ThreadPoolExecutor(16) as readers:
-        lines = list(readers.map(first_line, names))
-    return {name: tuple(next(csv.reader([line.lstrip("\ufeff")]), ())) for name, line in zip(names, lines)}
+    The first line of a file's first split is its header. A split of full size has a task to itself, which stops
+    after its first batch of lines; only smaller splits, which may share a task, are read to their end.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            places = list(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()))
+            found = [i for i, place in enumerate(places) if place != (places[i - 1] if i else last) and place[1] == 0]
+            last = places[-1] if places else last
+            yield batch.select(["file", "value"]).take(pa.array(found, pa.int64()))
+            if places and batch.column("length")[0].as_py() >= size:
+                return
+
+    place = ("file_path", "file"), ("file_block_start", "start"), ("file_block_length", "length")
+    lines = spark.read.text(path).select("value", *(F.col(f"_metadata.{a}").alias(b) for a, b in place))
+    return lines.mapInArrow(first_lines, "file string, value string").select("file", F.ltrim("value", F.lit("\ufeff")).alias("header"))
+
+
+def _names_of(header: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([header]), ()))
+
+
+def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The names in each distinct header and the files that have it; where all have one, the path itself."""
+    found = file_headers(spark, path).persist()
+    try:
+        distinct = sorted(r["header"] for r in found.select("header").distinct().limit(MOST_HEADERS + 1).collect())
+        if len(distinct) > MOST_HEADERS:
+            raise ValueError(f"{path} has more than {MOST_HEADERS} different headers")
+        out: dict[tuple[str, ...], list[str]] = {}
+        for header in distinct:
+            files = [path] if len(distinct) == 1 else [r["file"] for r in found.filter(F.col("header") == header).collect()]
+            out.setdefault(_names_of(header), []).extend(files)
+        return out
+    finally:
+        found.unpersist()
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
@@ -121,9 +150,9 @@ def _numbered(tagged: DataFrame) -> DataFrame:
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """The labelled payments file, under an explicit schema; another header in any file is an error."""
     wanted = LABELLED_SCHEMA.fieldNames()
-    for name, header in file_headers(spark, path).items():
+    for header, names in files_by_header(spark, path).items():
         if header and unique_names(list(header)) != wanted:
-            raise ValueError(f"{name} has other columns: {', '.join(header)}")
+            raise ValueError(f"{names[0]} has other columns: {', '.join(header)}")
     rows = spark.read.schema(LABELLED_SCHEMA).option("header", True).option("enforceSchema", True).csv(path)
     return with_row_ids(rows)
 
@@ -134,22 +163,48 @@ def read_batch_csv(spark: SparkSession, path: str, line_breaks: bool = False) ->
     Columns are found by each file's own header; one that a file lacks is null there. Quoted values
     with ``line_breaks`` need whole files per task, so they are asked for.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for name, header in file_headers(spark, path).items():
-        if header:
-            by_header.setdefault(header, []).append(name)
+    return _csv_rows(spark, path, line_breaks).drop(CORRUPT)
+
+
+def _csv_rows(spark: SparkSession, path: str, line_breaks: bool) -> DataFrame:
+    """The rows of CSV files with ids, and the whole line of those with another number of values than their header."""
+    by_header = {header: names for header, names in files_by_header(spark, path).items() if header}
     if not by_header:
         raise ValueError(f"{path} has no header")
     reader = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", line_breaks)
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     rows = None
     for header, names in by_header.items():
         fields = unique_names([value or f"Unnamed: {i}" for i, value in enumerate(header)])
-        schema = T.StructType([T.StructField(field, T.StringType()) for field in fields])
+        schema = T.StructType([T.StructField(field, T.StringType()) for field in (*fields, CORRUPT)])
         own = _placed(reader.schema(schema).csv(names))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     return _numbered(rows)
 
 
+def _blank(column: Column) -> Column:
+    return F.coalesce(F.trim(column), F.lit("")).isin("", "nan", "None")
+
+
+def csv_rejects(spark: SparkSession, path: str, profile: str = "v3", line_breaks: bool = False) -> DataFrame:
+    """What CSV files hold that cannot be taken as it is, as source, position, reason and record: rows with more or
+    fewer values than the header (broken quotes among them), and amounts and times that are missing or do not parse.
+    A row has one line per reason. ``read_batch_csv`` keeps such rows, with nulls."""
+    rows = _csv_rows(spark, path, line_breaks)
+    values = [c for c in rows.columns if c not in ("txn_id", CORRUPT)]
+    chosen = resolve_aliases(values, profile)
+    reasons = [F.when(F.col(CORRUPT).isNotNull(), "number of values")]
+    whole = F.col(CORRUPT).isNull()
+    for name, parsed in (("amount", parse_number), ("ts", parse_timestamp)):
+        if name in chosen:
+            given = F.col(f"`{chosen[name]}`")
+            found = parsed(given, T.StringType())
+            reasons.append(F.when(whole & _blank(given), f"no {name}").when(whole & found.isNull(), f"{name} does not parse"))
+    listed = rows.withColumn("reason", F.explode(F.array_compact(F.array(*reasons))))
+    record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(F.col(f"`{c}`") for c in values))))
+    return listed.select(F.lit("csv").alias("source"), F.col("txn_id").alias("position"), "reason", record.alias("record"))
+
+
 def read_sheet_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """A spreadsheet exported as CSV, blanks normalised."""
     return blank_normalised(read_batch_csv(spark, path, line_breaks))
@@ -198,8 +253,7 @@ def from_json_rows(rows: DataFrame) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """All JSON records with their position as ``txn_id``; a line that does not parse is kept as text."""
-    schema = T.StructType([*JSON_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    return with_row_ids(spark.read.schema(schema).json(path))
+    return with_row_ids(spark.read.schema(JSON_RECORD).json(path))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -210,3 +264,14 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def json_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The records that cannot be scored, as they are: without an amount, or not JSON."""
     return json_records(spark, path).filter(F.col("amount").isNull())
+
+
+def named_rejects(records: DataFrame, source: str) -> DataFrame:
+    """Source, position, reason and record of JSON records (batch or stream) that cannot be scored; a stream knows no
+    positions."""
+    position = F.col("txn_id") if "txn_id" in records.columns else F.lit(None).cast("bigint")
+    reason = F.when(F.col(CORRUPT).isNotNull(), "not JSON or of other types").otherwise("no amount")
+    record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*JSON_SCHEMA.fieldNames())))
+    return records.filter(F.col("amount").isNull()).select(
+        F.lit(source).alias("source"), position.alias("position"), reason.alias("reason"), record.alias("record")
+    )

@@ -15,7 +15,7 @@ from tallywatch.operators.features import build_features
 from tallywatch.operators.hybrid import without_models
 from tallywatch.operators.rules import SINGLE_RECORD, AmountStats, Snapshots, score_rules
 from tallywatch.plans.models import Models, blend, with_model_columns
-from tallywatch.sources.files import JSON_SCHEMA, from_json_rows
+from tallywatch.sources.files import JSON_RECORD, JSON_SCHEMA, from_json_rows, named_rejects
 
 
 def save_snapshots(snapshots: Snapshots, folder: str) -> None:
@@ -36,11 +36,16 @@ def load_snapshots(spark: SparkSession, folder: str) -> Snapshots:
 
 
 def read_transaction_stream(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """JSON-lines transactions arriving in a folder, in canonical form."""
+    """JSON-lines transactions arriving in a folder, in canonical form; ``read_reject_stream`` has those without an amount."""
     rows = spark.readStream.schema(JSON_SCHEMA).options(**options).json(folder)
     return from_json_rows(rows.filter(F.col("amount").isNotNull()))
 
 
+def read_reject_stream(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """The records of the same stream that cannot be scored, with the reason, for a table of their own."""
+    return named_rejects(spark.readStream.schema(JSON_RECORD).options(**options).json(folder), "stream")
+
+
 def score_stream(
     rows: DataFrame, snapshots: Snapshots = SINGLE_RECORD, models: Models | None = None
 ) -> DataFrame:

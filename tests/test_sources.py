@@ -48,6 +48,35 @@ def test_every_file_has_its_own_header(spark, tmp_path):
     assert [(r["txn_id"], r["x"], r["y"], r["z"]) for r in rows] == [(0, "1", "2", None), (1, "3", "4\n5", None), (2, None, "6", "7")]
 
 
+def test_headers_of_many_files_and_splits(spark, tmp_path):
+    """Full splits stop after their first lines; small files share tasks; empty ones have no header."""
+    (tmp_path / "big.csv").write_text("\ufeffa,b\n" + "".join(f"{i},{'x' * 60}\n" for i in range(40_000)))
+    for i in range(6):
+        (tmp_path / f"s{i}.csv").write_text(["a,b\n1,2\n", "b,c\n", "", "a,b"][i % 4])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for parts in ("128m", "300000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+            found = {r["file"].rsplit("/", 1)[1]: r["header"] for r in files.file_headers(spark, str(tmp_path)).collect()}
+            assert found == {"big.csv": "a,b", "s0.csv": "a,b", "s1.csv": "b,c", "s3.csv": "a,b", "s4.csv": "a,b", "s5.csv": "b,c"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_what_a_sheet_and_json_refuse(spark, tmp_path):
+    sheet = 'Date,Amount,MCC\n2024-01-01 10:00:00,5.5,1\n2024-01-01 10:00:00,,1\nnever,"1,000",2\n2024-01-01,7\n2024-01-01,8,1,9\n"2024-01-01,9,1\n'
+    (tmp_path / "a.csv").write_text(sheet)
+    found = sorted((r["position"], r["reason"], r["record"]) for r in files.csv_rejects(spark, str(tmp_path / "a.csv")).collect())
+    assert [f[:2] for f in found] == [
+        (1, "no amount"), (2, "amount does not parse"), (2, "ts does not parse"), (3, "number of values"), (4, "number of values"), (5, "number of values"),
+    ]
+    assert found[3][2] == "2024-01-01,7" and json.loads(found[0][2])["MCC"] == "1"
+    assert files.read_batch_csv(spark, str(tmp_path / "a.csv")).count() == 6
+    (tmp_path / "in.json").write_text('{"amount": 1}\n{"mcc": "5"}\nnope\n{"amount": "x"}\n')
+    rejects = files.named_rejects(files.json_records(spark, str(tmp_path / "in.json")), "json").collect()
+    assert sorted((r["position"], r["reason"]) for r in rejects) == [(1, "no amount"), (2, "not JSON or of other types"), (3, "not JSON or of other types")]
+
+
 def test_labelled_csv_with_other_columns_is_refused(spark, tmp_path):
     lines = LABELLED.splitlines()
     (tmp_path / "a.csv").write_text(LABELLED)
