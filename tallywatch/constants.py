@@ -113,6 +113,9 @@ SEQUENCE_BLOCKS = 8
 ANOMALY_ROWS = 20
 MERCHANT_ROWS, COUNTRY_ROWS, EDGE_ROWS = 12, 15, 25
 
+# The most listed edges whose nodes are broadcast.
+BROADCAST_EDGES = 10_000
+
 # Model blend and attribution penalty.
 ANOMALY_WEIGHT, CLASSIFIER_WEIGHT = 0.30, 0.70
 RULE_WEIGHT, MODEL_WEIGHT = 0.60, 0.40

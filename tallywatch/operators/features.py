@@ -90,11 +90,13 @@ def build_features(
     codes: PaymentCodes | None = None,
     keep: tuple[str, ...] = (),
     stateless: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """``txn_id``, the kept columns, the features in model order and ``label`` when present.
 
-    Row-local features are one projection; what is shuffled is already narrow. A ``stateless`` row knows no other rows: its velocities are 1 and
-    its payee is new.
+    Row-local features are one projection. Velocities are worked out on four columns (of ``source``, the same rows
+    before joins, when it is given); the projected rows cross one shuffle. A ``stateless`` row knows no
+    other rows: its velocities are 1 and its payee is new.
     """
     stats = stats or amount_stats(df)
     coded = has(df, "payment_format")
@@ -117,7 +119,7 @@ def build_features(
         ones = {c: F.lit(1).cast("bigint") for c in C.VELOCITY_HOURS}
         rows = rows.withColumns({**ones, "is_new_payee": F.lit(int(bool(sender and receiver)))})
     else:
-        rows = with_velocity(rows, sender, receiver)
+        rows = with_velocity(rows, sender, receiver, source)
     labels = ["label"] if has(df, "label") and "label" not in keep else []
     return rows.select("txn_id", *keep, *C.FEATURE_COLUMNS, *labels)
 

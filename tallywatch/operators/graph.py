@@ -25,8 +25,8 @@ def network_edges(scored: DataFrame, rows: int = C.EDGE_ROWS) -> DataFrame:
 def network_nodes(scored: DataFrame, rows: int = C.EDGE_ROWS) -> DataFrame:
     """Ends of the listed edges with the risk of their highest score on either side.
 
-    At most two nodes per listed edge exist, so the node table may be broadcast. Rows are filtered
-    by it before anything is shuffled.
+    At most two nodes per listed edge exist; up to ``C.BROADCAST_EDGES`` edges their table is broadcast, so that rows
+    are filtered before anything is shuffled, and beyond that the planner chooses.
     """
     edges = network_edges(scored, rows)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -35,7 +35,7 @@ def network_nodes(scored: DataFrame, rows: int = C.EDGE_ROWS) -> DataFrame:
         F.when(F.col("score") >= C.NODE_HIGH, "high").when(F.col("score") >= C.NODE_MEDIUM, "medium").otherwise("low")
     )
     return (
-        sides.join(F.broadcast(nodes), "id")
+        sides.join(F.broadcast(nodes) if rows <= C.BROADCAST_EDGES else nodes, "id")
         .groupBy("id")
         .agg(F.max("score").alias("score"))
         .select("id", F.substring("id", 1, 8).alias("label"), risk.alias("risk"))

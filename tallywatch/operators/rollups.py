@@ -13,6 +13,8 @@ from tallywatch import constants as C
 from tallywatch.functions import text as X
 from tallywatch.operators.ranking import block_of, order_statistics
 from tallywatch.schema import has, optional
+from tallywatch.session import written
+
 
 def is_high() -> Column:
     return _level_is("HIGH")
@@ -285,8 +287,9 @@ def customer_profile(scored: DataFrame) -> DataFrame:
     """One row of fixed size per customer: attributes of the first row, worst score, history size.
 
     The history itself is a child table (``customer_history``), so a customer with very many rows
-    is never gathered into one value. The aggregates are numbers that combine map-side by hash; the
-    attributes of a customer's first row are then met by its unique id.
+    is never gathered into one value. The rows are scored once and their few columns written down; the
+    aggregates are numbers that combine map-side by hash, and the attributes of a customer's first row
+    are read from the written rows by its unique id.
     """
 
     def shown(name: str, default: str = "") -> Column:
@@ -310,16 +313,19 @@ def customer_profile(scored: DataFrame) -> DataFrame:
         F.struct(shown("merchant_name").alias("employer"), shown("mcc").alias("industry")).alias("work"),
     )
     alerts = F.col("score") >= C.ELEVATED_SCORE
-    grouped = (
+    rows = written(
         scored.select(
             _customer_key(scored).alias("customer"),
             "txn_id",
             "score",
             _any_fatf(scored).alias("fatf"),
             optional(scored, "ts").alias("at"),
-        )
-        .filter(F.col("customer").isNotNull())
-        .groupBy("customer")
+            *attributes,
+        ).filter(F.col("customer").isNotNull()),
+        "customers",
+    )
+    grouped = (
+        rows.groupBy("customer")
         .agg(
             F.min("txn_id").alias("first_id"),
             F.min(F.when(F.col("score") >= C.CASE_SCORE, F.col("at"))).alias("case_at"),
@@ -339,7 +345,7 @@ def customer_profile(scored: DataFrame) -> DataFrame:
             F.concat(F.lit("Highest score "), F.col("risk_score").cast("string")).alias("description"),
         ),
     )
-    firsts = scored.select(F.col("txn_id").alias("first_id"), *attributes)
+    firsts = rows.select(F.col("txn_id").alias("first_id"), "reference", "name", "address", "account", "work")
     return grouped.join(firsts, "first_id").select(
         "customer", "reference", "name", "address", "account", "work", "risk_score", "has_fatf", "history_size", "transactions",
         case.alias("case"),

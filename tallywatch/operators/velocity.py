@@ -24,25 +24,38 @@ def account_key(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def with_velocity(df: DataFrame, sender: str | None, receiver: str | None) -> DataFrame:
+def with_velocity(df: DataFrame, sender: str | None, receiver: str | None, source: DataFrame | None = None) -> DataFrame:
     """Adds ``velocity_*`` (rows of the sender in (t-w, t], equal times included; 1 without a
     time) and ``is_new_payee`` (first row of the pair by time and then ``txn_id``; rows without a
-    time come last)."""
-    timed = "ts" in df.columns
+    time come last).
+
+    All of it is worked out on id, accounts and time; the whole rows are shuffled once, by their id. These
+    columns are read from ``source``, the rows before joins that made them wide, when it is given.
+    """
     if sender is None:
         return df.withColumns({**{c: F.lit(1).cast("bigint") for c in VELOCITY_HOURS}, "is_new_payee": F.lit(0)})
-    micros = F.unix_micros("ts") if timed else F.lit(None).cast("bigint")
+    narrow = source if source is not None else df
+    own = [c for c in dict.fromkeys(("txn_id", "ts", sender, receiver)) if c in narrow.columns]
+    flagged = velocities(narrow.select(*own), sender, receiver)
+    added = [*VELOCITY_HOURS, "is_new_payee"]
+    if set(df.columns) <= set(own):
+        return flagged.select(*df.columns, *added)
+    found = flagged.select(F.col("txn_id").alias("_of"), *added)
+    return df.join(found, F.col("txn_id") == F.col("_of"), "left").select(*df.columns, *added)
+
+
+def velocities(df: DataFrame, sender: str, receiver: str | None) -> DataFrame:
+    """The rows with their velocities and whether they are the first of their pair."""
+    micros = F.unix_micros("ts") if "ts" in df.columns else F.lit(None).cast("bigint")
     payee = account_key(F.col(receiver)) if receiver else F.lit(None).cast("string")
     rows = df.select("*", account_key(F.col(sender)).alias(SENDER), payee.alias(PAYEE), micros.alias(MICROS))
     counted = attach_by_key(rows, trailing_counts(rows), [SENDER, MICROS], {c: c for c in VELOCITY_HOURS})
     counted = counted.withColumns({c: F.coalesce(F.col(c), F.lit(1)).cast("bigint") for c in VELOCITY_HOURS})
     if receiver is None:
-        flagged = counted.withColumn("is_new_payee", F.lit(0))
-    else:
-        firsts = first_rows(rows, [SENDER, PAYEE]).select(F.col("txn_id").alias("_first"))
-        met = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
-        flagged = met.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int"))
-    return flagged.select(*df.columns, *VELOCITY_HOURS, "is_new_payee")
+        return counted.withColumn("is_new_payee", F.lit(0))
+    firsts = first_rows(rows, [SENDER, PAYEE]).select(F.col("txn_id").alias("_first"))
+    met = counted.join(firsts, F.col("txn_id") == F.col("_first"), "left")
+    return met.withColumn("is_new_payee", F.col("_first").isNotNull().cast("int"))
 
 
 def trailing_counts(rows: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def score_batch(
         return hybrid.without_models(scored)
     spark = df.sparkSession
     carried = tuple(c for c in scored.columns if c != "txn_id")
-    featured = build_features(scored, codes=models.codes, keep=carried)
+    featured = build_features(scored, codes=models.codes, keep=carried, source=df)
     rated = with_model_columns(featured, models).drop(*(c for c in C.FEATURE_COLUMNS if c not in scored.columns))
     path = f"{ensure_checkpoint_dir(spark)}/rated-{uuid.uuid4().hex}"
     rated.write.parquet(path)

@@ -79,7 +79,17 @@ def transactions(spark: SparkSession, folder: str, events: DataFrame | None = No
     )
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
+_STORED: dict[tuple, tuple] = {}
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of the files that the transactions are made from."""
+    out = []
+    for name in SCHEMAS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
 
 
 def transactions_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -123,3 +123,32 @@ def test_order_statistics(spark, error):
 def test_block_of(spark):
     df = spark.createDataFrame([(i,) for i in range(6)], "k int")
     assert [r[0] for r in df.orderBy("k").select(block_of(F.col("k"), [0, 2, 5])).collect()] == [0, 0, 1, 1, 1, 2]
+
+
+def test_wide_rows_cross_one_shuffle(spark, txn):
+    """Velocities travel on four columns; whatever else a row has is shuffled once, by its id."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = txn.drop("payment_format")  # its codes are a join of their own
+        df = FT.build_features(rows, amount_stats(rows))
+        wide, pending = 0, [df._jdf.queryExecution().executedPlan()]
+        while pending:
+            node = pending.pop()
+            if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+                wide += "amount_zscore" in node.output().toString()
+            pending += [node.children().apply(i) for i in range(node.children().size())]
+        assert wide == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_velocities_from_a_narrow_source(spark):
+    rows = frame(spark, edge_rows())
+    wide = rows.withColumn("more", F.col("txn_id") * 2)
+    got = with_velocity(wide, "sender_account", "receiver_account", rows).drop("more")
+    want = with_velocity(rows, "sender_account", "receiver_account")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

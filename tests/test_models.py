@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallywatch import constants as C
 from tallywatch.operators import alerts, attribution, boosting, forest, quality
 from tallywatch.operators.features import build_features
-from tallywatch.operators.rules import score_rules
+from tallywatch.operators.rules import AmountStats, score_rules
 from tallywatch.plans.models import alert_attributions, load_models, score_batch, train_models
 from tallywatch.sources import tables
 
@@ -69,6 +69,36 @@ def test_outliers_score_lower(spark):
     assert -1 <= planted < bulk <= 0
 
 
+def plain_isolation_tree(x, limit, rng):
+    """The tree as nested recursion: (feature, threshold, lower, upper) or a path length."""
+
+    def grow(rows, depth):
+        if depth < limit and len(rows) > 1:
+            for feature in rng.permutation(x.shape[1]):
+                values = [x[r, feature] for r in rows]
+                if min(values) < max(values):
+                    cut = rng.uniform(min(values), max(values))
+                    cut = cut if cut < max(values) else min(values)
+                    lower = grow([r for r in rows if x[r, feature] <= cut], depth + 1)
+                    return feature, cut, lower, grow([r for r in rows if x[r, feature] > cut], depth + 1)
+        return depth + forest.expected_path(len(rows))
+
+    return grow(list(range(len(x))), 0)
+
+
+def test_growth_matches_a_plain_twin():
+    x = np.round(np.random.default_rng(2).normal(size=(300, 4)), 1)
+    x[:, 3] = 1.0
+    x[250:] = x[0]
+    nodes = forest.grow_tree(x, 9, np.random.default_rng([7, 1])).set_index("node_id")
+
+    def tree(node):
+        n = nodes.loc[node]
+        return n["path"] if n["feature"] < 0 else (n["feature"], n["threshold"], tree(n["lower"]), tree(n["upper"]))
+
+    assert tree(0) == plain_isolation_tree(x, 9, np.random.default_rng([7, 1]))
+
+
 def test_forest_does_not_depend_on_layout(features):
     a, _ = forest.fit_forest(features, 1000, trees=3, rows_per_tree=200)
     b, _ = forest.fit_forest(features.repartition(7), 1000, trees=3, rows_per_tree=200)
@@ -143,6 +173,11 @@ def test_alert_attributions(spark, txn, store):
     explained = alerts.explain_alerts(made, lambda missing: alert_attributions(missing, models))
     assert explained.count() == made.count()
     assert explained.filter("size(attributions) = 0 OR size(attributions) > 5").count() == 0
+    # The stored fields of an alert say what its row says: the same attributions come from the rows themselves.
+    lone = build_features(txn, AmountStats(rows=1), models.codes, stateless=True)
+    direct = {r["txn_id"]: r["attributions"] for r in attribution.with_attributions(lone, models.leaf_tables, 5).collect()}
+    ids = {r["alert_id"]: r["txn_id"] for r in made.collect()}
+    assert all(r["attributions"] == direct[ids[r["alert_id"]]] for r in explained.collect())
 
 
 # --- boosting ----------------------------------------------------------------------------------------

@@ -249,3 +249,16 @@ def test_sheet_and_batch_flows(spark, tmp_path):
     assert batch["kpis"].first()["total"] == 21 and batch["alerts"].count() == 1
     assert batch["transactions"].orderBy("txn_id").first()["risk_level"] == "HIGH"
     assert C.V2.high == 61
+
+
+def test_the_joined_table_follows_its_files(spark, tmp_path):
+    import shutil
+
+    from tallywatch.sources.star import transactions_table
+
+    for name in ("events", "customer", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = transactions_table(spark, str(tmp_path)).count()
+    events = spark.read.parquet(str(tmp_path / "events.parquet")).limit(before // 2)
+    events.toPandas().to_parquet(tmp_path / "events.parquet")
+    assert transactions_table(spark, str(tmp_path)).count() == before // 2
