@@ -14,8 +14,9 @@ its k-th scores are a floor for the others and prune them from the start.
 Defined results: vectors that are null, empty, or hold null, NaN or infinite components take no
 part; shorter vectors count as padded with zeros; a null id sorts last and is no query; rows with
 the id of a query are its own and no candidates of it; equal rows with another id each take a
-rank; an empty table gives no rows; extra columns are ignored. Weights must stay below 2**31 in
-absolute value (components below 2**23), else the query fails.
+rank; an empty table gives no rows; extra columns are ignored. Weights of any size that a long holds are
+multiplied exactly; one beyond a long (a component of 2**55 or more), or a listed score beyond one,
+makes the query fail.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def _matrix(rows, width: int | None = None) -> np.ndarray:
     out = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    if out.size and max(int(out.max()), -int(out.min())) >= 2**31:
-        raise ValueError("weights must stay below 2**31")
+    if out.size and max(int(out.max()), -int(out.min())) >= NO_ID:  # where Spark's floor ends
+        raise ValueError("a weight does not fit a long")
     return out
 
 
@@ -66,7 +67,8 @@ def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[tuple
     width = max(index.shape[1], wanted.shape[1])
     index, wanted = _fit(index, width), _fit(wanted, width)
     largest = int(np.abs(index).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * width
-    # Sums of exact integers below 2**53 are exact in doubles, whose products are much faster.
+    # Sums of exact integers below 2**53 are exact in doubles, whose products are much faster; beyond
+    # longs the products are those of Python's integers.
     kind = np.float64 if largest < 2**53 else np.int64 if largest < 2**63 else object
     index, wanted = index.astype(kind), wanted.astype(kind)
 

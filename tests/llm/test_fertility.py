@@ -7,7 +7,19 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallywatch.llm.fertility import _scripts, judged, kept_documents, op2_fertility, repeated_words
+from tallywatch.llm.fertility import (
+    FENCE,
+    LEAST_GROUP,
+    LEAST_SPREAD,
+    MEASURES,
+    SHORT,
+    _scripts,
+    judged,
+    kept_documents,
+    measured,
+    op2_fertility,
+    repeated_words,
+)
 from tests.llm.cases import awkward, awkward_rows, empty, small, texts, words, written
 
 
@@ -133,3 +145,66 @@ def test_scripts_are_complete():
     samples = {"საქართველო": "georgian", "தமிழ்": "tamil", "ไทย": "thai", "हिन्दी": "devanagari", "አማርኛ": "ethiopic", "中文": "han"}
     samples |= {"ひらがなカタカナ": "kana", "한국어": "hangul", "বাংলা": "bengali", "Ωμέγα": "greek", "12 -- !": "other", "": "other"}
     assert _scripts([t.encode() for t in samples]) == list(samples.values())
+
+
+def quantile(values, share):
+    """The smallest value with at least that share of all values up to it."""
+    ordered = sorted(values)
+    return ordered[max(0, math.ceil(share * len(ordered)) - 1)]
+
+
+def plain_verdicts(rows):
+    """The verdict of every row (a dictionary of its measures), group by group."""
+    length = lambda r: math.log2(max(r["n_lettered"], 2))
+    good = [r for r in rows if not r["base_failed"]]
+    bands = {}
+    for kind in ("lang", "script"):
+        for key in {r[kind] for r in good if r[kind] is not None}:
+            own = [r for r in good if r[kind] == key]
+            if len(own) < LEAST_GROUP:
+                continue
+            classes = {}
+            for r in own:
+                classes.setdefault(math.floor(length(r)), []).append(r)
+            of = [
+                (len(c), sum(1 / length(r) for r in c) / len(c), {m: quantile([r[m] for r in c], 0.5) for m in MEASURES})
+                for c in classes.values()
+            ]
+            n = sum(c[0] for c in of)
+            mean = lambda f: sum(c[0] * f(c) for c in of) / n
+            usual = {m: mean(lambda c, m=m: c[2][m]) for m in ("lettered_chars", "byte_share")}
+            u, b = mean(lambda c: c[1]), mean(lambda c: c[2]["lettered_entropy"] / c[1])
+            uu, ub = mean(lambda c: c[1] ** 2), mean(lambda c: c[2]["lettered_entropy"])
+            slope = (ub - u * b) / (uu - u * u) if uu - u * u > 1e-9 else 0.0
+            usual["lettered_entropy"] = b - slope * u
+
+            def off(r, m, usual=usual, slope=slope):
+                there = usual[m] if m != "lettered_entropy" else (usual[m] + slope / length(r)) / length(r)
+                return (r[m] - there) / math.sqrt(1 + SHORT / max(r["n_lettered"], 1))
+
+            fences = {}
+            for m in MEASURES:
+                low, high = (quantile([off(r, m) for r in own], q) for q in (0.25, 0.75))
+                spread = max(high - low, LEAST_SPREAD[m] * (usual[m] if m == "lettered_chars" else 1))
+                fences[m] = (low - FENCE[m][0] * spread, high + FENCE[m][1] * spread)
+            bands[kind, key] = off, fences
+    out = []
+    for r in rows:
+        off, fences = bands.get(("lang", r["lang"])) or bands.get(("script", r["script"])) or (None, {})
+        out.append(not r["base_failed"] and all(a <= off(r, m) <= b for m, (a, b) in fences.items()))
+    return out
+
+
+def test_verdicts_match_a_plain_twin(spark):
+    """Trend, quartiles, fences and the fall back to the script, over tables whose quantiles are exact."""
+    docs = small(spark).select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"), F.col("text").alias("_text"))
+    noise = [(10_000 + i, "en", " ".join(f"{(i * 7919 + k * 104729) % 16**6:06x}" for k in range(150))) for i in range(6)]
+    noise += [(20_000 + i, "rare", "one two three four five six seven eight nine ten eleven " + "ab " * i) for i in range(4)]
+    docs = docs.unionByName(spark.createDataFrame(noise, "doc_id bigint, lang string, _text string"))
+    table = measured(docs, ["doc_id", "lang"]).persist()
+    found = {r["doc_id"]: r for r in judged(table).collect()}
+    rows = [{**found[r["doc_id"]].asDict()} for r in table.select("doc_id").collect()]
+    wanted = plain_verdicts(rows)
+    assert [r["kept"] for r in rows] == wanted and 0 < sum(wanted) < len(wanted)
+    assert not any(found[10_000 + i]["kept"] for i in range(6))
+    table.unpersist()

@@ -71,3 +71,29 @@ def test_equal_pieces_spread_evenly():
     sequences = balance([100] * 30, 1024)
     costs = [sum(cost(n) for _, _, n in s) for s in sequences]
     assert len(sequences) == 3 and max(costs) - min(costs) < 1e-9
+
+
+def plain_greedy(lengths, capacity):
+    """Every sequence looked at for every piece: the cheapest with room, else the emptiest is filled."""
+    count = -(-sum(lengths) // capacity)
+    sequences = [[] for _ in range(count)]
+    room, spent = [capacity] * count, [0.0] * count
+    for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+        start, left = 0, lengths[piece]
+        while left:
+            fitting = [i for i in range(count) if room[i] >= left]
+            best = min(fitting, key=lambda i: (spent[i], i)) if fitting else min(range(count), key=lambda i: (-room[i], i))
+            tokens = min(left, room[best])
+            sequences[best].append((piece, start, tokens))
+            room[best] -= tokens
+            spent[best] += cost(tokens)
+            start, left = start + tokens, left - tokens
+    return sequences
+
+
+def test_assignment_matches_a_plain_greedy():
+    rng = np.random.default_rng(8)
+    for most, n in ((1024, 300), (200, 400), (3000, 60), (1, 50)):
+        lengths = rng.integers(1, most + 1, n).tolist()
+        assert balance(lengths, 1024) == plain_greedy(lengths, 1024)
+    assert balance([], 1024) == [] and balance([512, 512, 512, 512], 1024) == plain_greedy([512] * 4, 1024)

@@ -46,3 +46,12 @@ def test_few_rows_and_none(spark, tmp_path):
     (tmp_path / "b").mkdir()
     assert run(spark, [(50, [0.5]), (51, [0.25])], tmp_path / "a") == [(50, 1, 51, 128 * 64)]
     assert run(spark, [], tmp_path / "b") == []
+
+
+def test_large_components_are_exact(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(-9, 9)) for _ in range(4)]) for i in range(300)]
+    rows += [(400, [2.0**23, 1.0, 0.0, -(2.0**24)]), (401, [2.0**20, 0.0, 0.0, 1.0]), (402, [0.0, -(2.0**40), 0.0, 0.0])]
+    rows += [(450, [2.0**20, 0.0, 2.0**7, 0.0]), (451, [0.0, 0.0, 2.0**35, 0.5])]
+    found = run(spark, rows, tmp_path)
+    assert found == brute(rows) and max(r[3] for r in found) > 2**53
