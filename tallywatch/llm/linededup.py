@@ -59,24 +59,37 @@ class LineRuns:
             self.levels[level] = []
             self._put(level + 1, merged)
             for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+                self._drop(name)
             level += 1
 
     def _put(self, level: int, hashes: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         name = f"line_run_{level}_{uuid.uuid4().hex}"
-        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{name}"
         (
             hashes.select(*HASH)
             .repartition(self.buckets, *HASH)
-            .write.option("path", path)
+            .write.option("path", self._path(name))
             .bucketBy(self.buckets, *HASH)
             .sortBy(*HASH)
             .saveAsTable(name)
         )
         self.levels[level].append(name)
 
+    def drop(self) -> None:
+        """Forgets all runs and deletes their files."""
+        for name in self.runs():
+            self._drop(name)
+        self.levels = []
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _path(self, name: str) -> str:
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{name}"
+
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Those rows whose hash is in no run."""
         for name in self.runs():
@@ -122,20 +135,22 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, state: LineRuns | Non
         )
     )
     hashed = stored(hashed, "line-hashes")
-    state = state or LineRuns(spark)
+    runs = state or LineRuns(spark)
     gone = None
     for batch in range(len(bounds) + 1):
         own = hashed.filter(F.col("batch") == batch)
         # Counted per hash before the shuffle: a line in a third of all documents is a few rows here.
         held = own.groupBy(*HASH).agg(F.min("doc_id").alias("holder"))
-        new = stored(state.unseen(held), "line-new")
+        new = stored(runs.unseen(held), "line-new")
         # Lines whose hash is not new, or is held by a smaller id of this batch.
         lost = own.join(new.withColumn("is_new", F.lit(True)), HASH, "left").filter(
             F.col("is_new").isNull() | ~F.col("holder").eqNullSafe(F.col("doc_id"))
         )
         lost = stored(lost.select("doc_id", "text_hash", "at"), "line-lost")
         gone = lost if gone is None else gone.unionByName(lost)
-        state.add(new)
+        runs.add(new)
+    if state is None:  # what the batches lose is stored
+        runs.drop()
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
@@ -143,14 +158,17 @@ def drop_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Every row with its kept text, n_lines and n_dropped, as columns ``whole`` (a struct of the
     row's own columns, named c0, c1, ...), ``kept``, ``n_lines`` and ``n_dropped``."""
     whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    rows = docs.select(whole.alias("whole"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    gone = dropped_lines(rows.select("doc_id", "text", "text_hash"), batches).select(
+    text_hash = F.xxhash64("text").alias("text_hash")
+    gone = dropped_lines(docs.select("doc_id", "text", text_hash), batches).select(
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone"
     )
+    # A text crosses the shuffle once, inside ``whole``.
+    rows = docs.select(whole.alias("whole"), F.col("doc_id").alias("own_id"), text_hash)
     met = rows.join(
-        gone, (F.col("text_hash") == F.col("gone_hash")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left"
+        gone, (F.col("text_hash") == F.col("gone_hash")) & F.col("own_id").eqNullSafe(F.col("gone_id")), "left"
     )
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    text = F.coalesce(F.col(f"whole.c{docs.columns.index('text')}"), F.lit(""))
+    lines = F.split(text, "\n", -1)
     gaps = F.zip_with(
         F.concat(F.array(F.lit(0)), F.col("gone")),
         F.concat(F.col("gone"), F.array(F.col("n_lines") + 1)),
@@ -161,7 +179,7 @@ def drop_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         .withColumn("n_lines", F.size("lines"))
         .select(
             "whole",
-            F.when(F.col("gone").isNull(), F.coalesce("text", F.lit("")))
+            F.when(F.col("gone").isNull(), text)
             .otherwise(F.array_join(F.flatten(gaps), "\n"))
             .alias("kept"),
             F.col("n_lines").cast("bigint").alias("n_lines"),
