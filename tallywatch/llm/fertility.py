@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import documents, small_batches, stored
-from tallywatch.llm.pieces import default_paths, flat, portions, token_ids, word_codes, words_of
+from tallywatch.llm.pieces import default_paths, flat, give_back, portions, token_ids, word_codes, words_of
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
@@ -224,6 +224,7 @@ def measured(rows: DataFrame, names: list[str], paths=None) -> DataFrame:
                 columns = [batch.column(n).slice(low, high - low) for n in names]
                 columns += [pa.array(found[f], kinds[f]) for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *fields])
+        give_back()
 
     return rows.select(*names, "_text").mapInArrow(task, schema)
 

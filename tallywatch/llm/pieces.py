@@ -9,7 +9,9 @@ or with the name of a special token are tokenised whole.
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
+import gc
 import os
 import re
 
@@ -158,6 +160,14 @@ def _encode_distinct(segments: list[bytes], paths) -> tuple[np.ndarray, np.ndarr
     return packed[np.repeat(at - cuts[:-1], lengths) + np.arange(int(cuts[-1]))], cuts
 
 
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the system: workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def portions(texts: list[bytes], most: int = TEXT_AT_ONCE):
     """Ranges of texts of at most ``most`` bytes together (one text at least)."""
     at, size = 0, 0
