@@ -96,9 +96,9 @@ def transactions_table(spark: SparkSession, folder: str) -> DataFrame:
     """``transactions``, stored once per session in the shared folder.
 
     Scoring reads its input several times (statistics, key counts, rows): the tables are joined once,
-    and later passes scan pruned columns.
+    and later passes scan pruned columns. When a file changes, the tables are joined anew.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _files(spark, folder))
     if key not in _STORED:
         path = f"{ensure_checkpoint_dir(spark)}/transactions-{uuid.uuid4().hex}"
         rows = transactions(spark, folder)
