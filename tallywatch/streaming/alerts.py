@@ -39,8 +39,7 @@ class AlertStates:
         """Adds a delivery of actions; deliveries are numbered in the order in which they come."""
         known = actions.filter(F.col("alert_id").isNotNull())
         reduced = reduced_history(known).select("alert_id", *HISTORY, bucket_of(F.col("alert_id")).alias("bucket"))
-        # A bucket is written by one task.
-        self.store.commit(actions.sparkSession, delivery, {"histories": reduced.repartition("bucket")})
+        self.store.commit(actions.sparkSession, delivery, {"histories": reduced})
 
     def start(self, actions: DataFrame, checkpoint: str) -> StreamingQuery:
         """Adds what has arrived in a stream of actions."""

@@ -75,11 +75,13 @@ class RunStore:
         self._forget(spark, batch_id, {path for *_, path in live} | {path for *_, path in before})
 
     def _write(self, rows: DataFrame, name: str, level: int, batch_id: int) -> str:
-        """A run of one micro-batch is written as it is; merged ones are sorted by key, so that they have few files
-        and the statistics of a file say which keys it can hold."""
+        """A run of one micro-batch has few files per folder, a large folder several; merged ones are sorted by key as
+        well, so that the statistics of a file say which keys it can hold."""
         table, path = self.tables[name], f"{self.folder}/{name}/{level}-{batch_id}"
         if level:
             rows = rows.repartitionByRange(*table.order).sortWithinPartitions(*table.order)
+        elif table.partitions:
+            rows = rows.hint("rebalance", *table.partitions)
         rows.write.mode("overwrite").partitionBy(*table.partitions).parquet(path)
         return path
 
