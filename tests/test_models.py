@@ -125,6 +125,22 @@ def test_pattern_values_match_subsets():
             assert abs(total - got[pattern][j]) < 1e-12
 
 
+def test_subtrees_of_any_size_explain_the_same(spark, features, store):
+    models = load_models(spark, store[0])
+    entry = tables.latest_model(spark, f"{store[0]}/registry")
+    nodes = spark.read.parquet(entry["classifier_path"])
+    x = features.select(*C.FEATURE_COLUMNS).limit(300).toPandas().to_numpy(float)
+    alone = attribution.build_tables(nodes, most_cells=0)  # a leaf a table
+    assert len(alone.blocks) > 2 * len(models.leaf_tables.blocks)
+    assert np.abs(alone.explain(x) - models.leaf_tables.explain(x)).max() < 1e-12
+
+
+def test_rows_are_explained_once(spark, features, store):
+    """Listing attributions makes a filter of them, which must not run the explanation again below."""
+    listed = attribution.with_attributions(features, load_models(spark, store[0]).leaf_tables).select("txn_id", F.posexplode("attributions"))
+    assert listed._jdf.queryExecution().executedPlan().toString().count("explain(") == 1
+
+
 def test_training_and_attribution_sum(spark, features, store):
     folder, entry = store
     models = load_models(spark, folder)
