@@ -169,6 +169,26 @@ def test_keyed_state_counts_in_any_order_and_lists_what_is_late(spark, tmp_path)
     assert kept.sparkSession.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "checkpoint")).count() == 0
 
 
+def test_keyed_state_has_few_keys_for_many_senders(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [(2**60 + i, t0 + timedelta(minutes=i % 600), f"s{i % 211}") for i in range(2000)]
+    df = spark.createDataFrame(rows + [(None, datetime(2030, 1, 1), "s0")], "txn_id bigint, ts timestamp, sender_account string")
+    running = KeyedVelocity(str(tmp_path / "out"), salts=2, buckets=3)
+    df.filter("txn_id IS NOT NULL").write.parquet(str(tmp_path / "in" / "0"))
+    running.start(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*")), str(tmp_path / "checkpoint")).awaitTermination()
+    kept = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "checkpoint"))
+    assert 0 < kept.select("key").distinct().count() <= 3 * 2
+    df.filter("txn_id IS NULL OR txn_id % 2 = 0").write.parquet(str(tmp_path / "in" / "1"))  # an id and none together
+    running.start(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*")), str(tmp_path / "checkpoint")).awaitTermination()
+    again = df.filter("txn_id IS NOT NULL").filter(F.col("ts") <= F.lit(t0 + timedelta(minutes=539)))
+    late = again.filter("txn_id % 2 = 0").select("txn_id")
+    assert sorted(r[0] for r in running.late(spark).collect()) == sorted(r[0] for r in late.collect())
+    got = {r["txn_id"]: tuple(r)[1:] for r in running.results(spark).filter("txn_id % 2 = 1").collect()}
+    first = with_velocity(df.filter("txn_id IS NOT NULL"), "sender_account", None).filter("txn_id % 2 = 1").filter(F.col("ts") <= F.lit(t0 + timedelta(minutes=539)))
+    want = {r["txn_id"]: tuple(r)[1:] for r in first.select("txn_id", *C.VELOCITY_HOURS).collect()}
+    assert want and all(got[k] == want[k] for k in want)
+
+
 def test_rolling_scores_see_what_came_before_and_replay(spark, txn, tmp_path):
     rolling = RollingScores(str(tmp_path), fan=2)
     for batch_id in range(4):
