@@ -2,8 +2,8 @@
 
 Features become one-byte bin codes once, by a mergeable quantile sketch, and are stored as packed
 blocks. A tree grows from the sums of gradients and Hessians per (node, feature, bin): every task adds
-up its rows, the driver adds the tasks' histograms (their size depends on bins and nodes alone) and
-picks the splits of a level. A node with at most ``BOOST_LOCAL_ROWS`` rows needs no more passes over
+up its rows, a shuffle by node adds the tasks' histograms (the driver does while they are few; their size depends on
+bins and nodes alone) and the driver picks the splits of a level. A node with at most ``BOOST_LOCAL_ROWS`` rows needs no more passes over
 all rows: its rows meet in one task, which finishes the subtree by the same two functions, so
 where a node is finished changes nothing in the tree. Sums are of whole numbers (gradients in units of a
 power of two), so they are exact, and the model does not depend on how rows are laid out.
@@ -35,6 +35,7 @@ PENALTY = 1.0  # on squared leaf values
 LEAST_HESSIAN = 1.0  # in a child
 LEAST_GAIN = 1e-6
 SCORE_CHUNK = 20_000
+MOST_COLLECTED = 32  # histograms of one node that the driver adds up itself
 EXACT = 52  # bits of a whole number that a double holds, less one
 
 
@@ -73,7 +74,15 @@ class Tree:
         self.value, self.gain, self.gradient, self.hessian = (np.zeros(size) for _ in range(4))
 
     def place(self, codes: np.ndarray) -> np.ndarray:
-        """The node in which every row ends."""
+        """The node in which every row ends. A split that a row does not pass rules out the leaves below it; of the
+        leaves that are left the first is the row's. Deeper trees are walked."""
+        if self.depth <= 6:  # a bit per leaf
+            masks, leaves = self._masks()
+            left = np.full(codes.shape[1], ~np.uint64(0))
+            for feature, mask in masks.items():
+                left &= mask.take(codes[feature])
+            first = left & (~left + np.uint64(1))
+            return leaves[np.frexp(first.astype(float))[1] - 1]
         rows = np.arange(codes.shape[1])
         at = np.zeros(len(rows), np.int32)
         for _ in range(self.depth):
@@ -82,6 +91,25 @@ class Tree:
             at = np.where(feature < 0, at, 2 * at + 1 + above)
         return at
 
+    def _masks(self) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Per feature and code the leaves that are not ruled out, and the leaves from left to right."""
+        masks: dict[int, np.ndarray] = {}
+        leaves: list[int] = []
+
+        def below(node: int) -> None:
+            feature = int(self.feature[node])
+            if feature < 0:
+                leaves.append(node)
+                return
+            start = len(leaves)
+            below(2 * node + 1)
+            ruled_out = np.uint64((1 << len(leaves)) - (1 << start))
+            masks.setdefault(feature, np.full(256, ~np.uint64(0)))[self.bin[node] + 1 :] &= ~ruled_out
+            below(2 * node + 2)
+
+        below(0)
+        return masks, np.array(leaves, np.int32)
+
     def split(self, node: int, found: tuple) -> None:
         feature, at, gain, gradient, hessian = found
         self.feature[node], self.bin[node], self.gain[node] = feature, at, gain
@@ -245,7 +273,14 @@ class Grower:
                 sums = (*loss.sums(part.margin, part.label), np.ones(len(part.label)))
                 yield histogram(part.codes, slot_of[tree.place(part.codes)], len(nodes), sums, starts)
 
-        return sum(self.parts.mapPartitions(add).collect()) * np.array([loss.unit, loss.unit, 1.0])
+        tasks = self.parts.getNumPartitions()
+        added = self.parts.mapPartitions(add)
+        if tasks * len(nodes) <= MOST_COLLECTED:
+            found = sum(added.collect())
+        else:  # the tasks' histograms are added before the driver, which gets one per node
+            by_node = added.flatMap(lambda whole: list(enumerate(whole))).reduceByKey(np.add, min(len(nodes), tasks))
+            found = np.stack([h for _, h in sorted(by_node.collect(), key=lambda pair: pair[0])])
+        return found * np.array([loss.unit, loss.unit, 1.0])
 
     def _finished(self, tree: Tree, nodes: list[int]) -> list[tuple]:
         """The splits below nodes whose rows fit one task each, and the sums of the root if it is one."""

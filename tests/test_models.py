@@ -273,6 +273,35 @@ def test_trees_do_not_depend_on_where_nodes_are_finished(spark, tmp_path):
     assert grown("levels", rows.repartition(3), 1) == whole
 
 
+def test_the_driver_gets_few_histograms(features, tmp_path, monkeypatch):
+    got, collect = [], boosting.RDD.collect
+
+    def counted(rdd):
+        rows = collect(rdd)
+        arrays = [h for r in rows for h in ([r] if isinstance(r, np.ndarray) else r[1:] if isinstance(r, tuple) else [])]
+        got.append(sum(h.size // h.shape[-2] // h.shape[-1] for h in arrays if isinstance(h, np.ndarray)))
+        return rows
+
+    monkeypatch.setattr(boosting.RDD, "collect", counted)
+    negatives, positives = quality.class_counts(features)[1::-1]
+    boosting.boost(features, str(tmp_path / "few"), (1.0, 8.0), (negatives, positives), 2, 5, 0.1, local_rows=20)
+    assert max(got) <= boosting.MOST_COLLECTED
+
+
+def test_rows_end_where_a_walk_ends():
+    rng = np.random.default_rng(5)
+    tree = boosting.Tree(6)
+    for node in range(63):
+        if node == 0 or (tree.feature[(node - 1) // 2] >= 0 and rng.random() < 0.9):
+            tree.feature[node], tree.bin[node] = rng.integers(0, 15), rng.integers(0, 255)
+    codes = rng.integers(0, 256, (15, 500)).astype(np.uint8)
+    for row, got in zip(codes.T, tree.place(codes)):
+        at = 0
+        while at < 127 and tree.feature[at] >= 0:
+            at = 2 * at + 1 + int(row[tree.feature[at]] > tree.bin[at])
+        assert at == got
+
+
 def test_one_class_and_no_rows(spark, tmp_path):
     rows, _, _ = labelled(spark, 50)
     same = boosting.boost(rows.withColumn("label", F.lit(0)), str(tmp_path / "a"), (1.0, 1.0), (50, 0), 2, 3, 0.1)
