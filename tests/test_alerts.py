@@ -147,6 +147,16 @@ def test_deliveries_of_actions_add_up(spark, txn, tmp_path):
     made.unpersist()
 
 
+def test_deliveries_do_not_score_again(spark, folder):
+    from tallywatch.plans.registry import QUERIES
+
+    state = QUERIES["alerts_incremental"](spark, folder)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "/high-" in plan and "/transactions-" not in plan
+    whole = QUERIES["alerts_after_actions"](spark, folder)
+    assert sorted(map(str, state.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_a_stream_of_actions(spark, txn, tmp_path):
     made = A.generate_alerts(score_rules(txn), "b", F.col("ts"))
     ids = [r["alert_id"] for r in made.orderBy("alert_id").limit(2).collect()]
