@@ -3,16 +3,16 @@
 Features become one-byte bin codes once, by a mergeable quantile sketch, and are stored as packed
 blocks. A tree grows from the sums of gradients and Hessians per (node, feature, bin): every task adds
 up its rows, a shuffle by node adds the tasks' histograms (the driver does while they are few; their size depends on
-bins and nodes alone) and the driver picks the splits of a level. A node with at most ``BOOST_LOCAL_ROWS`` rows needs no more passes over
-all rows: its rows meet in one task, which finishes the subtree by the same two functions, so
-where a node is finished changes nothing in the tree. Sums are of whole numbers (gradients in units of a
+bins and nodes alone) and the driver picks the splits of a level. Rows never move: a level is one pass of a task per core. At
+most ``BOOST_LOCAL_ROWS`` rows are one task, which grows a tree by the same two functions, so
+where a tree is grown changes nothing in it. Sums are of whole numbers (gradients in units of a
 power of two), so they are exact, and the model does not depend on how rows are laid out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,9 +34,20 @@ NODE_SCHEMA = (
 PENALTY = 1.0  # on squared leaf values
 LEAST_HESSIAN = 1.0  # in a child
 LEAST_GAIN = 1e-6
-SCORE_CHUNK = 20_000
+CHUNK = 16_384  # rows whose arrays stay in the cache
 MOST_COLLECTED = 32  # histograms of one node that the driver adds up itself
 EXACT = 52  # bits of a whole number that a double holds, less one
+LEAF_BITS = 6  # levels of a tree whose leaves have a bit each
+
+
+def first_left(masks: dict[int, np.ndarray], bins: Sequence[np.ndarray]) -> np.ndarray:
+    """The place of the lowest bit that no feature's bin rules out, per row."""
+    left = np.full(len(bins[0]), ~np.uint64(0))
+    mask = np.empty_like(left)
+    for feature, by_bin in masks.items():
+        left &= by_bin.take(bins[feature], out=mask, mode="clip")
+    left &= np.negative(left, out=mask)
+    return (left.astype(float).view(np.int64) >> 52) - 1023  # the exponent of a power of two
 
 
 @dataclass(frozen=True)
@@ -74,15 +85,18 @@ class Tree:
         self.value, self.gain, self.gradient, self.hessian = (np.zeros(size) for _ in range(4))
 
     def place(self, codes: np.ndarray) -> np.ndarray:
-        """The node in which every row ends. A split that a row does not pass rules out the leaves below it; of the
+        """The node in which every row ends."""
+        return self.placer()(codes)
+
+    def placer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """``place`` for many blocks of rows. A split that a row does not pass rules out the leaves below it; of the
         leaves that are left the first is the row's. Deeper trees are walked."""
-        if self.depth <= 6:  # a bit per leaf
-            masks, leaves = self._masks()
-            left = np.full(codes.shape[1], ~np.uint64(0))
-            for feature, mask in masks.items():
-                left &= mask.take(codes[feature])
-            first = left & (~left + np.uint64(1))
-            return leaves[np.frexp(first.astype(float))[1] - 1]
+        if self.depth > LEAF_BITS:
+            return self._walked
+        masks, leaves = self._masks()
+        return lambda codes: leaves.take(first_left(masks, codes), mode="clip")
+
+    def _walked(self, codes: np.ndarray) -> np.ndarray:
         rows = np.arange(codes.shape[1])
         at = np.zeros(len(rows), np.int32)
         for _ in range(self.depth):
@@ -108,7 +122,7 @@ class Tree:
             below(2 * node + 2)
 
         below(0)
-        return masks, np.array(leaves, np.int32)
+        return masks, np.array(leaves, np.intp)
 
     def split(self, node: int, found: tuple) -> None:
         feature, at, gain, gradient, hessian = found
@@ -118,17 +132,19 @@ class Tree:
         self.hessian[2 * node + 2] = self.hessian[node] - hessian
 
 
-def histogram(codes: np.ndarray, slot: np.ndarray, slots: int, sums: Sequence[np.ndarray], starts: np.ndarray) -> np.ndarray:
-    """Shape (slots, bins of all features, sums): the sums of the rows of every slot and bin; a
-    row with a negative slot counts nowhere."""
-    inside = slot >= 0
-    if not inside.all():
-        codes, slot, sums = codes[:, inside], slot[inside], [s[inside] for s in sums]
+def histogram(codes: np.ndarray, slot: np.ndarray, slots: int, sums: Sequence[np.ndarray | None], starts: np.ndarray) -> np.ndarray:
+    """Shape (slots, bins of all features, sums): the sums of the rows of every slot and bin, their number
+    for None; a row with a negative slot counts nowhere."""
+    inside = np.flatnonzero(slot >= 0)
+    if len(inside) < len(slot):
+        codes, slot = codes.take(inside, axis=1), slot.take(inside)
+        sums = [s if s is None else s.take(inside) for s in sums]
     out = np.zeros((slots, starts[-1], len(sums)))
+    first, key = slot.astype(np.intp) * 256, np.empty(len(slot), np.intp)
     for f, (low, high) in enumerate(zip(starts, starts[1:])):
-        key = slot * (high - low) + codes[f]
+        np.add(first, codes[f], out=key)
         for k, values in enumerate(sums):
-            out[:, low:high, k] = np.bincount(key, values, slots * (high - low)).reshape(slots, -1)
+            out[:, low:high, k] = np.bincount(key, values, slots * 256).reshape(slots, 256)[:, : high - low]
     return out
 
 
@@ -181,16 +197,22 @@ class Part:
     label: np.ndarray
     margin: np.ndarray
 
+    def chunks(self, trees: Sequence[Tree]) -> Iterator[Part]:
+        """The rows a chunk at a time with codes as indices, and margins by ``trees`` too."""
+        added = [(tree.placer(), tree.value) for tree in trees]
+        for i in range(0, len(self.label), CHUNK):
+            codes, margin = self.codes[:, i : i + CHUNK].astype(np.intp), self.margin[i : i + CHUNK]
+            for place, value in added:
+                margin = margin + value.take(place(codes))
+            yield Part(codes, self.label[i : i + CHUNK], margin)
+
     def after(self, trees: Sequence[Tree]) -> Part:
-        margin = self.margin
-        for tree in trees:
-            margin = margin + tree.value[tree.place(self.codes)]
-        return Part(self.codes, self.label, margin)
+        return Part(self.codes, self.label, np.concatenate([part.margin for part in self.chunks(trees)]))
 
 
 def finish(codes: np.ndarray, g: np.ndarray, h: np.ndarray, root: int, depth: int, loss: Loss, starts: np.ndarray) -> list[tuple]:
     """(node, split) of the subtree of ``root``, grown from all of its rows down to ``depth``."""
-    out, at = [], np.full(codes.shape[1], root)
+    out, at, codes = [], np.full(codes.shape[1], root), codes.astype(np.intp)
     found = histogram(codes, np.zeros(codes.shape[1], np.int64), 1, (g, h), starts)
     open_nodes = [root]
     while open_nodes and open_nodes[0] < 2**depth - 1:
@@ -226,40 +248,36 @@ class Grower:
 
     def tree(self) -> Tree:
         tree, starts = Tree(self.depth), self.bins.starts
-        found = self._histograms(tree, [0]) if self.rows > self.local_rows else None
-        small = [] if found is not None else [0]
-        open_nodes = [] if small else [0]
-        if open_nodes:
-            tree.gradient[0], tree.hessian[0] = found[0, : starts[1], :2].sum(axis=0)
+        if self.rows <= self.local_rows:
+            (tree.gradient[0], tree.hessian[0]), splits = self._whole()
+            for node, split in splits:
+                tree.split(node, split)
+        else:
+            self._by_levels(tree, starts)
+        leaf = tree.feature < 0
+        tree.value = np.where(leaf, -self.rate * tree.gradient / (tree.hessian + PENALTY), 0.0)
+        self._note(tree)
+        return tree
+
+    def _by_levels(self, tree: Tree, starts: np.ndarray) -> None:
+        found, open_nodes = self._histograms(tree, [0]), [0]
+        tree.gradient[0], tree.hessian[0] = found[0, : starts[1], :2].sum(axis=0)
         while open_nodes:
-            pairs = []
+            parents, wanted = {}, []
             for node, split, sums in zip(open_nodes, best_splits(found, starts), found):
                 if not split:
                     continue
                 tree.split(node, split)
                 if 2 * node + 1 < 2**self.depth - 1:
-                    under = sums[starts[split[0]] : starts[split[0]] + split[1] + 1, 2].sum()
-                    pairs.append((sums, [2 * node + 1, 2 * node + 2], [under, sums[: starts[1], 2].sum() - under]))
-            wanted = [pair[1][int(pair[2][1] < pair[2][0])] for pair in pairs if max(pair[2]) > self.local_rows]
-            own = dict(zip(wanted, self._histograms(tree, wanted))) if wanted else {}
-            open_nodes, kept = [], []
-            for sums, children, rows in pairs:
-                for child, other, n in zip(children, children[::-1], rows):
-                    if n <= self.local_rows:
-                        small.append(child)
-                        continue
-                    open_nodes.append(child)
-                    kept.append(own[child] if child in own else sums - own[other])
-            found = np.stack(kept) if kept else None
-        for node, found_there in sorted(self._finished(tree, small), key=lambda s: (s[0], s[1][0] is not None)):
-            if found_there[0] is None:  # the sums of the root
-                tree.gradient[node], tree.hessian[node] = found_there[1:]
-            else:
-                tree.split(node, found_there)
-        leaf = tree.feature < 0
-        tree.value = np.where(leaf, -self.rate * tree.gradient / (tree.hessian + PENALTY), 0.0)
-        self._note(tree)
-        return tree
+                    parents[node] = sums
+                    below = sums[starts[split[0]] : starts[split[0]] + split[1] + 1, 2].sum()
+                    wanted.append(2 * node + 1 + int(2 * below > sums[: starts[1], 2].sum()))
+            if not wanted:
+                return
+            # The smaller child of every pair is added up, the other is what is left of the parent.
+            added = zip(wanted, parents.values(), self._histograms(tree, wanted))
+            found = np.stack([s for child, sums, own in added for s in ((own, sums - own) if child % 2 else (sums - own, own))])
+            open_nodes = [child for node in parents for child in (2 * node + 1, 2 * node + 2)]
 
     def _histograms(self, tree: Tree, nodes: list[int]) -> np.ndarray:
         """Gradient, Hessian and number of rows per node and bin, over all rows."""
@@ -268,10 +286,13 @@ class Grower:
         slot_of[nodes] = np.arange(len(nodes))
 
         def add(parts: Iterator[Part]) -> Iterator[np.ndarray]:
+            place = tree.placer()
             for part in parts:
-                part = part.after(recent)
-                sums = (*loss.sums(part.margin, part.label), np.ones(len(part.label)))
-                yield histogram(part.codes, slot_of[tree.place(part.codes)], len(nodes), sums, starts)
+                found = np.zeros((len(nodes), starts[-1], 3))
+                for rows in part.chunks(recent):
+                    sums = (*loss.sums(rows.margin, rows.label), None)
+                    found += histogram(rows.codes, slot_of.take(place(rows.codes)), len(nodes), sums, starts)
+                yield found
 
         tasks = self.parts.getNumPartitions()
         added = self.parts.mapPartitions(add)
@@ -282,35 +303,17 @@ class Grower:
             found = np.stack([h for _, h in sorted(by_node.collect(), key=lambda pair: pair[0])])
         return found * np.array([loss.unit, loss.unit, 1.0])
 
-    def _finished(self, tree: Tree, nodes: list[int]) -> list[tuple]:
-        """The splits below nodes whose rows fit one task each, and the sums of the root if it is one."""
-        if not nodes:
-            return []
+    def _whole(self) -> tuple[tuple[float, float], list[tuple]]:
+        """The sums of the root and the splits of a tree whose rows are all in one task."""
         recent, loss, starts, depth = self.recent, self.loss, self.bins.starts, self.depth
 
-        def dealt(parts: Iterator[Part]) -> Iterator[tuple]:
+        def grow(parts: Iterator[Part]) -> Iterator[tuple]:
             for part in parts:
                 part = part.after(recent)
-                at, sums = tree.place(part.codes), loss.sums(part.margin, part.label)
-                for i, node in enumerate(nodes):
-                    rows = np.flatnonzero(at == node)
-                    if len(rows):
-                        yield i, (part.codes[:, rows], *(s[rows] for s in sums))
-
-        def grow(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-            pieces: dict[int, list] = {}
-            for i, piece in rows:
-                pieces.setdefault(i, []).append(piece)
-            for i in list(pieces):
-                codes, g, h = (np.concatenate(p, axis=-1) for p in zip(*pieces.pop(i)))
-                if not nodes[i]:
-                    yield [(0, (None, float(g.sum() * loss.unit), float(h.sum() * loss.unit)))]
-                yield finish(codes, g, h, nodes[i], depth, loss, starts)
-
-        pieces, tasks = self.parts.mapPartitions(dealt), self.parts.getNumPartitions()
-        if tasks > 1:
-            pieces = pieces.partitionBy(min(len(nodes), tasks), lambda i: i)
-        return [split for found in pieces.mapPartitions(grow).collect() for split in found]
+                g, h = loss.sums(part.margin, part.label)
+                yield (float(g.sum() * loss.unit), float(h.sum() * loss.unit)), finish(part.codes, g, h, 0, depth, loss, starts)
+
+        return self.parts.mapPartitions(grow).collect()[0]
 
     def _note(self, tree: Tree) -> None:
         self.recent.append(tree)
@@ -354,6 +357,14 @@ def packed_blocks(rows: DataFrame, bins: Bins) -> DataFrame:
     return rows.select(*_filled(rows), "label").mapInArrow(pack, "codes binary, label binary")
 
 
+def tasks_of(rows: int, local_rows: int, cores: int) -> int:
+    """One where a task holds all rows. Else a task per core, so that a level is one wave, as long as a task has about a
+    quarter of ``local_rows`` to four times as many."""
+    if rows <= local_rows:
+        return 1
+    return max(2, min(C.BOOST_TASKS, max(-(-rows // (4 * local_rows)), min(cores, 4 * rows // local_rows))))
+
+
 def parts_of(blocks: DataFrame, tasks: int, base: float) -> RDD:
     """All blocks of a partition as one ``Part``."""
 
@@ -406,7 +417,7 @@ def boost(
     blocks = spark.read.schema("codes binary, label binary").parquet(folder)
     n = blocks.agg(F.coalesce(F.sum(F.octet_length("label")), F.lit(0))).first()[0]
     loss = Loss.of(weights, counts)
-    parts = parts_of(blocks, min(C.BOOST_TASKS, -(-n // max(local_rows, 1)) or 1), base)
+    parts = parts_of(blocks, tasks_of(n, local_rows, spark.sparkContext.defaultParallelism), base)
     grower = Grower(parts, n, bins, loss, depth, rate, local_rows)
     trees = [grower.tree() for _ in range(rounds)] if n else []
     grower.close()
@@ -443,9 +454,34 @@ def fit_classifier(
     return boost(drawn, folder, weights, kept, rounds, depth, rate, base)
 
 
+def leaf_masks(tree: pd.DataFrame, edges: Sequence[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray] | None:
+    """Per feature and bin the leaves of a tree that are not ruled out, and their values from left to right; None for
+    more leaves than bits."""
+    if (tree["feature"] < 0).sum() > 2**LEAF_BITS:
+        return None
+    table = {n.node_id: n for n in tree.itertuples()}
+    masks: dict[int, np.ndarray] = {}
+    values: list[float] = []
+
+    def below(node_id: int) -> None:
+        node = table[node_id]
+        if node.feature < 0:
+            values.append(node.value)
+            return
+        start = len(values)
+        below(node.lower)
+        mask = masks.setdefault(node.feature, np.full(len(edges[node.feature]) + 1, ~np.uint64(0)))
+        mask[np.searchsorted(edges[node.feature], node.threshold) + 1 :] &= ~np.uint64((1 << len(values)) - (1 << start))
+        below(node.upper)
+
+    below(0)
+    return masks, np.array(values)
+
+
 @dataclass(frozen=True)
 class Booster:
-    """All trees as flat arrays; a leaf points to itself, so walking needs no branches."""
+    """All trees as flat arrays; a leaf points to itself, so walking needs no branches. Where a tree has a bit for
+    every leaf, rows go by what the bins between the thresholds rule out instead."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -454,6 +490,8 @@ class Booster:
     value: np.ndarray
     roots: np.ndarray
     depth: int
+    edges: list[np.ndarray]  # the thresholds of every feature
+    masks: list[tuple[dict[int, np.ndarray], np.ndarray] | None]  # of every tree
 
     @staticmethod
     def from_nodes(nodes: DataFrame) -> Booster:
@@ -466,6 +504,8 @@ class Booster:
             keys = zip(pdf["tree_id"], pdf[side], leaf)
             return np.array([i if is_leaf else place[t, n] for i, (t, n, is_leaf) in enumerate(keys)], np.int32)
 
+        inner = pdf[~leaf]
+        edges = [np.unique(inner["threshold"].to_numpy(float)[inner["feature"] == f]) for f in range(len(C.FEATURE_COLUMNS))]
         return Booster(
             feature=np.where(leaf, 0, pdf["feature"].to_numpy()).astype(np.int32),
             threshold=np.where(leaf, np.inf, pdf["threshold"].to_numpy(float)),
@@ -474,16 +514,22 @@ class Booster:
             value=pdf["value"].to_numpy(float),
             roots=np.flatnonzero(pdf["node_id"].to_numpy() == 0).astype(np.int32),
             depth=int(np.log2(pdf["node_id"].max() + 1)),
+            edges=edges,
+            masks=[leaf_masks(tree, edges) for _, tree in pdf.groupby("tree_id")],
         )
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of label 1."""
-        chunks = [self._chunk(x[i : i + SCORE_CHUNK]) for i in range(0, len(x), SCORE_CHUNK)]
+        chunks = [self._chunk(x[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
         return np.concatenate(chunks or [np.empty(0)])
 
     def _chunk(self, x: np.ndarray) -> np.ndarray:
         rows, total = np.arange(len(x)), np.zeros(len(x))
-        for root in self.roots:  # one tree at a time stays in the cache
+        bins = [np.searchsorted(edges, x[:, f], side="left") for f, edges in enumerate(self.edges)]
+        for root, masks in zip(self.roots, self.masks):  # one tree at a time stays in the cache
+            if masks:
+                total += masks[1].take(first_left(masks[0], bins), mode="clip")
+                continue
             at = np.full(len(x), root)
             for _ in range(self.depth):
                 at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.lower[at], self.upper[at])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -143,15 +144,46 @@ class Forest:
             [self._chunk(x[i : i + SCORE_CHUNK], scale) for i in range(0, len(x), SCORE_CHUNK)] or [np.empty(0)]
         )
 
+    @cached_property
+    def _steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(records, paths, roots, bits of a feature) of nodes laid out anew with the children of a node side by side.
+        A record is a threshold beside the lower child and the feature in one number: a step fetches one of them."""
+        leaf = self.lower == np.arange(len(self.lower))
+        inner = np.flatnonzero(~leaf)
+        place = np.empty(len(leaf), np.int64)
+        place[self.roots] = np.arange(len(self.roots))
+        first = len(self.roots) + 2 * np.arange(len(inner))
+        place[self.lower[inner]], place[self.upper[inner]] = first, first + 1
+        below = np.arange(len(leaf))
+        below[place[inner]] = first
+        bits = int(self.feature.max(initial=0)).bit_length()
+        records = np.empty(len(leaf), np.complex128)
+        records.view(float)[2 * place] = np.where(leaf, np.inf, self.threshold)
+        packed = below << bits
+        packed[place] |= self.feature
+        records.view(np.int64)[1::2] = packed
+        paths = np.empty(len(leaf))
+        paths[place] = self.path
+        return records, paths, place[self.roots], bits
+
     def _chunk(self, x: np.ndarray, scale: float) -> np.ndarray:
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for root in self.roots:  # one tree at a time stays in the cache
-            at = np.full(len(x), root)
+        n = len(x)
+        flat, rows = np.ascontiguousarray(x, float).ravel(), np.arange(n) * x.shape[1]
+        records, paths, roots, bits = self._steps
+        total, value, record = np.zeros(n), np.empty(n), np.empty(n, np.complex128)
+        at, place, above = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n, bool)
+        threshold, packed = record.view(float)[::2], record.view(np.int64)[1::2]
+        for root in roots:  # one tree at a time stays in the cache
+            at[:] = root
             for _ in range(self.depth):
-                low = x[rows, self.feature[at]] <= self.threshold[at]
-                at = np.where(low, self.lower[at], self.upper[at])
-            total += self.path[at]
+                records.take(at, out=record, mode="clip")
+                np.bitwise_and(packed, (1 << bits) - 1, out=place)
+                place += rows
+                flat.take(place, out=value, mode="clip")
+                np.greater(value, threshold, out=above)
+                np.right_shift(packed, bits, out=at)
+                at += above
+            total += paths.take(at)
         return -np.exp2(-total / len(self.roots) / scale)
 
 

@@ -320,3 +320,59 @@ def test_a_bounded_sample_weighs_as_much_as_all_rows(spark, tmp_path):
     root = nodes.filter("tree_id = 1 AND node_id = 0").first()
     # A quarter of the weight of all rows, which is twice the negatives, is the Hessian at even odds.
     assert root["cover"] == pytest.approx(counts[1] / 2, rel=0.1)
+
+
+def test_growing_a_tree_moves_no_rows(spark, tmp_path, monkeypatch):
+    """Levels need the rows where they are: nothing is dealt anew but histograms, and a task per core reads the rows."""
+    rows, _, y = labelled(spark)
+    dealt, partition = [], boosting.RDD.partitionBy
+    monkeypatch.setattr(boosting.RDD, "partitionBy", lambda rdd, n, *f: dealt.append(f) or partition(rdd, n, *f))
+    boosting.boost(rows, str(tmp_path / "b"), (1.0, 3.7), (int((y == 0).sum()), int(y.sum())), 2, 4, 0.3, local_rows=400)
+    assert not any(f and f[0](7) == 7 for f in dealt)
+    assert boosting.tasks_of(2_400_000, 131_072, 12) == 12 and boosting.tasks_of(131_072, 131_072, 12) == 1
+    assert boosting.tasks_of(200_000, 131_072, 60) == 6 and boosting.tasks_of(4_000_000, 131_072, 4) == 8
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_margins_are_those_of_a_walk(spark, depth):
+    """By masks of leaves where a tree has a bit for each, else step by step: the same doubles."""
+    rng, trees = np.random.default_rng(depth), []
+    bins = boosting.Bins(tuple(np.arange(9.0) for _ in C.FEATURE_COLUMNS))
+    for _ in range(4):
+        trees.append(boosting.Tree(depth))
+        trees[-1].value = rng.normal(size=2 ** (depth + 1) - 1)
+        for node in range(2**depth - 1):
+            if node == 0 or (trees[-1].feature[(node - 1) // 2] >= 0 and rng.random() < 0.95):
+                trees[-1].feature[node], trees[-1].bin[node] = rng.integers(0, 15), rng.integers(0, 9)
+    nodes = boosting.node_rows(trees, bins, 0.25)
+    model = boosting.Booster.from_nodes(spark.createDataFrame(nodes, boosting.NODE_SCHEMA))
+    assert [masks is not None for masks in model.masks] == [True, *(depth <= 6 or (t.feature >= 0).sum() < 64 for t in trees)]
+    x = rng.integers(-1, 10, (200, len(C.FEATURE_COLUMNS))) + rng.choice([0.0, 0.5], (200, 1))
+    table = {row[:2]: row for row in nodes}
+    for row, margin in zip(x, model.margins(x)):
+        total = 0.0
+        for tree in range(5):
+            at = table[tree, 0]
+            while at[2] >= 0:
+                at = table[tree, at[4] if row[at[2]] <= at[3] else at[5]]
+            total += at[6]
+        assert total == margin
+
+
+def test_forest_scores_are_those_of_a_walk():
+    rng = np.random.default_rng(8)
+    data = np.round(rng.normal(size=(400, 5)), 1)
+    grown = pd.concat([forest.grow_tree(data[i::3], 8, rng).assign(tree_id=i) for i in range(3)])
+    trees = forest.Forest.from_nodes(type("Nodes", (), {"toPandas": lambda self: grown})(), 134)
+    total = np.zeros(len(data))
+    for i in range(3):
+        nodes = grown[grown["tree_id"] == i].set_index("node_id")
+        for r, row in enumerate(data):
+            at = nodes.loc[0]
+            while at["feature"] >= 0:
+                at = nodes.loc[at["lower"] if row[int(at["feature"])] <= at["threshold"] else at["upper"]]
+            total[r] += at["path"]
+    assert (trees.raw_scores(data) == -np.exp2(-total / 3 / forest.expected_path(134))).all()
+    records, paths, roots, bits = trees._steps
+    inner = np.isfinite(records.view(float)[::2])  # the children of a node lie side by side, so that a step fetches one record
+    assert len(paths) == len(grown) and len(np.unique(records.view(np.int64)[1::2][inner] >> bits)) == inner.sum()
