@@ -128,9 +128,6 @@ FOREST_TREES, FOREST_ROWS_PER_TREE = 100, 25_600
 BOOST_BINS = 256  # a code is one byte
 # Rows of which one task grows whole trees; trees between two refreshes of the margins, and between checkpoints of them.
 BOOST_LOCAL_ROWS, BOOST_REFRESH, BOOST_CHECKPOINT = 131_072, 5, 50
-BOOST_TASKS = 64
-# The bound of the labelled sample: rows of a class beyond half of it are drawn by hash and weigh more.
-BOOST_ROWS = 4_000_000
 HOLDOUT_SHARE, SPLIT_SEED, WEAK_LABEL_SHARE = 0.2, 42, 0.02
 # ---------------------------------------------------------------------------
 

@@ -191,7 +191,7 @@ class Loss:
 
 @dataclass(frozen=True)
 class Part:
-    """The rows of one partition, and their margins by the trees so far."""
+    """Rows of one partition, and their margins by the trees so far."""
 
     codes: np.ndarray
     label: np.ndarray
@@ -287,12 +287,12 @@ class Grower:
 
         def add(parts: Iterator[Part]) -> Iterator[np.ndarray]:
             place = tree.placer()
+            found = np.zeros((len(nodes), starts[-1], 3))
             for part in parts:
-                found = np.zeros((len(nodes), starts[-1], 3))
                 for rows in part.chunks(recent):
                     sums = (*loss.sums(rows.margin, rows.label), None)
                     found += histogram(rows.codes, slot_of.take(place(rows.codes)), len(nodes), sums, starts)
-                yield found
+            yield found
 
         tasks = self.parts.getNumPartitions()
         added = self.parts.mapPartitions(add)
@@ -359,23 +359,34 @@ def packed_blocks(rows: DataFrame, bins: Bins) -> DataFrame:
 
 def tasks_of(rows: int, local_rows: int, cores: int) -> int:
     """One where a task holds all rows. Else a task per core, so that a level is one wave, as long as a task has about a
-    quarter of ``local_rows`` to four times as many."""
+    quarter of ``local_rows`` to four times as many. More rows are one or two waves of larger tasks, up to 32 times as
+    many rows a task, and beyond that as many waves as they need."""
     if rows <= local_rows:
         return 1
-    return max(2, min(C.BOOST_TASKS, max(-(-rows // (4 * local_rows)), min(cores, 4 * rows // local_rows))))
+    least = -(-rows // (4 * local_rows))
+    if least <= cores:
+        return max(2, least, min(cores, 4 * rows // local_rows))
+    return max(2, cores * max(min(least // cores, 2), -(-rows // (32 * local_rows * cores))))
 
 
-def parts_of(blocks: DataFrame, tasks: int, base: float) -> RDD:
-    """All blocks of a partition as one ``Part``."""
+def parts_of(blocks: DataFrame, tasks: int, base: float, local_rows: int = C.BOOST_LOCAL_ROWS) -> RDD:
+    """The blocks of a partition as a ``Part`` per four times ``local_rows`` rows, of which a task holds one at a time."""
+
+    def part(blocks: list[tuple[np.ndarray, np.ndarray]]) -> Part:
+        label = np.concatenate([label for _, label in blocks])
+        return Part(np.concatenate([codes for codes, _ in blocks], axis=1), label, np.full(len(label), base))
 
     def merge(rows: Iterator) -> Iterator[Part]:
-        codes, labels = [], []
+        held, size = [], 0
         for row in rows:
-            labels.append(np.frombuffer(row["label"], np.uint8))
-            codes.append(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(labels[-1])))
-        if labels:
-            label = np.concatenate(labels)
-            yield Part(np.concatenate(codes, axis=1), label, np.full(len(label), base))
+            label = np.frombuffer(row["label"], np.uint8)
+            if held and size + len(label) > 4 * local_rows:
+                yield part(held)
+                held, size = [], 0
+            held.append((np.frombuffer(row["codes"], np.uint8).reshape(-1, len(label)), label))
+            size += len(label)
+        if held:
+            yield part(held)
 
     return blocks.repartition(tasks).rdd.mapPartitions(merge)
 
@@ -417,7 +428,7 @@ def boost(
     blocks = spark.read.schema("codes binary, label binary").parquet(folder)
     n = blocks.agg(F.coalesce(F.sum(F.octet_length("label")), F.lit(0))).first()[0]
     loss = Loss.of(weights, counts)
-    parts = parts_of(blocks, tasks_of(n, local_rows, spark.sparkContext.defaultParallelism), base)
+    parts = parts_of(blocks, tasks_of(n, local_rows, spark.sparkContext.defaultParallelism), base, local_rows)
     grower = Grower(parts, n, bins, loss, depth, rate, local_rows)
     trees = [grower.tree() for _ in range(rounds)] if n else []
     grower.close()
@@ -432,26 +443,26 @@ def fit_classifier(
     rounds: int = C.BOOST_ROUNDS,
     depth: int = C.BOOST_DEPTH,
     rate: float = C.BOOST_RATE,
-    most_rows: int = C.BOOST_ROWS,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """The node table of a classifier of rows with ``label``, of which there are ``counts`` (positive,
     negative).
 
-    Positives weigh as much as negatives together when ``weighted``. The classifier is fitted on
-    at most about ``most_rows`` labelled rows: of a class with more than half of that, rows are drawn by
-    hash, and each stands for as many as were left out.
+    Positives weigh as much as negatives together when ``weighted``. The classifier is fitted on all rows.
+    Only a caller that gives ``most_rows`` has it fitted on at most about that many: of a class with more than
+    half of that, rows are drawn by hash, and each stands for as many as were left out.
     """
     positives, negatives = counts
-    positive = F.col("label") == 1
-    shares = [min(1.0, most_rows / 2 / n) if n else 1.0 for n in counts]
-    share = F.when(positive, shares[0]).otherwise(shares[1])
+    shares = [min(1.0, most_rows / 2 / n) if most_rows and n else 1.0 for n in counts]
     worth = negatives / positives if weighted and positives else 1.0
     weights = (1.0 / shares[1], worth / shares[0])
-    drawn = features.filter(uniform(F.col("txn_id"), F.lit(C.SPLIT_SEED + 2)) < share)
+    if min(shares) < 1:
+        share = F.when(F.col("label") == 1, shares[0]).otherwise(shares[1])
+        features = features.filter(uniform(F.col("txn_id"), F.lit(C.SPLIT_SEED + 2)) < share)
     mean = worth * positives / max(worth * positives + negatives, 1)
     base = math.log(mean / (1 - mean)) if 0 < mean < 1 else 0.0
     kept = (round(negatives * shares[1]) + 1, round(positives * shares[0]) + 1)
-    return boost(drawn, folder, weights, kept, rounds, depth, rate, base)
+    return boost(features, folder, weights, kept, rounds, depth, rate, base)
 
 
 def leaf_masks(tree: pd.DataFrame, edges: Sequence[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray] | None:

@@ -322,6 +322,29 @@ def test_a_bounded_sample_weighs_as_much_as_all_rows(spark, tmp_path):
     assert root["cover"] == pytest.approx(counts[1] / 2, rel=0.1)
 
 
+def test_the_classifier_is_fitted_on_all_rows(spark, tmp_path):
+    """More rows of a class than were once drawn of it: every one is stored and has its share in the first Hessian."""
+    positives, negatives = 60_000, 2_060_000
+    ids = F.col("id").alias("txn_id")
+    features = [F.lit(0.0).alias(c) for c in C.FEATURE_COLUMNS]
+    rows = spark.range(0, positives + negatives, 1, 4).select(ids, (F.col("id") < positives).cast("int").alias("label"), *features)
+    nodes = boosting.fit_classifier(rows, (positives, negatives), str(tmp_path / "s"), rounds=1, depth=2)
+    assert nodes.filter("tree_id = 1 AND node_id = 0").first()["cover"] == pytest.approx(negatives / 2, rel=1e-9)
+    blocks = spark.read.parquet(str(tmp_path / "s")).agg(F.sum(F.octet_length("label")), F.sum(F.octet_length("codes"))).first()
+    assert tuple(blocks) == (positives + negatives, len(C.FEATURE_COLUMNS) * (positives + negatives))
+
+
+def test_tasks_grow_with_the_rows(spark, tmp_path):
+    """No bound on tasks makes them larger with the rows; they are whole waves, and a task holds a part of its rows at a time."""
+    for rows in (4_800_000, 180_000_000, 5_000_000_000):
+        tasks = boosting.tasks_of(rows, 131_072, 6)
+        assert rows / tasks <= 32 * 131_072 and tasks % 6 == 0
+    rows, _, _ = labelled(spark)
+    boosting.packed_blocks(rows.repartition(12), boosting.bin_edges(rows, 16)).write.parquet(str(tmp_path / "b"))
+    parts = boosting.parts_of(spark.read.parquet(str(tmp_path / "b")), 2, 0.0, 60).map(lambda part: len(part.label)).collect()
+    assert sum(parts) == 1200 and len(parts) > 4 and max(parts) <= 240
+
+
 def test_growing_a_tree_moves_no_rows(spark, tmp_path, monkeypatch):
     """Levels need the rows where they are: nothing is dealt anew but histograms, and a task per core reads the rows."""
     rows, _, y = labelled(spark)
